@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tapeloom.catalog import indicators, signals  # noqa: F401
+from tapeloom.catalog import indicators, metrics, signals, trades  # noqa: F401
 from tapeloom.catalog.base import QUERIES, SQL
 
 
