@@ -7,7 +7,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.sources.bars import daily_bars, hourly_bars, read_table
+from tapeloom.sources.bars import daily_bars, daily_basics, fundamentals, hourly_bars, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,6 +26,14 @@ class Tables:
     def bars(self) -> DataFrame:
         return daily_bars(self["lineitem"], self["part"])
 
+    @cached_property
+    def fundamentals(self) -> DataFrame:
+        return fundamentals(self["part"])
+
+    @cached_property
+    def basics(self) -> DataFrame:
+        return daily_basics(self["lineitem"], self["part"])
+
     @cached_property
     def hourly(self) -> DataFrame:
         return hourly_bars(self["events"])
@@ -60,6 +68,13 @@ HOURLY_SQL = """hourly AS (
          arg_max(value, event_id) AS close, max(value) AS high, min(value) AS low, CAST(count(*) AS DOUBLE) AS volume
   FROM events GROUP BY 1, 2)"""
 
+FUNDA_SQL = "funda AS (SELECT p_brand AS symbol, arg_max(p_type, p_partkey) AS industry, max(p_retailprice) AS cap FROM part GROUP BY 1)"
+
+BASICS_SQL = """basics AS (
+  SELECT p.p_brand AS ts_code, CAST(l.l_shipdate AS DATE) AS trade_date,
+         max(l.l_extendedprice / l.l_quantity) / (1 + min(l.l_quantity)) AS pe, min(l.l_extendedprice / l.l_quantity) / (1 + max(l.l_quantity)) AS pb,
+         max(l.l_discount) AS roe, max(l.l_tax) AS roa FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY 1, 2)"""
+
 PART = "PARTITION BY symbol ORDER BY date"
 W = f"OVER ({PART})"
 SOFAR = f"OVER ({PART} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"

@@ -45,6 +45,15 @@ class Panel:
     def before(self) -> WindowSpec:
         return self.w.rowsBetween(Window.unboundedPreceding, -1)
 
+    @property
+    def from_end(self) -> WindowSpec:
+        """This row and all later ones, newest first: a running frame, unlike one open to the end."""
+        return self.desc.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    @property
+    def after(self) -> WindowSpec:
+        return self.desc.rowsBetween(Window.unboundedPreceding, -1)
+
     def trailing(self, n: int) -> WindowSpec:
         return self.w.rowsBetween(-(n - 1), Window.currentRow)
 
@@ -172,7 +181,7 @@ def ewm_gaps(df: DataFrame, specs: Mapping[str, tuple[str, float]], panel: Panel
         block = block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         df = df.withColumn("_local", F.sum(F.col("_gain") * F.col(x) * F.exp(inside)).over(block) * F.exp(-inside))
         # the end of the nearest earlier block: last value, with its path, before this block began
-        nxt = F.first("_blk", ignorenulls=True).over(panel.w.rowsBetween(1, Window.unboundedFollowing))
+        nxt = F.last("_blk", ignorenulls=True).over(panel.after)
         df = df.withColumn("_end", here & (nxt > F.col("_blk")))
         df = df.withColumns(
             {

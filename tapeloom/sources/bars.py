@@ -65,3 +65,26 @@ def hourly_bars(events: DataFrame) -> DataFrame:
             F.count(F.lit(1)).cast("double").alias("volume"),
         )
     )
+
+
+def fundamentals(parts: DataFrame) -> DataFrame:
+    """One row per brand: the industry of its newest part, the mean retail price as its cap."""
+    return parts.groupBy(F.col("p_brand").alias("symbol")).agg(
+        F.max_by("p_type", "p_partkey").alias("industry"), F.max("p_retailprice").alias("cap")
+    )
+
+
+def daily_basics(trades: DataFrame, parts: DataFrame) -> DataFrame:
+    """Daily valuation figures per brand and ship day, from the extremes of the day's lines."""
+    p = parts.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("ts_code"))
+    price = F.col("l_extendedprice") / F.col("l_quantity")
+    return (
+        trades.join(p, "l_partkey")
+        .groupBy("ts_code", F.to_date("l_shipdate").alias("trade_date"))
+        .agg(
+            (F.max(price) / (1 + F.min("l_quantity"))).alias("pe"),
+            (F.min(price) / (1 + F.max("l_quantity"))).alias("pb"),
+            F.max("l_discount").alias("roe"),
+            F.max("l_tax").alias("roa"),
+        )
+    )
