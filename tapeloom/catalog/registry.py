@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tapeloom.catalog import features, indicators, metrics, portfolio, signals, trades  # noqa: F401
+from tapeloom.catalog import events, features, indicators, metrics, portfolio, signals, studies, trades  # noqa: F401
 from tapeloom.catalog.base import QUERIES, SQL
 
 

@@ -110,7 +110,7 @@ def summary(df: DataFrame, value: str = "portfolio_value", keys: tuple[str, ...]
         aggs += [tracking_error(r, F.col("_b")).alias("tracking_error"), information_ratio(r, F.col("_b")).alias("information_ratio")]
     out = df.groupBy(*keys).agg(*aggs)
     c = F.col
-    out = out.withColumn("annual_return", F.pow(1 + c("total_return"), F.lit(float(YEAR)) / c("_n")) - 1)
+    out = out.withColumn("annual_return", F.when(c("total_return") >= -1, F.pow(1 + c("total_return"), F.lit(float(YEAR)) / c("_n")) - 1))
     return out.withColumns(
         {
             "sharpe_ratio": F.when(c("annual_volatility") > 0, div(c("annual_return") - risk_free, "annual_volatility")).otherwise(0.0),

@@ -248,22 +248,14 @@ def first_stop(df: DataFrame, stop: Stop, entry: Column, profit: bool = False, p
 # ---- ledger -----------------------------------------------------------------------------------
 
 
-def order_flags(df: DataFrame, rules: Rules = Rules(), signal: str = "signal", panel: Panel = BARS) -> DataFrame:
-    """Adds the row flags, requested shares and whether a buy or a sell could go through."""
+def exchange_flags(df: DataFrame, rules: Rules = Rules(), panel: Panel = BARS) -> DataFrame:
+    """Adds what the exchange says about each bar, whatever the signal: requested_shares, buy_refusal, can_sell."""
     df = limit_moves(suspended(df), rules, panel)
     good = flag(F.col("close") > 0)
     df = df.withColumn("requested_shares", F.when(good, F.floor(rules.trade_amount / F.col("close"))).otherwise(0).cast("long"))
     why = rejection_reason(F.lit("buy"), rules, requested=F.col("requested_shares"))
     no_sell = rejection_reason(F.lit("sell"), rules)
-    s = F.col(signal)
-    return df.withColumns(
-        {
-            "buy_refusal": why,
-            "want_buy": flag(s == 1) & good,
-            "want_sell": flag(s == -1) & good,
-            "can_sell": no_sell.isNull() & good,
-        }
-    )
+    return df.withColumns({"buy_refusal": why, "can_sell": no_sell.isNull() & good})
 
 
 def order_intents(df: DataFrame, rules: Rules = Rules(), held: str = "held_before", signal: str = "signal") -> DataFrame:
@@ -328,10 +320,14 @@ def ledger(
     Columns: trade (1 bought, -1 sold, 0), reason, held (shares after the bar), held_before,
     entry_row, holding_days, entry_price, exec_price, fill_shares, position_cost (what the open or
     just closed position cost), cash_flow. A buy needs signal 1 and no position, a sell signal -1 or a stop and a position; both
-    need a row that the exchange rules let through. Without stops that is a latch on the open
+    need a row that the exchange rules let through; the rows may bring these flags along, when the
+    ledger covers a part of a series whose flags look further back. Without stops that is a latch on the open
     rows, so no Python runs; a stop depends on the open entry and is folded.
     """
-    df = order_flags(df, rules, signal, panel)
+    if "buy_refusal" not in df.columns:
+        df = exchange_flags(df, rules, panel)
+    good = flag(F.col("close") > 0)
+    df = df.withColumns({"want_buy": flag(F.col(signal) == 1) & good, "want_sell": flag(F.col(signal) == -1) & good})
     df = df.withColumns(
         {
             "_buy": F.col("want_buy") & F.col("buy_refusal").isNull(),
@@ -493,7 +489,7 @@ def pooled_expectancy(stats: DataFrame, trades: str = "total_trades", win_rate:
 
 
 def period_summary(values: DataFrame, trades: DataFrame, initial_capital: float, keys: tuple[str, ...] = ("scenario", "period"), count_rejected: bool = False) -> DataFrame:
-    """Value and trade figures per scenario and period, with the defaults of an empty result.
+    """Value and trade figures per scenario and period; without a sell the trade figures are 0.
 
     Refused buys are not counted as buys; ``count_rejected`` counts them all the same.
     """
@@ -512,6 +508,5 @@ def period_summary(values: DataFrame, trades: DataFrame, initial_capital: float,
         div(F.count_if(sold & (c("profit") > 0)), F.count_if(sold)).alias("win_rate"),
         F.avg(F.when(sold, c("profit_pct"))).alias("avg_profit_pct"),
     )
-    zero = ["total_return", "annual_return", "annual_volatility", "sharpe_ratio", "max_drawdown", "calmar_ratio", "win_rate",
-            "profit_loss_ratio", "buy_trade_count", "sell_trade_count", "avg_profit_pct", "final_position_count"]
-    return stats.join(last, list(keys)).join(t, list(keys), "left").fillna(0, zero).fillna(initial_capital, ["final_portfolio_value"])
+    out = stats.join(last, list(keys)).join(t, list(keys), "left").fillna(initial_capital, ["final_portfolio_value"])
+    return out.fillna(0, ["win_rate", "buy_trade_count", "sell_trade_count", "avg_profit_pct"])
