@@ -111,7 +111,7 @@ def _(t):
 def report_sql():
     parts = []
     for i, (label, name, kind) in enumerate(m.REPORT):
-        text = f"printf('%.2f%%', round({name} * 100, 10))" if kind == "pct" else f"printf('%.4f', {name})"
+        text = f"printf('%.2f%%', {name} * 100)" if kind == "pct" else f"printf('%.4f', {name})"
         parts.append(f"SELECT symbol, {i + 1} AS line, '{label}' AS metric, {text} AS value FROM sum2")
     return " UNION ALL ".join(parts)
 

@@ -78,14 +78,36 @@ def parse_bool(value: Column | str) -> Column:
     return F.when(s.isNull() | s.isin(*FALSE_WORDS), False).otherwise(True)
 
 
+def fixed_text(value: Column | str, digits: int) -> Column:
+    """A number with fixed decimals, rounded by its exact binary value as printf does.
+
+    ``format_string`` rounds the shortest decimal of a double instead, so 460.95 (a little less in
+    binary) would become 461.0. The fraction of a double is a whole number of 2**-52 parts,
+    which decimals can scale and round exactly.
+    """
+    x = F.abs(col(value).cast("double"))
+    whole = F.floor(x)
+    parts = (x - whole) * float(2**52)
+    scaled = F.floor(parts).cast("decimal(20,0)") * F.lit(10**digits).cast("decimal(17,0)")
+    unit, half = F.lit(2**52).cast("decimal(20,0)"), F.lit(2**51).cast("decimal(20,0)")
+    rest = scaled % unit
+    down = (scaled - rest) / unit
+    more = (rest > half) | ((rest == half) & ((parts != F.floor(parts)) | (down.cast("long") % 2 == 1)))
+    steps = down.cast("long") + more.cast("long")
+    carry = (steps >= 10**digits).cast("long")
+    head = F.concat(F.when(col(value).cast("double") < 0, "-").otherwise(""), (whole + carry).cast("string"))
+    if digits == 0:
+        return F.concat(F.when(col(value).cast("double") < 0, "-").otherwise(""), (whole + steps).cast("string"))
+    return F.concat(head, F.lit("."), F.lpad((steps - carry * 10**digits).cast("string"), digits, "0"))
+
+
 def format_number(value: Column | str, digits: int = 2, percentage: bool = False) -> Column:
-    x = col(value)
-    return F.format_string(f"%.{digits}f%%", x * 100) if percentage else F.format_string(f"%.{digits}f", x)
+    return F.concat(fixed_text(col(value) * 100, digits), F.lit("%")) if percentage else fixed_text(value, digits)
 
 
 def format_or_dash(value: Column | str, digits: int = 2, suffix: str = "") -> Column:
     x = safe_float(value)
-    return F.when(x.isNull(), "-").otherwise(F.concat(F.format_string(f"%.{digits}f", x), F.lit(suffix)))
+    return F.when(x.isNull(), "-").otherwise(F.concat(fixed_text(x, digits), F.lit(suffix)))
 
 
 def run_label(snapshot: Column | str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions.kernels import Panel, div, lag
+from tapeloom.functions.scalars import format_number
 
 YEAR = 252
 
@@ -133,7 +134,7 @@ def report(stats: DataFrame, keys: tuple[str, ...] = ("scenario",)) -> DataFrame
     """The summary as label and text rows, in report order."""
     rows = []
     for i, (label, name, kind) in enumerate(r for r in REPORT if r[1] in stats.columns):
-        text = F.format_string("%.2f%%", F.col(name) * 100) if kind == "pct" else F.format_string("%.4f", F.col(name))
+        text = format_number(name, 2, True) if kind == "pct" else format_number(name, 4)
         rows.append(F.struct(F.lit(i + 1).alias("line"), F.lit(label).alias("metric"), text.alias("value")))
     return stats.select(*keys, F.explode(F.array(*rows)).alias("_x")).select(*keys, "_x.*")
 

@@ -185,7 +185,7 @@ def event_overview(catalog: DataFrame, current: int = 0) -> DataFrame:
     text = {c: day(c) for c in ("event_date", "window_start", "window_end")}
     for c in ("event_close", "bandwidth", "condition_threshold"):
         if c in df.columns:
-            text[c] = F.when(F.col(c).isNull(), "-").otherwise(F.format_string("%.4f", c))
+            text[c] = format_or_dash(c, 4)
     have = [c for c in EVENT_NAMES if c in df.columns]
     return df.withColumn("label", label).select("symbol", "label", CURRENT, *[text.get(c, F.col(c)).alias(EVENT_NAMES[c]) for c in have])
 

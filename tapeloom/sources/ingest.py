@@ -33,33 +33,26 @@ STOCK_ALIASES = {
 }
 EXPORT_COLUMNS = {"open": "开盘价", "high": "最高价", "low": "最低价", "close": "收盘价", "volume": "成交量", "amount": "成交额"}
 NUMERIC = BAR_COLUMNS[2:]
-ENCODINGS = ("utf-8", "gbk", "gb18030")
+ENCODINGS = ("utf-8-sig", "utf-8", "gbk", "gb18030")
 PRICES = ("open", "close", "high", "low")
 
 
 # ---- files --------------------------------------------------------------------------------------
 
 
-@F.pandas_udf("string")
-def _encoding_of(content: pd.Series) -> pd.Series:
-    """The first encoding of the list that decodes the bytes."""
+@F.pandas_udf(T.StringType())
+def _decoded(content: pd.Series) -> pd.Series:
+    """The bytes as text in the first encoding of the list that fits."""
 
-    def first(raw: bytes) -> str | None:
+    def text(raw: bytes) -> str:
         for name in ENCODINGS:
             try:
-                raw.decode(name)
-                return name
+                return raw.decode(name)
             except UnicodeDecodeError:
                 continue
-        return None
+        raise ValueError(f"none of {ENCODINGS} decodes the file")
 
-    return content.map(first)
-
-
-def file_encodings(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
-    """(path, encoding) of every file; one price file is one symbol's history, so files are small."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    return files.select("path", _encoding_of("content").alias("encoding"))
+    return content.map(text)
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], encoding: str = "utf-8", schema: T.StructType | str | None = None) -> DataFrame:
@@ -70,19 +63,24 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], encoding: str = "ut
     return df.withColumnsRenamed({c: c.lstrip("﻿") for c in bom})
 
 
-def read_csv_fallback(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """All CSV files under a path, each read in the first encoding that fits it."""
-    by_encoding: dict[str, list[str]] = {}
-    for row in file_encodings(spark, path).collect():  # file names, not data
-        if row.encoding is None:
-            raise ValueError(f"no known encoding for {row.path}")
-        by_encoding.setdefault(row.encoding, []).append(row.path)
+def read_csv_fallback(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
+    """All CSV files under a path as text columns, each file in the first encoding that fits it.
+
+    The built-in reader takes one encoding and knows only Unicode ones. Here a file is decoded whole
+    - it is one symbol's price history - and its lines are parsed like any CSV line.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    text = files.select(F.split(_decoded("content"), "\r?\n").alias("_lines"))
+    lines = text.select(F.element_at("_lines", 1).alias("_head"), F.explode(F.slice("_lines", 2, F.size("_lines"))).alias("_line")).where("_line <> ''")
+    heads = [r[0] for r in lines.select("_head").distinct().collect()]  # the layouts, one or two
+    if not heads:
+        raise FileNotFoundError(path)
     out = None
-    for encoding, paths in sorted(by_encoding.items()):
-        df = read_csv(spark, paths, encoding, schema)
+    for head in sorted(heads):
+        names = [n.strip().strip('"') for n in head.split(",")]
+        schema = ", ".join(f"`{n or 'index'}` string" for n in names)
+        df = lines.where(F.col("_head") == head).select(F.from_csv("_line", schema).alias("_r")).select("_r.*")
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    if out is None:
-        raise FileNotFoundError(path)
     return out
 
 
