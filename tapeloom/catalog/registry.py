@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tapeloom.catalog import events, features, indicators, metrics, monitor, portfolio, signals, sources, studies, trades  # noqa: F401
+from tapeloom.catalog import events, features, indicators, metrics, monitor, portfolio, signals, sources, streams, studies, trades  # noqa: F401
 from tapeloom.catalog.base import QUERIES, SQL
 
 
