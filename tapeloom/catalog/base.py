@@ -7,6 +7,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tapeloom.sources.store import through_table
 from tapeloom.sources.bars import daily_bars, daily_basics, fundamentals, hourly_bars, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,15 +17,16 @@ SQL: dict[str, str] = {}
 class Tables:
     """The given tables and the bar tables that follow from them."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, store: bool = False):
+        self.spark, self.sf_dir, self.store = spark, sf_dir, store
 
     def __getitem__(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)
 
     @cached_property
     def bars(self) -> DataFrame:
-        return daily_bars(self["lineitem"], self["part"])
+        bars = daily_bars(self["lineitem"], self["part"])
+        return through_table(bars, "bars") if self.store else bars
 
     @cached_property
     def fundamentals(self) -> DataFrame:
@@ -39,13 +41,17 @@ class Tables:
         return hourly_bars(self["events"])
 
 
-def query(name: str, sql: str | None = None):
-    """Register ``fn(tables) -> DataFrame`` under a name."""
+def query(name: str, sql: str | None = None, store: bool = False):
+    """Register ``fn(tables) -> DataFrame`` under a name.
+
+    ``store``: the plan reads the bars more than once, so they are built from the trades once and
+    written; the trades are the big table, the bars have one row per symbol and day.
+    """
 
     def add(fn):
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
-        QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir, store))
         if sql is not None:
             SQL[name] = sql
         return fn

@@ -92,7 +92,7 @@ def _(t):
     return df.select(*KEY, *r4("rsrs_score"), "breakout_up", "breakout_down", "event_direction", "condition")
 
 
-@query("e03_condition_dispatch", with_bars(
+@query("e03_condition_dispatch", store=True, sql=with_bars(
     "SELECT 'bollinger_squeeze' AS name, symbol, count(*) FILTER (condition) AS days FROM sqz GROUP BY ALL UNION ALL SELECT 'rsrs_breakout', symbol, count(*) FILTER (condition) FROM rsc GROUP BY ALL",
     *condition_ctes(), *RSRS_COND))
 def _(t):
@@ -121,7 +121,7 @@ def windows(t):
     return ev.event_windows(kept(t), t.bars)
 
 
-@query("e04_event_dates", with_bars("SELECT 'first_in_run' AS selection, symbol, date FROM runs UNION ALL SELECT 'all_true_days', symbol, date FROM sqz WHERE squeeze_condition", *condition_ctes(), RUNS))
+@query("e04_event_dates", store=True, sql=with_bars("SELECT 'first_in_run' AS selection, symbol, date FROM runs UNION ALL SELECT 'all_true_days', symbol, date FROM sqz WHERE squeeze_condition", *condition_ctes(), RUNS))
 def _(t):
     df = soft(t)
     first = ev.event_rows(df).select(F.lit("first_in_run").alias("selection"), *KEY)
@@ -134,12 +134,12 @@ def _(t):
     return kept(t).select(*KEY, "rn")
 
 
-@query("e06_event_windows", with_bars("SELECT symbol, event_date, trade_date, relative_day, close, event_close, round(close_to_event, 6) AS close_to_event FROM win", *EV, WIN))
+@query("e06_event_windows", store=True, sql=with_bars("SELECT symbol, event_date, trade_date, relative_day, close, event_close, round(close_to_event, 6) AS close_to_event FROM win", *EV, WIN))
 def _(t):
     return windows(t).select("symbol", "event_date", "trade_date", "relative_day", "close", "event_close", *r4("close_to_event", digits=6))
 
 
-@query("j06_positional_range", with_bars(
+@query("j06_positional_range", store=True, sql=with_bars(
     "SELECT e.symbol, e.date AS event_date, b.date AS trade_date, b.rn - e.rn AS relative_day, b.close FROM kept e JOIN sqz b ON b.symbol = e.symbol AND b.rn BETWEEN e.rn - 3 AND e.rn + 8", *EV))
 def _(t):
     return ev.event_windows(kept(t), t.bars, 3, 8, full=False).select("symbol", "event_date", "trade_date", "relative_day", "close")
@@ -163,7 +163,7 @@ FORWARD_SQL = """SELECT relative_day AS horizon, count(*) AS sample_count, round
 FORWARD_COLS = ["mean_return", "median_return", "win_rate", "p25", "p75"]
 
 
-@query("e08_event_study", with_bars(
+@query("e08_event_study", store=True, sql=with_bars(
     f"SELECT f.*, (SELECT count(*) FROM full_) AS event_count, (SELECT count(DISTINCT symbol) FROM full_) AS symbol_count, (SELECT count(*) FROM (SELECT DISTINCT symbol FROM bars EXCEPT SELECT symbol FROM kept)) AS skipped FROM ({FORWARD_SQL}) f", *EV, WIN, FULL))
 def _(t):
     from tapeloom.plans.studies import event_study
@@ -178,13 +178,13 @@ def _(t):
 DAYS = [-30, -10, -1, 0, 1, 5, 10, 20, 30]
 
 
-@query("e09_path_matrix", with_bars("SELECT symbol, event_date, " + ", ".join(f"round(any_value(close_to_event) FILTER (relative_day = {d}), 6) AS \"{d}\"" for d in DAYS) + " FROM win GROUP BY ALL", *EV, WIN))
+@query("e09_path_matrix", store=True, sql=with_bars("SELECT symbol, event_date, " + ", ".join(f"round(any_value(close_to_event) FILTER (relative_day = {d}), 6) AS \"{d}\"" for d in DAYS) + " FROM win GROUP BY ALL", *EV, WIN))
 def _(t):
     wide = ev.path_matrix(windows(t), DAYS)
     return wide.select("symbol", "event_date", *[F.round(str(d), 6).alias(str(d)) for d in DAYS])
 
 
-@query("e10_forward_summary", with_bars(FORWARD_SQL, *EV, WIN))
+@query("e10_forward_summary", store=True, sql=with_bars(FORWARD_SQL, *EV, WIN))
 def _(t):
     return ev.forward_summary(windows(t)).select("horizon", "sample_count", *r4(*FORWARD_COLS))
 
@@ -194,7 +194,7 @@ def _(t):
     return ev.event_counts(kept(t).where("rn > 30 AND rn + 30 <= rows"))
 
 
-@query("e12_event_paths", with_bars(
+@query("e12_event_paths", store=True, sql=with_bars(
     "SELECT relative_day, round(avg(close_to_event), 4) AS mean, round(median(close_to_event), 4) AS median, round(quantile_cont(close_to_event, 0.25), 4) AS p25, round(quantile_cont(close_to_event, 0.75), 4) AS p75 FROM win GROUP BY 1", *EV, WIN))
 def _(t):
     return ev.event_paths(windows(t)).select("relative_day", *r4("mean", "median", "p25", "p75"))
@@ -204,18 +204,18 @@ CATALOG = """catalog_ AS (SELECT symbol, event_date, min(trade_date) AS window_s
   max(relative_day) AS max_relative_day, any_value(event_close) AS event_close FROM win GROUP BY ALL)"""
 
 
-@query("e13_event_catalog", with_bars(f"SELECT c.*, m.* EXCLUDE (symbol, event_date, event_close) FROM catalog_ c LEFT JOIN ({META}) m USING (symbol, event_date)", *EV, FULL, WIN, CATALOG))
+@query("e13_event_catalog", store=True, sql=with_bars(f"SELECT c.*, m.* EXCLUDE (symbol, event_date, event_close) FROM catalog_ c LEFT JOIN ({META}) m USING (symbol, event_date)", *EV, FULL, WIN, CATALOG))
 def _(t):
     return ev.event_catalog(windows(t), meta(t))
 
 
-@query("j01_event_left_join", with_bars("SELECT w.symbol, w.event_date, w.relative_day, f.close AS event_close FROM win w LEFT JOIN (SELECT symbol, date AS event_date, close FROM full_) f USING (symbol, event_date)", *EV, FULL, WIN))
+@query("j01_event_left_join", store=True, sql=with_bars("SELECT w.symbol, w.event_date, w.relative_day, f.close AS event_close FROM win w LEFT JOIN (SELECT symbol, date AS event_date, close FROM full_) f USING (symbol, event_date)", *EV, FULL, WIN))
 def _(t):
     closes = meta(t).select("symbol", "event_date", "event_close")
     return windows(t).drop("event_close").join(closes, ["symbol", "event_date"], "left").select("symbol", "event_date", "relative_day", "event_close")
 
 
-@query("e14_event_lookup", with_bars(
+@query("e14_event_lookup", store=True, sql=with_bars(
     "SELECT symbol, event_date, trade_date, relative_day, close FROM win WHERE relative_day BETWEEN -5 AND 5 AND (symbol, event_date) IN (SELECT symbol, max(event_date) FROM win GROUP BY 1)", *EV, WIN))
 def _(t):
     win = windows(t)
@@ -237,7 +237,7 @@ def edge_sql(src, bars, horizons, keys="scenario"):
       min(close) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 1 FOLLOWING AND {far} FOLLOWING) AS low_ FROM {bars}) b USING (symbol, date))) GROUP BY ALL"""
 
 
-@query("e15_forward_edges", with_bars(edge_sql("filled", "bars", (1, 5, 10)), *PLAIN, LOG, "filled AS (SELECT scenario, symbol, date, action FROM log WHERE status = 'filled')"))
+@query("e15_forward_edges", store=True, sql=with_bars(edge_sql("filled", "bars", (1, 5, 10)), *PLAIN, LOG, "filled AS (SELECT scenario, symbol, date, action FROM log WHERE status = 'filled')"))
 def _(t):
     log = tr.trade_log(scenario(plain(t)), RULES, ("scenario",))
     out = ev.forward_edges(log, t.bars, (1, 5, 10))

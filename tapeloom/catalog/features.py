@@ -26,7 +26,7 @@ def _(t):
     return df.select(*KEY, *r4("z", "mm"))
 
 
-@query("f02_winsorize", with_bars(
+@query("f02_winsorize", store=True, sql=with_bars(
     "SELECT symbol, date, round(ln(least(greatest(close, lo), hi)), 6) AS log_close FROM bars JOIN (SELECT date, quantile_cont(close, 0.1) AS lo, quantile_cont(close, 0.9) AS hi FROM bars GROUP BY 1) USING (date)"))
 def _(t):
     return ft.winsorize(t.bars, "close", 0.1, 0.9).select(*KEY, F.round(F.ln("close"), 6).alias("log_close"))
@@ -67,12 +67,12 @@ def ic(t, key):
     return a.join(ft.information_coefficient(df, "f", "y", "pearson", (key,), out="pearson"), key).select(key, *r4("spearman", "pearson"))
 
 
-@query("f04_information_coefficient", with_bars(ic_sql("symbol"), *MOM))
+@query("f04_information_coefficient", store=True, sql=with_bars(ic_sql("symbol"), *MOM))
 def _(t):
     return ic(t, "symbol")
 
 
-@query("f05_ic_by_date", with_bars(ic_sql("date"), *MOM))
+@query("f05_ic_by_date", store=True, sql=with_bars(ic_sql("date"), *MOM))
 def _(t):
     return ic(t, "date")
 
@@ -92,7 +92,7 @@ def _(t):
         *KEY, *[F.round(c, 4 if c.endswith(("mean", "std")) else 9).alias(c) for c in ROLLED])
 
 
-@query("f08_select_features", with_bars(
+@query("f08_select_features", store=True, sql=with_bars(
     f"""SELECT feature, round(ic, 4) AS ic FROM (SELECT feature, corr(a, b) AS ic FROM (SELECT *, {rank_sql('v', 'feature')} AS a, {rank_sql('y', 'feature')} AS b FROM
   (SELECT 'momentum' AS feature, f AS v, y FROM mom UNION ALL SELECT 'volume', volume, y FROM mom UNION ALL SELECT 'reversal', -f / (1 + volume), y FROM mom) WHERE v IS NOT NULL AND y IS NOT NULL) GROUP BY 1) WHERE abs(ic) > 0.01""", *MOM))
 def _(t):
@@ -145,7 +145,7 @@ def _(t):
 # ---- resample, fill, align, split
 
 
-@query("h01_resample_weekly", with_bars(
+@query("h01_resample_weekly", store=True, sql=with_bars(
     """SELECT c.symbol, c.period, open, high, low, close, coalesce(volume, 0) AS volume FROM
   (SELECT symbol, CAST(unnest(generate_series(min(period), max(period), INTERVAL 7 DAY)) AS DATE) AS period FROM wk GROUP BY 1) c LEFT JOIN
   (SELECT symbol, period, arg_min(open, date) AS open, max(high) AS high, min(low) AS low, arg_max(close, date) AS close, sum(volume) AS volume FROM wk GROUP BY ALL) USING (symbol, period)""",
@@ -154,7 +154,7 @@ def _(t):
     return fr.resample(t.bars.where(F.dayofyear("date") % 3 == 0), "W").select("symbol", "period", "open", "high", "low", "close", "volume")
 
 
-@query("h01b_resample_monthly", with_bars(
+@query("h01b_resample_monthly", store=True, sql=with_bars(
     "SELECT symbol, last_day(date) AS period, arg_min(open, date) AS open, max(high) AS high, min(low) AS low, arg_max(close, date) AS close, sum(volume) AS volume, count(close) AS bars FROM bars GROUP BY ALL"))
 def _(t):
     df = t.bars.withColumn("bars", F.col("close"))
@@ -167,7 +167,7 @@ def _(t):
     return df.select(*KEY, *r4("simple", "log", digits=6))
 
 
-@query("h03_align", with_bars(
+@query("h03_align", store=True, sql=with_bars(
     """SELECT 'inner' AS how, symbol, date, a.close, b.volume FROM (SELECT * FROM bars WHERE volume > 40) a JOIN (SELECT * FROM bars WHERE close > open) b USING (symbol, date)
   UNION ALL SELECT 'outer', symbol, date, a.close, b.volume FROM (SELECT * FROM bars WHERE volume > 40) a FULL JOIN (SELECT * FROM bars WHERE close > open) b USING (symbol, date)"""))
 def _(t):
@@ -214,7 +214,7 @@ def _(t):
     return ind.bollinger(t.bars).dropna(subset=["close", "upper"]).select(*KEY, "close", *r4("upper"))
 
 
-@query("j03_full_outer_positions", with_bars(
+@query("j03_full_outer_positions", store=True, sql=with_bars(
     "SELECT coalesce(a.portfolio, b.portfolio) AS portfolio, coalesce(a.symbol, b.symbol) AS symbol, coalesce(a.shares, 0) AS now, coalesce(b.shares, 0) AS then_ "
     "FROM (SELECT portfolio + 1 AS portfolio, symbol, shares FROM held) a FULL JOIN held b ON a.portfolio = b.portfolio AND a.symbol = b.symbol", WEIGHTS))
 def _(t):
@@ -228,13 +228,13 @@ def _(t):
     return t.bars.join(universe, "symbol", "left_semi").select(*KEY, "close")
 
 
-@query("j05_quality_anti_join", with_bars("SELECT symbol, date, close FROM bars WHERE symbol NOT IN (SELECT symbol FROM bars GROUP BY 1 HAVING count(*) < 1530 OR min(low) <= 0)"))
+@query("j05_quality_anti_join", store=True, sql=with_bars("SELECT symbol, date, close FROM bars WHERE symbol NOT IN (SELECT symbol FROM bars GROUP BY 1 HAVING count(*) < 1530 OR min(low) <= 0)"))
 def _(t):
     bad = t.bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("lo")).where("n < 1530 OR lo <= 0")
     return t.bars.join(bad, "symbol", "left_anti").select(*KEY, "close")
 
 
-@query("j07_as_of_lookup", with_bars(
+@query("j07_as_of_lookup", store=True, sql=with_bars(
     "SELECT b.symbol, d.day, arg_max(b.date, b.date) AS last_date, arg_max(b.close, b.date) AS last_close FROM bars b JOIN (SELECT DISTINCT last_day(date) AS day FROM bars) d ON b.date <= d.day AND b.date > d.day - 62 GROUP BY ALL"))
 def _(t):
     # the last bar in the 62 days up to each month end: bars are sent to the ends that can see them, an equi-join
@@ -244,7 +244,7 @@ def _(t):
     return seen.groupBy("symbol", "day").agg(F.max("date").alias("last_date"), F.max_by("close", "date").alias("last_close"))
 
 
-@query("j08_benchmark_join", with_bars(f"SELECT symbol, date, {s4('r', 'b')} FROM pair", *MARKET))
+@query("j08_benchmark_join", store=True, sql=with_bars(f"SELECT symbol, date, {s4('r', 'b')} FROM pair", *MARKET))
 def _(t):
     return pair(t).select(*KEY, *r4("r", "b"))
 
@@ -260,7 +260,7 @@ def _(t):
     return attach_grid(rows, [{"window": w, "num_std": k} for w in (14, 20) for k in (1.8, 2.0)]).select("symbol", "window", "num_std", "period", "rows")
 
 
-@query("j10_covariance_pairs", with_bars("SELECT a, b, round(cov, 4) AS cov FROM cov WHERE a <> b", *RET, COV))
+@query("j10_covariance_pairs", store=True, sql=with_bars("SELECT a, b, round(cov, 4) AS cov FROM cov WHERE a <> b", *RET, COV))
 def _(t):
     return cov(t).where("a <> b").select("a", "b", *r4("cov"))
 
@@ -316,7 +316,7 @@ def _(t):
     return df.select(*KEY, "ret", "volume").orderBy(F.desc("volume"), F.desc_nulls_last("ret"), "symbol", "date")
 
 
-@query("l02_top_and_tail", with_bars(
+@query("l02_top_and_tail", store=True, sql=with_bars(
     "SELECT 'top' AS part, symbol, date, volume FROM (SELECT * FROM bars ORDER BY volume DESC, symbol, date LIMIT 20) UNION ALL SELECT 'tail', symbol, date, volume FROM "
     "(SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS b FROM bars) WHERE b <= 3"))
 def _(t):
@@ -324,7 +324,7 @@ def _(t):
     return top.union(fr.last_rows(t.bars, 3).select(F.lit("tail").alias("part"), *KEY, "volume"))
 
 
-@query("u01_union", with_bars("SELECT symbol, date, close, NULL::DOUBLE AS volume FROM bars WHERE year(date) = 1996 UNION ALL SELECT symbol, date, close, volume FROM bars WHERE year(date) = 1997"))
+@query("u01_union", store=True, sql=with_bars("SELECT symbol, date, close, NULL::DOUBLE AS volume FROM bars WHERE year(date) = 1996 UNION ALL SELECT symbol, date, close, volume FROM bars WHERE year(date) = 1997"))
 def _(t):
     a = t.bars.where(F.year("date") == 1996).select(*KEY, "close")
     return a.unionByName(t.bars.where(F.year("date") == 1997).select(*KEY, "close", "volume"), allowMissingColumns=True)
@@ -341,7 +341,7 @@ def _(t):
     return t["lineitem"].select(F.to_date("l_shipdate").alias("date")).distinct().orderBy("date")
 
 
-@query("u03_index_intersection", with_bars("SELECT date FROM bars WHERE symbol = 'Brand#1' INTERSECT SELECT date FROM bars WHERE symbol = 'Brand#2'"))
+@query("u03_index_intersection", store=True, sql=with_bars("SELECT date FROM bars WHERE symbol = 'Brand#1' INTERSECT SELECT date FROM bars WHERE symbol = 'Brand#2'"))
 def _(t):
     a = t.bars.where("symbol = 'Brand#1'").select("date")
     return a.intersect(t.bars.where("symbol = 'Brand#2'").select("date"))

@@ -42,7 +42,7 @@ def _(t):
     return per_symbol(ret(t), sortino_ratio=F.round(m.sortino(F.col("r")), 6))
 
 
-@query("m03_drawdown", with_bars("SELECT symbol, date, round(d, 6) AS drawdown, round(min(d) OVER (PARTITION BY symbol), 6) AS max_drawdown FROM dd", *RET, *DD))
+@query("m03_drawdown", store=True, sql=with_bars("SELECT symbol, date, round(d, 6) AS drawdown, round(min(d) OVER (PARTITION BY symbol), 6) AS max_drawdown FROM dd", *RET, *DD))
 def _(t):
     df = m.drawdown(t.bars, "close", keys=SYM)
     return df.join(m.max_drawdown(t.bars, "close", SYM), "symbol").select(*KEY, *r4("drawdown", "max_drawdown", digits=6))
@@ -55,7 +55,7 @@ def _(t):
     return m.calmar(ret(t), "r", SYM).select("symbol", *r4("calmar_ratio", digits=6))
 
 
-@query("m05_information_ratio", with_bars(
+@query("m05_information_ratio", store=True, sql=with_bars(
     "SELECT symbol, round(avg(r - b) * 252 / (stddev_samp(r - b) * sqrt(252)), 6) AS information_ratio, round(stddev_samp(r - b) * sqrt(252), 6) AS tracking_error FROM pair GROUP BY 1", *MARKET))
 def _(t):
     r, b = F.col("r"), F.col("b")
@@ -67,7 +67,7 @@ def _(t):
     return per_symbol(ret(t), treynor_ratio=F.round(m.treynor(F.col("r"), 1.2), 6))
 
 
-@query("m07_alpha_beta", with_bars(
+@query("m07_alpha_beta", store=True, sql=with_bars(
     f"""SELECT symbol, round(be, 6) AS beta, round((ar - {DAY_RF} - be * (ab - {DAY_RF})) * 252, 6) AS alpha, round(sl, 6) AS slope FROM
   (SELECT symbol, covar_samp(r, b) / var_pop(b) AS be, avg(r) AS ar, avg(b) AS ab, regr_slope(r, b) AS sl FROM pair GROUP BY 1)""", *MARKET))
 def _(t):
@@ -75,7 +75,7 @@ def _(t):
     return per_symbol(pair(t), beta=F.round(m.beta(r, b), 6), alpha=F.round(m.alpha(r, b), 6), slope=F.round(m.beta(r, b, True), 6))
 
 
-@query("m08_value_at_risk", with_bars(
+@query("m08_value_at_risk", store=True, sql=with_bars(
     "SELECT symbol, round(v, 6) AS var, round(avg(r) FILTER (r <= v), 6) AS cvar FROM ret JOIN (SELECT symbol, quantile_cont(r, 0.05) AS v FROM ret GROUP BY 1) USING (symbol) GROUP BY symbol, v", *RET))
 def _(t):
     return m.value_at_risk(ret(t), "r", SYM).select("symbol", *r4("var", "cvar", digits=6))
@@ -103,7 +103,7 @@ def with_market(t):
     return t.bars.join(t.bars.groupBy("date").agg(F.avg("close").alias("market")), "date")
 
 
-@query("m10_summary", with_bars(f"SELECT symbol, {s4(*SUM_COLS)} FROM sum2", *RET, *DD, SUMMARY))
+@query("m10_summary", store=True, sql=with_bars(f"SELECT symbol, {s4(*SUM_COLS)} FROM sum2", *RET, *DD, SUMMARY))
 def _(t):
     return m.summary(with_market(t), "close", SYM, benchmark="market").select("symbol", *r4(*SUM_COLS))
 
@@ -116,7 +116,7 @@ def report_sql():
     return " UNION ALL ".join(parts)
 
 
-@query("m11_report", with_bars(report_sql(), *RET, *DD, SUMMARY))
+@query("m11_report", store=True, sql=with_bars(report_sql(), *RET, *DD, SUMMARY))
 def _(t):
     return m.report(m.summary(with_market(t), "close", SYM, benchmark="market"), SYM)
 
@@ -134,7 +134,7 @@ def _(t):
                      *r4("years", "total_return", "annual_return", "max_drawdown", "sharpe_ratio", "win_rate", "profit_loss_ratio"))
 
 
-@query("m13_sleeve_metrics", with_bars(
+@query("m13_sleeve_metrics", store=True, sql=with_bars(
     """SELECT scenario, round(win_rate, 4) AS win_rate, round(expectancy, 2) AS expectancy, total_trades, round(sharpe, 4) AS sharpe, round(mdd, 4) AS max_drawdown FROM
   (SELECT scenario, count(*) FILTER (profit > 0) / count(profit) AS win_rate, avg(profit) AS expectancy, count(profit) AS total_trades FROM log GROUP BY 1)
   JOIN (SELECT scenario, avg(r) / (stddev_pop(r) + 1e-9) * sqrt(252) AS sharpe, min((portfolio_value - mx) / mx) AS mdd FROM
@@ -145,7 +145,7 @@ def _(t):
     return out.select("scenario", *r4("win_rate"), *r4("expectancy", digits=2), "total_trades", *r4("sharpe", "max_drawdown"))
 
 
-@query("b24_period_summary", with_bars(
+@query("b24_period_summary", store=True, sql=with_bars(
     f"""SELECT period, round(arg_max(v, date), 0) AS final_portfolio_value, round(arg_max(v, date) / arg_min(v, date) - 1, 4) AS total_return, round(min((v - mx) / mx), 4) AS max_drawdown,
   round(stddev_samp(r) * sqrt(252), 4) AS annual_volatility, any_value(b.buys) AS buy_trade_count, any_value(b.sells) AS sell_trade_count, round(any_value(b.wr), 4) AS win_rate, round(any_value(b.pp), 4) AS avg_profit_pct FROM (
   SELECT *, v / lag(v) OVER (PARTITION BY period ORDER BY date) - 1 AS r, max(v) OVER (PARTITION BY period ORDER BY date) AS mx FROM

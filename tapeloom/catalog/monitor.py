@@ -43,7 +43,7 @@ def _(t):
     return regime_cols(rg.market_regime(t.bars))
 
 
-@query("r03_sector_analysis", with_bars(
+@query("r03_sector_analysis", store=True, sql=with_bars(
     f"""SELECT {REGIME_OUT}, round(c / (SELECT close FROM rc WHERE rc.symbol = reg.symbol AND back = least(reg.days, mk.days)) - mk.c / (SELECT close FROM rc WHERE rc.symbol = 'Brand#1' AND back = least(reg.days, mk.days)), 4) AS relative_performance
   FROM reg, (SELECT c AS c, days FROM reg WHERE symbol = 'Brand#1') mk""".replace("symbol, round", "reg.symbol, round", 1).replace("SELECT c /", "SELECT reg.c /").replace("round(c / (", "round(reg.c / ("), *REGIME))
 def _(t):
@@ -132,24 +132,24 @@ def strength(t):
     return mo.strength_rows(t.bars, universe(t))
 
 
-@query("n06_strength_heatmap", with_bars("SELECT row_label, " + ", ".join(f"round(max(strength_pct) FILTER (date_rank = {i}), 4) AS d{i}" for i in range(1, 31)) + " FROM st2 WHERE date_rank <= 30 GROUP BY 1", *STRENGTH))
+@query("n06_strength_heatmap", store=True, sql=with_bars("SELECT row_label, " + ", ".join(f"round(max(strength_pct) FILTER (date_rank = {i}), 4) AS d{i}" for i in range(1, 31)) + " FROM st2 WHERE date_rank <= 30 GROUP BY 1", *STRENGTH))
 def _(t):
     return mo.strength_heatmap(strength(t)).select("row_label", *r4(*[f"d{i}" for i in range(1, 31)]))
 
 
-@query("n06b_strength_ranking", with_bars("SELECT row_label, symbol, industry_name, latest_available_date, round(strength_pct, 4) AS strength_pct FROM st3", *STRENGTH))
+@query("n06b_strength_ranking", store=True, sql=with_bars("SELECT row_label, symbol, industry_name, latest_available_date, round(strength_pct, 4) AS strength_pct FROM st3", *STRENGTH))
 def _(t):
     return mo.strength_ranking(strength(t)).withColumn("strength_pct", F.round("strength_pct", 4))
 
 
-@query("n07_strength_counts", with_bars(
+@query("n07_strength_counts", store=True, sql=with_bars(
     """SELECT count(*) AS labels, count(*) FILTER (strength_pct >= 5) AS strong, count(*) FILTER (strength_pct <= -5) AS weak, round(coalesce(count(*) FILTER (strength_pct >= 5) / nullif(count(strength_pct), 0), 0) * 100, 4) AS strong_ratio
   FROM (SELECT * FROM st3 ORDER BY strength_pct DESC NULLS LAST, latest_available_date DESC, row_label LIMIT 20)""", *STRENGTH))
 def _(t):
     return mo.strength_counts(mo.strength_ranking(strength(t)), 20).withColumn("strong_ratio", F.round("strong_ratio", 4))
 
 
-@query("n08_event_overview", with_bars(
+@query("n08_event_overview", store=True, sql=with_bars(
     f"""SELECT symbol, printf('片段 %d/%d | %s | 窗口 %d ~ %d', i, n, strftime(event_date, '%Y-%m-%d'), min_relative_day, max_relative_day) AS label, CASE WHEN i = 2 THEN '◀ 当前' ELSE '' END AS "当前",
   strftime(event_date, '%Y-%m-%d') AS "事件日", strftime(window_start, '%Y-%m-%d') AS "窗口开始", strftime(window_end, '%Y-%m-%d') AS "窗口结束", bar_count AS "K线数",
   printf('%.4f', bandwidth) AS "带宽", printf('%.4f', condition_threshold) AS "阈值", event_direction AS "方向", breakout_valid AS "突破确认" FROM

@@ -31,17 +31,17 @@ def held(t):
     return pf.size_positions(weights(t), prices(t)).select("portfolio", "symbol", "shares")
 
 
-@query("p01_target_shares", with_bars("SELECT portfolio, symbol, shares FROM sized", WEIGHTS))
+@query("p01_target_shares", store=True, sql=with_bars("SELECT portfolio, symbol, shares FROM sized", WEIGHTS))
 def _(t):
     return weights(t).join(prices(t), "symbol").select("portfolio", "symbol", pf.target_shares(F.col("weight"), F.col("price")).alias("shares"))
 
 
-@query("p02_size_positions", with_bars("SELECT portfolio, symbol, shares FROM held", WEIGHTS))
+@query("p02_size_positions", store=True, sql=with_bars("SELECT portfolio, symbol, shares FROM held", WEIGHTS))
 def _(t):
     return held(t)
 
 
-@query("p03_position_values", with_bars(
+@query("p03_position_values", store=True, sql=with_bars(
     "SELECT portfolio, symbol, shares, round(shares * price, 2) AS value, round(1000000 + sum(shares * price) OVER (PARTITION BY portfolio), 2) AS total_value FROM held", WEIGHTS))
 def _(t):
     values = pf.position_values(held(t), prices(t))
@@ -54,7 +54,7 @@ def shifted(df):
     return df.withColumn("portfolio", F.col("portfolio") + 1)
 
 
-@query("p04_rebalance_trades", with_bars(
+@query("p04_rebalance_trades", store=True, sql=with_bars(
     """SELECT portfolio, symbol, CASE WHEN d > 0 THEN 'buy' ELSE 'sell' END AS action, abs(d) AS shares, coalesce(price, 0) AS price, round(abs(d) * coalesce(price, 0), 2) AS value FROM
   (SELECT coalesce(a.portfolio, b.portfolio) AS portfolio, coalesce(a.symbol, b.symbol) AS symbol, coalesce(b.shares, 0) - coalesce(a.shares, 0) AS d
    FROM (SELECT portfolio + 1 AS portfolio, symbol, shares FROM held) a FULL JOIN held b ON a.portfolio = b.portfolio AND a.symbol = b.symbol) LEFT JOIN prices USING (symbol) WHERE d <> 0""", WEIGHTS))
@@ -63,7 +63,7 @@ def _(t):
     return out.withColumn("value", F.round("value", 2))
 
 
-@query("p05_threshold_weights", with_bars(
+@query("p05_threshold_weights", store=True, sql=with_bars(
     """SELECT portfolio, symbol, round(CASE WHEN abs(t.weight - coalesce(c.weight, 0)) >= 0.002 THEN t.weight ELSE coalesce(c.weight, 0) END, 6) AS weight
   FROM weights t LEFT JOIN (SELECT portfolio + 1 AS portfolio, symbol, weight FROM weights) c USING (portfolio, symbol)""", WEIGHTS))
 def _(t):
@@ -79,7 +79,7 @@ LAST = "acc[len(acc)]"
 QUARTERS = f"(year(d[1]) - year({LAST})) * 4 + CAST(floor((month(d[1]) - month({LAST})) / 3) AS BIGINT) >= 1"
 
 
-@query("p06_rebalance_days", with_bars(
+@query("p06_rebalance_days", store=True, sql=with_bars(
     f"SELECT 'weekly' AS freq, date FROM ({greedy_sql(f'd[1] - {LAST} >= 7')}) UNION ALL SELECT 'quarterly', date FROM ({greedy_sql(QUARTERS)}) "
     "UNION ALL SELECT 'monthly', date FROM (SELECT date, lag(date) OVER (ORDER BY date) AS p FROM (SELECT DISTINCT date FROM bars)) WHERE p IS NULL OR month(p) <> month(date) "
     "UNION ALL SELECT 'daily', date FROM (SELECT DISTINCT date FROM bars)"))
@@ -97,7 +97,7 @@ def cov(t):
     return pf.covariance(ret(t), "r")
 
 
-@query("p07_mean_variance", with_bars(
+@query("p07_mean_variance", store=True, sql=with_bars(
     f"""SELECT portfolio, {s4('expected_return', 'variance')}, round(-expected_return + 2 * variance, 4) AS objective FROM
   (SELECT w.portfolio, sum(w.weight * mean_return) AS expected_return, any_value(v.variance) AS variance FROM weights w JOIN mu USING (symbol) JOIN
     (SELECT x.portfolio, sum(x.weight * cov * y.weight) AS variance FROM weights x JOIN covf ON x.symbol = a JOIN weights y ON y.symbol = b AND x.portfolio = y.portfolio GROUP BY 1) v ON v.portfolio = w.portfolio GROUP BY 1)""",
@@ -107,7 +107,7 @@ def _(t):
         "portfolio", *r4("expected_return", "variance", "objective"))
 
 
-@query("p08_risk_contributions", with_bars(
+@query("p08_risk_contributions", store=True, sql=with_bars(
     f"""SELECT portfolio, symbol, {s4('risk_share', digits=6)}, round(power(risk_share - 1.0::DOUBLE / n, 2), 6) AS squared_gap FROM
   (SELECT portfolio, symbol, c / sum(c) OVER (PARTITION BY portfolio) AS risk_share, count(*) OVER (PARTITION BY portfolio) AS n FROM
     (SELECT x.portfolio, x.symbol, sum(x.weight * cov * y.weight) AS c FROM weights x JOIN covf ON x.symbol = a JOIN weights y ON y.symbol = b AND x.portfolio = y.portfolio GROUP BY ALL))""",
@@ -116,13 +116,13 @@ def _(t):
     return pf.risk_contributions(weights(t), cov(t)).select("portfolio", "symbol", *r4("risk_share", "squared_gap", digits=6))
 
 
-@query("p09_covariance", with_bars("SELECT a, b, round(cov, 4) AS cov, round(mean_return, 4) AS mean_return_a FROM cov JOIN mu ON a = symbol", *RET, COV))
+@query("p09_covariance", store=True, sql=with_bars("SELECT a, b, round(cov, 4) AS cov, round(mean_return, 4) AS mean_return_a FROM cov JOIN mu ON a = symbol", *RET, COV))
 def _(t):
     mean = pf.mean_returns(ret(t)).withColumnRenamed("symbol", "a")
     return cov(t).join(mean, "a").select("a", "b", *r4("cov"), F.round("mean_return", 4).alias("mean_return_a"))
 
 
-@query("p06b_execute_rebalance", with_bars(
+@query("p06b_execute_rebalance", store=True, sql=with_bars(
     f"""SELECT date, symbol, CASE WHEN d > 0 THEN 'buy' ELSE 'sell' END AS action, abs(d) AS shares, coalesce(price, 0) AS price, round(abs(d) * coalesce(price, 0), 2) AS value FROM
   (SELECT coalesce(a.date, b.date) AS date, coalesce(a.symbol, b.symbol) AS symbol, coalesce(b.shares, 0) - coalesce(a.shares, 0) AS d FROM
     (SELECT date, symbol, CAST(lag(volume) {W} AS BIGINT) AS shares FROM bars) a FULL JOIN (SELECT date, symbol, CAST(volume AS BIGINT) AS shares FROM bars WHERE volume > 20) b USING (date, symbol))

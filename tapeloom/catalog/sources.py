@@ -112,7 +112,7 @@ CN = {"date": "日期", "symbol": "股票代码", "open": "开盘", "close": "
 BARS_OUT = "SELECT symbol, date, open, close, high, low, volume FROM bars"
 
 
-@query("s01_csv_encodings", with_bars(BARS_OUT))
+@query("s01_csv_encodings", store=True, sql=with_bars(BARS_OUT))
 def _(t):
     path = work_dir(t.spark, "bars-csv")
     df = t.bars.select(*[F.col(c).alias(n) for c, n in CN.items()])
@@ -156,12 +156,12 @@ def corrected(t):
 CORRECTED = "SELECT symbol AS code, date, CASE WHEN right(CAST(date AS VARCHAR), 1) = '5' THEN high ELSE close END AS close, high, low FROM bars"
 
 
-@query("s03_standardize_index", with_bars(CORRECTED))
+@query("s03_standardize_index", store=True, sql=with_bars(CORRECTED))
 def _(t):
     return ig.standardize_index(corrected(t), "seq").select("code", "date", "close", "high", "low")
 
 
-@query("s04_standardize_stock", with_bars(CORRECTED))
+@query("s04_standardize_stock", store=True, sql=with_bars(CORRECTED))
 def _(t):
     src = t.bars.select(F.lit(0).alias("c0"), F.date_format("date", "yyyy-MM-dd").alias("c1"), F.col("symbol").alias("c2"), *[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(("open", "close", "high", "low", "volume", "amount"), 3)],
                         *[F.lit(None).cast("string").alias(f"c{i}") for i in range(9, 13)], F.lit(1).alias("seq"))
@@ -194,7 +194,7 @@ def _(t):
     return ig.standardize_index_list(raw, "pos", codes=["1", "2.0", "000003", "11", "none"])
 
 
-@query("s08_bar_store", with_bars("SELECT symbol, date, close FROM bars"))
+@query("s08_bar_store", store=True, sql=with_bars("SELECT symbol, date, close FROM bars"))
 def _(t):
     root = work_dir(t.spark, "store")
     st.save_bars(t.bars, root, "landed", "price", "hfq")
@@ -202,7 +202,7 @@ def _(t):
     return st.load_bars(t.spark, root, "landed", "price", "hfq").select(*KEY, "close")
 
 
-@query("s09_save_load", with_bars("SELECT 'csv' AS fmt, symbol, date, close FROM bars UNION ALL SELECT 'parquet', symbol, date, close FROM bars"))
+@query("s09_save_load", store=True, sql=with_bars("SELECT 'csv' AS fmt, symbol, date, close FROM bars UNION ALL SELECT 'parquet', symbol, date, close FROM bars"))
 def _(t):
     root = work_dir(t.spark, "frames")
     df = t.bars.select(*KEY, "close")
@@ -230,19 +230,19 @@ def _(t):
     return ig.non_positive_prices(t.bars.withColumn("low", F.col("low") - 25))
 
 
-@query("s12b_drop_bad_series", with_bars("SELECT symbol, date, low - 25 AS low FROM bars WHERE symbol NOT IN (SELECT symbol FROM bars WHERE low - 25 <= 0)"))
+@query("s12b_drop_bad_series", store=True, sql=with_bars("SELECT symbol, date, low - 25 AS low FROM bars WHERE symbol NOT IN (SELECT symbol FROM bars WHERE low - 25 <= 0)"))
 def _(t):
     return ig.drop_bad_series(t.bars.withColumn("low", F.col("low") - 25)).select(*KEY, "low")
 
 
-@query("s13_merge_refresh", with_bars("SELECT symbol, date, CASE WHEN date >= DATE '2001-06-01' THEN high ELSE close END AS close FROM bars WHERE date < DATE '2001-08-01' OR date >= DATE '2001-06-01'"))
+@query("s13_merge_refresh", store=True, sql=with_bars("SELECT symbol, date, CASE WHEN date >= DATE '2001-06-01' THEN high ELSE close END AS close FROM bars WHERE date < DATE '2001-08-01' OR date >= DATE '2001-06-01'"))
 def _(t):
     stored = t.bars.where("date < '2001-08-01'").select(*KEY, "close")
     fresh = t.bars.where("date >= '2001-06-01'").select(*KEY, F.col("high").alias("close"))
     return ig.merge_refresh(stored, fresh)
 
 
-@query("s14_update_log", with_bars(
+@query("s14_update_log", store=True, sql=with_bars(
     """SELECT u.symbol, CASE WHEN b.symbol IS NULL THEN 'failed' ELSE 'updated' END AS status, strftime(d, '%Y-%m-%d') AS latest_date,
   strftime(coalesce(least(greatest(DATE '2001-01-01', d - 120), d), DATE '2001-01-01'), '%Y%m%d') AS fetch_start, '20020101' AS fetch_end, CASE WHEN b.symbol IS NULL THEN 'no stored bars' ELSE '' END AS message
   FROM (SELECT DISTINCT p_brand AS symbol FROM part) u LEFT JOIN (SELECT symbol, max(date) AS d FROM bars WHERE symbol <> 'Brand#9' GROUP BY 1) b USING (symbol)"""))
@@ -257,7 +257,7 @@ def _(t):
     return ig.export_shape(t.bars.drop("amount"), F.col("symbol"), code(), F.lit("link"))
 
 
-@query("s16_report_sink", with_bars("SELECT symbol, count(*) AS bars, max(date) AS latest FROM bars GROUP BY 1"))
+@query("s16_report_sink", store=True, sql=with_bars("SELECT symbol, count(*) AS bars, max(date) AS latest FROM bars GROUP BY 1"))
 def _(t):
     root = work_dir(t.spark, "reports")
     report = t.bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"), F.max("date").alias("latest"))
@@ -268,7 +268,7 @@ def _(t):
 WINDOW_SCHEMA = "symbol string, event_date date, trade_date date, relative_day int, open double, high double, low double, close double, volume double, event_close double"
 
 
-@query("s17_event_window_file", with_bars(f"SELECT {CODE} AS symbol, event_date, trade_date, relative_day, close, event_close FROM win", *EV, WIN))
+@query("s17_event_window_file", store=True, sql=with_bars(f"SELECT {CODE} AS symbol, event_date, trade_date, relative_day, close, event_close FROM win", *EV, WIN))
 def _(t):
     path = work_dir(t.spark, "event_windows")
     names = [c.split()[0] for c in WINDOW_SCHEMA.split(", ")]

@@ -40,7 +40,7 @@ def versions(t):
     return first, again
 
 
-@query("st1_refresh", with_bars(
+@query("st1_refresh", store=True, sql=with_bars(
     """SELECT symbol, date, CASE WHEN day(date) % 5 = 0 AND (date > DATE '1999-06-30' OR (date <= DATE '1997-06-30' AND date >= l1 - 120) OR (date > DATE '1997-06-30' AND date <= DATE '1999-06-30' AND date >= l2 - 120)) THEN high ELSE close END AS close
   FROM bars JOIN (SELECT symbol, max(date) FILTER (date <= DATE '1997-06-30') AS l1, max(date) FILTER (date <= DATE '1999-06-30') AS l2 FROM bars GROUP BY 1) USING (symbol)"""))
 def _(t):
@@ -57,7 +57,7 @@ def _(t):
     return bs.current_bars(t.spark, root).select("symbol", "date", "close")
 
 
-@query("st2_monitor_run", with_bars(MON_OUT, *MON))
+@query("st2_monitor_run", store=True, sql=with_bars(MON_OUT, *MON))
 def _(t):
     root = work_dir(t.spark, "monitor")
     first, _again = versions(t)
@@ -67,7 +67,7 @@ def _(t):
     return shown(bs.monitor_once(updates, root, universe(t), "bollinger_squeeze", SOFT, SNAPSHOT))
 
 
-@query("st3_new_signals", with_bars(f"SELECT symbol, date, condition AND NOT coalesce(lag(condition) {W}, FALSE) AS is_new_signal FROM sqz", *condition_ctes()))
+@query("st3_new_signals", store=True, sql=with_bars(f"SELECT symbol, date, condition AND NOT coalesce(lag(condition) {W}, FALSE) AS is_new_signal FROM sqz", *condition_ctes()))
 def _(t):
     root = work_dir(t.spark, "signals")
     rows = soft(t).select("symbol", "date", "condition")
@@ -84,7 +84,7 @@ def _(t):
     return t.spark.read.parquet(f"{root}/out").withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
 
-@query("st5_held_positions", with_bars("SELECT symbol, date, signal FROM t01", *T01))
+@query("st5_held_positions", store=True, sql=with_bars("SELECT symbol, date, signal FROM t01", *T01))
 def _(t):
     root = work_dir(t.spark, "positions")
     df = t.bars.withColumns({"_s": roll(F.avg, "close", 5), "_l": roll(F.avg, "close", 20)})
@@ -109,7 +109,7 @@ def _(t):
     return df.select(*KEY, *r4("RSI_factor"), "momentum_factor", "range_factor", F.round(F.nanvl("gap_factor", F.lit(None).cast("double")), 4).alias("gap_factor"))
 
 
-@query("d02_strategy_registry", with_bars(
+@query("d02_strategy_registry", store=True, sql=with_bars(
     "SELECT symbol, date, signal, row_number() OVER (PARTITION BY date ORDER BY mom DESC NULLS LAST, symbol) AS place FROM (SELECT t01.*, close - lag(close, 20) OVER (PARTITION BY symbol ORDER BY date) AS mom FROM t01)", *T01))
 def _(t):
     from tapeloom.operators import indicators as ind

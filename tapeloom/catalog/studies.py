@@ -73,28 +73,24 @@ def scan_sql(body):
     return "WITH " + ",\n".join(ctes) + "\n" + body
 
 
-def study(t):
-    return studies.event_study(t.bars, "bollinger_squeeze", SETS)
-
-
 def summary(t):
-    out = studies.experiment_summary(study(t), SETS)
+    out = studies.experiment_summary(t.bars, "bollinger_squeeze", SETS)
     figures = [c for c in out.columns if c.startswith(("mean_", "median_", "win_", "avg_", "rank_"))]
     return out.withColumns({c: F.round(c, 4) for c in figures})
 
 
-@query("g03_scan", scan_sql("SELECT experiment_id, symbol, count(*) FILTER (condition) AS condition_days, min(date) FILTER (condition) AS first_day FROM allx GROUP BY ALL"))
+@query("g03_scan", store=True, sql=scan_sql("SELECT experiment_id, symbol, count(*) FILTER (condition) AS condition_days, min(date) FILTER (condition) AS first_day FROM allx GROUP BY ALL"))
 def _(t):
     df = studies.scan_conditions(t.bars, "bollinger_squeeze", SETS)
     return df.groupBy("experiment_id", "symbol").agg(F.count_if("condition").alias("condition_days"), F.min(F.when(F.col("condition"), F.col("date"))).alias("first_day"))
 
 
-@query("g04_experiment_summary", scan_sql("SELECT * FROM summary_"))
+@query("g04_experiment_summary", store=True, sql=scan_sql("SELECT * FROM summary_"))
 def _(t):
     return summary(t)
 
 
-@query("g05_best_experiment", scan_sql("SELECT experiment_id, param_label, event_count, rank_metric FROM summary_ WHERE event_count >= 6 ORDER BY rank_metric DESC, event_count DESC, experiment_id LIMIT 1"))
+@query("g05_best_experiment", store=True, sql=scan_sql("SELECT experiment_id, param_label, event_count, rank_metric FROM summary_ WHERE event_count >= 6 ORDER BY rank_metric DESC, event_count DESC, experiment_id LIMIT 1"))
 def _(t):
     return studies.best_experiment(summary(t)).select("experiment_id", "param_label", "event_count", "rank_metric")
 
@@ -166,7 +162,7 @@ def evaluated(t):
     return studies.with_parameters(out, CANDIDATES, grids.parameter_columns("mean_reversion"))
 
 
-@query("g06_evaluate_grid", with_bars(
+@query("g06_evaluate_grid", store=True, sql=with_bars(
     f"SELECT CAST(cid AS INT) AS experiment_id, 'mean_reversion' AS mode, w AS \"window\", k AS num_std, d AS signal_delay, {wide_sql(PERIODS)} FROM res JOIN cand USING (cid) GROUP BY ALL",
     *CAND_CTES, *account_ctes(PERIODS)))
 def _(t):
@@ -191,7 +187,7 @@ def ranked(t):
     return studies.score_candidates(evaluated(t), "combined", HORIZONS, 5, 3, 10, 0.2)
 
 
-@query("g07_score_candidates", with_bars(
+@query("g07_score_candidates", store=True, sql=with_bars(
     "SELECT CAST(cid AS INT) AS experiment_id, w AS \"window\", k AS num_std, rank, pass AS validation_pass, round(score, 4) AS selection_score, round(psc, 4) AS portfolio_selection_score, round(ssc, 4) AS signal_selection_score FROM ranked",
     *CAND_CTES, *account_ctes(PERIODS), SCORE))
 def _(t):
@@ -215,7 +211,7 @@ def renamed(ctes, names, suffix):
 ACCOUNT_NAMES = ["cp", "l1", "l2", "l3", "l4", "l5", "day_", "val", "vr", "m1", "m2", "m3", "m4", "deals", "res"]
 
 
-@query("g08_top_on_test", with_bars(
+@query("g08_top_on_test", store=True, sql=with_bars(
     f"SELECT CAST(cid AS INT) AS experiment_id, any_value(rank) AS rank, {wide_sql({'test': TEST})} FROM res_t JOIN ranked USING (cid) WHERE rank <= 5 GROUP BY 1",
     *CAND_CTES, *account_ctes(PERIODS), SCORE, *renamed(account_ctes({"test": TEST})[3:], ACCOUNT_NAMES, "_t")))
 def _(t):
@@ -226,7 +222,7 @@ def _(t):
 STDS = [1.6, 1.8, 2.0, 2.2]
 
 
-@query("g09_sharpe_heatmap", with_bars(
+@query("g09_sharpe_heatmap", store=True, sql=with_bars(
     "SELECT w AS \"window\", " + ", ".join(f"round(avg(vs) FILTER (k = {s}), 4) AS \"{s}\"" for s in STDS) + " FROM sc GROUP BY 1", *CAND_CTES, *account_ctes(PERIODS), SCORE))
 def _(t):
     wide = studies.sharpe_heatmap(ranked(t), STDS)

@@ -315,7 +315,7 @@ STATS_SQL = """SELECT scenario, count(*) FILTER (status = 'filled' AND action =
   (SELECT CAST(max(n_positions) AS BIGINT) FROM nav) AS max_positions, (SELECT CAST(arg_max(n_positions, date) AS BIGINT) FROM nav) AS final_positions FROM log GROUP BY 1"""
 
 
-@query("b23_trade_statistics", with_bars(STATS_SQL, *STOPS, LOG, NAV))
+@query("b23_trade_statistics", store=True, sql=with_bars(STATS_SQL, *STOPS, LOG, NAV))
 def _(t):
     led = scenario(stops(t))
     out = tr.trade_statistics(tr.trade_log(led, RULES, ("scenario",)), tr.nav(led))

@@ -274,13 +274,15 @@ def fold(
     return df.groupBy(*panel.keys).applyInArrow(run, schema)
 
 
-def greedy_gap(positions: Column, gap: int) -> Column:
-    """From the sorted positions of one series, those at least ``gap`` rows after the last kept one."""
-    start = F.array().cast("array<int>")
+def greedy_gap(items: Column, gap: int, kind: str, field: str | None = None) -> Column:
+    """From the items of one series, those whose position is ``gap`` or more after the last kept one.
+
+    Items are positions, or structs (of SQL type ``kind``) that start with the position ``field``.
+    """
+    at = (lambda x: x[field]) if field else (lambda x: x)
+    far = lambda kept, x: (F.size(kept) == 0) | (at(x) - at(F.try_element_at(kept, F.lit(-1))) >= gap)
     return F.aggregate(
-        F.array_sort(positions),
-        start,
-        lambda kept, x: F.when(
-            (F.size(kept) == 0) | (x - F.element_at(kept, -1) >= gap), F.concat(kept, F.array(x))
-        ).otherwise(kept),
+        F.array_sort(items),
+        F.array().cast(f"array<{kind}>"),
+        lambda kept, x: F.when(far(kept, x), F.concat(kept, F.array(x))).otherwise(kept),
     )

@@ -221,10 +221,13 @@ def event_rows(df: DataFrame, selection: str = "first_in_run", min_gap: int = 0,
 
 
 def min_gap_events(events: DataFrame, min_gap: int, panel: Panel = BARS) -> DataFrame:
-    """Greedy choice by row number; the positions of one series are at most its calendar."""
+    """Greedy choice by row number; the events of one series are at most its calendar."""
     keys = list(panel.keys)
-    kept = events.groupBy(*keys).agg(greedy_gap(F.collect_list("rn"), min_gap).alias("_k")).select(*keys, F.explode("_k").alias("rn"))
-    return events.join(kept, keys + ["rn"], "left_semi")
+    rest = [c for c in events.columns if c not in keys + ["rn"]]
+    row = F.struct("rn", *rest)
+    kind = events.select(row.alias("r")).schema["r"].dataType.simpleString()
+    kept = events.groupBy(*keys).agg(greedy_gap(F.collect_list(row), min_gap, kind, "rn").alias("_k"))
+    return kept.select(*keys, F.explode("_k").alias("_e")).select(*keys, "_e.*").select(*events.columns)
 
 
 def event_windows(events: DataFrame, bars: DataFrame, before: int = 30, after: int = 30, full: bool = True, panel: Panel = BARS, days: Sequence[int] | None = None) -> DataFrame:

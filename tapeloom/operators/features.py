@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.kernels import BARS, Panel, div, lag, roll
 from tapeloom.functions.ranks import average_rank, tie_rank
+from tapeloom.sources.store import through_table
 
 
 def normalize(df: DataFrame, cols: Sequence[str], method: str = "zscore", keys: Sequence[str] = ("date",)) -> DataFrame:
@@ -60,7 +61,9 @@ def information_coefficient(df: DataFrame, factor: str, target: str, method: str
     if method == "spearman":
         a, b = "_ra", "_rb"
         if large:
-            df = average_rank(average_rank(df, factor, a, keys), target, b, keys)
+            # a rank reads its input more than once
+            df = average_rank(through_table(df.select(*keys, factor, target), "ic"), factor, a, keys)
+            df = average_rank(through_table(df, "ic"), target, b, keys)
         else:
             df = df.withColumns({a: tie_rank(F.col(factor), keys), b: tie_rank(F.col(target), keys)})
     # one constant side has no correlation

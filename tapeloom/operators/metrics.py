@@ -93,8 +93,11 @@ def value_at_risk(df: DataFrame, r: str = "returns", keys: tuple[str, ...] = ("s
     return tail
 
 
-def summary(df: DataFrame, value: str = "portfolio_value", keys: tuple[str, ...] = ("scenario",), order: str = "date", benchmark: str | None = None, risk_free: float = 0.03) -> DataFrame:
-    """Total and yearly return, volatility, Sharpe of the yearly return, Calmar, day wins and losses."""
+def summary(df: DataFrame, value: str = "portfolio_value", keys: tuple[str, ...] = ("scenario",), order: str = "date", benchmark: str | None = None, risk_free: float = 0.03, extra: tuple[Column, ...] = ()) -> DataFrame:
+    """Total and yearly return, volatility, Sharpe of the yearly return, Calmar, day wins and losses.
+
+    ``extra`` aggregates are computed in the same pass.
+    """
     df = drawdown(returns(df, value, "_r", keys, order), value, "_dd", keys, order)
     r = F.col("_r")
     aggs = [
@@ -109,7 +112,7 @@ def summary(df: DataFrame, value: str = "portfolio_value", keys: tuple[str, ...]
     if benchmark is not None:
         df = returns(df, benchmark, "_b", keys, order)
         aggs += [tracking_error(r, F.col("_b")).alias("tracking_error"), information_ratio(r, F.col("_b")).alias("information_ratio")]
-    out = df.groupBy(*keys).agg(*aggs)
+    out = df.groupBy(*keys).agg(*aggs, *extra)
     c = F.col
     out = out.withColumn("annual_return", F.when(c("total_return") >= -1, F.pow(1 + c("total_return"), F.lit(float(YEAR)) / c("_n")) - 1))
     return out.withColumns(
@@ -166,4 +169,5 @@ def sleeve_metrics(trades: DataFrame, equity: DataFrame, pnl: str = "pnl", value
     e = e.groupBy(*keys).agg(
         (F.avg("_r") / (F.stddev_pop("_r") + 1e-9) * math.sqrt(YEAR)).alias("sharpe"), F.min("_dd").alias("max_drawdown")
     )
-    return t.join(e, list(keys))
+    both = t.unionByName(e, allowMissingColumns=True)
+    return both.groupBy(*keys).agg(*[F.first(c, ignorenulls=True).alias(c) for c in both.columns if c not in keys])

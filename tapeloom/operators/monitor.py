@@ -136,8 +136,8 @@ def strength_heatmap(rows: DataFrame, days: int = 30) -> DataFrame:
 
 def strength_ranking(rows: DataFrame, days: int = 30) -> DataFrame:
     """The labels of the heat map by strength on the newest date, with the last date each has."""
-    out = rows.groupBy("row_label").agg(
-        F.first("symbol").alias("symbol"), F.first("industry_name").alias("industry_name"), F.max("date").alias("latest_available_date"),
+    out = rows.groupBy("row_label", "symbol", "industry_name").agg(
+        F.max("date").alias("latest_available_date"),
         F.max(F.when(F.col("date_rank") == 1, F.col("strength_pct"))).alias("strength_pct"), F.min("date_rank").alias("_best"),
     )
     out = out.where(F.col("_best") <= days).drop("_best")

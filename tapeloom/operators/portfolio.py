@@ -71,7 +71,7 @@ def rebalance_days(dates: DataFrame, freq: str = "monthly", keys: tuple[str, ...
         return d.withColumn("_go", F.coalesce(change, F.lit(True))).where("_go").drop("_go")
     days = d.groupBy(*keys).agg(F.collect_list(F.unix_date("date")).alias("_days"))
     if freq == "weekly":
-        kept = greedy_gap(F.col("_days"), 7)
+        kept = greedy_gap(F.col("_days"), 7, "int")
     elif freq == "quarterly":
 
         def quarters(x, last):

@@ -71,17 +71,17 @@ def market_regime(df: DataFrame, rows: int = 60, panel: Panel = BARS) -> DataFra
 
 def sector_analysis(df: DataFrame, market: str, rows: int = 60, panel: Panel = BARS) -> DataFrame:
     """Regime of every symbol, with its return less that of the market over the days both have."""
-    key, o = panel.keys[0], panel.order
-    recent = df.withColumns({"_back": F.row_number().over(panel.desc), "_n": F.count(F.lit(1)).over(panel.whole)}).where(F.col("_back") <= rows)
-    # at most ``rows`` closes per symbol
-    tail = recent.groupBy(key).agg(
-        F.least(F.max("_n"), F.lit(rows)).cast("int").alias("_days"), F.max_by("close", o).alias("_last"),
-        F.map_from_entries(F.collect_list(F.struct("_back", "close"))).alias("_closes"),
-    )
-    index = tail.where(F.col(key) == market).select(
-        F.lit(market).alias("_index"), F.col("_days").alias("_mdays"), F.col("_last").alias("_mlast"), F.col("_closes").alias("_mcloses"))
-    both = tail.withColumn("_index", F.lit(market)).join(index, "_index", "left").withColumn("_d", F.least("_days", "_mdays"))
-    own = div("_last", F.element_at("_closes", F.col("_d"))) - 1
-    theirs = div("_mlast", F.element_at("_mcloses", F.col("_d"))) - 1
-    relative = F.when(F.col("_mlast").isNull(), 0.0).otherwise(own - theirs)
-    return market_regime(df, rows, panel).join(both.select(key, relative.alias("relative_performance")), key)
+    key, c = panel.keys[0], F.col
+    recent = df.withColumns(
+        {
+            "_back": F.row_number().over(panel.desc),
+            "_days": F.least(F.count(F.lit(1)).over(panel.whole), F.lit(rows)),
+            "_last": F.first("close").over(panel.from_end),
+        }
+    ).where(c("_back") <= rows).select(key, "_back", "_days", "_last", "close")
+    # rows of equal distance from the end meet; the one that both series still have counts
+    index = recent.where(c(key) == market).select("_back", *[c(x).alias(f"_m{x}") for x in ("_days", "_last", "close")])
+    both = recent.join(index, "_back").where(c("_back") == F.least("_days", "_m_days"))
+    relative = div("_last", "close") - div("_m_last", "_mclose")
+    both = both.select(key, relative.alias("relative_performance"))
+    return market_regime(df, rows, panel).join(both, key, "left").fillna(0.0, ["relative_performance"])

@@ -474,7 +474,9 @@ def trade_statistics(trades: DataFrame, values: DataFrame, scenario: tuple[str,
     v = values.groupBy(*keys).agg(
         F.max("n_positions").alias("max_positions"), F.max_by("n_positions", "date").alias("final_positions")
     )
-    return t.join(v, keys)
+    # one row per scenario on each side
+    both = t.unionByName(v, allowMissingColumns=True)
+    return both.groupBy(*keys).agg(*[F.first(c, ignorenulls=True).alias(c) for c in both.columns if c not in keys])
 
 
 def pooled_expectancy(stats: DataFrame, trades: str = "total_trades", win_rate: str = "win_rate", expectancy: str = "expectancy") -> DataFrame:
@@ -496,10 +498,8 @@ def period_summary(values: DataFrame, trades: DataFrame, initial_capital: float,
     from tapeloom.operators.metrics import summary
 
     c = F.col
-    stats = summary(values, "portfolio_value", keys).drop("win_rate")
-    last = values.groupBy(*keys).agg(
-        F.max_by("portfolio_value", "date").alias("final_portfolio_value"), F.max_by("n_positions", "date").alias("final_position_count")
-    )
+    last = (F.max_by("portfolio_value", "date").alias("final_portfolio_value"), F.max_by("n_positions", "date").alias("final_position_count"))
+    stats = summary(values, "portfolio_value", keys, extra=last).drop("win_rate")
     sold = c("action") == "sell"
     bought = (c("action") == "buy") if count_rejected else (c("action") == "buy") & (c("status") == "filled")
     t = trades.groupBy(*keys).agg(
@@ -508,5 +508,5 @@ def period_summary(values: DataFrame, trades: DataFrame, initial_capital: float,
         div(F.count_if(sold & (c("profit") > 0)), F.count_if(sold)).alias("win_rate"),
         F.avg(F.when(sold, c("profit_pct"))).alias("avg_profit_pct"),
     )
-    out = stats.join(last, list(keys)).join(t, list(keys), "left").fillna(initial_capital, ["final_portfolio_value"])
+    out = stats.join(t, list(keys), "left").fillna(initial_capital, ["final_portfolio_value"])
     return out.fillna(0, ["win_rate", "buy_trade_count", "sell_trade_count", "avg_profit_pct"])

@@ -14,6 +14,7 @@ from tapeloom.operators import indicators as ind
 from tapeloom.operators import trades as tr
 from tapeloom.operators.signals import min_rows_needed
 from tapeloom.plans.grids import attach_grid
+from tapeloom.sources.store import through_table
 
 # ---- event studies ------------------------------------------------------------------------------
 
@@ -66,23 +67,36 @@ def event_study(bars: DataFrame, name: str, sets: Sequence[Mapping], before: int
     }
 
 
-def experiment_summary(study: Mapping[str, DataFrame], sets: Sequence[Mapping], rank_by: int = 20, horizons: Sequence[int] = ev.FORWARD_HORIZONS) -> DataFrame:
-    """One row per parameter set: counts, the figures of every horizon, the rank metric, parameters as JSON."""
-    labels = [{"experiment_id": s["experiment_id"], "param_label": s["param_label"],
-               "params_json": json.dumps({k: v for k, v in s.items() if k not in ("experiment_id", "param_label")}, ensure_ascii=False, sort_keys=True)} for s in sets]
-    key = "experiment_id"
-    per_symbol = study["counts"].groupBy(key).agg(
-        F.sum("event_count").alias("event_count"), F.count(F.lit(1)).alias("symbol_count"), F.avg("event_count").alias("avg_events_per_symbol"))
-    skipped = study["skips"].groupBy(key).agg(F.count(F.lit(1)).alias("skip_symbol_count"))
-    figures = ["mean_return", "median_return", "win_rate", "sample_count"]
-    wide = study["forward"].groupBy(key).pivot("horizon", list(horizons)).agg(*[F.first(f).alias(f) for f in figures])
-    wide = wide.select(key, *[F.col(f"{h}_{f}").alias(f"{f}_{h}d") for h in horizons for f in figures])
-    spark = per_symbol.sparkSession
-    out = spark.createDataFrame([tuple(r.values()) for r in labels], "experiment_id int, param_label string, params_json string")
-    for part in (per_symbol, skipped, wide):
-        out = out.join(part, key, "left")
-    counts = ["event_count", "symbol_count", "skip_symbol_count", "avg_events_per_symbol", *[f"sample_count_{h}d" for h in horizons]]
-    return out.fillna(0, counts).withColumn("rank_metric", F.col(f"mean_return_{rank_by}d"))
+def experiment_summary(bars: DataFrame, name: str, sets: Sequence[Mapping], rank_by: int = 20, before: int = 30, after: int = 30, min_gap: int = 20, selection: str = "first_in_run", full: bool = True, horizons: Sequence[int] = ev.FORWARD_HORIZONS, panel: Panel = BARS) -> DataFrame:
+    """One row per parameter set: counts, the figures of every horizon, the rank metric, parameters as JSON.
+
+    The later closes ride along from the bars, so all figures come from one pass over the events.
+    """
+    key, symbol = "experiment_id", F.concat_ws("\x1f", *panel.keys)
+    labels = [{key: s[key], "param_label": s["param_label"],
+               "params_json": json.dumps({k: v for k, v in s.items() if k not in (key, "param_label")}, ensure_ascii=False, sort_keys=True)} for s in sets]
+    ahead = bars.withColumns({f"fwd_{h}": div(F.lead("close", h).over(panel.w), "close") - 1 for h in horizons})
+    events = ev.event_rows(scan_conditions(ahead, name, sets, panel), selection, min_gap, panel.by(key))
+    whole = F.col("close") > 0
+    if full:
+        whole = whole & (F.col("rn") - before >= 1) & (F.col("rn") + after <= F.col("rows"))
+    events = events.withColumns({"_whole": whole, **{f"fwd_{h}": F.when(whole, F.col(f"fwd_{h}")) for h in horizons}})
+    aggs = [F.count_if("_whole").alias("event_count"), F.count_distinct(F.when(F.col("_whole"), symbol)).alias("symbol_count"), F.count_distinct(symbol).alias("_seen")]
+    for h in horizons:
+        r = F.col(f"fwd_{h}")
+        aggs += [F.avg(r).alias(f"mean_return_{h}d"), F.percentile(r, F.lit(0.5)).alias(f"median_return_{h}d"),
+                 F.avg((r > 0).cast("double")).alias(f"win_rate_{h}d"), F.count(r).alias(f"sample_count_{h}d")]
+    figures = events.groupBy(key).agg(*aggs)
+    out = attach_grid(bars.agg(F.count_distinct(symbol).alias("_symbols")), labels).join(figures, key, "left")
+    counts = ["event_count", "symbol_count", "_seen", *[f"sample_count_{h}d" for h in horizons]]
+    out = out.fillna(0, counts).withColumns(
+        {
+            "skip_symbol_count": F.col("_symbols") - F.col("_seen"),
+            "avg_events_per_symbol": F.coalesce(div("event_count", "symbol_count"), F.lit(0.0)),
+            "rank_metric": F.col(f"mean_return_{rank_by}d"),
+        }
+    )
+    return out.drop("_symbols", "_seen")
 
 
 def rank_experiments(summary: DataFrame) -> DataFrame:
@@ -272,7 +286,8 @@ def score_candidates(frame: DataFrame, evaluation_mode: str = "combined", horizo
 
 def evaluate_top(bars: DataFrame, candidates: Sequence[Mapping], ranked: DataFrame, top_k: int, period: tuple[str, str], rules: tr.Rules, **kw) -> DataFrame:
     """The best k of a ranking, run again on the test period."""
-    top = ranked.where(F.col("rank") <= top_k).select("experiment_id", "rank", "selection_score")
+    # the ranking is a result of its own; the test run reads it twice
+    top = through_table(ranked.where(F.col("rank") <= top_k).select("experiment_id", "rank", "selection_score"), "ranking")
     test = evaluate_candidates(bars, candidates, {"test": period}, rules, only=top, **kw)
     return top.join(test, "experiment_id")
 

@@ -68,10 +68,13 @@ def hourly_bars(events: DataFrame) -> DataFrame:
 
 
 def fundamentals(parts: DataFrame) -> DataFrame:
-    """One row per brand: the industry of its newest part, the mean retail price as its cap."""
-    return parts.groupBy(F.col("p_brand").alias("symbol")).agg(
-        F.max_by("p_type", "p_partkey").alias("industry"), F.max("p_retailprice").alias("cap")
-    )
+    """One row per brand: the industry of its newest part, the highest retail price as its cap.
+
+    Parts are first folded to one row per brand and type, so that only numbers are aggregated over
+    the large table and it stays on the hash path.
+    """
+    by_type = parts.groupBy(F.col("p_brand").alias("symbol"), "p_type").agg(F.max("p_partkey").alias("newest"), F.max("p_retailprice").alias("price"))
+    return by_type.groupBy("symbol").agg(F.max_by("p_type", "newest").alias("industry"), F.max("price").alias("cap"))
 
 
 def daily_basics(trades: DataFrame, parts: DataFrame) -> DataFrame:
