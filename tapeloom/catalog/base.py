@@ -63,8 +63,8 @@ def query(name: str, sql: str | None = None, store: bool = False):
 
 BARS_SQL = """bars AS (
   SELECT p.p_brand AS symbol, CAST(l.l_shipdate AS DATE) AS date,
-         arg_min(l.l_extendedprice / l.l_quantity, ROW(l.l_orderkey, l.l_linenumber, l.l_extendedprice, l.l_quantity)) AS open,
-         arg_max(l.l_extendedprice / l.l_quantity, ROW(l.l_orderkey, l.l_linenumber, l.l_extendedprice, l.l_quantity)) AS close,
+         arg_min(l.l_extendedprice / l.l_quantity, ROW(l.l_orderkey, l.l_linenumber, (CAST(round(l.l_extendedprice * 100) AS BIGINT) * 50 + CAST(l.l_quantity AS BIGINT)) % 1048576)) AS open,
+         arg_max(l.l_extendedprice / l.l_quantity, ROW(l.l_orderkey, l.l_linenumber, (CAST(round(l.l_extendedprice * 100) AS BIGINT) * 50 + CAST(l.l_quantity AS BIGINT)) % 1048576)) AS close,
          max(l.l_extendedprice / l.l_quantity) AS high, min(l.l_extendedprice / l.l_quantity) AS low,
          sum(l.l_quantity) AS volume, sum(l.l_extendedprice) AS amount
   FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY 1, 2)"""

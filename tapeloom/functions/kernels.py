@@ -89,6 +89,19 @@ def roll(
     return F.when(F.count(x).over(frame) >= need, fn(x).over(frame))
 
 
+def rolling_quantile(
+    df: DataFrame, out: str, x: str, n: int, q: float, min_periods: int | Column | None = None, panel: Panel = BARS
+) -> DataFrame:
+    """Linear quantile of the last n values; sorting n numbers is cheaper than a percentile aggregate per row."""
+    keep = [c for c in df.columns if c != out]
+    df = df.withColumn("_win", F.sort_array(F.collect_list(x).over(panel.trailing(n))))
+    df = df.withColumns({"_cnt": F.size("_win"), "_at": (F.size("_win") - 1) * F.lit(float(q))})
+    df = df.withColumns({"_lo": F.get("_win", F.floor("_at").cast("int")), "_hi": F.get("_win", F.ceil("_at").cast("int"))})
+    value = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_at") - F.floor("_at"))
+    need = F.lit(n) if min_periods is None else min_periods if isinstance(min_periods, Column) else F.lit(min_periods)
+    return df.withColumn("_qv", F.when((F.col("_cnt") >= need) & (F.col("_cnt") > 0), value)).select(*keep, F.col("_qv").alias(out))
+
+
 def lag(x: Column | str, n: int = 1, panel: Panel = BARS) -> Column:
     return F.lag(col(x), n).over(panel.w)
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.functions.kernels import BARS, Panel, div, flag, greedy_gap, lag, roll, row_no
+from tapeloom.functions.kernels import BARS, Panel, div, flag, greedy_gap, lag, roll, rolling_quantile, row_no
 from tapeloom.operators import indicators as ind
 from tapeloom.operators.signals import require_columns
 
@@ -88,6 +88,10 @@ def squeeze_inputs(df: DataFrame, p: Mapping, panel: Panel = BARS) -> DataFrame:
     df = _gate_inputs(df, p, panel).withColumns(
         {"middle_band": roll(F.avg, "close", n, panel=panel), "_sd": roll(F.stddev_samp, "close", n, panel=panel)}
     )
+    if p.get("squeeze_threshold") is None:
+        # bands are num_std deviations wide, so the quantile of one deviation serves every num_std
+        df = df.withColumn("_narrow", div("_sd", "middle_band"))
+        df = rolling_quantile(df, "_quantile", "_narrow", int(p["squeeze_lookback"]), float(p["squeeze_quantile"]), max(n, 5), panel)
     if p.get("use_supertrend_filter"):
         require_columns(df, ["high", "low", "close"])
         df = ind.supertrend(df, int(p["supertrend_atr_period"]), float(p["supertrend_multiplier"]), panel).drop("supertrend")
@@ -106,11 +110,11 @@ def squeeze_decide(df: DataFrame, p: Mapping, panel: Panel = BARS, row_params: S
     df = df.withColumns({"upper_band": c("middle_band") + num_std * c("_sd"), "lower_band": c("middle_band") - num_std * c("_sd")})
     df = df.withColumn("bandwidth", div(c("upper_band") - c("lower_band"), "middle_band"))
     if p.get("squeeze_threshold") is None and "squeeze_threshold" not in row_params:
-        quantile = F.lit(float(p["squeeze_quantile"]))
-        limit = roll(lambda x: F.percentile(x, quantile), "bandwidth", int(p["squeeze_lookback"]), max(int(p["window"]), 5), panel)
+        limit, narrow = 2 * num_std * c("_quantile"), c("_narrow") <= c("_quantile")
     else:
         limit = _setting(p, "squeeze_threshold", row_params)
-    df = df.withColumn("condition_threshold", limit).withColumn("squeeze_condition", flag(c("bandwidth") <= c("condition_threshold")))
+        narrow = c("bandwidth") <= limit
+    df = df.withColumns({"condition_threshold": limit, "squeeze_condition": flag(narrow)})
     yes = F.lit(True)
     gates = _gates(p, row_params) | {"band_expansion_confirmation": yes, "supertrend_long_confirmation": yes, "supertrend_short_confirmation": yes}
     if p.get("use_band_expansion_filter"):

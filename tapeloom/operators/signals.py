@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions.kernels import (
-    BARS, Panel, crosses_down, crosses_up, ewm, flag, fold, lag, latch, reset_latch, roll, row_no, span,
+    BARS, Panel, crosses_down, crosses_up, ewm, flag, fold, lag, latch, reset_latch, roll, rolling_quantile, row_no, span,
 )
 from tapeloom.operators import indicators as ind
 
@@ -268,12 +268,10 @@ def squeeze_columns(
 ) -> DataFrame:
     """Adds the bands, bandwidth, its threshold (fixed, or a rolling quantile) and the squeeze flag."""
     df = ind.bandwidth(df, x, window, num_std, panel)
-    limit = (
-        roll(lambda c: F.percentile(c, F.lit(quantile)), "bandwidth", lookback, max(window, 5), panel)
-        if threshold is None
-        else F.lit(float(threshold))
-    )
-    df = df.withColumn("condition_threshold", limit)
+    if threshold is None:
+        df = rolling_quantile(df, "condition_threshold", "bandwidth", lookback, quantile, max(window, 5), panel)
+    else:
+        df = df.withColumn("condition_threshold", F.lit(float(threshold)))
     return df.withColumn("squeeze_condition", flag(F.col("bandwidth") <= F.col("condition_threshold")))
 
 

@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.functions.kernels import BARS, Panel, crosses_down, crosses_up, div, flag, lag, reset_latch, roll
+from tapeloom.functions.kernels import BARS, Panel, crosses_down, crosses_up, div, flag, lag, reset_latch, roll, rolling_quantile
 from tapeloom.operators import events as ev
 from tapeloom.operators import indicators as ind
 from tapeloom.operators import trades as tr
@@ -144,6 +144,12 @@ def candidate_signals(bars: DataFrame, candidates: Sequence[Mapping], keep: Sequ
     if gated:
         second |= {f"_pt{w}": lag(f"_t{w}", slope, panel) for w in trends}
     df = df.withColumns(second)
+    qs = values("squeeze_quantile", 0.1) if mode == "squeeze" else []
+    for w in windows if qs else []:
+        # the quantile of one deviation serves every band width
+        df = df.withColumn(f"_b{w}", div(f"_s{w}", f"_m{w}"))
+        for i, q in enumerate(qs):
+            df = rolling_quantile(df, f"_q{w}_{i}", f"_b{w}", candidates[0]["squeeze_lookback"], q, max(w, 5), panel)
     names = ["window", "num_std", "signal_delay", "use_trend_filter", "trend_window", "use_volume_filter", "volume_window",
              "volume_multiplier", "use_supertrend_filter", "squeeze_quantile", "confirm_bars"]
     grid = []
@@ -178,12 +184,8 @@ def candidate_signals(bars: DataFrame, candidates: Sequence[Mapping], keep: Sequ
         enter_long, enter_short = crosses_up(price, c("_lo"), prev, c("_plo")), crosses_down(price, c("_up"), prev, c("_pup"))
         leave_long, leave_short = mid_up, mid_down
     elif mode == "squeeze":
-        look = candidates[0]["squeeze_lookback"]
-        qs = values("squeeze_quantile", 0.1)
-        frame = by.trailing(look)
-        df = df.withColumn("_bw", div(c("_up") - c("_lo"), "_m")).withColumn(
-            "_q", F.when(F.count("_bw").over(frame) >= F.greatest(c("window"), F.lit(5)), F.percentile("_bw", F.array(*map(F.lit, qs))).over(frame)))
-        df = df.withColumn("_thr", _pick("squeeze_quantile", {q: c("_q")[i] for i, q in enumerate(qs)}))
+        limit = _pick("squeeze_quantile", {q: _pick("window", {w: f"_q{w}_{i}" for w in windows}) for i, q in enumerate(qs)})
+        df = df.withColumns({"_bw": _pick("window", {w: f"_b{w}" for w in windows}), "_thr": limit})
         df = df.withColumns({"_sq": flag(c("_bw") <= c("_thr")), "_ready": ready & c("_thr").isNotNull()})
         df = df.withColumn("_was", flag(F.last(F.when(c("_ready"), c("_sq")), ignorenulls=True).over(by.before)))
         fresh = c("_was") & ~c("_sq")
