@@ -45,14 +45,28 @@ def normalize_text(value: Column | str) -> Column:
     return F.when(s.isNull() | _is_null_word(s), "").otherwise(s)
 
 
-# fixed values: date layouts that are tried in order
-DATE_FORMATS = ("yyyy-MM-dd", "yyyyMMdd", "yyyy/MM/dd", "yyyy.MM.dd", "yyyy-M-d", "yyyy/M/d", "yyyy-MM-dd HH:mm:ss")
+# fixed values: date layouts, each with the text pattern that tells it apart
+DATE_LAYOUTS = {
+    r"^\d{4}-\d{1,2}-\d{1,2}$": "yyyy-M-d",
+    r"^\d{8}$": "yyyyMMdd",
+    r"^\d{4}/\d{1,2}/\d{1,2}$": "yyyy/M/d",
+    r"^\d{4}\.\d{1,2}\.\d{1,2}$": "yyyy.M.d",
+    r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}$": "yyyy-M-d H:m:s",
+}
 
 
 def parse_date(value: Column | str) -> Column:
-    """A date from one of the known layouts, else null."""
+    """A date from one of the known layouts, else null.
+
+    The pattern picks the layout first: trying layouts until one fits would raise and catch an
+    error inside the parser for every miss.
+    """
     s = F.trim(col(value).cast("string"))
-    return F.coalesce(*[F.to_date(F.try_to_timestamp(s, F.lit(f))) for f in DATE_FORMATS])
+    case = None
+    for pattern, layout in DATE_LAYOUTS.items():
+        day = F.to_date(F.try_to_timestamp(s, F.lit(layout)))
+        case = F.when(s.rlike(pattern), day) if case is None else case.when(s.rlike(pattern), day)
+    return case
 
 
 def compact_date(value: Column | str, strict: bool = True) -> Column:
