@@ -20,7 +20,7 @@ def L(x, n=1):
 
 
 def latch_cte(name, src, event, out="signal"):
-    return f"{name} AS (SELECT *, coalesce(last_value(ev IGNORE NULLS) {SOFAR}, 0) AS {out} FROM (SELECT *, {event} AS ev FROM {src}))"
+    return f"{name} AS (SELECT * EXCLUDE (ev), coalesce(last_value(ev IGNORE NULLS) {SOFAR}, 0) AS {out} FROM (SELECT *, {event} AS ev FROM {src}))"
 
 
 # ---- moving averages
@@ -268,7 +268,7 @@ def _(t):
 
 
 T21 = (*T01, *gate_ctes("t01", "g", (60, 3), (20, 1.2)),
-       "ge AS (SELECT * EXCLUDE (signal, ev), CASE WHEN signal = 0 THEN 0 WHEN signal > 0 AND okl AND okv THEN 1 WHEN signal < 0 AND oks AND okv THEN -1 END AS ev2 FROM g)",
+       "ge AS (SELECT * EXCLUDE (signal), CASE WHEN signal = 0 THEN 0 WHEN signal > 0 AND okl AND okv THEN 1 WHEN signal < 0 AND oks AND okv THEN -1 END AS ev2 FROM g)",
        latch_cte("t21", "ge", "ev2"))
 
 

@@ -6,12 +6,14 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tapeloom.catalog.base import HOURLY_SQL, SOFAR, W, machine_cte, query, sroll, with_bars
+from tapeloom.catalog.base import HOURLY_SQL, PART, SOFAR, W, ema_cte, machine_cte, query, sroll, with_bars
 from tapeloom.catalog.events import SOFT, condition_ctes, soft
 from tapeloom.catalog.features import FACTOR_CTES
-from tapeloom.catalog.indicators import KEY, MACD_CTES, r4
+from tapeloom.catalog.indicators import KEY, MACD_CTES, MFI_CTES, OBV, r4, rsrs_ctes
 from tapeloom.catalog.monitor import MON, MON_OUT, SNAPSHOT, shown, universe
-from tapeloom.catalog.signals import MA, T01, T03, gate_ctes, latch_cte, macd_latch
+from tapeloom.catalog.signals import (
+    BRK_DOWN, BRK_UP, MA, MID_DOWN, MID_UP, READY, T01, T03, bb_ctes, gate_ctes, latch_cte, macd_latch, run_cte,
+)
 from tapeloom.functions.kernels import crosses_down, crosses_up, lag, roll
 from tapeloom.operators import events as ev
 from tapeloom.plans import registry as rg
@@ -144,7 +146,46 @@ def _(t):
     return rg.run_strategies(t.bars, ["ma_cross", "rsi", "macd"], threshold=0.3).select(*KEY, "signal")
 
 
-@query("d04b_all_presets")
+def filtered_ctes(src, out, trend=None, volume=None):
+    """The common filters behind a raw signal: gates, allowed transitions, latch."""
+    return (*gate_ctes(src, f"{out}_g0", trend, volume),
+            f"{out}_e AS (SELECT * EXCLUDE (signal), CASE WHEN signal = 0 THEN 0 WHEN signal > 0 AND okl AND okv THEN 1 WHEN signal < 0 AND oks AND okv THEN -1 END AS ev3 FROM {out}_g0)",
+            latch_cte(out, f"{out}_e", "ev3"))
+
+
+def renamed_bands(ctes, suffix):
+    """Bands under their own names, for a second set of them in one statement."""
+    return [c.replace("bb_a", f"bb_a{suffix}").replace("bb_b", f"bb_b{suffix}").replace("bb AS", f"bb{suffix} AS").replace("FROM bb)", f"FROM bb{suffix})") for c in ctes]
+
+
+VZ20 = f"vz AS (SELECT *, (volume - ({sroll('avg', 'volume', 20)})) / nullif({sroll('stddev_samp', 'volume', 20)}, 0) AS z FROM bars)"
+SQ30 = (*renamed_bands(bb_ctes(30), "30"), "s30a AS (SELECT *, (up - lo) / nullif(mid, 0) AS bw FROM bb30)",
+        f"s30b AS (SELECT *, {sroll('quantile_cont({}, 0.05)', 'bw', 60, 30)} AS thr FROM s30a)",
+        f"s30 AS (SELECT *, coalesce(bw <= thr, FALSE) AS sqz, {READY} AND thr IS NOT NULL AS ready FROM s30b)",
+        f"s30w AS (SELECT *, coalesce(last_value(CASE WHEN ready THEN sqz END IGNORE NULLS) OVER ({PART} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AND NOT sqz AS first_out FROM s30)")
+RSRS_UP = (*rsrs_ctes(20, 12, 90, 30), "rs_ev AS (SELECT *, CASE WHEN rsrs_score >= 1.0 THEN 1 WHEN rsrs_score <= 0 THEN 0 END AS up_ev FROM rsrs_t)",
+           latch_cte("rs_raw", "rs_ev", "up_ev"))
+ALL_PRESETS = (
+    *PRESETS, f"rp AS (SELECT *, lag(rsi) {W} AS p FROM rsi)",
+    machine_cte("t04", "rp", "rsi > 30 AND p <= 30", "rsi < 70 AND p >= 70", "rsi < 50 AND p >= 50", "rsi > 50 AND p <= 50", "rsi IS NOT NULL AND p IS NOT NULL"),
+    macd_latch("t07", "macd_hist", "0"), *bb_ctes(),
+    machine_cte("k1", "bb", BRK_UP, BRK_DOWN, MID_DOWN, MID_UP, READY), *filtered_ctes("k1", "k1f", (60, 3), (20, 1.2)),
+    machine_cte("k2", "bb", "pc <= plo AND close > lo", "pc >= pup AND close < up", MID_UP, MID_DOWN, READY),
+    *SQ30, machine_cte("k3", "s30w", f"first_out AND {BRK_UP}", f"first_out AND {BRK_DOWN}", MID_DOWN, MID_UP, "ready"), *filtered_ctes("k3", "k3f", (60, 3), (60, 2)),
+    *run_cte("bb", "br", 2), machine_cte("k4", "br", "ru", "rl", MID_DOWN, MID_UP, READY), *filtered_ctes("k4", "k4f", (60, 3), (20, 1.2)),
+    *RSRS_UP, *filtered_ctes("rs_raw", "k5f", (20, 3), (20, 2.0)),
+    VZ20, ema_cte("ve", "vz", "close", "(2.0::DOUBLE/51)", "e"), "k6 AS (SELECT *, CASE WHEN z > 2 AND close < e THEN -1 WHEN z > 2 AND close > e THEN 1 ELSE 0 END AS signal FROM ve)",
+    OBV, f"k7 AS (SELECT *, CASE WHEN sl > 0 AND ab THEN 1 WHEN sl < 0 AND NOT ab THEN -1 ELSE 0 END AS signal FROM (SELECT *, obv - lag(obv) {W} AS sl, coalesce(close > ({sroll('avg', 'close', 20)}), FALSE) AS ab FROM obvt))",
+    *MFI_CTES, ema_cte("me", "mfit", "close", "(2.0::DOUBLE/51)", "e"),
+    f"k8 AS (SELECT *, CASE WHEN p > 80 AND mfi < 80 AND close < e THEN -1 WHEN p < 20 AND mfi > 20 AND close > e THEN 1 ELSE 0 END AS signal FROM (SELECT *, lag(mfi) {W} AS p FROM me))",
+    f"""k9 AS (SELECT *, CASE WHEN close >= ph AND volume < lag(vh) {W} THEN -1 WHEN close <= pl AND volume > lag(vl) {W} THEN 1 ELSE 0 END AS signal FROM
+  (SELECT *, {sroll('max', 'close', 20)} AS ph, {sroll('min', 'close', 20)} AS pl, {sroll('max', 'volume', 20)} AS vh, {sroll('min', 'volume', 20)} AS vl FROM bars))""")
+PRESET_CTE = {"ma_cross": "p1f", "rsi": "t03", "rsi_cross": "t04", "macd": "p3", "macd_histogram": "t07", "bollinger_breakout": "k1f", "bollinger_mean_reversion": "k2",
+              "bollinger_squeeze": "k3f", "bollinger_double": "k4f", "rsrs": "k5f", "volume_breakout": "k6", "obv": "k7", "mfi": "k8", "volume_price_divergence": "k9"}
+
+
+@query("d04b_all_presets", with_bars(" UNION ALL ".join(
+    f"SELECT '{n}' AS strategy, symbol, count(*) FILTER (signal = 1) AS long_days, count(*) FILTER (signal = -1) AS short_days FROM {c} GROUP BY symbol" for n, c in PRESET_CTE.items()), *ALL_PRESETS))
 def _(t):
     df = t.bars
     for name in rg.TIMING_PRESETS:
