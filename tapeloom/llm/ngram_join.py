@@ -225,3 +225,16 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> Dat
     rows = stored(rows.select("doc_id", "n_shingles", "root"), "rows")
     least = rows.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     return rows.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stand for their group.
+
+    That is the row with the group's smallest doc_id; of rows that repeat it, the one whose text hashes lowest. Of groups whose rows
+    have no doc_id at all, each row stays, and so does every row without words.
+    """
+    groups = near_duplicate_groups(docs, k, percent)
+    gone = groups.where("n_shingles > 0 and component_id is not null and (doc_id is null or doc_id <> component_id)").select("doc_id").distinct()
+    gone = stored(gone, "gone").select(F.col("doc_id").alias("gone_id"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("tie"))
+    return rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")), "left_anti").select("row.*")
