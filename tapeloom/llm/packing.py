@@ -12,12 +12,11 @@ Null texts are empty: their one piece holds the end mark alone. Each row is pack
 from __future__ import annotations
 
 import bisect
-import unicodedata
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,56 +25,65 @@ from tapeloom.llm.base import mapped, stored
 ROOM = 2048
 #: Pieces to a block, on average.
 BLOCK = 8192
-#: Words whose ids a task keeps at a time.
-KEPT_WORDS = 400_000
-# fixed values: how the word vocabulary of the public tokenizers cuts a text
-_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Characters for which cutting into words first is known to give the same ids; other texts go to the tokenizer whole.
-_PLAIN = regex.compile(r"[\t\n\r\x20-\x7E¡-¬®-ɏ]*")
-
-
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
+#: Words, and runs between spaces, whose ids a task keeps at a time.
+KEPT = 600_000
+#: Texts of these characters are cut at spaces first, which is known to give the same ids; others go to the tokenizer whole.
+_PLAIN = re.compile(r"[\t\n\r\x20-\x7E¡-¬®-ɏ]*")
+# fixed values: how the word vocabulary of the public tokenizers cuts a text of these characters, in lower case
+_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºÀ-ÖØ-öø-ɏ]+|[0-9²³¹¼-¾]|[^\sa-z0-9ªµºÀ-ÖØ-öø-ɏ²³¹¼-¾]+")
 
 
 class WordIds:
-    """Ids of texts through the ids of their words, each word encoded once."""
+    """Ids of texts through the ids of what stands between spaces, each encoded once, word by word."""
+
+    def __init__(self, path: str, kept: int = KEPT):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-    def __init__(self, path: str, kept: int = KEPT_WORDS):
-        self.tokenizer, self.kept, self.known = _tokenizer(path), kept, {}
+        self.tokenizer, self.words_only = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # for words that are cut and in lower case already
+        self.words_only.normalizer = normalizers.Sequence([])
+        self.words_only.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.kept, self.known, self.words = kept, {}, {}
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > self.kept:
-            self.known.clear()
-        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        ids, owner = np.array(found.ids, "<u4"), np.array([-1 if w is None else w for w in found.word_ids], np.int64)
-        if len(ids) and owner.max() + 1 == len(words) and (np.diff(owner) >= 0).all():
-            cuts = np.searchsorted(owner, np.arange(len(words) + 1))
-            data = ids.tobytes()
-            for w, a, b in zip(words, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                self.known[w] = data[4 * a:4 * b]
-        else:
-            for w in words:
-                self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+        found = self.words_only.encode(" ".join(words), add_special_tokens=False)
+        cuts = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(words) + 1)).tolist()
+        data = np.array(found.ids, "<u4").tobytes()
+        for w, a, b in zip(words, cuts[:-1], cuts[1:], strict=True):
+            self.words[w] = data[4 * a:4 * b]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as unsigned 32-bit numbers."""
-        cut = []
-        for t in texts:
-            plain = _PLAIN.fullmatch(t) is not None and "<|" not in t and unicodedata.is_normalized("NFC", t)
-            cut.append(_WORD.findall(t.lower()) if plain else None)
-        new = {w for words in cut if words for w in words if w not in self.known}
-        if len(self.known) + len(new) > self.kept:
+        if len(self.known) > self.kept or len(self.words) > self.kept:
             self.known.clear()
-            new = {w for words in cut if words for w in words}
-        new = sorted(new)
-        for i in range(0, len(new), 5000):
-            self._learn(new[i:i + 5000])
-        get = self.known.__getitem__
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if words is None else b"".join(map(get, words))
-                for t, words in zip(texts, cut, strict=True)]
+            self.words.clear()
+        known, out, open_texts, new = self.known, [], [], {}
+        for t in texts:
+            if not _PLAIN.fullmatch(t) or "<|" in t:
+                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
+                continue
+            runs = t.lower().split()
+            parts = list(map(known.get, runs))  # one look-up for each run: the dictionary is too large for the processor's cache
+            if None in parts:
+                missing = [i for i, p in enumerate(parts) if p is None]
+                new.update((runs[i], None) for i in missing)
+                open_texts.append((len(out), runs, parts, missing))
+                out.append(b"")
+            else:
+                out.append(b"".join(parts))
+        cut = [_WORD.findall(run) for run in new]
+        words = sorted({w for ws in cut for w in ws if w not in self.words})
+        for i in range(0, len(words), 200):
+            self._learn(words[i:i + 200])
+        get = self.words.__getitem__
+        for run, ws in zip(new, cut, strict=True):
+            new[run] = b"".join(map(get, ws))
+        known.update(new)
+        for at, runs, parts, missing in open_texts:
+            for i in missing:
+                parts[i] = new[runs[i]]
+            out[at] = b"".join(parts)
+        return out
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, room: int = ROOM, end_id: int = 0) -> DataFrame:
