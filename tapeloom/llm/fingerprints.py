@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.llm.base import stored
 
-SAMPLES = 16
+SAMPLES = 24
 #: Documents to a block, on average.
 BLOCK = 256
 INTERVALS = 64
@@ -80,7 +80,8 @@ def _block_of(docs: DataFrame):
     cells = max(1, n // (INTERVALS * BLOCK))
     widths = [max(1, -(-(b - a) // cells)) for a, b in zip(bounds, [*bounds[1:], bounds[-1] + 1], strict=True)]
     low, width = F.array(*map(F.lit, bounds)).cast("array<long>"), F.array(*map(F.lit, widths)).cast("array<long>")
-    at = F.greatest(F.lit(0), F.size(F.filter(low, lambda b: b <= F.col("doc_id"))) - 1)
+    # a sum of comparisons, not a lambda: Spark sees that both readers of the blocks want the same exchange, and makes one
+    at = sum(((F.col("doc_id") >= b).cast("int") for b in bounds[1:]), F.lit(0))
     cell = F.greatest(F.lit(0), F.floor((F.col("doc_id") - F.get(low, at)) / F.get(width, at)))
     return F.coalesce(at.cast("long") * (1 << 32) + cell, F.lit(-1))
 
