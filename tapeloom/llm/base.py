@@ -56,5 +56,10 @@ def let(value, body):
     return F.transform(F.array(value), body)[0]
 
 
-def ids_to_keep_types(df: DataFrame, name: str) -> str:
-    return dict(df.dtypes)[name]
+#: Rows of two or three longs that a task may hold as the small side of a join.
+SMALL_ROWS = 2_000_000
+
+
+def small_side(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
+    """A written table of a few longs, marked for a broadcast if its counted rows allow it; beyond that Spark shuffles."""
+    return F.broadcast(df) if df.count() <= limit else df

@@ -7,6 +7,8 @@ The distance is 1 - |A & B| / |A | B|, a metric. The join splits the space by pi
     n - ceil(0.8 n) + 1 shingles in hash order reaches a common pivot. Every document is replicated to these regions.
 2.  Every region names one of its documents as pivot (the smallest key). Regions with the same pivot fall together, so
     that thousands of near copies make one cell. Distances to the pivot are exact.
+    Before whole sets are moved, the windows of a bounded cell are compared: they hold enough of two sets to rule out most
+    pairs exactly (a common passage), and a cell falls apart into those documents that may be linked.
 3.  A cell of a bounded number of shingles is joined in one task: pivot by pivot, each compared with all of its part,
     which is then split into a near part (up to 3 R from the pivot, R the radius) and a far part (from 2 R on). Two
     documents within R of each other are both in one of them, by the triangle inequality: the ring is replicated.
@@ -27,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.llm.base import mapped, stored
+from tapeloom.llm.base import mapped, small_side, stored
 from tapeloom.llm.components import components
 from tapeloom.llm.words import mix, shingle_sets
 
 #: Shingles that a cell may hold to be joined in one task (8 bytes each).
 CELL_SHINGLES = 1_000_000
+#: The same for cells of which only the windows are compared.
+WINDOW_SHINGLES = 250_000
 #: Documents of a region beyond which its shingle counts as frequent.
 FREQUENT = 200
 #: Rounds of step 4; what is left then is split by pivots to the end.
@@ -72,7 +76,8 @@ def document_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
             [batch.column(0), pa.array(n), pa.array(_signature(hashes, offsets)), _lists(hashes[at], w)], ["doc_id", "n_shingles", "node", "window"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return mapped(docs.select("doc_id", "text"), kernel, f"doc_id {kind}, n_shingles long, node long, window array<long>")
+    sets = mapped(docs.select("doc_id", "text"), kernel, f"doc_id {kind}, n_shingles long, node long, window array<long>")
+    return sets.withColumn("rid", F.monotonically_increasing_id())
 
 
 def _cells(spread: DataFrame, frequent_from: int) -> tuple[DataFrame, DataFrame]:
@@ -80,15 +85,76 @@ def _cells(spread: DataFrame, frequent_from: int) -> tuple[DataFrame, DataFrame]
     regions = spread.groupBy("shingle").agg(F.min("node").alias("cell"), F.max("node").alias("last"), F.count("*").alias("n")).where("cell <> last")
     # written, so that its size is known before the join is planned
     regions = stored(regions.select("shingle", "cell", "n"), "regions")
-    members = spread.join(regions.select("shingle", "cell"), "shingle").select("cell", "node").distinct()
+    members = spread.join(small_side(regions.select("shingle", "cell")), "shingle").select("cell", "node").distinct()
     return stored(members, "members"), regions.where(F.col("n") > frequent_from).select("shingle")
 
 
+def possible_cells(nodes: np.ndarray, n: np.ndarray, windows: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """(cell, node) of documents that may have a link in this cell, by their windows alone.
+
+    Up to the smaller of two windows' last hashes, both sets are known, and so is a part of their symmetric difference. A
+    similarity of t allows a difference of (1 - t) / (1 + t) of both sizes together; pairs that exceed it are out. What
+    hangs together by the other pairs is a cell of its own, named by its smallest key.
+    """
+    nodes, first = np.unique(nodes, return_index=True)
+    n, windows = n[first], [windows[i] for i in first]
+    size = np.fromiter((len(w) for w in windows), np.int64, len(windows))
+    at = np.cumsum(size) - size
+    every = np.concatenate(windows)
+    last = np.where(size == n, np.uint64(0xFFFFFFFFFFFFFFFF), every[at + size - 1])
+    code = np.unique(every, return_inverse=True)[1]
+    flag = np.zeros(int(code.max()) + 1, bool)
+    out, left = [], np.arange(len(nodes))
+    while len(left) > 1:
+        group, todo, left = [left[0]], [left[0]], left[1:]
+        while todo and len(left):
+            p = todo.pop()
+            rows = left[(100 * n[left] >= percent * n[p]) & (100 * n[p] >= percent * n[left])]
+            if not len(rows):
+                continue
+            mine = slice(at[p], at[p] + size[p])
+            flag[code[mine]] = True
+            lens = size[rows]
+            begin = np.cumsum(lens) - lens
+            spots = np.repeat(at[rows] - begin, lens) + np.arange(lens.sum())
+            both = np.add.reduceat(flag[code[spots]].astype(np.int64), begin)
+            flag[code[mine]] = False
+            theirs = np.add.reduceat((every[spots] <= last[p]).astype(np.int64), begin)
+            ours = np.searchsorted(windows[p], last[rows], side="right")
+            near = rows[(100 + percent) * (theirs + ours - 2 * both) <= (100 - percent) * (n[rows] + n[p])]
+            group += near.tolist()
+            todo += near.tolist()
+            left = np.setdiff1d(left, near, assume_unique=True)
+        if len(group) > 1:
+            cell = int(nodes[min(group)])
+            out += [(cell, int(nodes[x])) for x in group]
+    return out
+
+
+def _narrowed(members: DataFrame, sets: DataFrame, percent: int, most: int) -> DataFrame:
+    """Members of cells after the comparison of windows; cells with more than ``most`` shingles in windows stay as they are."""
+    one = stored(sets.where("n_shingles > 0").groupBy("node").agg(F.min("rid").alias("rid"), F.min(F.size("window")).alias("size")), "nodes")
+    placed = stored(members.join(one, "node"), "placed")
+    weights = stored(placed.groupBy("cell").agg(F.sum("size").alias("weight")), "weights")
+    small = placed.join(weights.where(F.col("weight") <= most).select("cell"), "cell")
+    full = small.join(sets.select("rid", "n_shingles", "window"), "rid").select("cell", "node", "n_shingles", "window")
+
+    def run(rows):
+        windows = rows["window"].combine_chunks()
+        cuts, values = windows.offsets.to_numpy(), windows.values.to_numpy().view(np.uint64)
+        found = possible_cells(rows["node"].to_numpy(), rows["n_shingles"].to_numpy(), [values[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], percent)
+        return pa.table({"cell": pa.array([f[0] for f in found], pa.int64()), "node": pa.array([f[1] for f in found], pa.int64())})
+
+    narrow = full.groupBy("cell").applyInArrow(run, "cell long, node long")
+    large = placed.join(weights.where(F.col("weight") > most).select("cell"), "cell").select("cell", "node")
+    return stored(narrow.union(large).distinct(), "members")
+
+
 def _with_sets(members: DataFrame, sets: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(cell, node, n, hashes): the whole sets, made anew from the texts of one document of each node."""
     one = sets.select("node", "doc_id").join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     wanted = stored(one, "wanted")
-    text = docs.select("doc_id", "text").alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("w.node", "d.text")
+    text = docs.select("doc_id", "text").alias("d").join(small_side(wanted).alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("w.node", "d.text")
 
     def kernel(batch):
         hashes, offsets = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), k)
@@ -172,12 +238,13 @@ def _split(cells: DataFrame, live: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def near_duplicate_links(docs: DataFrame, sets: DataFrame, k: int = 5, percent: int = 80, cell_shingles: int = CELL_SHINGLES, frequent_from: int = FREQUENT) -> DataFrame:
+def near_duplicate_links(docs: DataFrame, sets: DataFrame, k: int = 5, percent: int = 80, cell_shingles: int = CELL_SHINGLES, window_shingles: int = WINDOW_SHINGLES, frequent_from: int = FREQUENT) -> DataFrame:
     """(u, v) of nodes: links at or above the similarity that join all groups that any link joins."""
     radius = (100 - percent) / 100
     keep = ["node", "n", "hashes"]
     spread = sets.where("n_shingles > 0").select("node", F.explode("window").alias("shingle"))
     members, frequent = _cells(spread, frequent_from)
+    members = _narrowed(members, sets, percent, window_shingles)
     cells = _with_sets(members, sets, docs, k).withColumn("label", F.lit(0).cast("long"))
     links, hot = [], None
     for level in range(10_000):
