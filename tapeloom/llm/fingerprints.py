@@ -99,7 +99,8 @@ def _blocks(docs: DataFrame) -> DataFrame:
     lead = stored(heads.join(before, "block").select(F.col("block").alias("of"), "before", "wraps", "head"), "lead")
     edge = rows.join(lead, (F.col("block") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("tie") == F.col("head.tie")))
     edge = edge.dropDuplicates(["of"]).select("doc_id", "text", F.col("before").alias("block"), "tie", F.lit(False).alias("own"))
-    return rows.withColumn("own", F.lit(True)).unionByName(edge)
+    # one text per block; read from a table, both readers of the blocks have the same plan and share its exchange
+    return rows.withColumn("own", F.lit(True)).unionByName(stored(edge, "edge"))
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
