@@ -65,7 +65,7 @@ def _lists(values: np.ndarray, lens: np.ndarray) -> pa.ListArray:
 
 
 def document_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, node (key of the set) and its window of first shingles."""
+    """doc_id, n_shingles, sig (key of the set), its window of first shingles, and a number of the row."""
 
     def kernel(batch):
         hashes, offsets = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), k)
@@ -73,35 +73,52 @@ def document_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
         w = _window(n, percent)
         at = np.repeat(offsets[:-1] - (np.cumsum(w) - w), w) + np.arange(w.sum())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n), pa.array(_signature(hashes, offsets)), _lists(hashes[at], w)], ["doc_id", "n_shingles", "node", "window"])
+            [batch.column(0), pa.array(n), pa.array(_signature(hashes, offsets)), _lists(hashes[at], w)], ["doc_id", "n_shingles", "sig", "window"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    sets = mapped(docs.select("doc_id", "text"), kernel, f"doc_id {kind}, n_shingles long, node long, window array<long>")
+    sets = mapped(docs.select("doc_id", "text"), kernel, f"doc_id {kind}, n_shingles long, sig long, window array<long>")
     return sets.withColumn("rid", F.monotonically_increasing_id())
 
 
 def _cells(spread: DataFrame, frequent_from: int) -> tuple[DataFrame, DataFrame]:
-    """From (node, shingle): the members (cell, node) of all cells with two documents or more, and the frequent shingles."""
-    regions = spread.groupBy("shingle").agg(F.min("node").alias("cell"), F.max("node").alias("last"), F.count("*").alias("n")).where("cell <> last")
-    # written, so that its size is known before the join is planned
-    regions = stored(regions.select("shingle", "cell", "n"), "regions")
+    """From (node, shingle), each once: the members (cell, node) of all cells of two documents or more, and the frequent shingles."""
+    regions = spread.groupBy("shingle").agg(F.min("node").alias("cell"), F.count("*").alias("n")).where("n > 1")
+    regions = stored(regions, "regions")
     members = spread.join(small_side(regions.select("shingle", "cell")), "shingle").select("cell", "node").distinct()
     return stored(members, "members"), regions.where(F.col("n") > frequent_from).select("shingle")
 
 
+def _with_sets(members: DataFrame, sets: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(cell, node, n, hashes): the whole sets, made anew from the texts."""
+    nodes = stored(members.select("node").distinct(), "wanted")
+    one = stored(sets.select(F.col("rid").alias("node"), "doc_id", "sig").join(small_side(nodes), "node"), "wanted")
+    text = docs.select("doc_id", "text").alias("d").join(small_side(one).alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("w.node", "d.text", "w.sig")
+
+    def kernel(batch):
+        hashes, offsets = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), k)
+        own = np.flatnonzero(_signature(hashes, offsets) == batch.column(2).to_numpy())  # a repeated doc_id may have another text too
+        n = np.diff(offsets)[own]
+        at = np.repeat(offsets[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), pa.array(n), _lists(hashes[at], n)], ["node", "n", "hashes"])
+
+    full = mapped(text, kernel, "node long, n long, hashes array<long>")
+    return stored(full.join(small_side(members), "node").select("cell", "node", "n", "hashes"), "cells")
+
+
 def possible_cells(nodes: np.ndarray, n: np.ndarray, windows: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """(cell, node) of documents that may have a link in this cell, by their windows alone.
 
-    Up to the smaller of two windows' last hashes, both sets are known, and so is a part of their symmetric difference. A
-    similarity of t allows a difference of (1 - t) / (1 + t) of both sizes together; pairs that exceed it are out. What
-    hangs together by the other pairs is a cell of its own, named by its smallest key.
+    Below the smaller of two windows' last hashes, both sets are known, and so is a part of their symmetric difference. A
+    similarity of t allows a difference of (1 - t) / (1 + t) of both sizes together; pairs that exceed it are out. Windows
+    come as the high halves of their hashes, which can only make two sets look more alike. What hangs together by the
+    other pairs is a cell of its own, named by its smallest key.
     """
     nodes, first = np.unique(nodes, return_index=True)
     n, windows = n[first], [windows[i] for i in first]
     size = np.fromiter((len(w) for w in windows), np.int64, len(windows))
     at = np.cumsum(size) - size
     every = np.concatenate(windows)
-    last = np.where(size == n, np.uint64(0xFFFFFFFFFFFFFFFF), every[at + size - 1])
+    last = np.where(size == n, 1 << 32, every[at + size - 1].astype(np.int64))
     code = np.unique(every, return_inverse=True)[1]
     flag = np.zeros(int(code.max()) + 1, bool)
     out, left = [], np.arange(len(nodes))
@@ -117,10 +134,10 @@ def possible_cells(nodes: np.ndarray, n: np.ndarray, windows: list[np.ndarray],
             lens = size[rows]
             begin = np.cumsum(lens) - lens
             spots = np.repeat(at[rows] - begin, lens) + np.arange(lens.sum())
-            both = np.add.reduceat(flag[code[spots]].astype(np.int64), begin)
+            both = np.add.reduceat(flag[code[spots]].astype(np.int64), begin)  # the last hash itself may count here: too alike again
             flag[code[mine]] = False
-            theirs = np.add.reduceat((every[spots] <= last[p]).astype(np.int64), begin)
-            ours = np.searchsorted(windows[p], last[rows], side="right")
+            theirs = np.add.reduceat((every[spots] < last[p]).astype(np.int64), begin)
+            ours = np.searchsorted(windows[p], last[rows], side="left")
             near = rows[(100 + percent) * (theirs + ours - 2 * both) <= (100 - percent) * (n[rows] + n[p])]
             group += near.tolist()
             todo += near.tolist()
@@ -133,48 +150,32 @@ def possible_cells(nodes: np.ndarray, n: np.ndarray, windows: list[np.ndarray],
 
 def _narrowed(members: DataFrame, sets: DataFrame, percent: int, most: int) -> DataFrame:
     """Members of cells after the comparison of windows; cells with more than ``most`` shingles in windows stay as they are."""
-    one = stored(sets.where("n_shingles > 0").groupBy("node").agg(F.min("rid").alias("rid"), F.min(F.size("window")).alias("size")), "nodes")
-    placed = stored(members.join(one, "node"), "placed")
+    high = F.transform("window", lambda h: F.shiftright(h, 32).cast("int"))
+    sizes = sets.select(F.col("rid").alias("node"), F.size("window").alias("size"))
+    placed = stored(sizes.join(small_side(members), "node"), "placed")
     weights = stored(placed.groupBy("cell").agg(F.sum("size").alias("weight")), "weights")
-    small = placed.join(weights.where(F.col("weight") <= most).select("cell"), "cell")
-    full = small.join(sets.select("rid", "n_shingles", "window"), "rid").select("cell", "node", "n_shingles", "window")
+    small = stored(placed.join(weights.where(F.col("weight") <= most).select("cell"), "cell").select("cell", "node"), "placed")
+    full = sets.select(F.col("rid").alias("node"), "n_shingles", high.alias("window")).join(small_side(small), "node")
 
     def run(rows):
         windows = rows["window"].combine_chunks()
-        cuts, values = windows.offsets.to_numpy(), windows.values.to_numpy().view(np.uint64)
+        cuts, values = windows.offsets.to_numpy(), windows.values.to_numpy().view(np.uint32)
         found = possible_cells(rows["node"].to_numpy(), rows["n_shingles"].to_numpy(), [values[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], percent)
         return pa.table({"cell": pa.array([f[0] for f in found], pa.int64()), "node": pa.array([f[1] for f in found], pa.int64())})
 
-    narrow = full.groupBy("cell").applyInArrow(run, "cell long, node long")
+    narrow = full.select("cell", "node", "n_shingles", "window").groupBy("cell").applyInArrow(run, "cell long, node long")
     large = placed.join(weights.where(F.col("weight") > most).select("cell"), "cell").select("cell", "node")
     return stored(narrow.union(large).distinct(), "members")
 
 
-def _with_sets(members: DataFrame, sets: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(cell, node, n, hashes): the whole sets, made anew from the texts of one document of each node."""
-    one = sets.select("node", "doc_id").join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = stored(one, "wanted")
-    text = docs.select("doc_id", "text").alias("d").join(small_side(wanted).alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("w.node", "d.text")
-
-    def kernel(batch):
-        hashes, offsets = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), k)
-        own = np.flatnonzero(_signature(hashes, offsets) == batch.column(0).to_numpy())  # a repeated doc_id may have another text too
-        n = np.diff(offsets)[own]
-        at = np.repeat(offsets[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), pa.array(n), _lists(hashes[at], n)], ["node", "n", "hashes"])
-
-    full = mapped(text, kernel, "node long, n long, hashes array<long>")
-    return stored(members.join(full, "node").select("cell", "node", "n", "hashes"), "cells")
-
-
 def join_cell(nodes: np.ndarray, sets: list[np.ndarray], percent: int, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Exact links of one bounded cell, enough of them to join all that hangs together.
 
-    Documents of equal label (not 0) hang together already; such pairs are not compared.
+    Documents of equal label (not negative) hang together already; such pairs are not compared.
     """
     nodes, first = np.unique(nodes, return_index=True)
     sets = [sets[i] for i in first]
-    label = -1 - np.arange(len(nodes)) if labels is None else np.where(labels[first] != 0, labels[first], -1 - np.arange(len(nodes)))
+    label = -1 - np.arange(len(nodes)) if labels is None else np.where(labels[first] >= 0, labels[first], -1 - np.arange(len(nodes)))
     label = np.unique(label, return_inverse=True)[1]
     size = np.fromiter((len(s) for s in sets), np.int64, len(sets))
     values, code = np.unique(np.concatenate(sets), return_inverse=True)
@@ -208,7 +209,12 @@ def join_cell(nodes: np.ndarray, sets: list[np.ndarray], percent: int, labels: n
                     label[label == label[x]] = label[pivot]
             away = 1 - both / union
             others = np.arange(len(rows)) != here
+            must[here] = False
             near, far = others & (away <= 3 * radius + 1e-9), others & (away > 2 * radius - 1e-9)
+            # a wide ring would be compared in both parts again and again: then the cell stays whole, without its pivot
+            if 4 * (near & far).sum() > len(rows):
+                rows, must = rows[others], must[others]
+                continue
             if (far & ~near).any() and (must & far).any():
                 todo.append((rows[far], must[far]))
             rows, must = rows[near], must[near]
@@ -225,59 +231,64 @@ def _small_links(cells: DataFrame, percent: int) -> DataFrame:
 
 def _split(cells: DataFrame, live: DataFrame, percent: int) -> DataFrame:
     """Distances of all members to a pivot of their cell: the one with the smallest key outside the most frequent label."""
-    # a large cell's shingle count bounds the number of pivots: one for CELL_SHINGLES shingles at least
-    pivots = stored(cells.join(live, "cell").where("label = 0 or label <> top").groupBy("cell").agg(F.min("node").alias("pivot")), "pivots")
-    centres = stored(cells.select("cell", F.col("node").alias("pivot"), F.col("hashes").alias("centre")).join(pivots, ["cell", "pivot"]), "centres")
-    return (
-        cells.join(centres, "cell")
+    # few rows: a cell here holds more than CELL_SHINGLES shingles
+    light = cells.drop("hashes").join(live, "cell")
+    pivots = stored(light.where("label < 0 or label <> top").groupBy("cell").agg(F.min("node").alias("pivot")), "pivots")
+    centres = cells.join(small_side(pivots), "cell").where("node = pivot").select("cell", "pivot", F.col("hashes").alias("centre"))
+    rows = (
+        cells.join(stored(centres, "centres"), "cell")
         .withColumn("both", F.size(F.array_intersect("hashes", "centre")))
         .withColumn("either", F.col("n") + F.size("centre") - F.col("both"))
         .withColumn("linked", (F.col("node") != F.col("pivot")) & (100 * F.col("both") >= percent * F.col("either")))
         .withColumn("away", F.lit(1.0) - F.col("both") / F.col("either"))
-        .drop("centre", "both", "either")
     )
+    return stored(rows.select("cell", "node", "label", "pivot", "linked", "away"), "split")
 
 
-def near_duplicate_links(docs: DataFrame, sets: DataFrame, k: int = 5, percent: int = 80, cell_shingles: int = CELL_SHINGLES, window_shingles: int = WINDOW_SHINGLES, frequent_from: int = FREQUENT) -> DataFrame:
-    """(u, v) of nodes: links at or above the similarity that join all groups that any link joins."""
+def near_duplicate_links(docs: DataFrame, sets: DataFrame, k: int = 5, percent: int = 80, cell_shingles: int = CELL_SHINGLES, window_shingles: int = WINDOW_SHINGLES,
+                         frequent_from: int = FREQUENT) -> DataFrame:
+    """(u, v) of row numbers in ``sets``, each set once: links at or above the similarity that join all groups that any link joins."""
     radius = (100 - percent) / 100
-    keep = ["node", "n", "hashes"]
-    spread = sets.where("n_shingles > 0").select("node", F.explode("window").alias("shingle"))
+    spread = sets.select(F.col("rid").alias("node"), F.explode("window").alias("shingle"))
     members, frequent = _cells(spread, frequent_from)
     members = _narrowed(members, sets, percent, window_shingles)
-    cells = _with_sets(members, sets, docs, k).withColumn("label", F.lit(0).cast("long"))
+    cells = _with_sets(members, sets, docs, k).withColumn("label", F.lit(-1).cast("long"))
     links, hot = [], None
     for level in range(10_000):
         kinds = cells.groupBy("cell", "label").agg(F.sum("n").alias("n"), F.count("*").alias("m"))
         weight = kinds.groupBy("cell").agg(
-            F.sum("n").alias("weight"), F.sum("m").alias("m"), F.sum(F.expr("if(label = 0, m, 1)")).alias("classes"), F.max_by("label", F.expr("if(label = 0, 0, m)")).alias("top"))
+            F.sum("n").alias("weight"), F.sum("m").alias("m"), F.sum(F.expr("if(label < 0, m, 1)")).alias("classes"), F.max_by("label", F.expr("if(label < 0, 0, m)")).alias("top"))
         weight = stored(weight.where("classes > 1"), "weights")
         large = weight.where(F.col("weight") > cell_shingles).select("cell", "top")
         small = weight.where(F.col("weight") <= cell_shingles).select("cell")
         links.append(stored(_small_links(cells.join(small, "cell"), percent), "links"))
         if not large.take(1):
             break
-        split = stored(_split(cells.join(large.select("cell"), "cell"), large, percent), "split")
+        split = _split(cells.join(large.select("cell"), "cell"), large, percent)
         links.append(split.where("linked").select(F.col("pivot").alias("u"), F.col("node").alias("v")))
         # labels that a link reaches become one
-        reached = stored(split.where("linked and label <> 0").select("cell", "label").distinct().withColumn("reached", F.lit(True)), "reached")
+        reached = stored(split.where("linked and label >= 0").select("cell", "label").distinct().withColumn("reached", F.lit(True)), "reached")
         rest = split.where("node <> pivot").join(reached, ["cell", "label"], "left")
-        rest = rest.withColumn("label", F.when(F.col("linked") | F.col("reached"), F.col("pivot")).otherwise(F.col("label")))
-        rest = rest.withColumn("near", F.col("away") <= 3 * radius + 1e-9).withColumn("far", F.col("away") > 2 * radius - 1e-9)
-        near = rest.where("near").select(F.xxhash64("cell", F.lit(2 * level)).alias("cell"), *keep, "label")
-        beyond = rest.where("far").join(rest.where("not near").select("cell").distinct(), "cell", "left_semi")
+        rest = rest.withColumn("label", F.when(F.col("linked") | F.col("reached"), F.col("pivot")).otherwise(F.col("label"))).select("cell", "node", "label", "away")
+        hashes = cells.select("cell", "node", "n", "hashes")
         if level < ROUNDS:
-            again = stored(beyond.select(*keep).dropDuplicates(["node"]), "again")
+            near = stored(rest.where(F.col("away") <= 3 * radius + 1e-9), "near")
+            beyond = rest.where(F.col("away") > 2 * radius - 1e-9).join(rest.where(F.col("away") > 3 * radius + 1e-9).select("cell").distinct(), "cell", "left_semi")
+            again = stored(beyond.groupBy("node").agg(F.min("cell").alias("cell")), "again")
+            held = hashes.join(small_side(again), ["cell", "node"])
             hot = stored((frequent if hot is None else hot.union(frequent)).distinct(), "frequent")
-            ranked = again.select("node", "n", F.explode("hashes").alias("shingle")).join(hot.withColumn("hot", F.lit(1)), "shingle", "left")
+            ranked = held.select("node", "n", F.explode("hashes").alias("shingle")).join(small_side(hot.withColumn("hot", F.lit(1))), "shingle", "left")
             # any order of the shingles serves, as long as it is one for all documents
             place = F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("hot", F.lit(0)), "shingle"))
             reach = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
             members, frequent = _cells(ranked.withColumn("place", place).where(F.col("place") <= reach).select("node", "shingle"), frequent_from)
-            fresh = members.join(again, "node").select(F.xxhash64("cell", F.lit(2 * level + 1)).alias("cell"), *keep, F.lit(0).cast("long").alias("label"))
-        else:
-            fresh = beyond.select(F.xxhash64("cell", F.lit(2 * level + 1)).alias("cell"), *keep, "label")
-        cells = stored(near.union(fresh), "cells")
+            members = _narrowed(members, sets, percent, window_shingles)
+            fresh = held.select("node", "n", "hashes").join(small_side(members), "node").select(F.xxhash64("cell", F.lit(2 * level + 1)).alias("cell"), "node", "n", "hashes", F.lit(-1).cast("long").alias("label"))
+            stay = hashes.join(small_side(near), ["cell", "node"]).select(F.xxhash64("cell", F.lit(2 * level)).alias("cell"), "node", "n", "hashes", "label")
+            cells = stay.union(fresh)
+        else:  # only pivots go: the ring would be compared in both parts
+            cells = hashes.join(small_side(stored(rest, "rest")), ["cell", "node"]).select("cell", "node", "n", "hashes", "label")
+        cells = stored(cells, "cells")
     found = links[0]
     for more in links[1:]:
         found = found.union(more)
@@ -287,11 +298,16 @@ def near_duplicate_links(docs: DataFrame, sets: DataFrame, k: int = 5, percent:
 def near_duplicate_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
     sets = stored(document_sets(docs, k, percent), "sets")
-    roots = components(near_duplicate_links(docs, sets, k, percent))
-    rows = sets.select("doc_id", "n_shingles", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rows = stored(rows.select("doc_id", "n_shingles", "root"), "rows")
-    least = rows.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    # equal sets are one node, the first row that has it
+    light = sets.select("doc_id", "n_shingles", "sig", "rid")
+    first = stored(light.where("n_shingles > 0").groupBy("sig").agg(F.min("rid").alias("node"), F.min("doc_id").alias("least")), "first")
+    once = sets.join(small_side(first.select(F.col("node").alias("rid"))), "rid")
+    roots = components(near_duplicate_links(docs, once, k, percent))
+    groups = first.join(roots, "node", "left").select("sig", F.coalesce("root", "node").alias("root"), "least")
+    named = groups.groupBy("root").agg(F.min("least").alias("component_id"))
+    names = stored(groups.join(named, "root").select("sig", "component_id"), "names")
+    rows = light.where("n_shingles > 0").join(small_side(names), "sig").select("doc_id", "n_shingles", "component_id")
+    return rows.union(light.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def keep_representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
