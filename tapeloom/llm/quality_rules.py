@@ -166,6 +166,7 @@ def _nearest(rows: DataFrame, share: float) -> DataFrame:
     level = F.round(F.log(F.col("distance") + 1e-6) * 64).cast("long")
     rows = rows.withColumn("level", level)
     cut = _quantile(rows.groupBy("group", "level").agg(F.count("*").alias("n")), ["group"], "level", share, "cut")
+    cut = stored(cut, "cut")  # one row per group: its size is known before the join with the rows
     return rows.join(cut, "group").where("level <= cut")
 
 
