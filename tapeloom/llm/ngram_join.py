@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.llm.base import mapped, small_side, stored
+from tapeloom.llm.base import SMALL_ROWS, mapped, small_side, stored
 from tapeloom.llm.components import components
 from tapeloom.llm.words import mix, shingle_sets
 
@@ -39,6 +39,8 @@ CELL_SHINGLES = 1_000_000
 WINDOW_SHINGLES = 250_000
 #: Documents of a region beyond which its shingle counts as frequent.
 FREQUENT = 200
+#: Of the frequent shingles of a round, how many go to the end of the order.
+HOT_MOST = 200_000
 #: Rounds of step 4; what is left then is split by pivots to the end.
 ROUNDS = 4
 
@@ -81,16 +83,16 @@ def document_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def _cells(spread: DataFrame, frequent_from: int) -> tuple[DataFrame, DataFrame]:
-    """From (node, shingle), each once: the members (cell, node) of all cells of two documents or more, and the frequent shingles."""
-    regions = spread.groupBy("shingle").agg(F.min("node").alias("cell"), F.count("*").alias("n")).where("n > 1")
-    regions = stored(regions, "regions")
-    members = spread.join(small_side(regions.select("shingle", "cell")), "shingle").select("cell", "node").distinct()
-    return stored(members, "members"), regions.where(F.col("n") > frequent_from).select("shingle")
+    """From (node, shingle), each once: the members (cell, node) of all cells of two documents or more, and the frequent shingles (shingle, n)."""
+    shared = stored(spread.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    rows = stored(spread.join(small_side(shared.select("shingle")), "shingle").select("shingle", "node"), "rows")
+    pivots = rows.groupBy("shingle").agg(F.min("node").alias("cell"))
+    members = rows.join(pivots, "shingle").select("cell", "node").distinct()
+    return stored(members, "members"), shared.where(F.col("n") > frequent_from)
 
 
-def _with_sets(members: DataFrame, sets: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(cell, node, n, hashes): the whole sets, made anew from the texts."""
-    nodes = stored(members.select("node").distinct(), "wanted")
+def _full_sets(nodes: DataFrame, sets: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(node, hashes) of a written table of nodes: the whole sets, made anew from the texts."""
     one = stored(sets.select(F.col("rid").alias("node"), "doc_id", "sig").join(small_side(nodes), "node"), "wanted")
     text = docs.select("doc_id", "text").alias("d").join(small_side(one).alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("w.node", "d.text", "w.sig")
 
@@ -99,10 +101,32 @@ def _with_sets(members: DataFrame, sets: DataFrame, docs: DataFrame, k: int) ->
         own = np.flatnonzero(_signature(hashes, offsets) == batch.column(2).to_numpy())  # a repeated doc_id may have another text too
         n = np.diff(offsets)[own]
         at = np.repeat(offsets[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), pa.array(n), _lists(hashes[at], n)], ["node", "n", "hashes"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), _lists(hashes[at], n)], ["node", "hashes"])
 
-    full = mapped(text, kernel, "node long, n long, hashes array<long>")
-    return stored(full.join(small_side(members), "node").select("cell", "node", "n", "hashes"), "cells")
+    return mapped(text, kernel, "node long, hashes array<long>")
+
+
+def _first_shingles(held: DataFrame, hot: np.ndarray, percent: int) -> DataFrame:
+    """(node, shingle): the windows of whole sets in the order that puts the shingles of ``hot`` last.
+
+    Any order of the shingles serves, as long as it is one for all documents.
+    """
+    shared = held.sparkSession.sparkContext.broadcast(np.sort(hot))
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                nodes, chosen = [], []
+                for node, hashes in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    h = hashes.values.to_numpy()
+                    late = np.isin(h, shared.value, assume_unique=True)
+                    first = np.concatenate([h[~late], h[late]])[:int(_window(np.array([len(h)]), percent)[0])]
+                    nodes.append(np.full(len(first), node))
+                    chosen.append(first)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(chosen))], ["node", "shingle"])
+
+    return held.select("node", "hashes").mapInArrow(run, "node long, shingle long")
 
 
 def possible_cells(nodes: np.ndarray, n: np.ndarray, windows: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -229,66 +253,67 @@ def _small_links(cells: DataFrame, percent: int) -> DataFrame:
     return cells.select("cell", "node", "hashes", "label").groupBy("cell").applyInPandas(run, "u long, v long")
 
 
-def _split(cells: DataFrame, live: DataFrame, percent: int) -> DataFrame:
-    """Distances of all members to a pivot of their cell: the one with the smallest key outside the most frequent label."""
-    # few rows: a cell here holds more than CELL_SHINGLES shingles
-    light = cells.drop("hashes").join(live, "cell")
-    pivots = stored(light.where("label < 0 or label <> top").groupBy("cell").agg(F.min("node").alias("pivot")), "pivots")
-    centres = cells.join(small_side(pivots), "cell").where("node = pivot").select("cell", "pivot", F.col("hashes").alias("centre"))
+def _split(members: DataFrame, held: DataFrame, live: DataFrame, percent: int) -> DataFrame:
+    """Distances of all members of large cells to a pivot of their cell: the one with the smallest key outside the most frequent label."""
+    pivots = stored(members.join(live, "cell").where("label < 0 or label <> top").groupBy("cell").agg(F.min("node").alias("pivot")), "pivots")
+    centres = stored(held.withColumnsRenamed({"node": "pivot", "hashes": "centre"}).join(small_side(pivots), "pivot"), "centres")
+    size = centres.agg(F.coalesce(F.sum(F.size("centre")), F.lit(0))).first()[0]
     rows = (
-        cells.join(stored(centres, "centres"), "cell")
+        held.join(small_side(members), "node")
+        .join(F.broadcast(centres) if size <= SMALL_ROWS else centres, "cell")
         .withColumn("both", F.size(F.array_intersect("hashes", "centre")))
-        .withColumn("either", F.col("n") + F.size("centre") - F.col("both"))
+        .withColumn("either", F.size("hashes") + F.size("centre") - F.col("both"))
         .withColumn("linked", (F.col("node") != F.col("pivot")) & (100 * F.col("both") >= percent * F.col("either")))
         .withColumn("away", F.lit(1.0) - F.col("both") / F.col("either"))
     )
-    return stored(rows.select("cell", "node", "label", "pivot", "linked", "away"), "split")
+    return stored(rows.select("cell", "node", "n", "label", "pivot", "linked", "away"), "split")
 
 
 def near_duplicate_links(docs: DataFrame, sets: DataFrame, k: int = 5, percent: int = 80, cell_shingles: int = CELL_SHINGLES, window_shingles: int = WINDOW_SHINGLES,
                          frequent_from: int = FREQUENT) -> DataFrame:
     """(u, v) of row numbers in ``sets``, each set once: links at or above the similarity that join all groups that any link joins."""
     radius = (100 - percent) / 100
-    spread = sets.select(F.col("rid").alias("node"), F.explode("window").alias("shingle"))
-    members, frequent = _cells(spread, frequent_from)
-    members = _narrowed(members, sets, percent, window_shingles)
-    cells = _with_sets(members, sets, docs, k).withColumn("label", F.lit(-1).cast("long"))
-    links, hot = [], None
+    sizes = sets.select(F.col("rid").alias("node"), F.col("n_shingles").alias("n"))
+    alone = F.lit(-1).cast("long").alias("label")
+
+    def members_of(spread):
+        members, frequent = _cells(spread, frequent_from)
+        return sizes.join(small_side(_narrowed(members, sets, percent, window_shingles)), "node"), frequent
+
+    members, frequent = members_of(sets.select(F.col("rid").alias("node"), F.explode("window").alias("shingle")))
+    members = stored(members.select("cell", "node", "n", alone), "members")
+    links, hot, held = [], np.zeros(0, np.int64), None
     for level in range(10_000):
-        kinds = cells.groupBy("cell", "label").agg(F.sum("n").alias("n"), F.count("*").alias("m"))
+        kinds = members.groupBy("cell", "label").agg(F.sum("n").alias("n"), F.count("*").alias("m"))
         weight = kinds.groupBy("cell").agg(
-            F.sum("n").alias("weight"), F.sum("m").alias("m"), F.sum(F.expr("if(label < 0, m, 1)")).alias("classes"), F.max_by("label", F.expr("if(label < 0, 0, m)")).alias("top"))
+            F.sum("n").alias("weight"), F.sum(F.expr("if(label < 0, m, 1)")).alias("classes"), F.max_by("label", F.expr("if(label < 0, 0, m)")).alias("top"))
         weight = stored(weight.where("classes > 1"), "weights")
         large = weight.where(F.col("weight") > cell_shingles).select("cell", "top")
-        small = weight.where(F.col("weight") <= cell_shingles).select("cell")
-        links.append(stored(_small_links(cells.join(small, "cell"), percent), "links"))
+        small = stored(members.join(weight.where(F.col("weight") <= cell_shingles).select("cell"), "cell"), "small")
+        full = _full_sets(stored(small.select("node").distinct(), "nodes"), sets, docs, k) if held is None else held
+        links.append(stored(_small_links(full.join(small_side(small), "node"), percent), "links"))
         if not large.take(1):
             break
-        split = _split(cells.join(large.select("cell"), "cell"), large, percent)
+        members = stored(members.join(large.select("cell"), "cell"), "large")
+        if held is None:  # the sets of all documents in large cells, once each, for all levels
+            held = stored(_full_sets(stored(members.select("node").distinct(), "nodes"), sets, docs, k).dropDuplicates(["node"]), "held")
+        split = _split(members, held, large, percent)
         links.append(split.where("linked").select(F.col("pivot").alias("u"), F.col("node").alias("v")))
         # labels that a link reaches become one
         reached = stored(split.where("linked and label >= 0").select("cell", "label").distinct().withColumn("reached", F.lit(True)), "reached")
         rest = split.where("node <> pivot").join(reached, ["cell", "label"], "left")
-        rest = rest.withColumn("label", F.when(F.col("linked") | F.col("reached"), F.col("pivot")).otherwise(F.col("label"))).select("cell", "node", "label", "away")
-        hashes = cells.select("cell", "node", "n", "hashes")
+        rest = rest.withColumn("label", F.when(F.col("linked") | F.col("reached"), F.col("pivot")).otherwise(F.col("label"))).select("cell", "node", "n", "label", "away")
         if level < ROUNDS:
-            near = stored(rest.where(F.col("away") <= 3 * radius + 1e-9), "near")
+            near = rest.where(F.col("away") <= 3 * radius + 1e-9).select(F.xxhash64("cell", F.lit(2 * level)).alias("cell"), "node", "n", "label")
             beyond = rest.where(F.col("away") > 2 * radius - 1e-9).join(rest.where(F.col("away") > 3 * radius + 1e-9).select("cell").distinct(), "cell", "left_semi")
-            again = stored(beyond.groupBy("node").agg(F.min("cell").alias("cell")), "again")
-            held = hashes.join(small_side(again), ["cell", "node"])
-            hot = stored((frequent if hot is None else hot.union(frequent)).distinct(), "frequent")
-            ranked = held.select("node", "n", F.explode("hashes").alias("shingle")).join(small_side(hot.withColumn("hot", F.lit(1))), "shingle", "left")
-            # any order of the shingles serves, as long as it is one for all documents
-            place = F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("hot", F.lit(0)), "shingle"))
-            reach = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-            members, frequent = _cells(ranked.withColumn("place", place).where(F.col("place") <= reach).select("node", "shingle"), frequent_from)
-            members = _narrowed(members, sets, percent, window_shingles)
-            fresh = held.select("node", "n", "hashes").join(small_side(members), "node").select(F.xxhash64("cell", F.lit(2 * level + 1)).alias("cell"), "node", "n", "hashes", F.lit(-1).cast("long").alias("label"))
-            stay = hashes.join(small_side(near), ["cell", "node"]).select(F.xxhash64("cell", F.lit(2 * level)).alias("cell"), "node", "n", "hashes", "label")
-            cells = stay.union(fresh)
+            again = stored(beyond.select("node").distinct(), "again")
+            # the most frequent of them, a bounded number; the others keep their place in the order, which is as exact
+            hot = np.union1d(hot, frequent.orderBy(F.desc("n"), "shingle").limit(HOT_MOST).toPandas()["shingle"].to_numpy())
+            fresh, frequent = members_of(_first_shingles(held.join(small_side(again), "node"), hot, percent))
+            fresh = fresh.select(F.xxhash64("cell", F.lit(2 * level + 1)).alias("cell"), "node", "n", alone)
+            members = stored(near.union(fresh), "members")
         else:  # only pivots go: the ring would be compared in both parts
-            cells = hashes.join(small_side(stored(rest, "rest")), ["cell", "node"]).select("cell", "node", "n", "hashes", "label")
-        cells = stored(cells, "cells")
+            members = stored(rest.drop("away"), "members")
     found = links[0]
     for more in links[1:]:
         found = found.union(more)
