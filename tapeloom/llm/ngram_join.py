@@ -33,12 +33,12 @@ from tapeloom.llm.base import SMALL_ROWS, mapped, small_side, stored
 from tapeloom.llm.components import components
 from tapeloom.llm.words import mix, shingle_sets
 
-#: Shingles that a cell may hold to be joined in one task (8 bytes each).
-CELL_SHINGLES = 1_000_000
+#: Shingles that a cell may hold to be joined in one task (8 bytes each); eight times more on each of three further levels.
+CELL_SHINGLES = 150_000
 #: The same for cells of which only the windows are compared.
-WINDOW_SHINGLES = 250_000
-#: Documents of a region beyond which its shingle counts as frequent.
-FREQUENT = 200
+WINDOW_SHINGLES = 30_000
+#: Far documents that share a shingle with their pivot, beyond which it counts as frequent.
+FREQUENT = 50
 #: Of the frequent shingles of a round, how many go to the end of the order.
 HOT_MOST = 200_000
 #: Rounds of step 4; what is left then is split by pivots to the end.
@@ -82,13 +82,13 @@ def document_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return sets.withColumn("rid", F.monotonically_increasing_id())
 
 
-def _cells(spread: DataFrame, frequent_from: int) -> tuple[DataFrame, DataFrame]:
-    """From (node, shingle), each once: the members (cell, node) of all cells of two documents or more, and the frequent shingles (shingle, n)."""
+def _cells(spread: DataFrame) -> DataFrame:
+    """From (node, shingle), each once: the members (cell, node) of all cells of two documents or more."""
     shared = stored(spread.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     rows = stored(spread.join(small_side(shared.select("shingle")), "shingle").select("shingle", "node"), "rows")
     pivots = rows.groupBy("shingle").agg(F.min("node").alias("cell"))
     members = rows.join(pivots, "shingle").select("cell", "node").distinct()
-    return stored(members, "members"), shared.where(F.col("n") > frequent_from)
+    return stored(members, "members")
 
 
 def _full_sets(nodes: DataFrame, sets: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -261,12 +261,14 @@ def _split(members: DataFrame, held: DataFrame, live: DataFrame, percent: int) -
     rows = (
         held.join(small_side(members), "node")
         .join(F.broadcast(centres) if size <= SMALL_ROWS else centres, "cell")
-        .withColumn("both", F.size(F.array_intersect("hashes", "centre")))
+        .withColumn("common", F.array_intersect("hashes", "centre"))
+        .withColumn("both", F.size("common"))
         .withColumn("either", F.size("hashes") + F.size("centre") - F.col("both"))
         .withColumn("linked", (F.col("node") != F.col("pivot")) & (100 * F.col("both") >= percent * F.col("either")))
         .withColumn("away", F.lit(1.0) - F.col("both") / F.col("either"))
+        .withColumn("common", F.when(F.col("away") > 3 * (100 - percent) / 100, F.col("common")))
     )
-    return stored(rows.select("cell", "node", "n", "label", "pivot", "linked", "away"), "split")
+    return stored(rows.select("cell", "node", "n", "label", "pivot", "linked", "away", "common"), "split")
 
 
 def near_duplicate_links(docs: DataFrame, sets: DataFrame, k: int = 5, percent: int = 80, cell_shingles: int = CELL_SHINGLES, window_shingles: int = WINDOW_SHINGLES,
@@ -277,10 +279,10 @@ def near_duplicate_links(docs: DataFrame, sets: DataFrame, k: int = 5, percent:
     alone = F.lit(-1).cast("long").alias("label")
 
     def members_of(spread):
-        members, frequent = _cells(spread, frequent_from)
-        return sizes.join(small_side(_narrowed(members, sets, percent, window_shingles)), "node"), frequent
+        return sizes.join(small_side(_narrowed(_cells(spread), sets, percent, window_shingles << grow)), "node")
 
-    members, frequent = members_of(sets.select(F.col("rid").alias("node"), F.explode("window").alias("shingle")))
+    grow = 0
+    members = members_of(sets.select(F.col("rid").alias("node"), F.explode("window").alias("shingle")))
     members = stored(members.select("cell", "node", "n", alone), "members")
     links, hot, held = [], np.zeros(0, np.int64), None
     for level in range(10_000):
@@ -288,8 +290,10 @@ def near_duplicate_links(docs: DataFrame, sets: DataFrame, k: int = 5, percent:
         weight = kinds.groupBy("cell").agg(
             F.sum("n").alias("weight"), F.sum(F.expr("if(label < 0, m, 1)")).alias("classes"), F.max_by("label", F.expr("if(label < 0, 0, m)")).alias("top"))
         weight = stored(weight.where("classes > 1"), "weights")
-        large = weight.where(F.col("weight") > cell_shingles).select("cell", "top")
-        small = stored(members.join(weight.where(F.col("weight") <= cell_shingles).select("cell"), "cell"), "small")
+        # few cells go far down, so that tasks may be larger there
+        grow, most = min(9, 3 * (level + 1)), cell_shingles << min(9, 3 * level)
+        large = weight.where(F.col("weight") > most).select("cell", "top")
+        small = stored(members.join(weight.where(F.col("weight") <= most).select("cell"), "cell"), "small")
         full = _full_sets(stored(small.select("node").distinct(), "nodes"), sets, docs, k) if held is None else held
         links.append(stored(_small_links(full.join(small_side(small), "node"), percent), "links"))
         if not large.take(1):
@@ -307,9 +311,10 @@ def near_duplicate_links(docs: DataFrame, sets: DataFrame, k: int = 5, percent:
             near = rest.where(F.col("away") <= 3 * radius + 1e-9).select(F.xxhash64("cell", F.lit(2 * level)).alias("cell"), "node", "n", "label")
             beyond = rest.where(F.col("away") > 2 * radius - 1e-9).join(rest.where(F.col("away") > 3 * radius + 1e-9).select("cell").distinct(), "cell", "left_semi")
             again = stored(beyond.select("node").distinct(), "again")
-            # the most frequent of them, a bounded number; the others keep their place in the order, which is as exact
-            hot = np.union1d(hot, frequent.orderBy(F.desc("n"), "shingle").limit(HOT_MOST).toPandas()["shingle"].to_numpy())
-            fresh, frequent = members_of(_first_shingles(held.join(small_side(again), "node"), hot, percent))
+            # what many far documents share with a pivot; a bounded number, as others may keep their place in the order
+            often = split.select(F.explode("common").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") > frequent_from)
+            hot = np.union1d(hot, often.orderBy(F.desc("n"), "shingle").limit(HOT_MOST).toPandas()["shingle"].to_numpy()).astype(np.int64)
+            fresh = members_of(_first_shingles(held.join(small_side(again), "node"), hot, percent))
             fresh = fresh.select(F.xxhash64("cell", F.lit(2 * level + 1)).alias("cell"), "node", "n", alone)
             members = stored(near.union(fresh), "members")
         else:  # only pivots go: the ring would be compared in both parts
