@@ -3,7 +3,7 @@
 A text's features are its words and its character n-grams within words, hashed into a table of ``buckets`` learned vectors;
 a text is the mean of the vectors of its features, and a softmax over two classes gives the score. Learning reads a
 bounded sample of the labelled rows: ``per_class`` rows of each label at most, those with the smallest hash of their id. It
-is done in numpy on the driver, on hashed features alone, by rows in a fixed random order with a falling rate. As the output
+is done in numpy by one task, on hashed features alone, by rows in a fixed random order with a falling rate. As the output
 is linear in the vectors, scoring needs one number per bucket, so that each task reads a text once and adds up.
 
 Labels: rows without a doc_id or label are ignored; a doc_id with both labels counts as 1. Rows held out (crc32 of the id as
@@ -106,10 +106,21 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
                                          ["doc_id", "quality", "buckets", "counts"])
 
     rows = mapped(sample.select("doc_id", "text", F.col("quality").cast("int").alias("quality")), kernel, "doc_id long, quality int, buckets array<int>, counts array<int>")
-    found = rows.toArrow().sort_by([("doc_id", "ascending")])
-    lists = [np.split(found[c].combine_chunks().values.to_numpy(), found[c].combine_chunks().offsets.to_numpy()[1:-1]) if len(found) else [] for c in ("buckets", "counts")]
-    examples = sorted(zip(found["doc_id"].to_pylist(), (x.tobytes() for x in lists[0]), lists[0], lists[1], found["quality"].to_pylist(), strict=True), key=lambda r: r[:2])
-    return train([(b, c.astype(np.float64), int(y)) for _, _, b, c, y in examples])
+
+    def fit(batches):
+        examples = []
+        for batch in batches:
+            buckets, counts = batch.column(2), batch.column(3)
+            for doc_id, y, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), range(batch.num_rows), strict=True):
+                examples.append((doc_id, np.array(buckets[i].values), np.array(counts[i].values, np.float32), y))
+        # repeated ids in the order of their features, so that the rows' order doesn't count
+        examples.sort(key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
+        odds, bias = train([r[1:] for r in examples])
+        yield pa.RecordBatch.from_arrays([pa.array([odds.tolist()], pa.list_(pa.float32())), pa.array([bias])], ["odds", "bias"])
+
+    # one task learns from the bounded sample; the driver gets one number per bucket
+    model = rows.repartition(1).mapInArrow(fit, "odds array<float>, bias double").first()
+    return (np.array(model["odds"], np.float32), model["bias"]) if model else train([])
 
 
 def score_texts(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
