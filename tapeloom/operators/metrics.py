@@ -63,7 +63,11 @@ def returns(df: DataFrame, value: str = "portfolio_value", out: str = "returns",
 
 def cumulative_return(df: DataFrame, r: str = "returns", out: str = "cumulative_return", keys: tuple[str, ...] = ("scenario",), order: str = "date") -> DataFrame:
     """The running product of 1 + r, less 1; rows with no return have none."""
-    grown = F.exp(F.sum(F.log1p(r)).over(Panel(keys, order).so_far)) - 1
+    w, grows = Panel(keys, order).so_far, F.col(r) + 1
+    # factors of 0 or less have no logarithm: one 0 ends the product at 0, each negative one turns its sign
+    size = F.exp(F.coalesce(F.sum(F.when(F.col(r) > -1, F.log1p(r)).when(grows < 0, F.log(-grows))).over(w), F.lit(0.0)))
+    sign = 1 - 2 * (F.sum((grows < 0).cast("int")).over(w) % 2)
+    grown = F.when(F.max((grows == 0).cast("int")).over(w) == 1, 0.0).otherwise(sign * size) - 1
     return df.withColumn(out, F.when(F.col(r).isNotNull(), grown))
 
 

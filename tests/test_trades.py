@@ -156,3 +156,13 @@ def test_forward_edges_count_filled_trades_only(frame):
     assert row.signal_event_count == 1 and row.signal_mean_edge_1 == pytest.approx(0.1) and row.signal_mean_edge_3 == pytest.approx(-0.1)
     assert row.signal_mean_mfe_3 == pytest.approx(0.2) and row.signal_mean_mae_3 == pytest.approx(-0.1)
     assert ev.forward_edges(trades, bars, [1], count_rejected=True).first().signal_event_count == 4
+
+
+def test_cumulative_return_through_total_losses(spark):
+    from tapeloom.operators import metrics
+
+    rows = [("a", k, r) for k, r in enumerate([0.1, -1.0, 0.5, 0.2])] + [("b", k, r) for k, r in enumerate([0.1, None, -1.5, 0.2])]
+    out = metrics.cumulative_return(spark.createDataFrame(rows, "scenario string, date int, returns double")).orderBy("scenario", "date").collect()
+    got = [r["cumulative_return"] for r in out]
+    want = [0.1, -1.0, -1.0, -1.0, 0.1, None, -1.55, -1.66]
+    assert all(a is b is None or abs(a - b) < 1e-12 for a, b in zip(got, want, strict=True))
