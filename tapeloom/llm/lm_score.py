@@ -1,106 +1,133 @@
 """Cross-entropy difference of two matched bigram models.
 
-Target and background are counted in one pass over all documents, with the same vocabulary: words and word pairs hashed
-into tables whose sizes are parameters, so that the models have a proven size whatever the corpus, while their counts
-cover all of it. Both models have the same order and smoothing, and the counts of both are scaled to the same mass, so
+Target and background are counted over all documents with one shared vocabulary, the words of the corpus themselves, so that
+the models grow with it. Both have the same order and smoothing, and the counts of both are scaled to the same mass, so
 that a difference of losses does not come from the size of the corpora.
 
     p(w | v) = (c(v, w) + A p(w)) / (c(v) + A),  p(w) = (c(w) + B / V) / (N + B)
 
+No task and no broadcast holds a model. Documents are dealt to chunks of some 16 MB of text by a hash of their id. A chunk
+sends each of its distinct words and word pairs once, with its counts; the rows of one gram meet and learn the sums; the
+sums go back to the chunks that asked, which score their documents. A gram of one chunk alone is not sent back, as the
+chunk knows its counts. The chunks grow in number, not in size.
+
 The score is the mean over the words of log p_target - log p_background, the background's loss less the target's.
-Documents without words (or null) have 0 words and a score of 0. Rows are judged one by one, repeated rows alike.
+Documents without words (or null) have 0 words and a score of 0. Rows are judged one by one, repeated rows alike; a row
+without an id is never a target. Without any target text its loss is that of the smoothing alone.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.llm.base import mapped, stored
-from tapeloom.llm.words import SPACE, grams, joined, separators, word_hashes
+from tapeloom.llm.base import CHUNK_BYTES, stored
+from tapeloom.llm.words import SPACE, joined, pair_hashes, separators, word_hashes
 
-#: Sizes of the hashed tables of words and of word pairs, in bits.
-WORD_BITS, PAIR_BITS = 18, 21
+#: Bytes of text whose documents are counted and scored together.
+DEALT_BYTES = 1 << 24
 #: Weights of the shorter history (A, B above).
 BACK_OFF, FLOOR = 8.0, 1000.0
+#: Stands for the start of a text.
+START = np.uint64(1)
+
+
+def text_grams(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For every word of all texts: its text, the hashes of the word, of the word before and of both, in slices of bounded size."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy()
+    part = np.cumsum(sizes) // CHUNK_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
+    out = [(np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * 3)]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        data, begins = joined(texts.slice(a, b - a).to_pylist())
+        words, owner = word_hashes(data, begins, separators(SPACE))
+        if len(words):
+            first = np.concatenate([[True], owner[1:] != owner[:-1]])
+            before = np.where(first, START, np.concatenate([words[:1], words[:-1]]))
+            out.append((owner + a, words, before, pair_hashes(before, words)))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+class Chunk:
+    """The documents of one chunk, its distinct grams and their counts under target and background."""
+
+    def __init__(self, table: pa.Table):
+        is_doc = table["is_doc"]
+        named = table.filter(pc.invert(is_doc))["doc_id"]
+        docs = table.filter(is_doc)
+        self.doc_id = docs["doc_id"]
+        target = pc.fill_null(pc.is_in(self.doc_id, value_set=named.combine_chunks()), False).to_numpy()
+        target &= pc.is_valid(self.doc_id).to_numpy()
+        self.owner, word, before, pair = text_grams(docs["text"].cast(pa.large_binary()))
+        opens = before == START
+        every = np.concatenate([word, pair, before[opens]])
+        of = np.concatenate([self.owner, self.owner, self.owner[opens]])
+        self.grams, place = np.unique(every, return_inverse=True)
+        n = len(word)
+        self.word, self.pair = place[:n], place[n:2 * n]
+        self.before = np.searchsorted(self.grams, before)
+        self.is_word = np.zeros(len(self.grams), bool)
+        self.is_word[self.word] = True
+        self.counts = np.stack([np.bincount(place[target[of]], minlength=len(self.grams)), np.bincount(place, minlength=len(self.grams))])
+
+
+def dealt(docs: DataFrame, targets: DataFrame, n_chunks: int) -> DataFrame:
+    """Documents and the ids of the targets, side by side in the chunks of their ids; rows without an id by their text."""
+    kind = dict(docs.dtypes)["doc_id"]
+    named = targets.select(F.col("doc_id").cast(kind).alias("doc_id")).where("doc_id is not null").distinct()
+    both = docs.select("doc_id", "text", F.lit(True).alias("is_doc")).union(named.select("doc_id", F.lit(None).cast("string"), F.lit(False)))
+    by = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("text"))
+    return both.withColumn("chunk", F.pmod(by, F.lit(n_chunks)))
 
 
-def token_buckets(texts: list[bytes | None], word_bits: int, pair_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For every word of all texts: its text, its bucket, its predecessor's bucket and that of the two together."""
-    data, begins = joined(texts)
-    words, owner = word_hashes(data, begins, separators(SPACE))
-    first = np.concatenate([[True], owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, bool)
-    before = np.where(first, np.uint64(1), np.concatenate([words[:1], words[:-1]]))  # 1 stands for the start of a text
-    both = grams(np.stack([before, words], 1).ravel(), 2)[::2]
-    cut = lambda h, bits: (h >> np.uint64(64 - bits)).astype(np.int64)
-    return owner, cut(words, word_bits), np.where(first, 0, cut(before, word_bits)), cut(both, pair_bits)
-
-
-def count_tables(docs: DataFrame, word_bits: int = WORD_BITS, pair_bits: int = PAIR_BITS) -> DataFrame:
-    """(slot, target, background): counts over all rows of (text, is_target), words first, then pairs, then text starts."""
-    total = (1 << word_bits) + (1 << pair_bits) + 1
-
-    def run(batches):
-        counts = np.zeros((2, total), np.int64)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                owner, word, _, pair = token_buckets(part.column(0).cast(pa.binary()).to_pylist(), word_bits, pair_bits)
-                target = part.column(1).to_numpy(zero_copy_only=False)[owner]
-                starts = np.concatenate([[True], owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, bool)
-                for k, chosen in ((0, target), (1, np.ones(len(owner), bool))):
-                    np.add.at(counts[k], word[chosen], 1)
-                    np.add.at(counts[k], pair[chosen] + (1 << word_bits), 1)
-                    counts[k, -1] += (starts & chosen).sum()
-        slots = np.flatnonzero(counts[1])
-        for start in range(0, len(slots), 1 << 16):
-            s = slots[start:start + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(counts[0, s]), pa.array(counts[1, s])], ["slot", "target", "background"])
-
-    parts = docs.select("text", "is_target").mapInArrow(run, "slot long, target long, background long")
-    return parts.groupBy("slot").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-
-
-def fit(counts: DataFrame, word_bits: int = WORD_BITS, pair_bits: int = PAIR_BITS) -> dict:
-    """Loss tables of a fixed size from the counts: at most 2^word_bits + 2^pair_bits + 1 rows come to the driver."""
-    rows = counts.toPandas()
-    n_words, n_pairs = 1 << word_bits, 1 << pair_bits
-    full = np.zeros((2, n_words + n_pairs + 1))
-    full[0, rows["slot"]], full[1, rows["slot"]] = rows["target"], rows["background"]
-    sums = full[:, :n_words].sum(1)
-    mass = min(s for s in sums if s > 0) if sums.any() else 1.0
-    full *= (mass / np.maximum(sums, 1))[:, None]
-    kinds = max(1, np.count_nonzero(full[1, :n_words]))
-    single = (full[:, :n_words] + FLOOR / kinds) / (full[:, :n_words].sum(1) + FLOOR)[:, None]
-    return {"single": single.astype(np.float32), "word": full[:, :n_words].astype(np.float32), "pair": full[:, n_words:-1].astype(np.float32), "start": full[:, -1]}
-
-
-def losses(model: dict, texts: list[bytes | None], word_bits: int, pair_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Number of words of each text and its mean losses under target and background, one row each."""
-    owner, word, before, pair = token_buckets(texts, word_bits, pair_bits)
-    first = np.concatenate([[True], owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, bool)
-    n = np.bincount(owner, minlength=len(texts)) if len(owner) else np.zeros(len(texts), np.int64)
-    out = np.zeros((2, len(texts)))
-    for k in range(2):
-        history = np.where(first, model["start"][k], model["word"][k][before])
-        p = (model["pair"][k][pair] + BACK_OFF * model["single"][k][word]) / (history + BACK_OFF)
-        out[k] = np.bincount(owner, -np.log(p), len(texts)) / np.maximum(n, 1) if len(owner) else 0
-    return n, out
-
-
-def cross_entropy_difference(docs: DataFrame, targets: DataFrame, word_bits: int = WORD_BITS, pair_bits: int = PAIR_BITS) -> DataFrame:
-    """doc_id, n_words, target_loss, background_loss, score of every row of ``docs``; ``targets`` (doc_id) names the target texts."""
-    named = targets.where("doc_id is not null").select("doc_id").distinct().withColumn("is_target", F.lit(True))
-    flagged = docs.select("doc_id", "text").join(named, "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
-    counts = stored(count_tables(flagged, word_bits, pair_bits), "counts")
-    model = docs.sparkSession.sparkContext.broadcast(fit(counts, word_bits, pair_bits))
+def gram_counts(rows: DataFrame) -> DataFrame:
+    """chunk, gram, is_word, target, background: the distinct grams of every chunk with the chunk's counts."""
+
+    def count(table: pa.Table) -> pa.Table:
+        c = Chunk(table)
+        return pa.table({"chunk": pa.repeat(table["chunk"][0], len(c.grams)), "gram": c.grams.view(np.int64), "is_word": c.is_word, "target": c.counts[0], "background": c.counts[1]})
+
+    return rows.groupBy("chunk").applyInArrow(count, "chunk long, gram long, is_word boolean, target long, background long")
 
-    def kernel(batch):
-        n, loss = losses(model.value, batch.column(1).cast(pa.binary()).to_pylist(), word_bits, pair_bits)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(loss[0]), pa.array(loss[1]), pa.array(loss[1] - loss[0])],
-                                         ["doc_id", "n_words", "target_loss", "background_loss", "score"])
+
+def corpus_counts(counts: DataFrame) -> DataFrame:
+    """The counts over all chunks at each chunk's gram, and whether the row is the one that stands for its gram.
+
+    Word pairs of one chunk are left out, as the chunk has their counts. The rows of a gram are at most the chunks.
+    """
+    w = Window.partitionBy("gram")
+    sums = {c: F.sum(c).over(w) for c in ("target", "background")}
+    out = counts.withColumns(sums | {"chunks": F.count("*").over(w), "leads": F.col("chunk") == F.min("chunk").over(w)})
+    return out.where("is_word or chunks > 1")
+
+
+def cross_entropy_difference(docs: DataFrame, targets: DataFrame, dealt_bytes: int = DEALT_BYTES) -> DataFrame:
+    """doc_id, n_words, target_loss, background_loss, score of every row of ``docs``; ``targets`` (doc_id) names the target texts."""
+    size = docs.agg(F.sum(F.octet_length("text")).alias("size")).first()["size"] or 0
+    rows = dealt(docs, targets, size // dealt_bytes + 1)
+    known = stored(corpus_counts(gram_counts(rows)), "counts")
+    total = known.where("is_word and leads").agg(F.sum("target").alias("target"), F.sum("background").alias("background"), F.count("*").alias("kinds")).first()
+    sums = np.array([total["target"] or 0, total["background"] or 0], float)
+    mass = min((s for s in sums if s > 0), default=1.0)
+    scale, kinds = mass / np.maximum(sums, 1), max(total["kinds"], 1)
+
+    def score(table: pa.Table, sent: pa.Table) -> pa.Table:
+        c = Chunk(table)
+        at = np.searchsorted(c.grams, sent["gram"].to_numpy().view(np.uint64))
+        for k, name in enumerate(("target", "background")):
+            c.counts[k, at] = sent[name].to_numpy()
+        n = np.bincount(c.owner, minlength=len(c.doc_id))
+        loss = np.zeros((2, len(c.doc_id)))
+        for k in range(2):
+            seen = c.counts[k] * scale[k]
+            single = (seen[c.word] + FLOOR / kinds) / (sums[k] * scale[k] + FLOOR)
+            p = (seen[c.pair] + BACK_OFF * single) / (seen[c.before] + BACK_OFF)
+            loss[k] = np.bincount(c.owner, -np.log(p), len(c.doc_id)) / np.maximum(n, 1)
+        return pa.table({"doc_id": c.doc_id, "n_words": n, "target_loss": loss[0], "background_loss": loss[1], "score": loss[1] - loss[0]})
 
     kind = dict(docs.dtypes)["doc_id"]
-    return mapped(docs.select("doc_id", "text"), kernel, f"doc_id {kind}, n_words long, target_loss double, background_loss double, score double")
+    back = known.where("chunks > 1").select("chunk", "gram", "target", "background")
+    return rows.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(score, f"doc_id {kind}, n_words long, target_loss double, background_loss double, score double")

@@ -62,6 +62,11 @@ def grams(words: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def pair_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hashes of pairs of words, as ``grams`` gives them for neighbours."""
+    return mix((np.full(len(left), np.uint64(2)) * _STEP + left) * _STEP + right)
+
+
 def shingle_sets(texts: list[bytes | None], k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct k-word shingles of each text, sorted: (hashes, offsets with one more entry than texts).
 

@@ -109,15 +109,41 @@ def test_license_phrases(docs, empty):
     assert license_scan.license_scan(empty).count() == 0
 
 
-def test_losses(docs, spark):
-    targets = spark.createDataFrame([(0,), (1,), (None,)], "doc_id long")
-    rows = lm_score.cross_entropy_difference(docs, targets, 12, 14).collect()
-    assert len(rows) == docs.count()
-    by = {r["doc_id"]: r for r in rows}
-    assert by[0]["score"] > by[11]["score"]
-    texts = {i: [w.lower() for w in WORDS.findall(t or "")] for i, t, *_ in sample_rows()}
-    assert all(by[i]["n_words"] == len(w) for i, w in texts.items() if i is not None)
-    assert by[60]["score"] == 0
+def brute_losses(rows, targets):
+    """The two mean losses of every row, from counts of words and pairs as text."""
+    A, B = lm_score.BACK_OFF, lm_score.FLOOR
+    words = [["\0", *(WORDS.findall("".join(c.lower() if c.isascii() else c for c in t or "")))] for _, t, *_ in rows]
+    single, pair = [collections.Counter(), collections.Counter()], [collections.Counter(), collections.Counter()]
+    for (i, *_), ws in zip(rows, words):
+        for k in (0, 1) if i in targets else (1,):
+            single[k].update(ws if len(ws) > 1 else [])
+            pair[k].update(zip(ws, ws[1:]))
+    sums = [sum(c.values()) - c["\0"] for c in single]
+    mass, kinds = min(s for s in sums if s), len(single[1]) - 1
+    out = []
+    for ws in words:
+        loss = [0.0, 0.0]
+        for k in (0, 1):
+            f = mass / max(sums[k], 1)
+            for v, w in zip(ws, ws[1:]):
+                p = (f * single[k][w] + B / kinds) / (f * sums[k] + B)
+                loss[k] -= np.log((f * pair[k][v, w] + A * p) / (f * single[k][v] + A)) / (len(ws) - 1)
+        out.append((len(ws) - 1, *loss))
+    return out
+
+
+@pytest.mark.parametrize("dealt_bytes", [4000, 1 << 24])
+def test_losses(docs, spark, empty, dealt_bytes):
+    targets = spark.createDataFrame([(0,), (1,), (1,), (None,), (-7,)], "doc_id long")
+    got = [tuple(r) for r in lm_score.cross_entropy_difference(docs, targets, dealt_bytes).collect()]
+    want = [(i, *b) for (i, *_), b in zip(sample_rows(), brute_losses(sample_rows(), {0, 1}))]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], round(r[2], 6))
+    assert len(got) == len(want)
+    for g, w in zip(sorted(got, key=key), sorted(want, key=key)):
+        assert g[:2] == w[:2] and g[2:4] == pytest.approx(w[2:], abs=1e-9) and g[4] == pytest.approx(w[3] - w[2], abs=1e-9)
+    assert lm_score.cross_entropy_difference(empty, targets, dealt_bytes).count() == 0
+    alone = lm_score.cross_entropy_difference(docs, targets.limit(0), dealt_bytes).collect()
+    assert len(alone) == len(want) and all(np.isfinite(r["score"]) for r in alone)
 
 
 def test_mixing(docs, empty):
