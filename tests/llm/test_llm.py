@@ -132,7 +132,7 @@ def brute_losses(rows, targets):
     return out
 
 
-@pytest.mark.parametrize("dealt_bytes", [4000, 1 << 24])
+@pytest.mark.parametrize("dealt_bytes", [4000, 1 << 23])
 def test_losses(docs, spark, empty, dealt_bytes):
     targets = spark.createDataFrame([(0,), (1,), (1,), (None,), (-7,)], "doc_id long")
     got = [tuple(r) for r in lm_score.cross_entropy_difference(docs, targets, dealt_bytes).collect()]
