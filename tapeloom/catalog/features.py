@@ -235,13 +235,17 @@ def _(t):
 
 
 @query("j07_as_of_lookup", store=True, sql=with_bars(
-    "SELECT b.symbol, d.day, arg_max(b.date, b.date) AS last_date, arg_max(b.close, b.date) AS last_close FROM bars b JOIN (SELECT DISTINCT last_day(date) AS day FROM bars) d ON b.date <= d.day AND b.date > d.day - 62 GROUP BY ALL"))
+    "SELECT b.symbol, d.day, arg_max(b.date, b.date) AS last_date, arg_max(b.close, b.date) AS last_close FROM bars b JOIN (SELECT DISTINCT last_day(date) AS day FROM bars) d ON b.date <= d.day GROUP BY ALL"))
 def _(t):
-    # the last bar in the 62 days up to each month end: bars are sent to the ends that can see them, an equi-join
+    # the last bar up to each month end: a bar is sent to the ends before the symbol's next bar, however far, an equi-join
     ends = t.bars.select(F.last_day("date").alias("day")).distinct()
-    seen = t.bars.withColumn("day", F.explode(F.expr("transform(sequence(0, 2), k -> last_day(add_months(date, k)))")))
-    seen = seen.where("date > date_sub(day, 62)").join(ends, "day", "left_semi")
-    return seen.groupBy("symbol", "day").agg(F.max("date").alias("last_date"), F.max_by("close", "date").alias("last_close"))
+    newest = ends.agg(F.max("day")).first()[0]
+    until = F.lead("date").over(BARS.w)
+    months = F.expr("cast(round(months_between(last_day(coalesce(_next, _newest)), last_day(date))) as int)")
+    seen = t.bars.withColumns({"_next": until, "_newest": F.lit(newest)}).withColumn("_months", months)
+    seen = seen.withColumn("day", F.explode(F.expr("transform(sequence(0, _months), k -> last_day(add_months(date, k)))")))
+    seen = seen.where("_next is null or day < _next").join(ends, "day", "left_semi")
+    return seen.select("symbol", "day", F.col("date").alias("last_date"), F.col("close").alias("last_close"))
 
 
 @query("j08_benchmark_join", store=True, sql=with_bars(f"SELECT symbol, date, {s4('r', 'b')} FROM pair", *MARKET))

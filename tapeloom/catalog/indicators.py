@@ -211,6 +211,40 @@ def _(t):
     return ind.trix(t.bars).select(*KEY, *r4("trix"))
 
 
+GAPS = "gappy AS (SELECT * REPLACE (CASE WHEN day(date) % 7 <> 0 THEN close END AS close) FROM bars)"
+
+
+def gappy(t):
+    """Bars whose close is missing on some days."""
+    return t.bars.withColumn("close", F.when(F.dayofmonth("date") % 7 != 0, F.col("close")))
+
+
+@query("i02b_ema_gaps", with_bars("SELECT symbol, date, round(e, 4) AS ema_12 FROM eg", GAPS, gap_ewm_cte("eg", "gappy", "close", 6.5, "e")))
+def _(t):
+    return ind.ema(gappy(t), n=12).select(*KEY, *r4("ema_12"))
+
+
+@query("i07b_macd_gaps", with_bars(
+    f"SELECT symbol, date, {s4('macd', 'macd_signal')} FROM gs", GAPS, gap_ewm_cte("gf", "gappy", "close", 6.5, "ef"), gap_ewm_cte("gl", "gf", "close", 13.5, "es"),
+    "gm AS (SELECT *, ef - es AS macd FROM gl)", gap_ewm_cte("gs", "gm", "macd", 5, "macd_signal")))
+def _(t):
+    return ind.macd(gappy(t)).select(*KEY, *r4("macd", "macd_signal"))
+
+
+@query("i20b_keltner_gaps", with_bars(
+    "SELECT symbol, date, round(e + 2 * atr, 4) AS kc_upper, round(e, 4) AS kc_middle FROM kg", GAPS,
+    *atr_ctes(20, "gappy", "atr_g"), gap_ewm_cte("kg", "atr_g", "close", 10.5, "e")))
+def _(t):
+    return ind.keltner(gappy(t)).select(*KEY, *r4("kc_upper", "kc_middle"))
+
+
+@query("i21b_trix_gaps", with_bars(
+    f"SELECT symbol, date, round((e3 - lag(e3) {W}) / lag(e3) {W} * 100, 4) AS trix FROM x3", GAPS, gap_ewm_cte("x1", "gappy", "close", 7.5, "e1"),
+    gap_ewm_cte("x2", "x1", "e1", 7.5, "e2"), gap_ewm_cte("x3", "x2", "e2", 7.5, "e3")))
+def _(t):
+    return ind.trix(gappy(t)).select(*KEY, *r4("trix"))
+
+
 @query("i22_dmi", with_bars(f"SELECT symbol, date, {s4('plus_di', 'minus_di', 'dx', 'adx')} FROM d6", *ADX_CTES))
 def _(t):
     return ind.adx(t.bars).select(*KEY, *r4("plus_di", "minus_di", "dx", "adx"))

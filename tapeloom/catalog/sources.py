@@ -169,12 +169,12 @@ def _(t):
     return ig.standardize_stock(src.union(again), "seq").select("code", "date", "close", "high", "low")
 
 
-@query("s05_universe_file", with_bars(f"SELECT {CODE} || '.SZ' AS symbol FROM (SELECT DISTINCT symbol FROM bars) ORDER BY 1 LIMIT 12"))
+@query("s05_universe_file", with_bars(f"SELECT {CODE} || '.SZ' AS symbol FROM (SELECT DISTINCT symbol FROM bars) ORDER BY 1"))
 def _(t):
     path = work_dir(t.spark, "universe")
     lines = t.bars.select(code().alias("value")).distinct().orderBy("value")
     lines.select(F.concat(F.lit(" "), "value", F.lit("\n"))).write.text(path)
-    return ig.read_universe(t.spark, path, with_exchange=True, first=12).select("symbol")
+    return ig.read_universe(t.spark, path, with_exchange=True).select("symbol")
 
 
 @query("s06_latest_files", with_bars(

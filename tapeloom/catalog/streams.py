@@ -20,14 +20,14 @@ from tapeloom.plans import registry as rg
 from tapeloom.session import work_dir
 from tapeloom.streaming import bars_stream as bs
 
-CUTS = ["1997-06-30", "1999-06-30", "2009-12-31"]
+START, CUTS = "0001-01-01", ["1997-06-30", "1999-06-30", None]
 
 
 def arrivals(df, path):
-    """The rows as they arrive: three deliveries in date order; yields after each."""
-    start = "1900-01-01"
+    """The rows as they arrive: three deliveries in date order, the last one open; yields after each."""
+    start = START
     for end in CUTS:
-        df.where((F.col("date") > start) & (F.col("date") <= end)).write.mode("append").parquet(path)
+        df.where((F.col("date") > start) & (F.col("date") <= end if end else F.lit(True))).write.mode("append").parquet(path)
         start = end
         yield end
 
@@ -43,8 +43,7 @@ def versions(t):
 
 
 @query("st1_refresh", store=True, sql=with_bars(
-    """SELECT symbol, date, CASE WHEN day(date) % 5 = 0 AND (date > DATE '1999-06-30' OR (date <= DATE '1997-06-30' AND date >= l1 - 120) OR (date > DATE '1997-06-30' AND date <= DATE '1999-06-30' AND date >= l2 - 120)) THEN high ELSE close END AS close
-  FROM bars JOIN (SELECT symbol, max(date) FILTER (date <= DATE '1997-06-30') AS l1, max(date) FILTER (date <= DATE '1999-06-30') AS l2 FROM bars GROUP BY 1) USING (symbol)"""))
+    "SELECT symbol, date, CASE WHEN day(date) % 5 = 0 THEN high ELSE close END AS close FROM bars"))
 def _(t):
     root = work_dir(t.spark, "refresh")
     first, again = versions(t)
@@ -52,7 +51,7 @@ def _(t):
     for end in arrivals(first, f"{root}/landed"):
         if late is not None:  # corrections of the delivery before
             again.where((F.col("date") > late[0]) & (F.col("date") <= late[1])).write.mode("append").parquet(f"{root}/landed")
-        late = (late[1] if late else "1900-01-01", end)
+        late = (late[1] if late else START, end)
         if end == CUTS[-1]:
             again.where(F.col("date") > CUTS[-2]).write.mode("append").parquet(f"{root}/landed")
         bs.refresh_bars(bs.read_files(t.spark, f"{root}/landed", first.schema), root)

@@ -19,7 +19,7 @@ def sma(df: DataFrame, x: str = "close", n: int = 20, out: str | None = None, pa
 
 
 def ema(df: DataFrame, x: str = "close", n: int = 20, out: str | None = None, panel: Panel = BARS) -> DataFrame:
-    return ewm(df, {out or f"ema_{n}": (x, span(n))}, panel)
+    return ewm_gaps(df, {out or f"ema_{n}": (x, span(n))}, panel)
 
 
 def wma(df: DataFrame, x: str = "close", n: int = 10, out: str | None = None, panel: Panel = BARS) -> DataFrame:
@@ -88,7 +88,7 @@ def macd(
     df: DataFrame, x: str = "close", fast: int = 12, slow: int = 26, signal: int = 9, panel: Panel = BARS
 ) -> DataFrame:
     """Adds macd, macd_signal, macd_hist."""
-    df = ewm(df, {"_fast": (x, span(fast)), "_slow": (x, span(slow))}, panel)
+    df = ewm_gaps(df, {"_fast": (x, span(fast)), "_slow": (x, span(slow))}, panel)
     df = df.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
     df = ewm(df, {"macd_signal": ("macd", span(signal))}, panel)
     return df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
@@ -201,7 +201,7 @@ def donchian(df: DataFrame, n: int = 20, panel: Panel = BARS) -> DataFrame:
 
 
 def keltner(df: DataFrame, n: int = 20, k: float = 2.0, panel: Panel = BARS) -> DataFrame:
-    df = ewm(atr(df, n, "_atr", panel), {"kc_middle": ("close", span(n))}, panel)
+    df = ewm_gaps(atr(df, n, "_atr", panel), {"kc_middle": ("close", span(n))}, panel)
     return df.withColumns(
         {"kc_upper": F.col("kc_middle") + k * F.col("_atr"), "kc_lower": F.col("kc_middle") - k * F.col("_atr")}
     ).drop("_atr")
@@ -209,8 +209,8 @@ def keltner(df: DataFrame, n: int = 20, k: float = 2.0, panel: Panel = BARS) ->
 
 def trix(df: DataFrame, x: str = "close", n: int = 14, panel: Panel = BARS) -> DataFrame:
     keep = df.columns
-    for i in (1, 2, 3):
-        df = ewm(df, {f"_e{i}": (x if i == 1 else f"_e{i - 1}", span(n))}, panel)
+    for i in (1, 2, 3):  # only the column itself can have gaps, a mean repeats its last value there
+        df = (ewm_gaps if i == 1 else ewm)(df, {f"_e{i}": (x if i == 1 else f"_e{i - 1}", span(n))}, panel)
     before = lag("_e3", panel=panel)
     return df.withColumn("trix", div(F.col("_e3") - before, before) * 100).select(*keep, "trix")
 

@@ -158,7 +158,8 @@ def covariance(returns: DataFrame, r: str = "r", blocks: int = 8) -> DataFrame:
 
 def _marginal(weights: DataFrame, cov: DataFrame) -> DataFrame:
     """Sum over b of cov(a, b) w(b), per portfolio and a."""
-    full = cov.union(cov.where("a <> b").select("b", "a", "cov"))
+    # both orders of a pair from one row, so that the matrix is made once
+    full = cov.select(F.explode(F.expr("if(a = b, array(struct(a, b)), array(struct(a, b), struct(b as a, a as b)))")).alias("_p"), "cov").select("_p.*", "cov")
     w = weights.select("portfolio", F.col("symbol").alias("b"), "weight")
     part = full.join(w, "b").groupBy("portfolio", "a").agg(F.sum(F.col("cov") * F.col("weight")).alias("_m"))
     return weights.join(part.withColumnRenamed("a", "symbol"), ["portfolio", "symbol"])

@@ -29,8 +29,12 @@ def build_session(app: str = "tapeloom", cores: str = "*", shuffle_partitions: i
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder for written tables.
 
-    It lies under ``spark.checkpoint.dir``, the folder that every executor can reach. Only where
-    the session names none (tests, one machine) a temporary folder takes its place.
+    It lies under ``spark.checkpoint.dir``, the folder that every executor can reach. Where the session names
+    none, a temporary folder takes its place on a local master; on a cluster that is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tapeloom-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="tapeloom-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

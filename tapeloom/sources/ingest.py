@@ -145,7 +145,7 @@ def standardize_daily(raw: DataFrame, symbol: Column | str | None = None, upper_
     return df.withColumns({c: F.when(given[c] == 0, e).otherwise(F.col(c)) for c, e in derived.items()})
 
 
-def standardize_index(raw: DataFrame, seq: str | None = None, aliases: Mapping[str, str] = INDEX_ALIASES) -> DataFrame:
+def standardize_index(raw: DataFrame, seq: str, aliases: Mapping[str, str] = INDEX_ALIASES) -> DataFrame:
     """Index bars: standard names, numbers, one row per code and date - the last by ``seq``."""
     df = rename(raw, aliases)
     if "date" not in df.columns:
@@ -153,12 +153,10 @@ def standardize_index(raw: DataFrame, seq: str | None = None, aliases: Mapping[s
     numbers = [c for c in ("open", "high", "low", "close", "volume", "amount") if c in df.columns]
     df = df.withColumns({"date": parse_date("date"), **{c: to_number(c) for c in numbers}})
     keys = [c for c in ("code",) if c in df.columns] + ["date"]
-    if seq is None:
-        return df.dropDuplicates(keys)
     return keep_last(df, keys, [F.col(seq)]).drop(seq)
 
 
-def standardize_stock(raw: DataFrame, seq: str | None = None) -> DataFrame:
+def standardize_stock(raw: DataFrame, seq: str) -> DataFrame:
     """Stock bars from files with 12 or 13 columns (named by position) or with known names.
 
     ``seq`` names an extra ingest-order column, not counted among the file's columns.
@@ -166,7 +164,7 @@ def standardize_stock(raw: DataFrame, seq: str | None = None) -> DataFrame:
     names = [c for c in raw.columns if c != seq]
     layout = {13: ["index", *BAR_COLUMNS], 12: BAR_COLUMNS}.get(len(names))
     if layout:
-        raw = raw.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(names, layout)], *([seq] if seq else []))
+        raw = raw.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(names, layout)], seq)
     return standardize_index(raw, seq, STOCK_ALIASES if not layout else {})
 
 
@@ -319,11 +317,11 @@ def listing_codes(listing: DataFrame, market: str | None = None, code: str = "ts
     return listing.select(text.alias("code")).where(is_a_share("code", market)).distinct().orderBy(F.col("code").cast("int"))
 
 
-def code_column(listing: DataFrame, candidates: Sequence[str], sample: int = 50) -> str | None:
+def code_column(listing: DataFrame, candidates: Sequence[str]) -> str | None:
     """The column that holds codes: by candidate name, by a name with 'code', or by its values.
 
-    By value: at least 60 % of the first values are six digits, with ten different ones. Looks at a
-    fixed number of rows, so the table size does not matter.
+    By value: the first column of whose values at least 60 % are six digits, with ten different ones; one
+    aggregate over all rows.
     """
     hit = pick_column(listing.columns, candidates)
     if hit:
@@ -331,15 +329,14 @@ def code_column(listing: DataFrame, candidates: Sequence[str], sample: int = 50)
     for c in listing.columns:
         if "code" in c.lower():
             return c
-    for c in listing.columns:
+    facts = []
+    for i, c in enumerate(listing.columns):
         s = F.split_part(F.trim(F.col(f"`{c}`").cast("string")), F.lit("."), F.lit(1))
         s = F.when(s.rlike(r"^\d+$") & (F.length(s) < 6), F.lpad(s, 6, "0")).otherwise(s)
-        head = listing.where(F.col(f"`{c}`").isNotNull()).limit(sample).select(s.alias("s"))
-        ok = F.col("s").rlike(r"^\d{6}$")
-        row = head.agg(F.avg(ok.cast("double")).alias("share"), F.count_distinct(F.when(ok, F.col("s"))).alias("kinds")).first()
-        if row.share is not None and row.share >= 0.6 and row.kinds >= 10:
-            return c
-    return None
+        ok = s.rlike(r"^\d{6}$")
+        facts += [F.avg(ok.cast("double")).alias(f"share{i}"), F.count_distinct(F.when(ok, s)).alias(f"kinds{i}")]
+    row = listing.agg(*facts).first()
+    return next((c for i, c in enumerate(listing.columns) if (row[f"share{i}"] or 0) >= 0.6 and row[f"kinds{i}"] >= 10), None)
 
 
 # ---- result files -----------------------------------------------------------------------------------

@@ -53,28 +53,15 @@ def current_bars(spark: SparkSession, root: str, keys=("symbol", "date"), seq: s
     return keep_last(versions, list(keys), [F.col("batch"), F.col(seq)]).drop("batch", seq)
 
 
-def refresh_bars(updates: DataFrame, root: str, lookback_days: int = 120, keys=("symbol", "date"), seq: str = "seq") -> None:
-    """Add bar versions from a stream; a later version of a key replaces the earlier one.
+def refresh_bars(updates: DataFrame, root: str, keys=("symbol", "date"), seq: str = "seq") -> None:
+    """Add bar versions from a stream; a later version of a key replaces the earlier one, however old the bar.
 
-    Versions more than ``lookback_days`` before a symbol's last known bar are too late and left out.
     Each batch writes its own folder and overwrites it when it is repeated, so a lost executor or a
     restart in the middle changes nothing.
     """
-    spark = updates.sparkSession
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        newest = keep_last(batch, list(keys), [F.col(seq)])
-        try:
-            known = spark.read.parquet(f"{root}/versions").where(F.col("batch") < batch_id)
-        except Exception as e:  # the table does not exist before the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        else:
-            last = known.groupBy("symbol").agg(F.max("date").alias("_last"))
-            newest = newest.join(last, "symbol", "left").where(
-                F.col("_last").isNull() | (F.col("date") >= F.date_sub("_last", max(lookback_days, 1)))
-            ).drop("_last")
-        newest.write.mode("overwrite").parquet(f"{root}/versions/batch={batch_id}")
+        keep_last(batch, list(keys), [F.col(seq)]).write.mode("overwrite").parquet(f"{root}/versions/batch={batch_id}")
 
     q = updates.writeStream.foreachBatch(add).option("checkpointLocation", f"{root}/checkpoint")
     q.trigger(availableNow=True).start().awaitTermination()

@@ -80,3 +80,12 @@ def test_wma_weights_the_newest_most(frame):
 
 def test_rsi_without_a_loss_is_100(frame):
     assert values(ind.rsi(frame(close=[1.0, 2.0, 3.0, 4.0]), n=2), "rsi") == [None, 100.0, 100.0, 100.0]
+
+
+def test_means_bridge_missing_closes(frame):
+    close = [1.0, 2.0, None, 4.0, 5.0, None, None, 3.0]
+    s = pd.Series(close, dtype=float)
+    fast, slow = (s.ewm(span=n, adjust=False).mean() for n in (2, 4))
+    df = frame(close=close)
+    near(values(ind.ema(df, n=3, out="e"), "e"), s.ewm(span=3, adjust=False).mean().tolist())
+    near(values(ind.macd(df, fast=2, slow=4, signal=3), "macd_signal"), (fast - slow).ewm(span=3, adjust=False).mean().tolist())

@@ -167,6 +167,17 @@ def test_streams_equal_batch(spark, frame):
     assert values(spark.read.parquet(f"{root}/new"), "is_new_signal") == [False, True, False, False, True, False, False, False]
 
 
+def test_an_old_correction_replaces_its_bar(spark, frame):
+    root = work_dir(spark, "old")
+    bars = frame(close=[float(i) for i in range(500)]).withColumn("seq", F.lit(1))
+    bars.write.parquet(f"{root}/landed")
+    bs.refresh_bars(bs.read_files(spark, f"{root}/landed", bars.schema), root)
+    bars.where("close = 50").withColumns({"close": F.lit(-1.0), "seq": F.lit(2)}).write.mode("append").parquet(f"{root}/landed")
+    bs.refresh_bars(bs.read_files(spark, f"{root}/landed", bars.schema), root)
+    got = values(bs.current_bars(spark, root), "close")
+    assert got == [-1.0 if i == 50 else float(i) for i in range(500)]
+
+
 def test_catalog_covers_the_inventory():
     import re
     from pathlib import Path
