@@ -149,9 +149,9 @@ def _(t):
     """SELECT c.symbol, c.period, open, high, low, close, coalesce(volume, 0) AS volume FROM
   (SELECT symbol, CAST(unnest(generate_series(min(period), max(period), INTERVAL 7 DAY)) AS DATE) AS period FROM wk GROUP BY 1) c LEFT JOIN
   (SELECT symbol, period, arg_min(open, date) AS open, max(high) AS high, min(low) AS low, arg_max(close, date) AS close, sum(volume) AS volume FROM wk GROUP BY ALL) USING (symbol, period)""",
-    "wk AS (SELECT *, CAST(date_trunc('week', date) + INTERVAL 6 DAY AS DATE) AS period FROM bars WHERE dayofyear(date) % 3 = 0)"))
+    "wk AS (SELECT *, CAST(date_trunc('week', date) + INTERVAL 6 DAY AS DATE) AS period FROM bars)"))
 def _(t):
-    return fr.resample(t.bars.where(F.dayofyear("date") % 3 == 0), "W").select("symbol", "period", "open", "high", "low", "close", "volume")
+    return fr.resample(t.bars, "W").select("symbol", "period", "open", "high", "low", "close", "volume")
 
 
 @query("h01b_resample_monthly", store=True, sql=with_bars(
@@ -168,10 +168,10 @@ def _(t):
 
 
 @query("h03_align", store=True, sql=with_bars(
-    """SELECT 'inner' AS how, symbol, date, a.close, b.volume FROM (SELECT * FROM bars WHERE volume > 40) a JOIN (SELECT * FROM bars WHERE close > open) b USING (symbol, date)
-  UNION ALL SELECT 'outer', symbol, date, a.close, b.volume FROM (SELECT * FROM bars WHERE volume > 40) a FULL JOIN (SELECT * FROM bars WHERE close > open) b USING (symbol, date)"""))
+    """SELECT 'inner' AS how, symbol, date, a.close, b.volume FROM bars a JOIN later b USING (symbol, date)
+  UNION ALL SELECT 'outer', symbol, date, a.close, b.volume FROM bars a FULL JOIN later b USING (symbol, date)""", "later AS (SELECT symbol, date + 7 AS date, volume FROM bars)"))
 def _(t):
-    a, b = t.bars.where("volume > 40").select(*KEY, "close"), t.bars.where("close > open").select(*KEY, "volume")
+    a, b = t.bars.select(*KEY, "close"), t.bars.select("symbol", F.date_add("date", 7).alias("date"), "volume")
     out = []
     for how in ("inner", "outer"):
         x, y = fr.align([a, b], KEY, how)
@@ -288,10 +288,14 @@ def _(t):
     return t.bars.groupBy("symbol").agg(q.alias("q")).select("symbol", *[F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("p25", "p50", "p75"))])
 
 
-@query("a03_pivot", with_bars("SELECT symbol, " + ", ".join(f"round(avg(close) FILTER (year(date) = {y}), 4) AS \"{y}\"" for y in (1996, 1997, 1998)) + " FROM bars GROUP BY 1"))
+# the years of the calendar of trades
+YEARS = list(range(1995, 2002))
+
+
+@query("a03_pivot", with_bars("SELECT symbol, " + ", ".join(f"round(avg(close) FILTER (year(date) = {y}), 4) AS \"{y}\"" for y in YEARS) + " FROM bars GROUP BY 1"))
 def _(t):
-    df = t.bars.withColumn("year", F.year("date")).groupBy("symbol").pivot("year", [1996, 1997, 1998]).agg(F.avg("close"))
-    return df.select("symbol", *[F.round(str(y), 4).alias(str(y)) for y in (1996, 1997, 1998)])
+    df = t.bars.withColumn("year", F.year("date")).groupBy("symbol").pivot("year", YEARS).agg(F.avg("close"))
+    return df.select("symbol", *[F.round(str(y), 4).alias(str(y)) for y in YEARS])
 
 
 @query("v01_window_frames", with_bars(
@@ -328,10 +332,10 @@ def _(t):
     return top.union(fr.last_rows(t.bars, 3).select(F.lit("tail").alias("part"), *KEY, "volume"))
 
 
-@query("u01_union", store=True, sql=with_bars("SELECT symbol, date, close, NULL::DOUBLE AS volume FROM bars WHERE year(date) = 1996 UNION ALL SELECT symbol, date, close, volume FROM bars WHERE year(date) = 1997"))
+@query("u01_union", store=True, sql=with_bars("SELECT symbol, date, close, NULL::DOUBLE AS volume FROM bars WHERE year(date) < 1997 UNION ALL SELECT symbol, date, close, volume FROM bars WHERE year(date) >= 1997"))
 def _(t):
-    a = t.bars.where(F.year("date") == 1996).select(*KEY, "close")
-    return a.unionByName(t.bars.where(F.year("date") == 1997).select(*KEY, "close", "volume"), allowMissingColumns=True)
+    a = t.bars.where(F.year("date") < 1997).select(*KEY, "close")
+    return a.unionByName(t.bars.where(F.year("date") >= 1997).select(*KEY, "close", "volume"), allowMissingColumns=True)
 
 
 @query("u02_distinct_keep_last", with_bars("SELECT symbol, last_day(date) AS month, arg_max(date, date) AS date, arg_max(close, date) AS close FROM bars GROUP BY ALL"))
@@ -345,9 +349,8 @@ def _(t):
     return t["lineitem"].select(F.to_date("l_shipdate").alias("date")).distinct().orderBy("date")
 
 
-@query("u03_index_intersection", store=True, sql=with_bars("SELECT date FROM bars WHERE symbol = 'Brand#1' INTERSECT SELECT date FROM bars WHERE symbol = 'Brand#2'"))
+@query("u03_index_intersection", store=True, sql=with_bars("SELECT symbol, date FROM bars INTERSECT SELECT symbol, date + 7 FROM bars"))
 def _(t):
-    a = t.bars.where("symbol = 'Brand#1'").select("date")
-    return a.intersect(t.bars.where("symbol = 'Brand#2'").select("date"))
+    return t.bars.select(*KEY).intersect(t.bars.select("symbol", F.date_add("date", 7).alias("date")))
 
 

@@ -125,12 +125,12 @@ def _(t):
 @query("p06b_execute_rebalance", store=True, sql=with_bars(
     f"""SELECT date, symbol, CASE WHEN d > 0 THEN 'buy' ELSE 'sell' END AS action, abs(d) AS shares, coalesce(price, 0) AS price, round(abs(d) * coalesce(price, 0), 2) AS value FROM
   (SELECT coalesce(a.date, b.date) AS date, coalesce(a.symbol, b.symbol) AS symbol, coalesce(b.shares, 0) - coalesce(a.shares, 0) AS d FROM
-    (SELECT date, symbol, CAST(lag(volume) {W} AS BIGINT) AS shares FROM bars) a FULL JOIN (SELECT date, symbol, CAST(volume AS BIGINT) AS shares FROM bars WHERE volume > 20) b USING (date, symbol))
+    (SELECT date, symbol, CAST(lag(volume) {W} AS BIGINT) AS shares FROM bars) a FULL JOIN (SELECT date, symbol, CAST(volume AS BIGINT) AS shares FROM bars) b USING (date, symbol))
   LEFT JOIN prices USING (symbol) WHERE d <> 0 AND date IN (SELECT date FROM (SELECT date, lag(date) OVER (ORDER BY date) AS p FROM (SELECT DISTINCT date FROM bars)) WHERE p IS NULL OR month(p) <> month(date))""", WEIGHTS))
 def _(t):
     from tapeloom.functions.kernels import lag
 
     days = pf.rebalance_days(t.bars.select(F.lit("all").alias("calendar"), "date"), "monthly")
     now = t.bars.select("date", "symbol", lag("volume").cast("long").alias("shares"))
-    then = t.bars.where("volume > 20").select("date", "symbol", F.col("volume").cast("long").alias("shares"))
+    then = t.bars.select("date", "symbol", F.col("volume").cast("long").alias("shares"))
     return pf.execute_rebalance(days, now, then, prices(t)).withColumn("value", F.round("value", 2))
