@@ -22,8 +22,8 @@ from tapeloom.llm.base import mapped
 from tapeloom.llm.words import SPACE, joined, mix, separators, word_hashes
 
 BITS, WIDTH, NGRAMS = 16, 8, (3, 4)
-#: Labelled rows of each class to learn from, passes over them, and the rate they begin with.
-PER_CLASS, PASSES, RATE = 3000, 6, 2.0
+#: Labelled rows of each class to learn from, passes over them (more where they come to fewer steps than these), and the rate they begin with.
+PER_CLASS, PASSES, STEPS, RATE = 3000, 6, 18_000, 2.0
 THRESHOLD = 0.3
 
 
@@ -63,6 +63,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, widt
     out, bias = np.zeros((2, width)), np.zeros(2)
     # both labels weigh the same
     weight = {y: len(labels) / (2 * labels.count(y)) for y in (0, 1)}
+    passes = max(passes, -(-STEPS // len(rows)))
     steps, step = passes * len(rows), 0
     for _ in range(passes):
         for i in rng.permutation(len(rows)):
