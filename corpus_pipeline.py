@@ -25,7 +25,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one whose id names the group."""
+    """One row of each group stays: the one whose id names the group, or one without an id where none has any."""
     return ngram_join.keep_representatives(docs)
 
 

@@ -67,7 +67,7 @@ def _lists(values: np.ndarray, lens: np.ndarray) -> pa.ListArray:
 
 
 def document_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, sig (key of the set), its window of first shingles, and a number of the row."""
+    """doc_id, n_shingles, sig (key of the set), its window of first shingles, tie (hash of the text), and a number of the row."""
 
     def kernel(batch):
         hashes, offsets = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), k)
@@ -75,10 +75,11 @@ def document_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
         w = _window(n, percent)
         at = np.repeat(offsets[:-1] - (np.cumsum(w) - w), w) + np.arange(w.sum())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n), pa.array(_signature(hashes, offsets)), _lists(hashes[at], w)], ["doc_id", "n_shingles", "sig", "window"])
+            [batch.column(0), pa.array(n), pa.array(_signature(hashes, offsets)), _lists(hashes[at], w), batch.column(2)], ["doc_id", "n_shingles", "sig", "window", "tie"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    sets = mapped(docs.select("doc_id", "text"), kernel, f"doc_id {kind}, n_shingles long, sig long, window array<long>")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
+    sets = mapped(rows, kernel, f"doc_id {kind}, n_shingles long, sig long, window array<long>, tie long")
     return sets.withColumn("rid", F.monotonically_increasing_id())
 
 
@@ -325,15 +326,20 @@ def near_duplicate_links(docs: DataFrame, sets: DataFrame, k: int = 5, percent:
     return found.distinct()
 
 
-def near_duplicate_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
+def _grouped_sets(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` (doc_id, n_shingles, sig, tie, rid), and each set with words: sig, root of its group, least (its smallest doc_id)."""
     sets = stored(document_sets(docs, k, percent), "sets")
     # equal sets are one node, the first row that has it
-    light = sets.select("doc_id", "n_shingles", "sig", "rid")
+    light = sets.select("doc_id", "n_shingles", "sig", "tie", "rid")
     first = stored(light.where("n_shingles > 0").groupBy("sig").agg(F.min("rid").alias("node"), F.min("doc_id").alias("least")), "first")
     once = sets.join(small_side(first.select(F.col("node").alias("rid"))), "rid")
     roots = components(near_duplicate_links(docs, once, k, percent))
-    groups = first.join(roots, "node", "left").select("sig", F.coalesce("root", "node").alias("root"), "least")
+    return light, first.join(roots, "node", "left").select("sig", F.coalesce("root", "node").alias("root"), "least")
+
+
+def near_duplicate_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
+    light, groups = _grouped_sets(docs, k, percent)
     named = groups.groupBy("root").agg(F.min("least").alias("component_id"))
     names = stored(groups.join(named, "root").select("sig", "component_id"), "names")
     rows = light.where("n_shingles > 0").join(small_side(names), "sig").select("doc_id", "n_shingles", "component_id")
@@ -341,13 +347,27 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> Dat
 
 
 def keep_representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that stand for their group.
+    """The rows of ``docs``, with all their columns, that stand for their group: one for each group, and every row without words.
 
-    That is the row with the group's smallest doc_id; of rows that repeat it, the one whose text hashes lowest. Of groups whose rows
-    have no doc_id at all, each row stays, and so does every row without words.
+    That is the row with the group's smallest doc_id; of rows that repeat it, the one whose text hashes lowest; of rows that
+    repeat both, the one whose columns hash lowest. Rows without a doc_id come last, so that a group without any id keeps one
+    of them. Each row is judged by its own text, whatever other rows have its doc_id.
     """
-    groups = near_duplicate_groups(docs, k, percent)
-    gone = groups.where("n_shingles > 0 and component_id is not null and (doc_id is null or doc_id <> component_id)").select("doc_id").distinct()
-    gone = stored(gone, "gone").select(F.col("doc_id").alias("gone_id"))
+    light, groups = _grouped_sets(docs, k, percent)
+    groups = stored(groups.select("sig", "root"), "groups")
+    texts = light.where("n_shingles > 0").join(small_side(groups), "sig").groupBy("root", "doc_id", "tie").agg(F.count("*").alias("n"))
+    texts = stored(texts, "texts")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
+    heads = stored(texts.groupBy("root").agg(F.min(order).alias("head")), "heads")
+    judged = texts.join(small_side(heads), "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("tie") == F.col("head.tie")))
+    # rows that go, and the few that stay once although they come more often
+    marked = judged.where("not stays or n > 1").select(F.col("doc_id").alias("marked_id"), F.col("tie").alias("marked_tie"), "stays")
+    marked = stored(marked, "marked")
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("tie"))
-    return rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")), "left_anti").select("row.*")
+    same = F.col("id").eqNullSafe(F.col("marked_id")) & (F.col("tie") == F.col("marked_tie"))
+    kept = rows.join(marked, same, "left_anti").select("row.*")
+    again = marked.where("stays")
+    if not again.take(1):
+        return kept
+    once = rows.join(again, same, "left_semi").groupBy("id", "tie").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return kept.union(once.select("row.*"))

@@ -81,6 +81,32 @@ def test_near_duplicates(docs, empty):
     assert kept.columns == docs.columns
 
 
+def test_kept_rows(spark, empty):
+    from xxhash import xxh64_intdigest
+
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 4))
+    base = [[word() for _ in range(100)] for _ in range(6)]
+    text, near = [" ".join(b) for b in base], [" ".join([*b[:-1], word()]) for b in base]
+    rows = [(3, text[0]), (3, text[0]), (3, near[0]), (4, near[0]), (4, near[0])]  # repeated rows, and two texts of one group on one id
+    rows += [(5, near[0]), (5, text[1]), (9, near[1])]  # two texts of different groups on one id: 5 stands for the second
+    rows += [(7, text[2]), (None, text[2]), (None, text[3]), (None, None), (None, " "), (8, None), (8, ""), (8, "")]  # one row without an id is a copy
+    rows += [(None, text[4]), (None, near[4]), (None, near[4]), (11, text[5])]  # a group without any id
+    full = [(i, t, "en", "s", f"r{k}", "n") for k, (i, t) in enumerate(rows)]
+    groups, want = [], collections.Counter((i, t) for i, t in rows if not shingles(t))
+    for i, t in rows:
+        if s := shingles(t):
+            # all near copies here are copies of one text, so that a group is what is near to its first member
+            home = next((g for g in groups if 100 * len(s & shingles(g[0][1])) >= 80 * len(s | shingles(g[0][1]))), None)
+            groups.append([(i, t)]) if home is None else home.append((i, t))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    want.update(min(g, key=lambda r: (r[0] is None, r[0] or 0, signed(xxh64_intdigest(r[1].encode(), 42)))) for g in groups)
+    got = ngram_join.keep_representatives(spark.createDataFrame(full, DOCS).repartition(3)).collect()
+    assert collections.Counter((r["doc_id"], r["text"]) for r in got) == want and len(groups) == 6
+    assert len({r["row"] for r in got}) == len(got)
+    assert ngram_join.keep_representatives(empty).count() == 0
+
+
 def test_splits_of_large_cells(docs):
     from pyspark.sql import functions as F
 
