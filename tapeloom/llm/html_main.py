@@ -1,13 +1,14 @@
 """Main text of web pages, with the templates of their sites removed.
 
-Every element outside the article has a subtree hash of its tags and texts. The hashes are counted per host in Spark, one
-vote per page; a subtree that recurs on many pages of its host is template and is deleted, wherever it stands outside
-an article. From the rest, elements are left out by tag (scripts, menus, forms, ...) and by the words of their class
+Every block element outside the article has a subtree hash of its tags and texts. The hashes are counted per host in Spark, one
+vote per distinct content (the article, or the page if it has none), so that copies of a page don't make its own text a
+template; a subtree that recurs on many of them is template and is deleted, wherever it stands outside an article. Inside
+articles (article, main, div of class main) these hashes delete nothing. From the rest, elements are left out by tag (scripts, menus, forms, ...) and by the words of their class
 and id (adverts, notices, comments, ...), and the main element is read: all articles, else the main, else the body. Text is
 cut into blocks at block elements; white space inside a block becomes one space; blocks are joined by an empty line.
 
 Null or empty html gives an empty text. A page without a host has its own empty host. Rows that repeat a page_id are
-read one by one and each counts as a page of its host. Unclosed elements end where their parent does, or before the next of
+read one by one. Unclosed elements end where their parent does, or before the next of
 their kind for p, li and other elements whose end tag may be left out.
 """
 
@@ -46,7 +47,10 @@ _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _SPACES = re.compile(r"\s+")
 
-#: A subtree is template if it is on so many pages of a host, and on such a share of them.
+#: Elements that hold the page itself and are never template.
+WHOLE = frozenset("html body".split())
+
+#: A subtree is template if it is on so many distinct pages of a host, and on such a share of them.
 LEAST_PAGES, LEAST_SHARE = 5, 0.05
 
 
@@ -125,21 +129,38 @@ def subtree_codes(root: Node) -> None:
         node.code = xxh64_intdigest(f"{node.tag}\x02{inner}") if inner else 0
 
 
+def _is_article(node: Node) -> bool:
+    return node.tag in ("article", "main") or node.tag == "div" and "main" in node.marks
+
+
 def _outside(root: Node):
-    """Nodes that are no article, hold none and are in none."""
+    """Block elements that are no article, hold none and are in none."""
     holds = set()
     for node in reversed(list(_below(root))):
-        if node.tag in ("article", "main") or any(type(p) is Node and id(p) in holds for p in node.parts):
+        if _is_article(node) or any(type(p) is Node and id(p) in holds for p in node.parts):
             holds.add(id(node))
     todo = [root]
     while todo:
         node = todo.pop()
-        if node.tag not in ("article", "main"):
-            if id(node) not in holds:
+        if not _is_article(node):
+            if id(node) not in holds and node.tag in BLOCK and node.tag not in WHOLE:
                 yield node
             todo.extend(p for p in node.parts if type(p) is Node)
 
 
+def _articles(root: Node) -> list[Node]:
+    """The main elements: all articles, else the main, else the page; some may stand in others."""
+    chosen = [n for n in _below(root) if n.tag == "article"]
+    return chosen or [n for n in _below(root) if _is_article(n)] or [root]
+
+
+def content_key(root: Node) -> int:
+    """A hash of what main_text reads, templates included; copies of a page have the same."""
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(",".join(f"{n.code:x}" for n in _articles(root)))
+
+
 def _dropped(node: Node, in_article: bool) -> bool:
     if node.tag in DROP and not (in_article and node.tag == "header") or "complementary" in node.marks:
         return True
@@ -147,14 +168,14 @@ def _dropped(node: Node, in_article: bool) -> bool:
 
 
 def main_text(root: Node, template: frozenset | set = frozenset()) -> str:
-    """The text of the main element; ``template`` has the codes of subtrees to delete."""
-    chosen = [n for n in _below(root) if n.tag == "article"]
-    chosen = chosen or [n for n in _below(root) if n.tag == "main" or "main" in n.marks and n.tag == "div"] or [root]
+    """The text of the main element; ``template`` has the codes of subtrees to delete outside articles."""
+    chosen = _articles(root)
     inner = {id(n) for c in chosen for n in _below(c) if n is not c}
     kept = [c for c in chosen if id(c) not in inner]
     # elements outside an article that stand in a comment section or sidebar are none
     hidden = {id(n) for d in _below(root) if _dropped(d, False) and d not in kept for n in _below(d)}
     kept = [c for c in kept if id(c) not in hidden] or kept[:1]
+    gone = {id(n) for n in _outside(root) if n.code and n.code in template} if template else ()
     blocks, line = [], []
 
     def close():
@@ -171,7 +192,7 @@ def main_text(root: Node, template: frozenset | set = frozenset()) -> str:
                 close()
             elif type(part) is str:
                 line.append(entities.unescape(part))
-            elif part is not start and (_dropped(part, start.tag == "article") or part.code and part.code in template):
+            elif part is not start and (_dropped(part, start.tag == "article") or id(part) in gone):
                 line.append(" ")
             elif part.tag == "br":
                 line.append(" ")
@@ -191,19 +212,23 @@ def host_of(url):
 
 
 def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(host, code): subtrees outside the article that recur on many pages of their host."""
+    """(host, code): subtrees outside the article that recur on many distinct pages of their host."""
 
     def kernel(batch):
-        hosts, codes = [], []
-        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        keys, codes = [], []
+        for page in batch.column(1).to_pylist():
             root = parse(page or "")
             subtree_codes(root)
-            found = {n.code for n in _outside(root) if n.code and n is not root} | {0}  # 0: the page itself
-            hosts += [host] * len(found)
-            codes += found
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(np.array(codes, np.uint64).view(np.int64))], ["host", "code"])
-
-    votes = mapped(pages.select(host_of("url").alias("host"), F.col("html").alias("text")), kernel, "host string, code long")
+            keys.append(content_key(root))
+            codes.append(list({n.code for n in _outside(root) if n.code} | {0}))  # 0: the page itself
+        lens = np.fromiter(map(len, codes), np.int64, len(codes))
+        flat = pa.array(np.array([c for own in codes for c in own], np.uint64).view(np.int64))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), flat)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(keys, np.uint64).view(np.int64)), lists], ["host", "key", "codes"])
+
+    votes = mapped(pages.select(host_of("url").alias("host"), F.col("html").alias("text")), kernel, "host string, key long, codes array<long>")
+    # of copies whose rest differs, the union votes once
+    votes = votes.select("host", "key", F.explode("codes").alias("code")).distinct()
     counts = stored(votes.groupBy("host", "code").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages), "subtrees")
     total = counts.where("code = 0").select("host", F.col("n").alias("pages"))
     return counts.where("code <> 0").join(total, "host").where(F.col("n") >= least_share * F.col("pages")).select("host", "code")

@@ -246,6 +246,23 @@ def test_main_text(spark):
     assert got[3] == "own text 3" and got[50] == got[51] == "" and got[52].startswith("Head") and got[None] == "x" and len(got) == 16
 
 
+def extracted(spark, pages):
+    return {r["page_id"]: r["text"] for r in html_main.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+
+
+def test_templates_spare_articles(spark):
+    menu = "<div><a href=/s>Sport</a> <b>Note</b></div><div><p>All rights reserved</p></div>"
+    pages = [(i, f"http://a.org/{i}", f"<body>{menu}<article><p>A <b>Note</b> on <a href=/x>Sport</a> {i}</p><p>All rights reserved</p></article>") for i in range(9)]
+    pages += [(9, "http://a.org/9", f"<body>{menu}<p>Own <b>Note</b></p>")]  # no article: the menu goes, inline nodes stay
+    pages += [(10 + i, f"http://b.org/{i}", "<body><p>one text</p><p>on six pages</p>") for i in range(6)]  # copies
+    pages += [(20 + i, f"http://c.org/{i}", "<body><div class=main><p>one text</p><p>on six pages</p></div>") for i in range(6)]
+    pages += [(30 + i, f"http://d.org/{i}", f"<body><p>shared line</p><div class=main><p>shared line</p>{i}</div>") for i in range(6)]
+    got = extracted(spark, pages)
+    assert all(got[i] == f"A Note on Sport {i}\n\nAll rights reserved" for i in range(9)) and got[9] == "Own Note"
+    assert {got[i] for i in (*range(10, 16), *range(20, 26))} == {"one text\n\non six pages"}
+    assert all(got[30 + i] == f"shared line\n\n{i}" for i in range(6))
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
