@@ -3,7 +3,8 @@
 Every block element outside the article has a subtree hash of its tags and texts. The hashes are counted per host in Spark, one
 vote per distinct content (the article, or the page if it has none), so that copies of a page don't make its own text a
 template; a subtree that recurs on many of them is template and is deleted, wherever it stands outside an article. Inside
-articles (article, main, div of class main) these hashes delete nothing. From the rest, elements are left out by tag (scripts, menus, forms, ...) and by the words of their class
+articles (article, main, div of class main) these hashes delete nothing; there, containers (div, section, lists, table,
+figure, no text blocks) are counted apart, and those on INNER_SHARE of the host's distinct contents are deleted. From the rest, elements are left out by tag (scripts, menus, forms, ...) and by the words of their class
 and id (adverts, notices, comments, ...), and the main element is read: all articles, else the main, else the body. Text is
 cut into blocks at block elements; white space inside a block becomes one space; blocks are joined by an empty line.
 
@@ -49,9 +50,13 @@ _SPACES = re.compile(r"\s+")
 
 #: Elements that hold the page itself and are never template.
 WHOLE = frozenset("html body".split())
+#: Elements inside an article that may be template.
+CONTAINER = frozenset("div section ul ol dl table figure details".split())
 
 #: A subtree is template if it is on so many distinct pages of a host, and on such a share of them.
 LEAST_PAGES, LEAST_SHARE = 5, 0.05
+#: The same share for containers inside articles.
+INNER_SHARE = 0.5
 
 
 class Node:
@@ -154,6 +159,19 @@ def _articles(root: Node) -> list[Node]:
     return chosen or [n for n in _below(root) if _is_article(n)] or [root]
 
 
+def _inside(root: Node):
+    """Containers inside the main elements that are no article and hold none; none if the page itself is the main element."""
+    for start in _articles(root):
+        if start is root:
+            return
+        holds = set()
+        for node in reversed(list(_below(start))):
+            if _is_article(node) or any(type(p) is Node and id(p) in holds for p in node.parts):
+                holds.add(id(node))
+            elif node.tag in CONTAINER:
+                yield node
+
+
 def content_key(root: Node) -> int:
     """A hash of what main_text reads, templates included; copies of a page have the same."""
     from xxhash import xxh64_intdigest
@@ -167,15 +185,16 @@ def _dropped(node: Node, in_article: bool) -> bool:
     return bool(node.marks & MARKS) and node.tag not in ("body", "html", "article", "main")
 
 
-def main_text(root: Node, template: frozenset | set = frozenset()) -> str:
-    """The text of the main element; ``template`` has the codes of subtrees to delete outside articles."""
+def main_text(root: Node, template: frozenset | set = frozenset(), inside: frozenset | set = frozenset()) -> str:
+    """The text of the main element; ``template`` has the codes of subtrees to delete outside articles, ``inside`` those inside."""
     chosen = _articles(root)
     inner = {id(n) for c in chosen for n in _below(c) if n is not c}
     kept = [c for c in chosen if id(c) not in inner]
     # elements outside an article that stand in a comment section or sidebar are none
     hidden = {id(n) for d in _below(root) if _dropped(d, False) and d not in kept for n in _below(d)}
     kept = [c for c in kept if id(c) not in hidden] or kept[:1]
-    gone = {id(n) for n in _outside(root) if n.code and n.code in template} if template else ()
+    gone = {id(n) for n in _outside(root) if n.code and n.code in template} if template else set()
+    gone |= {id(n) for n in _inside(root) if n.code and n.code in inside} if inside else set()
     blocks, line = [], []
 
     def close():
@@ -211,45 +230,51 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(host, code): subtrees outside the article that recur on many distinct pages of their host."""
+def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, inner_share: float = INNER_SHARE) -> DataFrame:
+    """(host, inner, code): subtrees outside and inside the article that recur on many distinct pages of their host."""
+
+    def lists(values):
+        cuts = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.array([c for v in values for c in v], np.uint64).view(np.int64)))
 
     def kernel(batch):
-        keys, codes = [], []
+        keys, outer, inner = [], [], []
         for page in batch.column(1).to_pylist():
             root = parse(page or "")
             subtree_codes(root)
             keys.append(content_key(root))
-            codes.append(list({n.code for n in _outside(root) if n.code} | {0}))  # 0: the page itself
-        lens = np.fromiter(map(len, codes), np.int64, len(codes))
-        flat = pa.array(np.array([c for own in codes for c in own], np.uint64).view(np.int64))
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), flat)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(keys, np.uint64).view(np.int64)), lists], ["host", "key", "codes"])
+            outer.append(list({n.code for n in _outside(root) if n.code} | {0}))  # 0: the page itself
+            inner.append(list({n.code for n in _inside(root) if n.code}))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(keys, np.uint64).view(np.int64)), lists(outer), lists(inner)], ["host", "key", "outer", "inner"])
 
-    votes = mapped(pages.select(host_of("url").alias("host"), F.col("html").alias("text")), kernel, "host string, key long, codes array<long>")
+    votes = mapped(pages.select(host_of("url").alias("host"), F.col("html").alias("text")), kernel, "host string, key long, outer array<long>, inner array<long>")
+    side = lambda name: F.transform(name, lambda c: F.struct(F.lit(name == "inner").alias("inner"), c.alias("code")))
     # of copies whose rest differs, the union votes once
-    votes = votes.select("host", "key", F.explode("codes").alias("code")).distinct()
-    counts = stored(votes.groupBy("host", "code").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages), "subtrees")
+    votes = votes.select("host", "key", F.explode(F.concat(side("outer"), side("inner"))).alias("x")).select("host", "key", "x.inner", "x.code").distinct()
+    counts = stored(votes.groupBy("host", "inner", "code").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages), "subtrees")
     total = counts.where("code = 0").select("host", F.col("n").alias("pages"))
-    return counts.where("code <> 0").join(total, "host").where(F.col("n") >= least_share * F.col("pages")).select("host", "code")
+    least = F.when(F.col("inner"), inner_share).otherwise(least_share) * F.col("pages")
+    return counts.where("code <> 0").join(total, "host").where(F.col("n") >= least).select("host", "inner", "code")
 
 
-def extract_pages(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def extract_pages(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, inner_share: float = INNER_SHARE) -> DataFrame:
     """page_id, url, text, n_chars of every row of ``pages`` (page_id, url, html)."""
-    templates = site_templates(pages, least_pages, least_share).groupBy(F.col("host").alias("of")).agg(F.collect_set("code").alias("codes"))
+    codes = lambda inner: F.collect_set(F.when(F.col("inner") == inner, F.col("code"))).alias("inner_codes" if inner else "codes")
+    templates = site_templates(pages, least_pages, least_share, inner_share).groupBy(F.col("host").alias("of")).agg(codes(False), codes(True))
     # written, so that its size is known: a small list is broadcast, a large one meets the pages in a join that splits hot hosts
     templates = stored(templates, "templates")
     rows = pages.select("page_id", "html", "url", host_of("url").alias("host")).join(templates, F.col("host") == F.col("of"), "left")
 
     def kernel(batch):
         out = []
-        for page, codes in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        unsigned = lambda codes: {c & 0xFFFFFFFFFFFFFFFF for c in codes or ()}
+        for page, codes, inner in zip(*(batch.column(i).to_pylist() for i in (1, 3, 4)), strict=True):
             root = parse(page or "")
-            if codes:
+            if codes or inner:
                 subtree_codes(root)
-            out.append(main_text(root, {c & 0xFFFFFFFFFFFFFFFF for c in codes or ()}))
+            out.append(main_text(root, unsigned(codes), unsigned(inner)))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())],
                                          ["page_id", "url", "text", "n_chars"])
 
     kind = dict(pages.dtypes)["page_id"]
-    return mapped(rows.select("page_id", F.col("html").alias("text"), "url", "codes"), kernel, f"page_id {kind}, url string, text string, n_chars long")
+    return mapped(rows.select("page_id", F.col("html").alias("text"), "url", "codes", "inner_codes"), kernel, f"page_id {kind}, url string, text string, n_chars long")

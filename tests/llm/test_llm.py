@@ -263,6 +263,18 @@ def test_templates_spare_articles(spark):
     assert all(got[30 + i] == f"shared line\n\n{i}" for i in range(6))
 
 
+def test_templates_inside_articles(spark):
+    block = "<div class=box><p>Get our letter</p></div>"
+    own = lambda i: "<ul><li>seen on few pages</li></ul>" if i < 5 else ""
+    pages = [(i, f"http://a.org/{i}", f"<body><article><p>Own {i}</p><p>Said often</p>{block}{own(i)}</article>") for i in range(12)]
+    pages += [(20 + i, f"http://b.org/{i}", f"<body><nav>{i}</nav><article><p>Copy</p>{block}</article>") for i in range(9)]  # copies of one article
+    pages += [(40 + i, f"http://c.org/{i}", f"<body><div class=main><p>Own {i}</p>{block}</div>") for i in range(6)]
+    got = extracted(spark, pages)
+    assert all(got[i] == f"Own {i}\n\nSaid often" + ("\n\nseen on few pages" if i < 5 else "") for i in range(12))
+    assert {got[20 + i] for i in range(9)} == {"Copy\n\nGet our letter"}
+    assert all(got[40 + i] == f"Own {i}" for i in range(6))
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
