@@ -5,17 +5,20 @@ counts: each document becomes a vector of transformed statistics (word length, s
 words, each per word and pulled to a typical value in short texts), and for every language and source a minimum covariance
 determinant estimate gives centre and scatter: from the coordinatewise medians, concentration steps fit mean and
 covariance to the half of the documents that lies nearest by the last estimate, three quarters at the end. A document
-whose squared Mahalanobis distance is above the cut-off is rejected.
+whose squared Mahalanobis distance is above the cut-off is rejected: the chi-squared quantile of OUTLIERS, times the factor by which
+the covariance of the nearest three quarters of normal rows falls short of that of all.
 
 All statistics are whole numbers (a fixed grid), medians and quantiles come from counts on that grid, and sums are exact, so
 that results don't depend on the order of rows. A group of fewer than LEAST documents is judged with the others of
-its language that are in such groups; null languages and sources are groups of their own. Scatter has a floor, so that statistics which are
-the same in nearly all documents don't reject small deviations. Null or wordless texts fail the base rules. Repeated rows get the
+its language that are in such groups; null languages and sources are groups of their own. Scatter has a floor, the noise of one text, so
+that statistics which are the same in nearly all documents don't reject a single symbol or line. Null or wordless texts fail the base rules. Repeated rows get the
 same verdict and count as often as they come.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,11 +28,38 @@ from tapeloom.llm.base import let, stored
 GRID = 256
 #: Documents that a group needs for its own estimate.
 LEAST = 200
-#: Concentration steps, the share of documents that each fits, and the squared distance that rejects.
-SHARES, CUTOFF = (0.5, 0.5, 0.5, 0.75), 100.0
+#: Concentration steps: the share of documents that each fits.
+SHARES = (0.5, 0.5, 0.5, 0.75)
 STATISTICS = ("word_length", "symbols", "lines", "repeats", "distinct")
-#: Least standard deviation of each statistic.
-FLOORS = (0.08, 0.12, 0.10, 0.12, 0.12)
+#: Least standard deviation of each statistic: the mean of about 100 words; one symbol or repeated line, some repeated words in a text; distinct words of about 100.
+FLOORS = (0.04, 0.12, 0.10, 0.12, 0.04)
+#: Share of normal rows that the cut-off rejects.
+OUTLIERS = 0.001
+
+
+def _chi2(x: float, d: int) -> float:
+    """Distribution function of chi-squared with an odd number of degrees of freedom."""
+    term, total = math.sqrt(2 * x / math.pi) * math.exp(-x / 2), 0.0
+    for k in range(1, d, 2):
+        total += term
+        term *= x / (k + 2)
+    return math.erf(math.sqrt(x / 2)) - total
+
+
+def _chi2_quantile(share: float, d: int) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if _chi2(middle, d) < share else (low, middle)
+    return low
+
+
+def cutoff_of(share: float, fitted: float, d: int) -> float:
+    """Squared distance that a share of normal rows exceeds, by the covariance of the ``fitted`` share nearest to the centre."""
+    return _chi2_quantile(1 - share, d) * fitted / _chi2(_chi2_quantile(fitted, d), d + 2)
+
+
+CUTOFF = cutoff_of(OUTLIERS, SHARES[-1], len(STATISTICS))
 SPACES = r"[\x20\x09-\x0D]+"
 
 

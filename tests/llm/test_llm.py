@@ -331,6 +331,41 @@ def test_rules(docs, empty):
     assert quality_rules.keep_by_rules(docs).columns == docs.columns
 
 
+def brute_distances(texts):
+    """Squared distances by a minimum covariance determinant fit of one group, none of whose texts fails the base rules."""
+    G, rows = quality_rules.GRID, []
+    for t in texts:
+        w, lines = WORDS.findall(t), [x for x in t.split("\n") if WORDS.search(x)]
+        n, symbols = len(w) + 20, len(re.findall(r"[#*$%&|<>]", t))
+        rows.append([np.log((sum(map(len, w)) + 110) / n), np.arcsinh(10 * symbols / n), np.arcsinh(20 * (len(lines) - len(set(lines))) / n), 0.0, np.log((len(set(w)) + 20) / np.sqrt(n * 20))])
+    x, floors = np.floor(np.array(rows) * G + 0.5) / G, np.diag(np.square(quality_rules.FLOORS))
+    lowest = lambda v, share: np.sort(v, axis=0)[int(np.ceil(share * len(v))) - 1]
+    centre = lowest(x, 0.5)
+    scatter = np.diag((1.4826 * lowest(np.abs(x - centre), 0.5)) ** 2) + floors
+    distance = lambda: np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(scatter), x - centre)
+    for share in (0.5, 0.5, 0.5, 0.75):
+        level = np.floor(np.log(distance() + 1e-6) * 64 + 0.5)
+        near = x[level <= lowest(level, share)]
+        centre, scatter = near.mean(0), np.cov(near.T, bias=True) + floors
+    return distance()
+
+
+def test_outliers(spark):
+    rng = np.random.default_rng(12)
+    word = lambda least, most: "".join(rng.choice(list("abcdefghijklmnop"), rng.integers(least, most)))
+    clean = [" ".join(word(2, 8) for _ in range(rng.integers(60, 200))) for _ in range(300)]
+    clean[5] += " &"  # one symbol, one repeated line
+    clean[6] += "\nthe end\nthe end"
+    odd = [" ".join(word(4, 16) for _ in range(600)), " ".join([word(2, 8) for _ in range(70)]) + " **********"]
+    rows = [(i, t, "en", "s", "r", "n") for i, t in enumerate(clean + odd)]
+    got = sorted(quality_rules.rule_verdicts(spark.createDataFrame(rows, DOCS)).collect(), key=lambda r: r["doc_id"])
+    want = brute_distances(clean + odd)
+    assert not any(r["base_failed"] for r in got) and [r["distance"] for r in got] == pytest.approx(want, rel=1e-6)
+    # 99.9 % of chi-squared with 5 degrees, 0.75 / P(chi-squared of 7 degrees <= 6.6257)
+    assert quality_rules.CUTOFF == pytest.approx(20.515 * 0.75 / 0.53118, rel=1e-3)
+    assert [r["kept"] for r in got] == (want <= quality_rules.CUTOFF).tolist() == [True] * 300 + [False] * 2
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
