@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.llm.base import stored
 
-SAMPLES = 24
+SAMPLES = 40
 #: Documents to a block, on average.
 BLOCK = 256
 INTERVALS = 64

@@ -227,6 +227,21 @@ def test_fingerprints(docs, empty, spark):
     assert fingerprints.fingerprint_edits(empty).count() == 0
 
 
+def test_fingerprint_error(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id is not null")
+    rows = sorted((r["doc_id"], r["text"] or "") for r in df.select("doc_id", "text").collect())
+    got = {r["doc_id"]: r for r in fingerprints.fingerprint_edits(df).collect()}
+    squares = variance = 0.0
+    for (i, t), (_, n) in zip(rows, [*rows[1:], rows[0]], strict=True):
+        h = len(t) // 2
+        a, b = collections.Counter(WORDS.findall(t)), collections.Counter(WORDS.findall(t[:len(t) - h] + n[:h]))
+        if a and b:
+            exact = sum((a & b).values()) / sum((a | b).values())
+            squares += (got[i]["near_edited"] - exact) ** 2
+            variance += exact * (1 - exact)
+    assert variance / squares > 32  # as of so many independent samples
+
+
 def test_following(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "ALONE", 5)
     keys = sorted({int(x) for x in np.random.default_rng(1).integers(0, 10**6, 40)} | {10**12})
