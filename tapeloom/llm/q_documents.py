@@ -1,10 +1,10 @@
-"""The queries over documents and pages, each with the parameters of production."""
+"""The queries over documents, pages, vectors and conversations, each with the parameters of production."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapeloom.llm import mixing
+from tapeloom.llm import centroids, chat_trees, filter_audit, mixing
 from tapeloom.llm.base import table
 from tapeloom.llm.catalog import query
 from tapeloom.llm.fingerprints import fingerprint_edits
@@ -75,3 +75,18 @@ def op9(spark, sf_dir):
 @query("op10_quality_rules")
 def op10(spark, sf_dir):
     return rule_verdicts(table(spark, sf_dir, "documents"))
+
+
+@query("op11_centroid_clustering", centroids.SQL_TWIN)
+def op11(spark, sf_dir):
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_chat_trees", chat_trees.SQL_TWIN)
+def op12(spark, sf_dir):
+    return chat_trees.conversation_digests(chat_trees.format_conversations(chat_trees.with_probe(table(spark, sf_dir, "conversations"))))
+
+
+@query("op13_filter_audit", filter_audit.SQL_TWIN)
+def op13(spark, sf_dir):
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
