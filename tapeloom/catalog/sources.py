@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tapeloom.catalog.base import BASICS_SQL, W, query, with_bars
-from tapeloom.catalog.events import EV, WIN, windows
+from tapeloom.catalog.events import EV, FULL, META, WIN, meta, windows
 from tapeloom.catalog.indicators import KEY
 from tapeloom.catalog.trades import NAV, PLAIN, nav_of
 from tapeloom.functions import scalars as sc
+from tapeloom.operators.frames import calendar_days
 from tapeloom.session import work_dir
 from tapeloom.sources import ingest as ig
 from tapeloom.sources import store as st
+from tapeloom.sources.store import through_table
 
 CODE = "lpad(regexp_extract(symbol, '[0-9]+'), 6, '0')"
 
@@ -100,10 +104,25 @@ def _(t):
 @query("x12_business_days", with_bars(
     "SELECT symbol, CAST(d AS DATE) AS day FROM (SELECT symbol, unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS d FROM bars GROUP BY 1) WHERE isodow(d) < 6"))
 def _(t):
-    from tapeloom.operators.frames import calendar_days
+    return calendar_days(ends(t), "a", "b", "day", business=True).select("symbol", "day")
+
+
+def ends(t):
+    return t.bars.groupBy("symbol").agg(F.min("date").alias("a"), F.max("date").alias("b"))
 
-    ends = t.bars.groupBy("symbol").agg(F.min("date").alias("a"), F.max("date").alias("b"))
-    return calendar_days(ends, "a", "b", "day", business=True).select("symbol", "day")
+
+# every frequency with the rule that says its days
+FREQS = {"3D": ("TRUE", 3), "W": ("isodow(d) = 7", 1), "2B": ("isodow(d) < 6", 2), "MS": ("day(d) = 1", 1), "M": ("last_day(d) = d", 1), "2QE": ("last_day(d) = d AND month(d) % 3 = 0", 2),
+         "QS": ("day(d) = 1 AND month(d) % 3 = 1", 1), "YE": ("month(d) = 12 AND day(d) = 31", 1), "YS": ("month(d) = 1 AND day(d) = 1", 1)}
+
+
+@query("x12b_date_ranges", with_bars(" UNION ALL ".join(
+    f"SELECT '{f}' AS freq, symbol, day FROM (SELECT symbol, d AS day, row_number() OVER (PARTITION BY symbol ORDER BY d) - 1 AS i FROM days WHERE {rule}) WHERE i % {n} = 0" for f, (rule, n) in FREQS.items()),
+    "days AS (SELECT symbol, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS d FROM bars GROUP BY 1)"))
+def _(t):
+    rows = through_table(ends(t), "ends")
+    parts = [calendar_days(rows, "a", "b", "day", freq=f).select(F.lit(f).alias("freq"), "symbol", "day") for f in FREQS]
+    return reduce(lambda x, y: x.union(y), parts)
 
 
 # ---- reading and standardising
@@ -230,11 +249,19 @@ def _(t):
     return ig.non_positive_prices(t.bars.withColumn("low", F.col("low") - 25))
 
 
-@query("s12b_drop_bad_series", store=True, sql=with_bars("SELECT symbol, date, low - 25 AS low FROM bars WHERE symbol NOT IN (SELECT symbol FROM bars WHERE low - 25 <= 0)"))
+@query("s12b_drop_bad_series", store=True, sql=with_bars("SELECT symbol, date, low - 25 AS low FROM (SELECT *, min(low) OVER (PARTITION BY symbol) AS least FROM bars) WHERE least - 25 > 0"))
 def _(t):
     return ig.drop_bad_series(t.bars.withColumn("low", F.col("low") - 25)).select(*KEY, "low")
 
 
+# the symbols of the parts, and those of the kinds of parts, of which there are no bars
+NEWCOMERS = "SELECT DISTINCT unnest([p_brand, p_type]) AS symbol FROM part"
+
+
+def with_newcomers(t):
+    return t["part"].select(F.explode(F.array("p_brand", "p_type")).alias("symbol")).distinct()
+
+
 @query("s13_merge_refresh", store=True, sql=with_bars("SELECT symbol, date, CASE WHEN date >= DATE '2001-06-01' THEN high ELSE close END AS close FROM bars WHERE date < DATE '2001-08-01' OR date >= DATE '2001-06-01'"))
 def _(t):
     stored = t.bars.where("date < '2001-08-01'").select(*KEY, "close")
@@ -245,10 +272,9 @@ def _(t):
 @query("s14_update_log", store=True, sql=with_bars(
     """SELECT u.symbol, CASE WHEN b.symbol IS NULL THEN 'failed' ELSE 'updated' END AS status, strftime(d, '%Y-%m-%d') AS latest_date,
   strftime(coalesce(least(greatest(DATE '2001-01-01', d - 120), d), DATE '2001-01-01'), '%Y%m%d') AS fetch_start, '20020101' AS fetch_end, CASE WHEN b.symbol IS NULL THEN 'no stored bars' ELSE '' END AS message
-  FROM (SELECT DISTINCT p_brand AS symbol FROM part) u LEFT JOIN (SELECT symbol, max(date) AS d FROM bars WHERE symbol <> 'Brand#9' GROUP BY 1) b USING (symbol)"""))
+  FROM (SELECT DISTINCT p_brand AS symbol FROM part) u LEFT JOIN (SELECT symbol, max(date) AS d FROM bars GROUP BY 1) b USING (symbol)""".replace("FROM (SELECT DISTINCT p_brand AS symbol FROM part) u", f"FROM ({NEWCOMERS}) u")))
 def _(t):
-    universe = t["part"].select(F.col("p_brand").alias("symbol")).distinct()
-    return ig.update_log(universe, t.bars.where("symbol <> 'Brand#9'"), "2001-01-01", "2002-01-01")
+    return ig.update_log(with_newcomers(t), t.bars, "2001-01-01", "2002-01-01")
 
 
 @query("s15_export_shape", with_bars(
@@ -277,6 +303,26 @@ def _(t):
     return ig.read_event_windows(t.spark, path, WINDOW_SCHEMA).select("symbol", "event_date", "trade_date", "relative_day", "close", "event_close")
 
 
+META_SCHEMA = "symbol string, event_date date, event_close double, bandwidth double, condition_threshold double"
+
+
+@query("s17b_event_studies", store=True, sql=with_bars(
+    f"""SELECT CASE WHEN year(w.event_date) % 2 = 0 THEN 'even' ELSE 'odd' END AS study, {CODE.replace('symbol', 'w.symbol')} AS symbol, w.event_date, w.relative_day, w.close,
+  CASE WHEN year(w.event_date) % 2 = 0 THEN round(m.bandwidth, 6) END AS bandwidth FROM win w LEFT JOIN ({META}) m USING (symbol, event_date)""", *EV, FULL, WIN))
+def _(t):
+    root = work_dir(t.spark, "studies")
+    digits = F.regexp_extract("symbol", "[0-9]+", 0).alias("symbol")
+    win = through_table(windows(t), "windows")
+    facts = through_table(meta(t).select(digits, *[c.split()[0] for c in META_SCHEMA.split(", ")[1:]]), "meta")
+    columns = [c.split()[0] for c in WINDOW_SCHEMA.split(", ")][1:]
+    for name, which in (("even", F.year("event_date") % 2 == 0), ("odd", F.year("event_date") % 2 == 1)):
+        st.save(win.where(which).select(digits, *columns), f"{root}/event_windows_{name}.csv")
+    st.save(facts.where(F.year("event_date") % 2 == 0), f"{root}/event_meta_even.csv")  # the other study has none
+    out = ig.read_event_studies(t.spark, root, WINDOW_SCHEMA, META_SCHEMA)
+    listed = ig.event_window_files(t.spark, root).select("study")
+    return out.join(listed, "study", "left_semi").select("study", "symbol", "event_date", "relative_day", "close", F.round("bandwidth", 6).alias("bandwidth"))
+
+
 @query("s18_result_reader", with_bars("SELECT scenario, date, round(portfolio_value, 0) AS portfolio_value FROM nav WHERE date BETWEEN DATE '1997-01-01' AND DATE '1999-12-31' ORDER BY date", *PLAIN, NAV))
 def _(t):
     path = work_dir(t.spark, "backtest")
@@ -287,13 +333,29 @@ def _(t):
 
 @query("s19_skip_report", with_bars(
     """SELECT symbol, CASE WHEN n IS NULL THEN 'missing_csv' WHEN inside = 0 THEN 'empty_price_data' WHEN inside < 385 THEN 'insufficient_history' WHEN hi = 0 THEN 'missing_required_columns' END AS reason FROM
-  (SELECT DISTINCT p_brand AS symbol FROM part) LEFT JOIN (SELECT symbol, count(*) AS n, count(*) FILTER (year(date) >= 2000 AND date <= DATE '2001-12-31') AS inside, count(CASE WHEN symbol <> 'Brand#14' AND year(date) >= 2000 THEN high END) AS hi
-    FROM bars WHERE symbol <> 'Brand#3' AND (symbol <> 'Brand#8' OR year(date) < 2000) GROUP BY 1) USING (symbol)
-  WHERE n IS NULL OR inside < 385 OR hi = 0"""))
-def _(t):
-    universe = t["part"].select(F.col("p_brand").alias("symbol")).distinct()
-    have = t.bars.where("symbol <> 'Brand#3' AND (symbol <> 'Brand#8' OR date < '2000-01-01')").withColumn("high", F.when(F.col("symbol") != "Brand#14", F.col("high")))
-    return ig.skip_report(universe, have, "2000-01-01", "2001-12-31", 385)
+  (%s) LEFT JOIN (SELECT symbol, count(*) AS n, count(*) FILTER (year(date) >= 2000 AND date <= DATE '2001-12-31') AS inside, count(CASE WHEN symbol <> 'Brand#14' AND year(date) >= 2000 THEN high END) AS hi
+    FROM (SELECT * REPLACE (CASE WHEN symbol = 'Brand#8' THEN date - INTERVAL 10 YEAR ELSE date END AS date) FROM bars) GROUP BY 1) USING (symbol)
+  WHERE n IS NULL OR inside < 385 OR hi = 0""" % NEWCOMERS))
+def _(t):
+    early = F.when(F.col("symbol") == "Brand#8", F.add_months("date", -120)).otherwise(F.col("date"))
+    have = t.bars.withColumns({"date": early, "high": F.when(F.col("symbol") != "Brand#14", F.col("high"))})
+    return ig.skip_report(with_newcomers(t), have, "2000-01-01", "2001-12-31", 385).select("symbol", "reason")
+
+
+@query("s19b_unreadable_files", store=True, sql=with_bars(
+    f"""SELECT symbol, CASE n % 4 WHEN 0 THEN 'UnicodeDecodeError' WHEN 1 THEN 'ValueError' ELSE 'missing_csv' END AS reason FROM
+  (SELECT DISTINCT symbol, CAST({CODE} AS INT) AS n FROM bars) WHERE n % 4 < 2 UNION ALL SELECT DISTINCT p_type, 'missing_csv' FROM part"""))
+def _(t):
+    path = work_dir(t.spark, "price-files")
+    n = F.substring_index("symbol", "#", -1)
+    files = through_table(t.bars.select(n.alias("n"), "date", "open", "close", "high", "low"), "price-rows")
+    kind = F.col("n").cast("int") % 4
+    for which, encoding, date in ((kind == 0, "UTF-16", "date"), (kind == 1, "UTF-8", "day"), (kind > 1, "UTF-8", "date")):
+        one = files.where(which).withColumnRenamed("date", date).repartition("n")  # a file for each symbol
+        one.write.mode("append").partitionBy("n").option("header", "true").option("encoding", encoding).csv(path)
+    rows = ig.read_price_files(t.spark, path).withColumn("symbol", F.concat(F.lit("Brand#"), F.regexp_extract("file", r"/n=([^/]*)/", 1)))
+    bars = rows.where("error IS NULL").select("symbol", F.to_date("date").alias("date"), *[F.col(c).cast("double").alias(c) for c in ("close", "high", "low")])
+    return ig.skip_report(with_newcomers(t), bars, "1990-01-01", "2010-01-01", 1, errors=rows).select("symbol", "reason")
 
 
 LISTING = """listing AS (SELECT (CASE p_size % 4 WHEN 0 THEN '6' || lpad((p_partkey % 1000)::VARCHAR, 5, '0') || '.SH' WHEN 1 THEN '300' || lpad((p_partkey % 1000)::VARCHAR, 3, '0') || '.SZ'

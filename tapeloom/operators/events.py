@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions.kernels import BARS, Panel, div, flag, greedy_gap, lag, roll, rolling_quantile, row_no
+from tapeloom.functions.quantiles import exact_quantiles, same_keys, select_quantiles, value_counts
 from tapeloom.operators import indicators as ind
 from tapeloom.operators.signals import require_columns
+from tapeloom.sources.store import through_table
 
 FORWARD_HORIZONS = (1, 5, 10, 20, 30)
 
@@ -266,12 +268,14 @@ def path_matrix(windows: DataFrame, days: Sequence[int], keys: Sequence[str] = (
 
 
 def forward_summary(windows: DataFrame, horizons: Sequence[int] = FORWARD_HORIZONS, keys: Sequence[str] = ()) -> DataFrame:
-    """Count, mean, median, win rate and quartiles of the return at each horizon."""
-    x = "close_to_event"
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = windows.where(F.col("relative_day").isin(list(horizons)) & F.col(x).isNotNull()).groupBy(*keys, F.col("relative_day").alias("horizon")).agg(
-        F.count(x).alias("sample_count"), F.avg(x).alias("mean_return"), F.avg((F.col(x) > 0).cast("double")).alias("win_rate"), q.alias("_q")
-    )
+    """Count, mean, median, win rate and quartiles of the return at each horizon, all from the counts of its values."""
+    rows = windows.where(F.col("relative_day").isin(list(horizons))).withColumnRenamed("relative_day", "horizon")
+    by = [*keys, "horizon"]
+    counts = value_counts(rows, by, {"r": "close_to_event"})
+    n, x = F.col("_n"), F.col("_x")
+    out = counts.groupBy(*by).agg(
+        F.sum(n).alias("sample_count"), (F.sum(x * n) / F.sum(n)).alias("mean_return"), (F.sum(F.when(x > 0, n).otherwise(0)) / F.sum(n)).alias("win_rate"))
+    out = same_keys(out, select_quantiles(counts, by, (0.25, 0.5, 0.75)).drop("_name"), by)
     return out.withColumns({"median_return": F.col("_q")[1], "p25": F.col("_q")[0], "p75": F.col("_q")[2]}).drop("_q")
 
 
@@ -280,10 +284,11 @@ def event_counts(events: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFr
 
 
 def event_paths(windows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Mean, median and quartile path by relative day."""
-    x = "close_to_event"
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = windows.groupBy(*keys, "relative_day").agg(F.avg(x).alias("mean"), q.alias("_q"))
+    """Mean, median and quartile path by relative day, from the counts of the values."""
+    by = [*keys, "relative_day"]
+    counts = value_counts(windows, by, {"r": "close_to_event"})
+    out = counts.groupBy(*by).agg((F.sum(F.col("_x") * F.col("_n")) / F.sum("_n")).alias("mean"))
+    out = same_keys(out, select_quantiles(counts, by, (0.25, 0.5, 0.75)).drop("_name"), by)
     return out.withColumns({"median": F.col("_q")[1], "p25": F.col("_q")[0], "p75": F.col("_q")[2]}).drop("_q")
 
 
@@ -336,13 +341,20 @@ def forward_edges(trades: DataFrame, bars: DataFrame, horizons: Sequence[int], k
 
     Refused buys are no events unless ``count_rejected`` asks for them.
     """
-    horizons = sorted({int(h) for h in horizons if int(h) > 0})
-    far = horizons[-1]
-    ahead = forward_columns(bars, horizons, panel).select(*panel.keys, panel.order, F.col("close").alias("_close"), *[f"_c{h}" for h in horizons], "_top", "_low")
+    ahead = forward_columns(bars, horizons, panel)
+    later = [c for c in ahead.columns if c not in bars.columns]
     t = trades.where(F.col("action").isin("buy", "sell"))
     if not count_rejected and "status" in trades.columns:
         t = t.where("status = 'filled'")
-    t = t.join(ahead, [*panel.keys, panel.order]).where("_close > 0")
+    t = t.join(ahead.select(*panel.keys, panel.order, F.col("close").alias("_close"), *later), [*panel.keys, panel.order])
+    return edge_summary(t.select(*keys, "action", "_close", *later), horizons, keys)
+
+
+def edge_summary(trades: DataFrame, horizons: Sequence[int], keys: Sequence[str] = ("scenario",)) -> DataFrame:
+    """The figures of ``forward_edges`` of trades (action buy or sell) that carry _close and the ``forward_columns`` of their bar."""
+    horizons = sorted({int(h) for h in horizons if int(h) > 0})
+    far = horizons[-1]
+    t = through_table(trades.where("_close > 0"), "edges")
     sign = F.when(F.col("action") == "buy", 1.0).otherwise(-1.0)
     edge = lambda x: sign * (F.col(x) / F.col("_close") - 1)
     t = t.withColumns({f"_e{h}": F.when(F.col(f"_c{h}") > 0, edge(f"_c{h}")) for h in horizons})
@@ -355,8 +367,9 @@ def forward_edges(trades: DataFrame, bars: DataFrame, horizons: Sequence[int], k
         aggs += [
             F.count(e).alias(f"signal_sample_count_{h}"),
             F.coalesce(F.avg(e), zero).alias(f"signal_mean_edge_{h}"),
-            F.coalesce(F.percentile(e, F.lit(0.5)), zero).alias(f"signal_median_edge_{h}"),
             F.coalesce(F.avg(F.when(e.isNotNull(), (e > 0).cast("double"))), zero).alias(f"signal_hit_rate_{h}"),
         ]
     aggs += [F.avg(best).alias(f"signal_mean_mfe_{far}"), F.avg(worst).alias(f"signal_mean_mae_{far}")]
-    return t.groupBy(*keys).agg(*aggs)
+    middle = exact_quantiles(t, keys, {f"_m{h}": f"_e{h}" for h in horizons}, [0.5])
+    out = same_keys(t.groupBy(*keys).agg(*aggs), middle, keys, "left")
+    return out.withColumns({f"signal_median_edge_{h}": F.coalesce(F.col(f"_m{h}")[0], zero) for h in horizons}).drop(*[f"_m{h}" for h in horizons])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.kernels import BARS, Panel, div, lag, roll
+from tapeloom.functions.quantiles import exact_quantiles, same_keys
 from tapeloom.functions.ranks import average_rank, tie_rank
 from tapeloom.sources.store import through_table
 
@@ -25,8 +26,7 @@ def normalize(df: DataFrame, cols: Sequence[str], method: str = "zscore", keys:
 
 
 def winsorize(df: DataFrame, x: str, lower: float = 0.025, upper: float = 0.975, keys: Sequence[str] = ("date",)) -> DataFrame:
-    bounds = df.groupBy(*keys).agg(F.percentile(x, F.array(F.lit(lower), F.lit(upper))).alias("_q"))
-    df = df.join(bounds, list(keys))
+    df = same_keys(df, exact_quantiles(df, keys, {"_q": x}, (lower, upper)), keys, "left")
     clipped = F.least(F.greatest(F.col(x), F.col("_q")[0]), F.col("_q")[1])
     return df.withColumn(x, F.when(F.col(x).isNotNull(), clipped)).drop("_q")
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -117,8 +118,33 @@ def last_rows(df: DataFrame, k: int, panel: Panel = BARS) -> DataFrame:
     return df.withColumn("_back", F.row_number().over(panel.desc)).where(F.col("_back") <= k).drop("_back")
 
 
-def calendar_days(df: DataFrame, start: Column | str, end: Column | str, out: str = "date", business: bool = False) -> DataFrame:
-    """One row per day from start to end of each input row; Monday to Friday only for business."""
+# which days a frequency takes, by its letters; weeks end on Sunday, quarters and years with the calendar's
+FREQUENCIES: dict[str, Callable[[Column], Column]] = {
+    "D": lambda d: F.lit(True),
+    "B": lambda d: F.weekday(d) < 5,
+    "W": lambda d: F.weekday(d) == 6,
+    "MS": lambda d: F.dayofmonth(d) == 1,
+    "ME": lambda d: F.last_day(d) == d,
+    "QS": lambda d: (F.dayofmonth(d) == 1) & (F.month(d) % 3 == 1),
+    "QE": lambda d: (F.last_day(d) == d) & (F.month(d) % 3 == 0),
+    "YS": lambda d: F.dayofyear(d) == 1,
+    "YE": lambda d: (F.month(d) == 12) & (F.dayofmonth(d) == 31),
+}
+FREQUENCIES |= {"M": FREQUENCIES["ME"], "Q": FREQUENCIES["QE"], "Y": FREQUENCIES["YE"], "A": FREQUENCIES["YE"]}
+
+
+def calendar_days(df: DataFrame, start: Column | str, end: Column | str, out: str = "date", business: bool = False, freq: str = "D") -> DataFrame:
+    """One row per date of a frequency from start to end of each input row; ``business`` is the frequency B, Monday to Friday.
+
+    D days, B business days, W Sundays, MS and ME (or M) first and last days of months, QS, QE (Q) of quarters, YS, YE (Y, A) of
+    years. A number in front takes every n-th of them from the first on.
+    """
+    found = re.fullmatch(r"(\d*)([A-Z]+)", "B" if business else freq.strip().upper())
+    step, name = found.groups() if found else ("", "")
+    if name not in FREQUENCIES or step and int(step) == 0:
+        raise ValueError(f"unknown frequency: {freq}")
     days = F.sequence(F.to_date(col(start)), F.to_date(col(end)), F.expr("interval 1 day"))
-    df = df.withColumn(out, F.explode(days))
-    return df.where(F.weekday(out) < 5) if business else df
+    days = F.filter(days, FREQUENCIES[name])
+    if step:
+        days = F.filter(days, lambda d, i: i % int(step) == 0)
+    return df.withColumn(out, F.explode(days))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions.kernels import Panel, div, lag
+from tapeloom.functions.quantiles import same_keys, select_quantiles, value_counts
 from tapeloom.functions.scalars import format_number
 
 YEAR = 252
@@ -90,11 +91,14 @@ def calmar(df: DataFrame, r: str = "returns", keys: tuple[str, ...] = ("scenario
 def value_at_risk(df: DataFrame, r: str = "returns", keys: tuple[str, ...] = ("scenario",), confidence: float = 0.95) -> DataFrame:
     """Historical VaR, and CVaR as the mean of the returns at or below it.
 
-    VaR has one row per scenario; it is joined back so that the tail is a plain aggregate.
+    Both come from the counts of the values, where VaR is selected exactly and its tail is a plain aggregate. Scenarios
+    without a return have no row.
     """
-    var = df.groupBy(*keys).agg(F.percentile(r, F.lit(1 - confidence)).alias("var"))
-    tail = df.join(var, list(keys)).groupBy(*keys).agg(F.first("var").alias("var"), F.avg(F.when(F.col(r) <= F.col("var"), F.col(r))).alias("cvar"))
-    return tail
+    counts = value_counts(df, keys, {"r": r})
+    var = select_quantiles(counts, keys, [1 - confidence]).select(*keys, F.col("_q")[0].alias("var"))
+    tail = F.col("_x") <= F.col("var")
+    of_tail = lambda v: F.sum(F.when(tail, v))
+    return same_keys(counts, var, keys).groupBy(*keys).agg(F.first("var").alias("var"), (of_tail(F.col("_x") * F.col("_n")) / of_tail(F.col("_n"))).alias("cvar"))
 
 
 def summary(df: DataFrame, value: str = "portfolio_value", keys: tuple[str, ...] = ("scenario",), order: str = "date", benchmark: str | None = None, risk_free: float = 0.03, extra: tuple[Column, ...] = ()) -> DataFrame:

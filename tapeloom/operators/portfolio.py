@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.kernels import div, greedy_gap, lag, Panel
+from tapeloom.sources.store import through_table
 
 
 def target_shares(weight: Column, price: Column, capital: float = 1_000_000.0, max_pct: float = 0.05, min_pct: float = 0.01) -> Column:
@@ -103,26 +102,36 @@ def mean_returns(returns: DataFrame, r: str = "r") -> DataFrame:
     return returns.groupBy("symbol").agg(F.avg(r).alias("mean_return"))
 
 
-def covariance(returns: DataFrame, r: str = "r", blocks: int = 8) -> DataFrame:
+#: Symbols that one side of a tile of the covariance matrix may hold.
+TILE = 512
+
+
+def symbol_blocks(symbols: DataFrame, tile: int = TILE) -> int:
+    """Into how many blocks symbols have to be hashed so that none holds more than ``tile`` of them."""
+    blocks = max(1, -(-symbols.count() * 4 // (3 * tile)))
+    while (symbols.groupBy(F.pmod(F.xxhash64("symbol"), F.lit(blocks))).count().agg(F.max("count")).first()[0] or 0) > tile:
+        blocks += -(-blocks // 4)
+    return blocks
+
+
+def covariance(returns: DataFrame, r: str = "r", tile: int = TILE) -> DataFrame:
     """Sample covariance of every pair of symbols (a <= b) over the dates they share.
 
-    The matrix is the result, but its rows must not be built date by date. Symbols are hashed
-    into blocks; for each pair of blocks and each year one matrix product gives the sums of all
-    pairs at once, and only these sums are shuffled. More blocks make smaller products.
+    The matrix is the result, but its rows must not be built date by date. Symbols are hashed into blocks, as many
+    as keep every block at ``tile`` symbols or less; for each pair of blocks and each year one matrix product gives the
+    sums of all pairs at once, and only these sums are shuffled. So a task holds two blocks of a year's days,
+    whatever the number of symbols; a row is sent once for each block.
     """
-    x = returns.where(F.col(r).isNotNull())
-    mean = x.groupBy("symbol").agg(F.avg(r).alias("_mu"))
+    x = returns.select("symbol", "date", r).where(F.col(r).isNotNull())
+    mean = through_table(x.groupBy("symbol").agg(F.avg(r).alias("_mu")), "means")
+    blocks = symbol_blocks(mean.select("symbol"), tile)
     # centred values keep the sums of products small next to their differences
     x = x.join(mean, "symbol").select(
         "symbol", F.unix_date("date").alias("_day"), F.year("date").alias("_year"), (F.col(r) - F.col("_mu")).alias("_x"),
         F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int").alias("_blk"),
     )
-    tiles = [(i, j) for i, j in itertools.combinations_with_replacement(range(blocks), 2)]
-    mine = F.filter(
-        F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in tiles]),
-        lambda p: (p["i"] == F.col("_blk")) | (p["j"] == F.col("_blk")),
-    )
-    tiled = x.withColumn("_p", F.explode(mine)).select("symbol", "_day", "_year", "_x", "_blk", "_p.i", "_p.j")
+    tiled = x.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    tiled = tiled.select("symbol", "_day", "_year", "_x", "_blk", F.least("_blk", "_o").alias("i"), F.greatest("_blk", "_o").alias("j"))
 
     def products(table: pa.Table) -> pa.Table:
         names, code = np.unique(np.array(table.column("symbol").to_pylist(), dtype=object), return_inverse=True)

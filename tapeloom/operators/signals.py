@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions.kernels import (
-    BARS, Panel, crosses_down, crosses_up, ewm, flag, fold, lag, latch, reset_latch, roll, rolling_quantile, row_no, span,
+    BARS, Panel, crosses_down, crosses_up, ewm, flag, lag, latch, reset_latch, roll, rolling_quantile, row_no, span, state_map, state_scan,
 )
 from tapeloom.operators import indicators as ind
 
@@ -334,8 +333,8 @@ def rsrs_breakout(
 ) -> DataFrame:
     """Enter where the score passes the entry level, leave at the exit level; no score holds.
 
-    One-sided machines have fixed states per score and are a latch. With both sides a short must
-    pass through 0 for one row before it can turn long, which depends on the state itself.
+    One-sided machines have fixed states per score and are a latch. With both sides a short must pass through 0 for one
+    row before it can turn long, which depends on the state itself: a scan over transitions.
     """
     if breakout_direction not in {"up", "down", "both"}:
         raise ValueError("breakout_direction must be one of: up, down, both")
@@ -350,23 +349,12 @@ def rsrs_breakout(
             event = F.when(s <= -entry_zscore, -1).when(s >= -exit_zscore, 0)
         df = df.withColumn(out, latch(event, panel))
     else:
-        up, down = breakout_direction in {"up", "both"}, breakout_direction in {"down", "both"}
-
-        def step(c):
-            state, path = 0, np.zeros(len(c["rsrs_score"]), dtype=np.int32)
-            for i, v in enumerate(c["rsrs_score"]):
-                if v == v:
-                    enter = 1 if up and v >= entry_zscore else -1 if down and v <= -entry_zscore else 0
-                    if state == 0:
-                        state = enter
-                    elif state * v <= exit_zscore:
-                        state = 0
-                    elif enter == -state:
-                        state = enter
-                path[i] = state
-            return {out: path}
-
-        df = fold(df.drop(out), ["rsrs_score"], {out: "int"}, step, panel)
+        up, down = F.lit(breakout_direction in {"up", "both"}), F.lit(breakout_direction in {"down", "both"})
+        rise, fall = up & (s >= entry_zscore), down & (s <= -entry_zscore)
+        of_flat = F.when(rise, 1).when(fall, -1).otherwise(0)
+        of_long = F.when(s <= exit_zscore, 0).when(~rise & fall, -1).otherwise(1)
+        of_short = F.when(-s <= exit_zscore, 0).when(rise, 1).otherwise(-1)
+        df = state_scan(df, out, F.when(s.isNotNull() & ~F.isnan(s), state_map(of_short, of_flat, of_long)), panel=panel)
     return _only(delay(df, signal_delay, out, panel), keep, out)
 
 

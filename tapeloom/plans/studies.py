@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.kernels import BARS, Panel, crosses_down, crosses_up, div, flag, lag, reset_latch, roll, rolling_quantile
+from tapeloom.functions.quantiles import exact_quantiles, same_keys
 from tapeloom.operators import events as ev
 from tapeloom.operators import indicators as ind
 from tapeloom.operators import trades as tr
@@ -80,13 +81,16 @@ def experiment_summary(bars: DataFrame, name: str, sets: Sequence[Mapping], rank
     whole = F.col("close") > 0
     if full:
         whole = whole & (F.col("rn") - before >= 1) & (F.col("rn") + after <= F.col("rows"))
-    events = events.withColumns({"_whole": whole, **{f"fwd_{h}": F.when(whole, F.col(f"fwd_{h}")) for h in horizons}})
+    events = events.select(key, *panel.keys, whole.alias("_whole"), *[F.when(whole, F.col(f"fwd_{h}")).alias(f"fwd_{h}") for h in horizons])
+    events = through_table(events, "study-events")
     aggs = [F.count_if("_whole").alias("event_count"), F.count_distinct(F.when(F.col("_whole"), symbol)).alias("symbol_count"), F.count_distinct(symbol).alias("_seen")]
     for h in horizons:
         r = F.col(f"fwd_{h}")
-        aggs += [F.avg(r).alias(f"mean_return_{h}d"), F.percentile(r, F.lit(0.5)).alias(f"median_return_{h}d"),
+        aggs += [F.avg(r).alias(f"mean_return_{h}d"),
                  F.avg((r > 0).cast("double")).alias(f"win_rate_{h}d"), F.count(r).alias(f"sample_count_{h}d")]
-    figures = events.groupBy(key).agg(*aggs)
+    middle = exact_quantiles(events, [key], {f"fwd_{h}": f"fwd_{h}" for h in horizons}, [0.5])
+    middle = middle.select(key, *[F.col(f"fwd_{h}")[0].alias(f"median_return_{h}d") for h in horizons])
+    figures = same_keys(events.groupBy(key).agg(*aggs), middle, [key], "left")
     out = attach_grid(bars.agg(F.count_distinct(symbol).alias("_symbols")), labels).join(figures, key, "left")
     counts = ["event_count", "symbol_count", "_seen", *[f"sample_count_{h}d" for h in horizons]]
     out = out.fillna(0, counts).withColumns(
@@ -119,12 +123,32 @@ def _pick(param: str, options: Mapping[object, str | Column]) -> Column:
     return case
 
 
-def candidate_signals(bars: DataFrame, candidates: Sequence[Mapping], keep: Sequence[str] = (), only: DataFrame | None = None, panel: Panel = BARS) -> DataFrame:
+# parameters that a position machine's path depends on; what else a candidate has is applied to the path
+MACHINE = ["window", "num_std", "use_trend_filter", "trend_window", "use_volume_filter", "volume_window",
+           "volume_multiplier", "use_supertrend_filter", "squeeze_quantile", "confirm_bars"]
+
+
+def machine_grid(candidates: Sequence[Mapping]) -> tuple[list[dict], dict[int, list[dict]]]:
+    """The candidates as a tree: distinct machine parameters (with machine_id), and the candidates of each machine.
+
+    A leaf has experiment_id, signal_delay and the rows that the candidate needs.
+    """
+    machines: dict[str, dict] = {}
+    leaves: dict[int, list[dict]] = {}
+    for i, c in enumerate(candidates, start=1):
+        row = {k: c[k] for k in MACHINE if c.get(k) is not None}
+        row = {k: float(v) if k in ("num_std", "volume_multiplier", "squeeze_quantile") else v for k, v in row.items()}
+        machine = machines.setdefault(json.dumps(row, sort_keys=True), {"machine_id": len(machines), **row})
+        leaves.setdefault(machine["machine_id"], []).append({"experiment_id": c.get("experiment_id", i), "delay": c.get("signal_delay", 0), "need": min_rows_needed(c)})
+    return list(machines.values()), leaves
+
+
+def candidate_signals(bars: DataFrame, candidates: Sequence[Mapping], keep: Sequence[str] = (), panel: Panel = BARS) -> DataFrame:
     """Signals of every candidate of one mode, keyed by experiment_id.
 
-    All rolling columns that any candidate needs are computed once on the bars; after the bars are
-    repeated per candidate only the position machine runs per (candidate, symbol). ``only`` limits
-    the candidates to the ids of another result before that.
+    All rolling columns that any candidate needs are computed once on the bars; after the bars are repeated per
+    distinct machine only the position machine runs per (machine, symbol), once for all candidates that
+    differ in what comes after it.
     """
     mode = candidates[0]["mode"]
     values = lambda k, d: sorted({c.get(k, d) for c in candidates})
@@ -150,17 +174,9 @@ def candidate_signals(bars: DataFrame, candidates: Sequence[Mapping], keep: Sequ
         df = df.withColumn(f"_b{w}", div(f"_s{w}", f"_m{w}"))
         for i, q in enumerate(qs):
             df = rolling_quantile(df, f"_q{w}_{i}", f"_b{w}", candidates[0]["squeeze_lookback"], q, max(w, 5), panel)
-    names = ["window", "num_std", "signal_delay", "use_trend_filter", "trend_window", "use_volume_filter", "volume_window",
-             "volume_multiplier", "use_supertrend_filter", "squeeze_quantile", "confirm_bars"]
-    grid = []
-    for i, c in enumerate(candidates, start=1):
-        row = {k: c[k] for k in names if c.get(k) is not None}
-        row = {k: float(v) if k in ("num_std", "volume_multiplier", "squeeze_quantile") else v for k, v in row.items()}
-        grid.append({"experiment_id": c.get("experiment_id", i), **row, "_need": min_rows_needed(c)})
-    df = attach_grid(df, grid)
-    if only is not None:
-        df = df.join(only.select("experiment_id"), "experiment_id", "left_semi")
-    by, c = panel.by("experiment_id"), F.col
+    machines, leaves = machine_grid(candidates)
+    df = attach_grid(df, machines)
+    by, c = panel.by("machine_id"), F.col
     df = df.withColumns({n: _pick("window", {w: f"_{p}{w}" for w in windows}) for n, p in (("_m", "m"), ("_s", "s"), ("_pm", "pm"), ("_ps", "ps"))})
     k = c("num_std")
     df = df.withColumns({"_up": c("_m") + k * c("_s"), "_lo": c("_m") - k * c("_s"), "_pup": c("_pm") + k * c("_ps"), "_plo": c("_pm") - k * c("_ps")})
@@ -198,32 +214,38 @@ def candidate_signals(bars: DataFrame, candidates: Sequence[Mapping], keep: Sequ
         enter_long, enter_short, ready = (c("_hr") >= c("confirm_bars")) & c("_lok"), (c("_br") >= c("confirm_bars")) & c("_sok"), c("_ready")
     else:
         enter_long, enter_short = up & c("_lok"), down & c("_sok")
-    df = df.select("experiment_id", *panel.keys, panel.order, *keep, "signal_delay", (c("_n") >= c("_need")).alias("_enough"),
+    df = df.select("machine_id", *panel.keys, panel.order, *keep, "_n",
                    flag(enter_long).alias("_il"), flag(enter_short).alias("_is"), flag(leave_long).alias("_ol"), flag(leave_short).alias("_os"), flag(ready).alias("_rd"))
     df = reset_latch(df, "signal", c("_il"), c("_is"), c("_ol"), c("_os"), c("_rd"), by)
-    delayed = {d: c("signal") if d == 0 else F.coalesce(lag("signal", d, by), F.lit(0)) for d in values("signal_delay", 0)}
-    df = df.withColumn("signal", F.when(c("_enough"), _pick("signal_delay", delayed)).otherwise(0))
-    return df.select("experiment_id", *panel.keys, panel.order, *keep, "signal")
+    delays = values("signal_delay", 0)
+    df = df.withColumns({f"_d{d}": c("signal") if d == 0 else F.coalesce(lag("signal", d, by), F.lit(0)) for d in delays})
+    leaf = lambda x: F.struct(F.lit(x["experiment_id"]).alias("experiment_id"), F.lit(x["delay"]).alias("delay"), F.lit(x["need"]).alias("need"))
+    of_machine = F.create_map(*[x for m, found in leaves.items() for x in (F.lit(m), F.array(*map(leaf, found)))])
+    df = df.withColumn("_leaf", F.explode(F.try_element_at(of_machine, c("machine_id"))))
+    signal = F.when(c("_n") >= c("_leaf.need"), _pick("_leaf.delay", {d: f"_d{d}" for d in delays})).otherwise(0)
+    return df.select(c("_leaf.experiment_id").alias("experiment_id"), *panel.keys, panel.order, *keep, signal.alias("signal"))
 
 
-def evaluate_candidates(bars: DataFrame, candidates: Sequence[Mapping], periods: Mapping[str, tuple[str, str]], rules: tr.Rules, horizons: Sequence[int] = (1, 3, 5, 10), initial_capital: float = 1_000_000.0, loss: tr.Stop | None = None, profit: tr.Stop | None = None, only: DataFrame | None = None, panel: Panel = BARS) -> DataFrame:
+def evaluate_candidates(bars: DataFrame, candidates: Sequence[Mapping], periods: Mapping[str, tuple[str, str]], rules: tr.Rules, horizons: Sequence[int] = (1, 3, 5, 10), initial_capital: float = 1_000_000.0, loss: tr.Stop | None = None, profit: tr.Stop | None = None, panel: Panel = BARS) -> DataFrame:
     """Value, trade and forward figures of every candidate in every period, one row per candidate.
 
-    Signals see the whole history, accounts start flat in each period.
+    Signals see the whole history, accounts start flat in each period. The later closes ride along from the bars and the
+    ledger is written once, so that values, trades and forward figures read one run of the machines for all periods.
     """
-    flagged = tr.exchange_flags(bars, rules, panel)
-    carried = ["close", "high", "low", "requested_shares", "buy_refusal", "can_sell"]
-    sig = candidate_signals(flagged, candidates, carried, only, panel)
+    flagged = tr.exchange_flags(ev.forward_columns(bars, horizons, panel), rules, panel)
+    ahead = [*[f"_c{h}" for h in sorted({int(h) for h in horizons if int(h) > 0})], "_top", "_low"]
+    sig = candidate_signals(flagged, candidates, ["close", "high", "low", "requested_shares", "buy_refusal", "can_sell", *ahead], panel)
     case = None
     for name, (start, end) in periods.items():
         inside = F.col(panel.order).between(F.lit(start).cast("date"), F.lit(end).cast("date"))
         case = F.when(inside, name) if case is None else case.when(inside, name)
     sig = sig.withColumn("period", case).where("period IS NOT NULL")
     keys = ("experiment_id", "period")
-    led = tr.ledger(sig, rules, loss=loss, profit=profit, panel=panel.by(*keys))
+    led = through_table(tr.ledger(sig, rules, loss=loss, profit=profit, panel=panel.by(*keys)), "ledger")
     log = tr.trade_log(led, rules, keys)
     value = tr.period_summary(tr.nav(led, initial_capital, keys), log, initial_capital, keys)
-    edges = ev.forward_edges(log, bars.select(*panel.keys, panel.order, "close"), horizons, keys, panel=panel)
+    action = F.when(F.col("trade") == 1, "buy").otherwise("sell").alias("action")
+    edges = ev.edge_summary(led.where("trade <> 0").select(*keys, action, F.col("close").alias("_close"), *ahead), horizons, keys)
     both = value.join(edges, list(keys), "left")
     figures = [c for c in both.columns if c not in keys]
     both = both.fillna(0, [c for c in figures if c.startswith("signal_")])
@@ -248,7 +270,12 @@ def score_candidates(frame: DataFrame, evaluation_mode: str = "combined", horizo
     if primary not in horizons:
         raise ValueError("signal_primary_horizon must be included in signal_horizons")
     c, far = F.col, horizons[-1]
-    mean = lambda pattern: sum((c(pattern.format(h)) for h in horizons), F.lit(0.0)) / len(horizons)
+    def mean(pattern: str) -> Column:
+        """Mean of the horizons that have a value."""
+        xs = [c(pattern.format(h)).cast("double") for h in horizons]
+        there = sum((F.when(x.isNotNull(), 1).otherwise(0) for x in xs), F.lit(0))
+        return div(sum((F.coalesce(x, F.lit(0.0)) for x in xs), F.lit(0.0)), there)
+
     df = frame.withColumns(
         {
             "train_valid_sharpe_gap": F.abs(c("train_sharpe_ratio") - c("valid_sharpe_ratio")),
@@ -288,10 +315,11 @@ def score_candidates(frame: DataFrame, evaluation_mode: str = "combined", horizo
 
 def evaluate_top(bars: DataFrame, candidates: Sequence[Mapping], ranked: DataFrame, top_k: int, period: tuple[str, str], rules: tr.Rules, **kw) -> DataFrame:
     """The best k of a ranking, run again on the test period."""
-    # the ranking is a result of its own; the test run reads it twice
+    # the ranking is a result of its own; the test run has only its first k candidates, so they are named in the plan
     top = through_table(ranked.where(F.col("rank") <= top_k).select("experiment_id", "rank", "selection_score"), "ranking")
-    test = evaluate_candidates(bars, candidates, {"test": period}, rules, only=top, **kw)
-    return top.join(test, "experiment_id")
+    ids = {r["experiment_id"] for r in top.select("experiment_id").collect()}
+    chosen = [{**c, "experiment_id": c.get("experiment_id", i)} for i, c in enumerate(candidates, start=1) if c.get("experiment_id", i) in ids]
+    return top.join(evaluate_candidates(bars, chosen, {"test": period}, rules, **kw), "experiment_id")
 
 
 def sharpe_heatmap(ranked: DataFrame, stds: Sequence[float], x: str = "valid_sharpe_ratio") -> DataFrame:

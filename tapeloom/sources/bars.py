@@ -18,7 +18,8 @@ def trade_seq() -> Column:
     trades first. 40 bits hold order keys up to scale factor 180,000.
     """
     order = F.col("l_orderkey")
-    order = F.when(order < 2**40, order).otherwise(F.raise_error(F.lit("order key beyond 40 bits")).cast("long"))
+    fits = order.between(0, 2**40 - 1) & F.col("l_linenumber").between(0, 7)
+    order = F.when(fits, order).otherwise(F.raise_error(F.lit("order key beyond 40 bits, or line number beyond 3")).cast("long"))
     tag = (F.round(F.col("l_extendedprice") * 100).cast("long") * 50 + F.col("l_quantity").cast("long")) % 2**20
     return F.shiftleft(order * 8 + F.col("l_linenumber"), 20) + tag
 

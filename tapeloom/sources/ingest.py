@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,19 +42,14 @@ PRICES = ("open", "close", "high", "low")
 # ---- files --------------------------------------------------------------------------------------
 
 
-@F.pandas_udf(T.StringType())
-def _decoded(content: pd.Series) -> pd.Series:
+def decoded(raw: bytes) -> str:
     """The bytes as text in the first encoding of the list that fits."""
-
-    def text(raw: bytes) -> str:
-        for name in ENCODINGS:
-            try:
-                return raw.decode(name)
-            except UnicodeDecodeError:
-                continue
-        raise ValueError(f"none of {ENCODINGS} decodes the file")
-
-    return content.map(text)
+    for name in ENCODINGS:
+        try:
+            return raw.decode(name)
+        except UnicodeDecodeError as e:
+            last = e
+    raise last
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], encoding: str = "utf-8", schema: T.StructType | str | None = None) -> DataFrame:
@@ -63,25 +60,78 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], encoding: str = "ut
     return df.withColumnsRenamed({c: c.lstrip("﻿") for c in bom})
 
 
-def read_csv_fallback(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
-    """All CSV files under a path as text columns, each file in the first encoding that fits it.
+#: Rows of a file that leave a worker at a time.
+FILE_ROWS = 20_000
+
+
+def read_price_files(spark: SparkSession, path: str, pattern: str = "*.csv", columns: Sequence[str] = BAR_COLUMNS, aliases: Mapping[str, str] = BAR_ALIASES, need: Sequence[str] = ("date",)) -> DataFrame:
+    """All CSV files under a path in one pass: ``columns`` as text, file, line, error, detail.
 
-    The built-in reader takes one encoding and knows only Unicode ones. Here a file is decoded whole
-    - it is one symbol's price history - and its lines are parsed like any CSV line.
+    Each file is read in the first encoding that fits it and by its own header: names are mapped to standard ones, the
+    first of two claimants wins, columns that a file lacks are null, and quoted fields may hold line breaks. ``line`` is the
+    record's number in its file, from 1. A file that can't be read so gives one row with the class and text of the error instead of
+    its rows; a file of no bytes gives none. Built-in readers take one encoding and one header for all files. A file is one symbol's history and
+    is handled whole; what comes out leaves in pieces.
     """
+    columns, aliases, need = list(columns), dict(aliases), list(need)
+
+    def places(header: list[str]) -> dict[str, int]:
+        found: dict[str, int] = {}
+        for i, name in enumerate(header):
+            name = name.strip().lstrip("\ufeff")
+            found.setdefault(aliases.get(name) or aliases.get(name.lower()) or name, i)
+        lacking = [c for c in need if c not in found]
+        if lacking:
+            raise ValueError(f"Price csv is missing {', '.join(lacking)} column.")
+        return found
+
+    def table(file: str, rows: list[tuple], error: str | None = None, detail: str | None = None) -> pa.Table:
+        data = {c: pa.array([r[k] for r in rows], pa.string()) for k, c in enumerate(columns)}
+        lines = pa.array([r[-1] for r in rows], pa.int64())
+        same = lambda v: pa.array([v] * len(rows), pa.string())
+        return pa.table({"file": same(file), "line": lines, "error": same(error), "detail": same(detail)} | data)
+
+    def parsed(file: str, content: bytes):
+        records = csv.reader(io.StringIO(decoded(content), newline=""), strict=True)
+        found = places(next(records, []))
+        at = [found.get(c) for c in columns]
+        rows = []
+        for line, record in enumerate(records, 1):
+            if record:
+                rows.append((*[record[i] or None if i is not None and i < len(record) else None for i in at], line))
+            if len(rows) >= FILE_ROWS:
+                yield table(file, rows)
+                rows = []
+        yield table(file, rows)
+
+    def checked(content: bytes) -> None:
+        records = csv.reader(io.StringIO(decoded(content), newline=""), strict=True)
+        places(next(records, []))
+        for _ in records:
+            pass
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                file, content = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                try:
+                    checked(content)  # no row of a file that breaks off later
+                except (ValueError, csv.Error) as e:
+                    yield from table(file, [(*[None] * len(columns), None)], type(e).__name__, str(e)).to_batches()
+                    continue
+                for part in parsed(file, content):
+                    yield from part.to_batches()
+
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    text = files.select(F.split(_decoded("content"), "\r?\n").alias("_lines"))
-    lines = text.select(F.element_at("_lines", 1).alias("_head"), F.explode(F.slice("_lines", 2, F.size("_lines"))).alias("_line")).where("_line <> ''")
-    heads = [r[0] for r in lines.select("_head").distinct().collect()]  # the layouts, one or two
-    if not heads:
-        raise FileNotFoundError(path)
-    out = None
-    for head in sorted(heads):
-        names = [n.strip().strip('"') for n in head.split(",")]
-        schema = ", ".join(f"`{n or 'index'}` string" for n in names)
-        df = lines.where(F.col("_head") == head).select(F.from_csv("_line", schema).alias("_r")).select("_r.*")
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    return out
+    schema = "file string, line long, error string, detail string, " + ", ".join(f"`{c}` string" for c in columns)
+    return files.select("path", "content").mapInArrow(run, schema)
+
+
+def read_csv_fallback(spark: SparkSession, path: str, pattern: str = "*.csv", columns: Sequence[str] = BAR_COLUMNS, aliases: Mapping[str, str] = BAR_ALIASES) -> DataFrame:
+    """The rows of all CSV files under a path, in whatever encoding and layout; a file that can't be read is an error."""
+    rows = read_price_files(spark, path, pattern, columns, aliases)
+    bad = F.raise_error(F.concat_ws(": ", "file", "error", "detail"))
+    return rows.where(F.when(F.col("error").isNotNull(), bad.cast("boolean")).otherwise(F.lit(True))).drop("file", "line", "error", "detail")
 
 
 def file_lookup(names: DataFrame, name: str = "file_name") -> DataFrame:
@@ -215,16 +265,15 @@ def merge_refresh(stored: DataFrame, fresh: DataFrame, keys: Sequence[str] = ("s
 
 def update_log(universe: DataFrame, stored: DataFrame, default_start: str, end: str, lookback_days: int = 120) -> DataFrame:
     """One row per symbol of the universe: status, latest date and the bounds of the next fetch."""
-    seen = fetch_start(stored, default_start, lookback_days).join(stored.groupBy("symbol").agg(F.count(F.lit(1)).alias("bars")), "symbol")
-    out = universe.join(seen, "symbol", "left")
+    out = universe.join(fetch_start(stored, default_start, lookback_days), "symbol", "left")
     start = F.coalesce("fetch_start", F.lit(default_start).cast("date"))
     return out.select(
         "symbol",
-        F.when(F.col("bars").isNull(), "failed").otherwise("updated").alias("status"),
+        F.when(F.col("last_date").isNull(), "failed").otherwise("updated").alias("status"),
         F.date_format("last_date", "yyyy-MM-dd").alias("latest_date"),
         F.date_format(start, "yyyyMMdd").alias("fetch_start"),
         F.date_format(F.lit(end).cast("date"), "yyyyMMdd").alias("fetch_end"),
-        F.when(F.col("bars").isNull(), "no stored bars").otherwise("").alias("message"),
+        F.when(F.col("last_date").isNull(), "no stored bars").otherwise("").alias("message"),
     )
 
 
@@ -237,21 +286,31 @@ def export_shape(bars: DataFrame, industry: Column, code: Column, link: Column)
     )
 
 
-def skip_report(universe: DataFrame, bars: DataFrame, start: str, end: str, min_rows: int = 120, panel: Panel = BARS) -> DataFrame:
-    """Why symbols of the universe cannot be studied, first reason that applies."""
+def skip_report(universe: DataFrame, bars: DataFrame, start: str, end: str, min_rows: int = 120, panel: Panel = BARS, errors: DataFrame | None = None) -> DataFrame:
+    """Why symbols of the universe cannot be studied: reason, the first that applies, and detail.
+
+    ``errors`` (keys, error, detail) names symbols whose files could not be read, as ``read_price_files`` reports them: their
+    reason is the class of the error. A symbol with an error and bars of other files counts as failed.
+    """
     inside = F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
     have = bars.groupBy(*panel.keys).agg(
         F.count(F.lit(1)).alias("_all"), F.count_if(inside).alias("_in"),
         *[F.count(F.when(inside, F.col(c))).alias(f"_{c}") for c in ("close", "high", "low")],
     )
+    out = universe.join(have, list(panel.keys), "left")
+    failed = F.lit(None).cast("string")
+    if errors is not None:
+        first = errors.where("error IS NOT NULL").groupBy(*panel.keys).agg(F.min(F.struct("error", "detail")).alias("_failed"))
+        out, failed = out.join(first, list(panel.keys), "left"), F.col("_failed.error")
     reason = (
-        F.when(F.col("_all").isNull(), "missing_csv")
+        F.when(failed.isNotNull(), failed)
+        .when(F.col("_all").isNull(), "missing_csv")
         .when(F.col("_in") == 0, "empty_price_data")
         .when(F.col("_in") < min_rows, "insufficient_history")
         .when((F.col("_close") == 0) | (F.col("_high") == 0) | (F.col("_low") == 0), "missing_required_columns")
     )
-    out = universe.join(have, list(panel.keys), "left").withColumn("reason", reason).where("reason IS NOT NULL")
-    return out.drop("_all", "_in", "_close", "_high", "_low")
+    out = out.withColumns({"reason": reason, "detail": F.lit(None).cast("string") if errors is None else F.col("_failed.detail")})
+    return out.where("reason IS NOT NULL").drop("_all", "_in", "_close", "_high", "_low", "_failed")
 
 
 # ---- universes and listings -------------------------------------------------------------------------
@@ -342,13 +401,60 @@ def code_column(listing: DataFrame, candidates: Sequence[str]) -> str | None:
 # ---- result files -----------------------------------------------------------------------------------
 
 
+def _with_zeros(df: DataFrame) -> DataFrame:
+    """Text codes of six digits at least."""
+    return df.withColumns({c: F.when(F.length(c) < 6, F.lpad(c, 6, "0")).otherwise(F.col(c)) for c in ("symbol", "code") if c in df.columns})
+
+
 def read_event_windows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Event windows with text codes padded to six digits; required columns are checked."""
     from tapeloom.operators.events import check_window_columns
 
     df = read_csv(spark, path, schema=schema)
     check_window_columns(df)
-    return df.withColumns({c: F.when(F.length(c) < 6, F.lpad(c, 6, "0")).otherwise(F.col(c)) for c in ("symbol", "code") if c in df.columns})
+    return _with_zeros(df)
+
+
+# fixed values: names of the files of an event study
+WINDOW_FILES, META_FILES = "event_windows_", "event_meta_"
+
+
+def _study(path: Column, prefix: str) -> Column:
+    return F.regexp_extract(path, rf"/{prefix}([^/]*)\.csv(?:/[^/]*)?$", 1)
+
+
+def event_window_files(spark: SparkSession, root: str) -> DataFrame:
+    """study, path, meta_path (null where it isn't there) of the event window files in a folder, in name order.
+
+    A file may also be a folder of that name with parts in it, as Spark writes it.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    named = lambda prefix: files.where(_study(F.col("path"), prefix) != "").select(
+        _study(F.col("path"), prefix).alias("study"), F.regexp_extract("path", rf"^(.*/{prefix}[^/]*\.csv)(?:/[^/]*)?$", 1).alias("path")).distinct()
+    return named(WINDOW_FILES).join(named(META_FILES).withColumnRenamed("path", "meta_path"), "study", "left").orderBy("study")
+
+
+def read_event_studies(spark: SparkSession, root: str, schema: str, meta_schema: str) -> DataFrame:
+    """All event windows in a folder beside the metadata of their event, each study with the file of its own name.
+
+    study, the columns of the windows, and those of the metadata but event_close. Windows without metadata have nulls; required
+    columns are checked, text codes keep their zeros. All studies are one scan of each kind of file and one join.
+    """
+    from tapeloom.operators.events import check_window_columns
+
+    def read(prefix: str, columns: str) -> DataFrame:
+        reader = spark.read.option("header", "true").schema(columns)
+        df = reader.csv(f"{root}/{prefix}*.csv")
+        path = F.regexp_replace(F.col("_metadata.file_path"), "%20", " ")
+        return _with_zeros(df.withColumn("study", _study(path, prefix)))
+
+    keys = ["study", "symbol", "event_date"]
+    windows = read(WINDOW_FILES, schema)
+    check_window_columns(windows)
+    if event_window_files(spark, root).where("meta_path IS NOT NULL").isEmpty():
+        return windows
+    meta = read(META_FILES, meta_schema)
+    return windows.join(meta.drop("event_close").dropDuplicates(keys), keys, "left")
 
 
 def read_results(spark: SparkSession, path: str, schema: str, start=None, end=None) -> DataFrame:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from decimal import Decimal
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tapeloom.functions.kernels import keep_last
+from tapeloom.streaming.ordered import Fresh, Latch, run_in_order
+from tapeloom.streaming.versions import COMPACT_EVERY, Versions, newest
 
 
 def read_files(spark: SparkSession, path: str, schema, glob: str | None = None) -> DataFrame:
@@ -17,54 +17,71 @@ def read_files(spark: SparkSession, path: str, schema, glob: str | None = None)
     return (reader.option("pathGlobFilter", glob) if glob else reader).parquet(path)
 
 
-def drain(df: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> None:
-    """Process all that has arrived into a Parquet sink; the checkpoint makes the next run go on from there."""
-    q = df.writeStream.format("parquet").outputMode(mode).option("path", sink).option("checkpointLocation", checkpoint)
-    q.trigger(availableNow=True).start().awaitTermination()
-
-
 # ---- bars from ticks ------------------------------------------------------------------------------
 
 
-def tick_bars(ticks: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Bars of a tumbling window per event type, written once no tick can change them any more.
+def partial_bars(ticks: DataFrame, width: str = "1 hour") -> DataFrame:
+    """What some ticks know of the bars of a tumbling window: first and last tick by time and id, extremes, count.
 
-    ``late`` bounds how late a tick may come and so how many windows stay open in the state.
+    Time and id are packed into one decimal, as a struct as the key of ``min_by`` would make Spark sort all ticks first.
     """
-    ticks = ticks.withColumn("ts", F.col("ts").cast("timestamp"))
-    w = F.window("ts", width)
-    return (
-        ticks.withWatermark("ts", late)
-        .groupBy(w, F.col("event_type").alias("symbol"))
-        .agg(
-            F.min_by("value", "event_id").alias("open"), F.max_by("value", "event_id").alias("close"),
-            F.max("value").alias("high"), F.min("value").alias("low"), F.count(F.lit(1)).cast("double").alias("volume"),
-        )
-        .select("symbol", F.col("window.start").alias("hour"), "open", "close", "high", "low", "volume")
-    )
+    ts = F.col("ts").cast("timestamp")
+    place = F.unix_micros(ts).cast("decimal(19,0)") * F.lit(Decimal(2 * 10**19)) + F.col("event_id").cast("decimal(19,0)")
+    rows = ticks.select(F.window(ts, width)["start"].alias("hour"), F.col("event_type").alias("symbol"), "value", place.cast("decimal(38,0)").alias("place"))
+    return rows.groupBy("symbol", "hour").agg(
+        F.min("place").alias("first"), F.min_by("value", "place").alias("open"), F.max("place").alias("last"), F.max_by("value", "place").alias("close"),
+        F.max("value").alias("high"), F.min("value").alias("low"), F.count(F.lit(1)).alias("n"))
+
+
+def merged_bars(parts: DataFrame) -> DataFrame:
+    """Partial bars of the same windows as one each; any grouping and order of the parts gives the same bars."""
+    return parts.groupBy("symbol", "hour").agg(
+        F.min("first").alias("first"), F.min_by("open", "first").alias("open"), F.max("last").alias("last"), F.max_by("close", "last").alias("close"),
+        F.max("high").alias("high"), F.min("low").alias("low"), F.sum("n").alias("n"), F.max("batch").alias("batch"))
+
+
+def _tick_table(spark: SparkSession, root: str) -> Versions:
+    return Versions(spark, root, ("symbol", "hour"), merged_bars)
+
+
+def take_ticks(ticks: DataFrame, root: str, width: str = "1 hour", compact_every: int | None = COMPACT_EVERY) -> None:
+    """Take in a stream of ticks. A tick may be as late as it likes: each batch adds what it knows of its bars."""
+    table = _tick_table(ticks.sparkSession, root)
+    run_batches(ticks, lambda batch, number: table.add(partial_bars(batch, width), number, compact_every), root)
+
+
+def tick_bars(spark: SparkSession, root: str) -> DataFrame:
+    """All bars of the ticks taken in so far, the last window too."""
+    parts = _tick_table(spark, root).current()
+    return parts.select("symbol", "hour", "open", "close", "high", "low", F.col("n").cast("double").alias("volume"))
 
 
 # ---- refresh with corrections ---------------------------------------------------------------------
 
 
+def run_batches(updates: DataFrame, take, root: str, mode: str = "append") -> None:
+    """Give every batch that has arrived to ``take(batch, number)``; a batch comes again if it was not finished."""
+    q = updates.writeStream.foreachBatch(take).outputMode(mode).option("checkpointLocation", f"{root}/checkpoint")
+    q.trigger(availableNow=True).start().awaitTermination()
+
+
+def _bar_table(spark: SparkSession, root: str, keys=("symbol", "date"), seq: str = "seq") -> Versions:
+    return Versions(spark, root, tuple(keys), newest(keys, seq))
+
+
 def current_bars(spark: SparkSession, root: str, keys=("symbol", "date"), seq: str = "seq") -> DataFrame:
     """The bars of a refreshed table: the newest version of every key."""
-    versions = spark.read.parquet(f"{root}/versions")
-    return keep_last(versions, list(keys), [F.col("batch"), F.col(seq)]).drop("batch", seq)
+    return _bar_table(spark, root, keys, seq).current().drop("batch", seq)
 
 
-def refresh_bars(updates: DataFrame, root: str, keys=("symbol", "date"), seq: str = "seq") -> None:
+def refresh_bars(updates: DataFrame, root: str, keys=("symbol", "date"), seq: str = "seq", compact_every: int | None = COMPACT_EVERY) -> None:
     """Add bar versions from a stream; a later version of a key replaces the earlier one, however old the bar.
 
     Each batch writes its own folder and overwrites it when it is repeated, so a lost executor or a
-    restart in the middle changes nothing.
+    restart in the middle changes nothing. Every ``compact_every`` batches what was there becomes a snapshot.
     """
-
-    def add(batch: DataFrame, batch_id: int) -> None:
-        keep_last(batch, list(keys), [F.col(seq)]).write.mode("overwrite").parquet(f"{root}/versions/batch={batch_id}")
-
-    q = updates.writeStream.foreachBatch(add).option("checkpointLocation", f"{root}/checkpoint")
-    q.trigger(availableNow=True).start().awaitTermination()
+    table = _bar_table(updates.sparkSession, root, keys, seq)
+    run_batches(updates, lambda batch, number: table.add(keep_last(batch, list(keys), [F.col(seq)]), number, compact_every), root)
 
 
 def monitor_once(updates: DataFrame, root: str, universe: DataFrame, condition: str, params, snapshot: str) -> DataFrame:
@@ -83,36 +100,31 @@ def monitor_once(updates: DataFrame, root: str, universe: DataFrame, condition:
 # ---- state per symbol -------------------------------------------------------------------------------
 
 
-def _in_order(pdfs: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(pdfs), ignore_index=True).sort_values("date", ignore_index=True)
+def _corrected(outputs: DataFrame, root: str, compact_every: int | None) -> None:
+    table = Versions(outputs.sparkSession, root, ("symbol", "date"), newest(("symbol", "date")))
+    run_batches(outputs, lambda batch, number: table.add(batch, number, compact_every), root, "update")
 
 
-def new_signals(conditions: DataFrame) -> DataFrame:
-    """Marks a condition that the bar before did not have; the state is the last condition of the symbol.
+def _latest(spark: SparkSession, root: str) -> DataFrame:
+    return Versions(spark, root, ("symbol", "date"), newest(("symbol", "date"))).current()
 
-    Needs symbol, date, condition; one call sees one symbol's new bars.
-    """
 
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = _in_order(pdfs)
-        now = rows["condition"].fillna(False).astype(bool)
-        before = now.shift(fill_value=bool(state.get[0]) if state.exists else False)
-        state.update((bool(now.iloc[-1]),))
-        yield pd.DataFrame({"symbol": key[0], "date": rows["date"], "is_new_signal": now & ~before})
+def take_conditions(conditions: DataFrame, root: str, compact_every: int | None = COMPACT_EVERY) -> None:
+    """Take in a stream of (symbol, date, condition), in any order."""
+    rows = conditions.withColumn("input", F.when(F.col("condition"), 1).otherwise(0))
+    _corrected(run_in_order(rows, Fresh()), root, compact_every)
+
 
-    return conditions.groupBy("symbol").applyInPandasWithState(
-        step, "symbol string, date date, is_new_signal boolean", "last boolean", "append", GroupStateTimeout.NoTimeout)
+def new_signals(spark: SparkSession, root: str) -> DataFrame:
+    """symbol, date, is_new_signal: whether the bar has a condition that the bar before did not have."""
+    return _latest(spark, root).select("symbol", "date", (F.col("output") == 1).alias("is_new_signal"))
 
 
-def held_positions(events: DataFrame) -> DataFrame:
-    """The position after each bar from entry and exit events (null: no event); the state is the position."""
+def take_events(events: DataFrame, root: str, compact_every: int | None = COMPACT_EVERY) -> None:
+    """Take in a stream of (symbol, date, event), in any order; the event is the position it sets, or null."""
+    _corrected(run_in_order(events.withColumn("input", F.col("event").cast("int")), Latch()), root, compact_every)
 
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = _in_order(pdfs)
-        start = state.get[0] if state.exists else 0
-        held = rows["event"].ffill().fillna(start).astype("int32")
-        state.update((int(held.iloc[-1]),))
-        yield pd.DataFrame({"symbol": key[0], "date": rows["date"], "signal": held})
 
-    return events.groupBy("symbol").applyInPandasWithState(
-        step, "symbol string, date date, signal int", "position int", "append", GroupStateTimeout.NoTimeout)
+def held_positions(spark: SparkSession, root: str) -> DataFrame:
+    """symbol, date, signal: the position after each bar."""
+    return _latest(spark, root).select("symbol", "date", F.col("output").alias("signal"))

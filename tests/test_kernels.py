@@ -103,3 +103,26 @@ def test_ranks_equal_pandas_with_ties_and_hot_value(spark):
     np.testing.assert_allclose([r.r for r in large.collect()], want)
     small = df.withColumn("r", tie_rank(F.col("x"), ["g"])).orderBy("id")
     np.testing.assert_allclose([r.r for r in small.collect()], want)
+
+
+def test_state_scan_equals_a_loop(spark):
+    rng = np.random.default_rng(12)
+    rows, want = [], {}
+    for name, n in (("a", 300), ("b", 1), ("c", 65), ("d", 17)):
+        state, path = 0, []
+        for i in range(n):
+            step = None if rng.random() < 0.2 else [int(x) for x in rng.integers(-1, 2, 3)]
+            if rng.random() < 0.6 and step:
+                step = [-1, 0, 1]  # mostly nothing happens, so that far rows matter
+            state = state if step is None else step[state + 1]
+            path.append(state)
+            rows.append((name, i, *(step or [None] * 3)))
+        want[name] = path
+    df = spark.createDataFrame(rows, "symbol string, date int, s int, f int, l int").repartition(3)
+    step = F.when(F.col("s").isNotNull(), k.state_map(F.col("s"), F.col("f"), F.col("l")))
+    for limit in (256 * 4, 1 << 16):
+        got = k.state_scan(df, "state", step, rows=limit).orderBy("symbol", "date").collect()
+        for name in want:
+            assert [r["state"] for r in got if r["symbol"] == name] == want[name]
+    with pytest.raises(Exception, match="more than 64 rows"):
+        k.state_scan(df, "state", step, rows=64).collect()

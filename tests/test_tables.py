@@ -14,7 +14,6 @@ from tapeloom.operators import portfolio as pf
 from tapeloom.session import work_dir
 from tapeloom.sources import ingest as ig
 from tapeloom.sources import store as st
-from tapeloom.streaming import bars_stream as bs
 
 
 def test_covariance_equals_pandas_with_missing_days(spark):
@@ -23,13 +22,21 @@ def test_covariance_equals_pandas_with_missing_days(spark):
     wide = wide.mask(rng.random(wide.shape) < 0.2)
     long = wide.rename_axis("date").reset_index().melt("date", var_name="symbol", value_name="r").dropna()
     long["date"] = long["date"].dt.date
-    got = {(r.a, r.b): r.cov for r in pf.covariance(spark.createDataFrame(long), "r", blocks=3).collect()}
+    got = {(r.a, r.b): r.cov for r in pf.covariance(spark.createDataFrame(long), "r", tile=3).collect()}
     want = wide.cov()
     assert len(got) == 28
     for (a, b), v in got.items():
         assert a <= b and v == pytest.approx(want.loc[a, b])
 
 
+def test_covariance_tiles_stay_below_their_bound(spark):
+    many = spark.range(5000).select(F.format_string("S%05d", "id").alias("symbol"))
+    blocks = pf.symbol_blocks(many, 256)
+    sizes = [r["count"] for r in many.groupBy(F.pmod(F.xxhash64("symbol"), F.lit(blocks))).count().collect()]
+    assert max(sizes) <= 256 and blocks < 40
+    assert pf.symbol_blocks(many.limit(0)) == 1
+
+
 def test_neutralised_factor_is_the_regression_residual(spark):
     rng = np.random.default_rng(4)
     pdf = pd.DataFrame({"date": "d", "industry": rng.choice(list("xyz"), 40), "cap": rng.normal(size=40), "f": rng.normal(size=40)})
@@ -117,6 +124,61 @@ def test_event_window_reader_checks_columns_and_keeps_zeros(spark, frame):
         ev.check_window_columns(df.drop("volume"))
 
 
+def test_files_of_all_layouts_are_read_in_one_pass(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("\ufeffdate,code,close,note\n2024-01-02,000001,1.5,x\n\n2024-01-03,000001,,y\n".encode())
+    (tmp_path / "b.csv").write_bytes("日期,股票代码,收盘,名称\n2024-01-02,000002,2.5,\"两\n行\"\n2024-01-03,\"00,2\",3.5\n".encode("gbk"))
+    (tmp_path / "c.csv").write_bytes("收盘,日期\r\n7,2024-01-04\r\n".encode("gb18030"))
+    (tmp_path / "empty.csv").write_bytes(b"date,code\n")
+    (tmp_path / "skip.txt").write_bytes(b"date\n1\n")
+    rows = ig.read_price_files(spark, str(tmp_path)).orderBy("file", "line").collect()
+    got = [(r["file"][-5], r["line"], r["date"], r["code"], r["close"], r["error"]) for r in rows]
+    assert got == [("a", 1, "2024-01-02", "000001", "1.5", None), ("a", 3, "2024-01-03", "000001", None, None), ("b", 1, "2024-01-02", "000002", "2.5", None),
+                   ("b", 2, "2024-01-03", "00,2", "3.5", None), ("c", 1, "2024-01-04", None, "7", None)]
+    assert ig.read_csv_fallback(spark, str(tmp_path)).columns == ig.BAR_COLUMNS
+
+
+def test_files_that_cannot_be_read_become_reasons(spark, tmp_path):
+    (tmp_path / "GOOD.csv").write_bytes(b"date,open,close,high,low\n2024-01-02,1,1,1,1\n2024-01-03,1,1,1,1\n")
+    (tmp_path / "BYTE.csv").write_bytes(b"date,close\n2024-01-02,1\n\xff")
+    (tmp_path / "HEAD.csv").write_bytes(b"day,close\n2024-01-02,1\n")
+    (tmp_path / "VOID.csv").write_bytes(b"")
+    (tmp_path / "QUOT.csv").write_bytes(b'date,close\n2024-01-02,1\n"2024-01-03,1\n')
+    (tmp_path / "NONE.csv").write_bytes(b"date,close\n")
+    rows = ig.read_price_files(spark, str(tmp_path)).withColumn("symbol", F.regexp_extract("file", r"([A-Z]+)\.csv$", 1))
+    assert rows.count() == 5  # Spark's readers pass over files of no bytes
+    bars = rows.where("error IS NULL").select("symbol", F.to_date("date").alias("date"), *[F.col(c).cast("double").alias(c) for c in ("close", "high", "low")])
+    universe = spark.createDataFrame([(s,) for s in ("GOOD", "BYTE", "HEAD", "VOID", "QUOT", "NONE", "LOST")], "symbol string")
+    got = {r["symbol"]: (r["reason"], r["detail"]) for r in ig.skip_report(universe, bars, "2024-01-01", "2024-12-31", 2, errors=rows).collect()}
+    assert {s: r for s, (r, _) in got.items()} == {"BYTE": "UnicodeDecodeError", "HEAD": "ValueError", "VOID": "missing_csv", "QUOT": "Error", "NONE": "missing_csv", "LOST": "missing_csv"}
+    assert "date" in got["HEAD"][1]
+    with pytest.raises(Exception, match="HEAD|BYTE|QUOT"):
+        ig.read_csv_fallback(spark, str(tmp_path)).collect()
+
+
+def test_event_studies_of_a_folder(spark, frame, tmp_path):
+    head = "symbol,event_date,trade_date,relative_day,open,high,low,close,volume"
+    for name in ("one", "two b"):
+        (tmp_path / f"event_windows_{name}.csv").write_text(f"{head}\n000001,2024-01-02,2024-01-02,0,1,1,1,1,1\n7,2024-01-02,2024-01-03,1,1,1,1,1,1\n")
+    (tmp_path / "event_meta_one.csv").write_text("symbol,event_date,event_close,bandwidth\n000001,2024-01-02,1,0.5\n000001,2024-01-02,1,0.5\n")
+    (tmp_path / "other.csv").write_text("x\n1\n")
+    schema = "symbol string, event_date date, trade_date date, relative_day int, open double, high double, low double, close double, volume double"
+    listed = ig.event_window_files(spark, str(tmp_path)).collect()
+    assert [(r["study"], r["meta_path"] is not None) for r in listed] == [("one", True), ("two b", False)]
+    rows = ig.read_event_studies(spark, str(tmp_path), schema, "symbol string, event_date date, event_close double, bandwidth double").orderBy("study", "symbol").collect()
+    assert [(r["study"], r["symbol"], r["bandwidth"]) for r in rows] == [("one", "000001", 0.5), ("one", "000007", None), ("two b", "000001", None), ("two b", "000007", None)]
+    with pytest.raises(ValueError):
+        ig.read_event_studies(spark, str(tmp_path), "symbol string, event_date date", "symbol string, event_date date, event_close double")
+
+
+@pytest.mark.parametrize("freq", ["D", "3D", "B", "2B", "W", "2W", "MS", "ME", "3ME", "QS", "QE", "2QE", "YS", "YE"])
+def test_date_ranges_equal_pandas(spark, freq):
+    df = spark.createDataFrame([("2019-12-30", "2024-03-01"), ("2024-02-29", "2024-02-29")], "a string, b string")
+    got = [r["d"] for r in fr.calendar_days(df.where("a < b"), "a", "b", "d", freq=freq).orderBy("d").collect()]
+    assert got == [d.date() for d in pd.date_range("2019-12-30", "2024-03-01", freq=freq)]
+    with pytest.raises(ValueError):
+        fr.calendar_days(df, "a", "b", freq="7X")
+
+
 def squeeze_loop(up, low, price, bw, thr, wait, confirm):
     """The wait after a squeeze, both directions, no filters, as a plain loop."""
     out, waiting, n, u, d = [], False, 0, 0, 0
@@ -153,31 +215,6 @@ def test_squeeze_condition_equals_loop(spark, confirm, wait):
     assert some > 5
 
 
-def test_streams_equal_batch(spark, frame):
-    root = work_dir(spark, "t-stream")
-    marks = [None, 1, None, -1, None, None, 1, None]
-    df = frame(event=marks, on=[0, 1, 1, 0, 1, 1, 1, 0])
-    rows = df.select("symbol", "date", F.col("event").cast("int").alias("event"), (F.col("on") == 1).alias("condition"))
-    for a, b in ((0, 3), (3, 8)):
-        rows.where((F.dayofmonth("date") > a) & (F.dayofmonth("date") <= b)).write.mode("append").parquet(f"{root}/in")
-        live = bs.read_files(spark, f"{root}/in", rows.schema)
-        bs.drain(bs.held_positions(live), f"{root}/pos", f"{root}/cp1")
-        bs.drain(bs.new_signals(live), f"{root}/new", f"{root}/cp2")
-    assert values(spark.read.parquet(f"{root}/pos"), "signal") == [0, 1, 1, -1, -1, -1, 1, 1]
-    assert values(spark.read.parquet(f"{root}/new"), "is_new_signal") == [False, True, False, False, True, False, False, False]
-
-
-def test_an_old_correction_replaces_its_bar(spark, frame):
-    root = work_dir(spark, "old")
-    bars = frame(close=[float(i) for i in range(500)]).withColumn("seq", F.lit(1))
-    bars.write.parquet(f"{root}/landed")
-    bs.refresh_bars(bs.read_files(spark, f"{root}/landed", bars.schema), root)
-    bars.where("close = 50").withColumns({"close": F.lit(-1.0), "seq": F.lit(2)}).write.mode("append").parquet(f"{root}/landed")
-    bs.refresh_bars(bs.read_files(spark, f"{root}/landed", bars.schema), root)
-    got = values(bs.current_bars(spark, root), "close")
-    assert got == [-1.0 if i == 50 else float(i) for i in range(500)]
-
-
 def test_catalog_covers_the_inventory():
     import re
     from pathlib import Path
