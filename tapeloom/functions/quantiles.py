@@ -77,13 +77,18 @@ def select_quantiles(counts: DataFrame, keys: Sequence[str], shares: Sequence[fl
     left is sorted and counted up. No group is ever held in one buffer, and every size takes the same way.
     """
     group = [*keys, "_name"]
-    sizes = counts.groupBy(*group).agg(F.sum("_n").alias("_all"), F.lit(0).cast("long").alias("_below"), F.count(F.lit(1)).alias("_m"))
-    sizes = through_table(sizes.withColumn("_range", F.lit(0).cast("long")).select(*group, "_range", "_all", "_below", "_m"), "sizes")
-    ranges = counts.withColumn("_range", F.lit(0).cast("long"))
-    while (sizes.agg(F.max("_m")).first()[0] or 0) > range_values:
-        ranges, sizes = _narrowed(ranges, sizes, group, shares, range_values)
     each = [*group, "_range"]
-    rows = same_keys(ranges, sizes.select(*each, "_all", "_below"), each)
+    ranges = counts.withColumn("_range", F.lit(0).cast("long"))
+    # no group has more values than the table has rows
+    if counts.count() > range_values and counts.groupBy(*group).count().agg(F.max("count")).first()[0] > range_values:
+        sizes = counts.groupBy(*group).agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_m"))
+        zero = F.lit(0).cast("long")
+        sizes = through_table(sizes.select(*group, zero.alias("_range"), "_all", zero.alias("_below"), "_m"), "sizes")
+        while (sizes.agg(F.max("_m")).first()[0] or 0) > range_values:
+            ranges, sizes = _narrowed(ranges, sizes, group, shares, range_values)
+        rows = same_keys(ranges, sizes.select(*each, "_all", "_below"), each)
+    else:
+        rows = ranges.withColumns({"_all": F.sum("_n").over(Window.partitionBy(*each)), "_below": F.lit(0).cast("long")})
     so_far = Window.partitionBy(*each).orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("_end", F.col("_below") + F.sum("_n").over(so_far))
     here = [F.max(F.when((r >= F.col("_end") - F.col("_n")) & (r < F.col("_end")), F.col("_x"))).alias(f"_v{i}") for i, r in enumerate(_ranks(shares))]

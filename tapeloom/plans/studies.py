@@ -241,7 +241,12 @@ def evaluate_candidates(bars: DataFrame, candidates: Sequence[Mapping], periods:
         case = F.when(inside, name) if case is None else case.when(inside, name)
     sig = sig.withColumn("period", case).where("period IS NOT NULL")
     keys = ("experiment_id", "period")
-    led = through_table(tr.ledger(sig, rules, loss=loss, profit=profit, panel=panel.by(*keys)), "ledger")
+    led = tr.ledger(sig, rules, loss=loss, profit=profit, panel=panel.by(*keys))
+    # what only trades and refusals need is empty in all other rows, which are nearly all
+    asked = F.col("want_buy") | (F.col("trade") != 0)
+    sparse = ["want_buy", "buy_refusal", "requested_shares", "held_before", "reason", "exec_price", "fill_shares", "position_cost", "holding_days", "entry_price", *ahead]
+    led = led.select(*keys, *panel.keys, panel.order, "trade", "close", "held", "cash_flow", *[F.when(asked, F.col(c)).alias(c) for c in sparse])
+    led = through_table(led, "ledger")
     log = tr.trade_log(led, rules, keys)
     value = tr.period_summary(tr.nav(led, initial_capital, keys), log, initial_capital, keys)
     action = F.when(F.col("trade") == 1, "buy").otherwise("sell").alias("action")
