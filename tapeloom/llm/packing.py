@@ -3,8 +3,8 @@
 Documents are cut into pieces of at most ``room`` tokens. The lengths of all pieces, without their tokens, are dealt by a
 hash to blocks of some thousand pieces, and every block is packed by one task: best fit in decreasing order, then local
 search. The search moves a piece from one underfull bin to another, or exchanges one for one or two for one, whenever
-that raises the sum of squared fills, so that bins empty; it ends at the lower bound or when no change is left. A block
-wastes less than a bin by its border.
+that raises the sum of squared fills, so that bins empty; it ends at the lower bound, when no change is left, or after some
+rounds, each of which looks at a bounded number of the emptiest bins. A block wastes less than a bin by its border.
 
 Null texts are empty: their one piece holds the end mark alone. Each row is packed, repeated rows too; null ids as well.
 """
@@ -27,8 +27,11 @@ ROOM = 2048
 BLOCK = 8192
 #: Words, and runs between spaces, whose ids a task keeps at a time.
 KEPT = 600_000
-#: Texts of these characters are cut at spaces first, which is known to give the same ids; others go to the tokenizer whole.
-_PLAIN = re.compile(r"[\t\n\r\x20-\x7E¡-¬®-ɏ]*")
+#: Texts of these characters are cut at spaces first, which is known to give the same ids; others go to the tokenizer whole. A capital whose
+#: small letter lies beyond the range (Ɓ, Ə, ...) is none of them, as words are cut in lower case.
+_RANGE = re.compile(r"[\t\n\r\x20-\x7E¡-¬®-ɏ]*")
+PLAIN = "".join(c for c in map(chr, range(0x250)) if _RANGE.fullmatch(c) and _RANGE.fullmatch(c.lower()))
+_PLAIN = re.compile(f"[{re.escape(PLAIN)}]*")
 # fixed values: how the word vocabulary of the public tokenizers cuts a text of these characters, in lower case
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºÀ-ÖØ-öø-ɏ]+|[0-9²³¹¼-¾]|[^\sa-z0-9ªµºÀ-ÖØ-öø-ɏ²³¹¼-¾]+")
 
