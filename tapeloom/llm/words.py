@@ -45,8 +45,8 @@ def word_hashes(data: np.ndarray, begins: np.ndarray, sep: np.ndarray) -> tuple[
     starts, lens = edges[::2], edges[1::2] - edges[::2]
     first = np.cumsum(lens) - lens
     place = np.arange(first[-1] + lens[-1]) - np.repeat(first, lens)
-    powers = np.cumprod(np.full(min(int(lens.max()), 1 << 16), _MUL))
-    value = (data[inside].astype(np.uint64) + np.uint64(1)) * powers[place & 0xFFFF]
+    powers = np.cumprod(np.full(int(lens.max()), _MUL))
+    value = (data[inside].astype(np.uint64) + np.uint64(1)) * powers[place]
     hashes = mix(np.add.reduceat(value, first) + lens.astype(np.uint64) * _STEP)
     return hashes, np.searchsorted(begins, starts, side="right") - 1
 
