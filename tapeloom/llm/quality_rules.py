@@ -211,7 +211,7 @@ def robust_estimates(rows: DataFrame) -> DataFrame:
 
 def rule_verdicts(docs: DataFrame, cutoff: float = CUTOFF, carry: bool = False) -> DataFrame:
     """Counts, base_failed, distance and kept of every row of ``docs`` (doc_id, text, lang, source); with ``carry`` also its struct ``row``."""
-    counted = docs.select("doc_id", "lang", "source", text_counts(F.col("text")).alias("c"), *([F.xxhash64("doc_id", "text").alias("key")] if carry else []))
+    counted = docs.select("doc_id", "lang", "source", text_counts(F.col("text")).alias("c"), *([_row_key().alias("key")] if carry else []))
     counted = counted.select("doc_id", "lang", "source", "c.*", *(["key"] if carry else [])).withColumn("base_failed", base_failed())
     rows = counted.select("*", *statistics())
     rows = stored(rows, "statistics")
@@ -227,9 +227,15 @@ def rule_verdicts(docs: DataFrame, cutoff: float = CUTOFF, carry: bool = False)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept", *(["key"] if carry else []))
 
 
+def _row_key() -> Column:
+    """A hash of all that a verdict depends on; the hash of Spark passes over nulls, so that they are said apart."""
+    columns = ["doc_id", "text", "lang", "source"]
+    return F.xxhash64(*columns, *[F.col(c).isNull() for c in columns])
+
+
 def keep_by_rules(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """The rows of ``docs``, with all their columns, that the rules keep."""
     rejected = rule_verdicts(docs, cutoff, carry=True).where("not kept").select("key").distinct()
     rejected = stored(rejected, "rejected").withColumnRenamed("key", "_rejected_key")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", "text").alias("key"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), _row_key().alias("key"))
     return rows.join(rejected, F.col("key") == F.col("_rejected_key"), "left_anti").select("row.*")
