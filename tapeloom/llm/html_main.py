@@ -4,13 +4,15 @@ Every block element outside the article has a subtree hash of its tags and texts
 vote per distinct content (the article, or the page if it has none), so that copies of a page don't make its own text a
 template; a subtree that recurs on many of them is template and is deleted, wherever it stands outside an article. Inside
 articles (article, main, div of class main) these hashes delete nothing; there, containers (div, section, lists, table,
-figure, no text blocks) are counted apart, and those on INNER_SHARE of the host's distinct contents are deleted. From the rest, elements are left out by tag (scripts, menus, forms, ...) and by the words of their class
-and id (adverts, notices, comments, ...), and the main element is read: all articles, else the main, else the body. Text is
-cut into blocks at block elements; white space inside a block becomes one space; blocks are joined by an empty line.
+figure, no text blocks) are counted apart, and those on INNER_SHARE of the host's distinct contents are deleted. From the rest, elements
+are left out by tag (scripts, menus, forms, ...) and by whole names of their class and id (adverts, notices, comments, ...), and the main element
+is read: all articles, else the main, else the body. Where names would leave nothing of a page that has text, tags alone decide.
+Text is cut into blocks at block elements; white space inside a block becomes one space; blocks are joined by an empty line.
 
 Null or empty html gives an empty text. A page without a host has its own empty host. Rows that repeat a page_id are
-read one by one. Unclosed elements end where their parent does, or before the next of
-their kind for p, li and other elements whose end tag may be left out.
+read one by one; an empty table gives no rows; further columns are not read. Unclosed elements end where their parent does, or before the next of
+their kind for p, li and other elements whose end tag may be left out. Every step walks a page once, however deep its
+elements stand in each other and however many end tags match none. Where a quote in a tag is not closed, its tag ends at the next ">".
 """
 
 from __future__ import annotations
@@ -34,16 +36,23 @@ BLOCK = frozenset(
 DROP = frozenset(
     "script style noscript template iframe object embed svg canvas audio video map head title nav menu header footer aside form button input select textarea label "
     "fieldset dialog noembed noframes".split())
-#: Words of class and id that mark what is not the article.
+#: Names of class and id that mark what is not the article; parts of longer names don't count.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adbox banner promo promotion sponsor sponsored sidebar menu nav navbar navigation breadcrumb breadcrumbs footer "
     "header cookie cookies consent notice popup modal overlay newsletter subscribe signup share sharing social related recommended comment comments disqus "
-    "pagination pager toolbar widget login search skip hidden".split())
+    "pagination pager toolbar widget login search skip hidden complementary "
+    "site-header site-footer page-footer site-nav main-nav main-menu nav-menu side-bar left-sidebar right-sidebar cookie-banner cookie-notice cookie-consent "
+    "ad-banner ad-box ad-container ad-slot share-buttons social-links social-share related-articles related-posts comment-list comment-section comments-area "
+    "comments-section newsletter-signup search-form login-form skip-link".split())
 #: Elements that end an open one of the same kind.
 _ENDS = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 #: Where the search for an open element of the same kind stops.
 _FENCE = frozenset("table ul ol dl select article section div main body html nav aside footer header form td th blockquote".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S)
+#: Elements whose start may end an open one.
+_ENDERS = frozenset().union(*_ENDS.values())
+_MARKUP = re.compile(r"<(?=[!?]|/?[a-zA-Z])")
+_OTHER = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)", re.S)
+_TAG = re.compile(r"</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*+>", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _SPACES = re.compile(r"\s+")
@@ -72,47 +81,100 @@ def _marks(token: str) -> frozenset:
         if name.lower() == "hidden" or name.lower() == "aria-hidden" and "true" in value:
             found.append("hidden")
         else:
-            found += re.split(r"[^a-z]+", value.lower())
-    return frozenset(w for w in found if w)
+            found += value.strip("\"'").lower().split()
+    return frozenset(found)
+
+
+class _Open:
+    """The elements that are open, with what is needed to close some without looking at all of them."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.count, self.levels = [root], {}, [{}]
+
+    def push(self, node: Node) -> None:
+        self.nodes.append(node)
+        self.count[node.tag] = self.count.get(node.tag, 0) + 1
+        if node.tag in _FENCE:
+            self.levels.append({})
+        if node.tag in _ENDS:  # a fence belongs to the level that it begins
+            self.levels[-1][node.tag] = self.levels[-1].get(node.tag, 0) + 1
+
+    def pop(self) -> Node:
+        node = self.nodes.pop()
+        self.count[node.tag] -= 1
+        if node.tag in _ENDS:
+            self.levels[-1][node.tag] -= 1
+        if node.tag in _FENCE:
+            self.levels.pop()
+        return node
+
+    def end(self, tag: str) -> None:
+        """Close the innermost element of this tag and all in it, if one is open."""
+        if self.count.get(tag):
+            while self.pop().tag != tag:
+                pass
+
+    def make_room(self, tag: str) -> None:
+        """Close the element that the start of this one ends, if there is one within the fence."""
+        if tag in _ENDERS and any(n and tag in _ENDS[t] for t, n in self.levels[-1].items()):
+            while tag not in _ENDS.get(self.pop().tag, ()):
+                pass
+
+
+def _tokens(page: str):
+    """(start, end, token) of every tag, comment and declaration; the caller may send the place to go on from."""
+    at, loose = 0, False
+    while True:
+        m = _MARKUP.search(page, at)
+        if m is None:
+            return
+        start = m.start()
+        if page[start + 1] in "!?":
+            end = _OTHER.match(page, start).end()
+        else:
+            tag = None if loose else _TAG.match(page, start)
+            if tag is None:  # no end outside of quotes: from here on quotes don't count
+                loose, close = True, page.find(">", start)
+                if close < 0:
+                    return
+                end = close + 1
+            else:
+                end = tag.end()
+        at = (yield start, end, page[start:end]) or end
 
 
 def parse(page: str) -> Node:
     """The element tree; texts are parts that are strings, still with their character references."""
     root = Node("")
-    open_nodes, at = [root], 0
-    while at < len(page):
-        m = _TOKEN.search(page, at)
-        if m is None:
-            open_nodes[-1].parts.append(page[at:])
+    held, at, tokens, go_on = _Open(root), 0, _tokens(page), None
+    while True:
+        try:
+            start, end, token = tokens.send(go_on)
+        except StopIteration:
             break
-        if m.start() > at:
-            open_nodes[-1].parts.append(page[at:m.start()])
-        at, token = m.end(), m.group()
+        go_on = None
+        if start > at:
+            held.nodes[-1].parts.append(page[at:start])
+        at = end
         if token[1] in "!?":
             if token.startswith("<![CDATA["):
-                open_nodes[-1].parts.append(entities.escape(token[9:].removesuffix("]]>"), quote=False))
+                held.nodes[-1].parts.append(entities.escape(token[9:].removesuffix("]]>"), quote=False))
             continue
         tag = _NAME.match(token)[1].lower()
         if token[1] == "/":
-            for i in range(len(open_nodes) - 1, 0, -1):
-                if open_nodes[i].tag == tag:
-                    del open_nodes[i:]
-                    break
+            held.end(tag)
             continue
-        for i in range(len(open_nodes) - 1, 0, -1):
-            if tag in _ENDS.get(open_nodes[i].tag, ()):
-                del open_nodes[i:]
-                break
-            if open_nodes[i].tag in _FENCE:
-                break
+        held.make_room(tag)
         node = Node(tag, _marks(token) if " " in token or "\n" in token or "\t" in token else frozenset())
-        open_nodes[-1].parts.append(node)
+        held.nodes[-1].parts.append(node)
         if tag in RAW and not token.endswith("/>"):
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            node.parts.append(page[at:end.start() if end else len(page)])
-            at = end.end() if end else len(page)
+            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            node.parts.append(page[at:close.start() if close else len(page)])
+            at = go_on = close.end() if close else len(page)
         elif tag not in VOID and not token.endswith("/>"):
-            open_nodes.append(node)
+            held.push(node)
+    if at < len(page):
+        held.nodes[-1].parts.append(page[at:])
     return root
 
 
@@ -159,9 +221,25 @@ def _articles(root: Node) -> list[Node]:
     return chosen or [n for n in _below(root) if _is_article(n)] or [root]
 
 
+def _outermost(root: Node) -> tuple[list[Node], list[Node]]:
+    """The main elements that stand in no other one: (all, those outside of menus, sidebars, comments and the like)."""
+    chosen = {id(n) for n in _articles(root)}
+    every, seen, todo = [], [], [(root, False)]
+    while todo:
+        node, hidden = todo.pop()
+        if id(node) in chosen:
+            every.append(node)
+            if not hidden:
+                seen.append(node)
+            continue
+        hidden = hidden or _dropped(node, False)
+        todo.extend((p, hidden) for p in reversed(node.parts) if type(p) is Node)
+    return every, seen
+
+
 def _inside(root: Node):
     """Containers inside the main elements that are no article and hold none; none if the page itself is the main element."""
-    for start in _articles(root):
+    for start in _outermost(root)[0]:
         if start is root:
             return
         holds = set()
@@ -179,22 +257,22 @@ def content_key(root: Node) -> int:
     return xxh64_intdigest(",".join(f"{n.code:x}" for n in _articles(root)))
 
 
-def _dropped(node: Node, in_article: bool) -> bool:
-    if node.tag in DROP and not (in_article and node.tag == "header") or "complementary" in node.marks:
+def _dropped(node: Node, in_article: bool, by_name: bool = True) -> bool:
+    if node.tag in DROP and not (in_article and node.tag == "header"):
         return True
-    return bool(node.marks & MARKS) and node.tag not in ("body", "html", "article", "main")
+    return by_name and bool(node.marks & MARKS) and node.tag not in ("body", "html", "article", "main")
 
 
 def main_text(root: Node, template: frozenset | set = frozenset(), inside: frozenset | set = frozenset()) -> str:
     """The text of the main element; ``template`` has the codes of subtrees to delete outside articles, ``inside`` those inside."""
-    chosen = _articles(root)
-    inner = {id(n) for c in chosen for n in _below(c) if n is not c}
-    kept = [c for c in chosen if id(c) not in inner]
-    # elements outside an article that stand in a comment section or sidebar are none
-    hidden = {id(n) for d in _below(root) if _dropped(d, False) and d not in kept for n in _below(d)}
-    kept = [c for c in kept if id(c) not in hidden] or kept[:1]
+    every, seen = _outermost(root)
+    kept = seen or every[:1]
     gone = {id(n) for n in _outside(root) if n.code and n.code in template} if template else set()
     gone |= {id(n) for n in _inside(root) if n.code and n.code in inside} if inside else set()
+    return _text(kept, gone, True) or _text(kept, gone, False)
+
+
+def _text(kept: list[Node], gone: set[int], by_name: bool) -> str:
     blocks, line = [], []
 
     def close():
@@ -211,7 +289,7 @@ def main_text(root: Node, template: frozenset | set = frozenset(), inside: froze
                 close()
             elif type(part) is str:
                 line.append(entities.unescape(part))
-            elif part is not start and (_dropped(part, start.tag == "article") or id(part) in gone):
+            elif part is not start and (_dropped(part, start.tag == "article", by_name) or id(part) in gone):
                 line.append(" ")
             elif part.tag == "br":
                 line.append(" ")
