@@ -137,9 +137,10 @@ def format_paths(messages: DataFrame, paths: DataFrame) -> DataFrame:
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     turns = messages.select("tree", "place", turn_text(role, text).alias("turn"), F.octet_length(escaped(role)).alias("role_bytes"), role.isin(*LEARNED).alias("learned"))
-    held = turns.groupBy("tree").agg(F.sort_array(F.collect_list(F.struct("place", "turn", "role_bytes", "learned"))).alias("turns"))
-    held = held.select(F.col("tree").alias("_tree"), "turns")
-    rows = paths.join(held, F.col("tree").eqNullSafe(F.col("_tree")))
+    # a key that is never null: a null-safe join would deal the gathered texts out again
+    key = F.coalesce(F.concat(F.lit("="), F.col("tree").cast("string")), F.lit(""))
+    held = turns.groupBy(key.alias("_key")).agg(F.sort_array(F.collect_list(F.struct("place", "turn", "role_bytes", "learned"))).alias("turns"))
+    rows = paths.withColumn("_key", key).join(held, "_key")
     ahead, behind = len(TURN) + len(SEP), len(END) + 1
 
     def spans(turns: Column, places: Column) -> Column:
