@@ -73,6 +73,17 @@ def brute_groups(rows):
     return sorted(((i, len(s), min((x for x in least[find(a)] if x is not None), default=None)) for a, (i, s) in enumerate(sets)), key=str)
 
 
+def test_long_words_that_differ_by_a_swap_are_two(spark):
+    word = bytearray(b"abcdefghij" * 7000)
+    word[10], word[10 + 65536] = word[10 + 65536] + 1, word[10]
+    texts = ["abcdefghij" * 7000, word.decode(), "abcdefghij" * 7000]
+    swapped = bytearray(texts[0].encode())
+    swapped[3], swapped[3 + 65536] = swapped[3 + 65536], swapped[3]
+    rows = [(i, t) for i, t in enumerate([*texts, swapped.decode()])]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 3}
+
+
 def test_near_duplicates(docs, empty):
     got = sorted((tuple(r) for r in ngram_join.near_duplicate_groups(docs).collect()), key=str)
     assert got == brute_groups(sample_rows())
@@ -290,6 +301,87 @@ def test_templates_inside_articles(spark):
     assert all(got[40 + i] == f"Own {i}" for i in range(6))
 
 
+def naive_tree(page):
+    """The element tree with a look at every open element, one by one."""
+    root = html_main.Node("")
+    nodes, at = [root], 0
+    for start, end, token in html_main._tokens(page):
+        if start < at:
+            continue
+        if start > at:
+            nodes[-1].parts.append(page[at:start])
+        at = end
+        if token[1] in "!?":
+            continue
+        tag = html_main._NAME.match(token)[1].lower()
+        if token[1] == "/":
+            for i in range(len(nodes) - 1, 0, -1):
+                if nodes[i].tag == tag:
+                    del nodes[i:]
+                    break
+            continue
+        for i in range(len(nodes) - 1, 0, -1):
+            if tag in html_main._ENDS.get(nodes[i].tag, ()):
+                del nodes[i:]
+                break
+            if nodes[i].tag in html_main._FENCE:
+                break
+        nodes[-1].parts.append(html_main.Node(tag))
+        if tag not in html_main.VOID:
+            nodes.append(nodes[-1].parts[-1])
+    if at < len(page):
+        nodes[-1].parts.append(page[at:])
+    return root
+
+
+def shape(part):
+    return part if isinstance(part, str) else (part.tag, [shape(p) for p in part.parts])
+
+
+def test_parser_against_a_look_at_every_open_element():
+    rng = np.random.default_rng(2)
+    bits = ["<p>", "</p>", "<li>", "</li>", "<ul>", "</ul>", "<div>", "</div>", "<b>", "</b>", "<table>", "<tr>", "<td>", "</td>", "</table>", "<dt>", "<dd>", "<dl>", "</dl>",
+            "<article>", "</article>", "x", "y <", "&amp;", "<!-- c -->", "<br>", "<th>", "<a href='q>'>", "</a>", "<h1>", "</i>", "<!-"]
+    for _ in range(5000):
+        page = "".join(rng.choice(bits, rng.integers(0, 25)))
+        assert shape(html_main.parse(page)) == shape(naive_tree(page))
+
+
+@pytest.mark.parametrize("page", ["<div class=ad>" * 40_000, "<article>x" * 40_000, "<b>" * 40_000 + "<p>x</p>" * 40_000, "<p>" + "</b>" * 100_000, "<a " * 200_000, "<a \"x>\"" * 50_000,
+                                  "<li>" * 50_000, "<table><tr><td>" * 20_000, "<script>" * 100_000, "<" * 400_000, "<!-" * 100_000])
+def test_deep_and_broken_pages_take_one_walk(page):
+    import time
+
+    start = time.process_time()
+    root = html_main.parse(page)
+    html_main.subtree_codes(root)
+    html_main.content_key(root)
+    html_main.main_text(root, {1} | {n.code for n in html_main._outside(root) if n.code}, {1})
+    assert list(html_main._inside(root)) is not None and time.process_time() - start < 20
+
+
+def test_names_are_whole_and_pages_with_text_are_not_empty():
+    text = lambda page: html_main.main_text(html_main.parse(page))
+    assert text('<body><div class="layout has-sidebar"><p>real text here</p></div></body>') == "real text here"
+    assert text('<article><div class="article-header"><h1>Head</h1></div><p class="share-price">Price rose</p><div class="site-footer x">no</div></article>') == "Head\n\nPrice rose"
+    assert text("<body><div id='header'><p>all there is</p><form>no</form></div></body>") == "all there is"
+    assert text("<body><p>text</p><div class=\"Comments big\">no</div><div class=ad>no</div></body>") == "text"
+
+
+def test_ids_of_all_plain_characters_are_the_tokenizers(docs):
+    from tokenizers import Tokenizer
+
+    tokenizer, ids = Tokenizer.from_file(tokenizer_path()), packing.WordIds(tokenizer_path())
+    rng = np.random.default_rng(5)
+    # all letters of the range, also those whose small letter lies beyond it
+    every = [chr(c) for c in range(0x20, 0x250) if chr(c).isprintable()]
+    texts = ["Əli", "BAƊA", "ƐYƐ", "İstanbul", "ſ's It'S", *every, *("".join(rng.choice(every, rng.integers(1, 12))) for _ in range(4000)),
+             *("".join(rng.choice(list("aÉ1²'sST \t\n.,!<|>"), rng.integers(1, 16))) for _ in range(2000))]
+    got = ids.encode(texts)
+    for t, data in zip(texts, got, strict=True):
+        assert np.frombuffer(data, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
@@ -393,3 +485,16 @@ def test_pipeline(spark):
         seen.append(docs.count())
     assert full.count() > seen[0] > seen[1] > seen[2] > 0
     assert corpus_pipeline.run(spark, sf).count() >= seen[3]
+
+
+def test_a_verdict_belongs_to_its_source(spark):
+    rng = np.random.default_rng(11)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), n)) for _ in range(100))
+    shared = words(4)
+    rows = [(i, words(4 if s == "a" else 12), s, s) for s in "ab" for i in range(1000 if s == "a" else 2000, 1250 if s == "a" else 2250)]
+    rows += [(5, shared, "a", "a"), (5, shared, "b", "b"), (6, shared, None, "a"), (6, shared, "a", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {(r["doc_id"], r["lang"], r["source"]) for r in quality_rules.keep_by_rules(df).where("doc_id < 10").collect()}
+    assert (5, "a", "a") in kept and (5, "b", "b") not in kept
+    verdicts = {(r["doc_id"], r["kept"]) for r in quality_rules.rule_verdicts(df).where("doc_id = 5").collect()}
+    assert verdicts == {(5, True), (5, False)}
