@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,11 +19,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: later plans start there, also after the loss of an executor."""
-    path = work_dir(df.sparkSession, label)
+_FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def stored(df: DataFrame, label: str, *done: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back: later plans start there, also after the loss of an executor.
+
+    ``done`` are tables that ``stored`` gave before and that nothing reads any more once this one is written: their folders go,
+    and so do the shuffle files of finished steps.
+    """
+    spark = df.sparkSession
+    path = work_dir(spark, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _FOLDERS[out] = path
+    if done:
+        forget(*done)
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the folders of tables that nothing reads any more.
+
+    Spark frees shuffle files when the driver's JVM has collected the plans that made them, which it is asked to do here: else they stay as
+    long as the driver has memory left, through all steps of a job.
+    """
+    for df in tables:
+        context, path = df.sparkSession.sparkContext, _FOLDERS.pop(df, None)
+        if path:
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+    if tables:
+        context._jvm.System.gc()
 
 
 def mapped(df: DataFrame, kernel: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -33,5 +33,5 @@ def components(links: DataFrame) -> DataFrame:
         if tuple(sums) == mark:
             break
         mark = tuple(sums)
-        now = stored(_stars(_stars(now, True), False), "links")
+        now = stored(_stars(_stars(now, True), False), "links", now)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.llm.base import SMALL_ROWS, mapped, small_side, stored
+from tapeloom.llm.base import SMALL_ROWS, forget, mapped, small_side, stored
 from tapeloom.llm.components import components
 from tapeloom.llm.words import mix, shingle_sets
 
@@ -89,13 +89,15 @@ def _cells(spread: DataFrame) -> DataFrame:
     rows = stored(spread.join(small_side(shared.select("shingle")), "shingle").select("shingle", "node"), "rows")
     pivots = rows.groupBy("shingle").agg(F.min("node").alias("cell"))
     members = rows.join(pivots, "shingle").select("cell", "node").distinct()
-    return stored(members, "members")
+    return stored(members, "members", shared, rows)
 
 
 def _full_sets(nodes: DataFrame, sets: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(node, hashes) of a written table of nodes: the whole sets, made anew from the texts."""
-    one = stored(sets.select(F.col("rid").alias("node"), "doc_id", "sig").join(small_side(nodes), "node"), "wanted")
-    text = docs.select("doc_id", "text").alias("d").join(small_side(one).alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("w.node", "d.text", "w.sig")
+    one = stored(sets.select(F.col("rid").alias("node"), "doc_id", "sig", "tie").join(small_side(nodes), "node"), "wanted", nodes)
+    # by id and text: one id, or none, may stand for any number of texts
+    same = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.xxhash64("d.text") == F.col("w.tie"))
+    text = docs.select("doc_id", "text").alias("d").join(small_side(one).alias("w"), same).select("w.node", "d.text", "w.sig")
 
     def kernel(batch):
         hashes, offsets = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), k)
@@ -190,7 +192,7 @@ def _narrowed(members: DataFrame, sets: DataFrame, percent: int, most: int) -> D
 
     narrow = full.select("cell", "node", "n_shingles", "window").groupBy("cell").applyInArrow(run, "cell long, node long")
     large = placed.join(weights.where(F.col("weight") > most).select("cell"), "cell").select("cell", "node")
-    return stored(narrow.union(large).distinct(), "members")
+    return stored(narrow.union(large).distinct(), "members", members, placed, weights, small)
 
 
 def join_cell(nodes: np.ndarray, sets: list[np.ndarray], percent: int, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -269,7 +271,7 @@ def _split(members: DataFrame, held: DataFrame, live: DataFrame, percent: int) -
         .withColumn("away", F.lit(1.0) - F.col("both") / F.col("either"))
         .withColumn("common", F.when(F.col("away") > 3 * (100 - percent) / 100, F.col("common")))
     )
-    return stored(rows.select("cell", "node", "n", "label", "pivot", "linked", "away", "common"), "split")
+    return stored(rows.select("cell", "node", "n", "label", "pivot", "linked", "away", "common"), "split", pivots, centres)
 
 
 def near_duplicate_links(docs: DataFrame, sets: DataFrame, k: int = 5, percent: int = 80, cell_shingles: int = CELL_SHINGLES, window_shingles: int = WINDOW_SHINGLES,
@@ -285,8 +287,9 @@ def near_duplicate_links(docs: DataFrame, sets: DataFrame, k: int = 5, percent:
     grow = 0
     members = members_of(sets.select(F.col("rid").alias("node"), F.explode("window").alias("shingle")))
     members = stored(members.select("cell", "node", "n", alone), "members")
-    links, hot, held = [], np.zeros(0, np.int64), None
-    for level in range(10_000):
+    links, hot, held, level = [], np.zeros(0, np.int64), None, -1
+    while True:
+        level += 1
         kinds = members.groupBy("cell", "label").agg(F.sum("n").alias("n"), F.count("*").alias("m"))
         weight = kinds.groupBy("cell").agg(
             F.sum("n").alias("weight"), F.sum(F.expr("if(label < 0, m, 1)")).alias("classes"), F.max_by("label", F.expr("if(label < 0, 0, m)")).alias("top"))
@@ -296,14 +299,14 @@ def near_duplicate_links(docs: DataFrame, sets: DataFrame, k: int = 5, percent:
         large = weight.where(F.col("weight") > most).select("cell", "top")
         small = stored(members.join(weight.where(F.col("weight") <= most).select("cell"), "cell"), "small")
         full = _full_sets(stored(small.select("node").distinct(), "nodes"), sets, docs, k) if held is None else held
-        links.append(stored(_small_links(full.join(small_side(small), "node"), percent), "links"))
+        links.append(stored(_small_links(full.join(small_side(small), "node"), percent), "links", small))
         if not large.take(1):
             break
-        members = stored(members.join(large.select("cell"), "cell"), "large")
+        members = stored(members.join(large.select("cell"), "cell"), "large", members)
         if held is None:  # the sets of all documents in large cells, once each, for all levels
             held = stored(_full_sets(stored(members.select("node").distinct(), "nodes"), sets, docs, k).dropDuplicates(["node"]), "held")
         split = _split(members, held, large, percent)
-        links.append(split.where("linked").select(F.col("pivot").alias("u"), F.col("node").alias("v")))
+        links.append(stored(split.where("linked").select(F.col("pivot").alias("u"), F.col("node").alias("v")), "links", members, weight))
         # labels that a link reaches become one
         reached = stored(split.where("linked and label >= 0").select("cell", "label").distinct().withColumn("reached", F.lit(True)), "reached")
         rest = split.where("node <> pivot").join(reached, ["cell", "label"], "left")
@@ -317,9 +320,10 @@ def near_duplicate_links(docs: DataFrame, sets: DataFrame, k: int = 5, percent:
             hot = np.union1d(hot, often.orderBy(F.desc("n"), "shingle").limit(HOT_MOST).toPandas()["shingle"].to_numpy()).astype(np.int64)
             fresh = members_of(_first_shingles(held.join(small_side(again), "node"), hot, percent))
             fresh = fresh.select(F.xxhash64("cell", F.lit(2 * level + 1)).alias("cell"), "node", "n", alone)
-            members = stored(near.union(fresh), "members")
+            members = stored(near.union(fresh), "members", split, reached, again)
         else:  # only pivots go: the ring would be compared in both parts
-            members = stored(rest.drop("away"), "members")
+            members = stored(rest.drop("away"), "members", split, reached)
+    forget(*[t for t in (members, weight, held) if t is not None])
     found = links[0]
     for more in links[1:]:
         found = found.union(more)
@@ -330,10 +334,11 @@ def _grouped_sets(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Dat
     """The rows of ``docs`` (doc_id, n_shingles, sig, tie, rid), and each set with words: sig, root of its group, least (its smallest doc_id)."""
     sets = stored(document_sets(docs, k, percent), "sets")
     # equal sets are one node, the first row that has it
-    light = sets.select("doc_id", "n_shingles", "sig", "tie", "rid")
+    light = stored(sets.select("doc_id", "n_shingles", "sig", "tie", "rid"), "rows")
     first = stored(light.where("n_shingles > 0").groupBy("sig").agg(F.min("rid").alias("node"), F.min("doc_id").alias("least")), "first")
     once = sets.join(small_side(first.select(F.col("node").alias("rid"))), "rid")
     roots = components(near_duplicate_links(docs, once, k, percent))
+    forget(sets)
     return light, first.join(roots, "node", "left").select("sig", F.coalesce("root", "node").alias("root"), "least")
 
 
