@@ -4,8 +4,8 @@ All rolling two-word hashes of all texts are joined to the positions of the same
 table: the templates are a parameter). A hit at word p of a text and word t of a template votes for the diagonal p - t.
 Votes are summed per text, template and diagonal; neighbouring diagonals, as small insertions and deletions make them,
 are merged; what has enough votes is verified on the words of the text. Short phrases need all their votes on one
-diagonal and all their words, so that their places are exact. Long templates need a share of their votes and of their words
-in order.
+diagonal and all their words, so that their places are exact. Long templates need a few of their votes, and a share of their words
+in order decides.
 
 Null texts are empty. Rows that are equal in doc_id and text count once per row; other columns are not looked at.
 """
@@ -60,6 +60,9 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _BETWEEN = tuple(range(0x00, 0x30)) + tuple(range(0x3A, 0x61)) + tuple(range(0x7B, 0x80))
 #: Share of a long template's votes and words that make a match; words by which merged diagonals may differ.
 SHARE, SLACK = 0.6, 3
+#: Votes that let a span through to the verification: so many, and such a share of the template's pairs, but never more than SHARE of them.
+#: A changed word costs two pairs, so that 60 % of the words can leave few of them.
+VOTES = 4, 0.2
 
 
 def words_of(text: str) -> list[str]:
@@ -131,9 +134,12 @@ def license_matches(docs: DataFrame) -> DataFrame:
     kinds = spark.createDataFrame([(n, label, exact, len(words)) for n, label, exact, words in rows], "template int, label string, exact boolean, length int")
     # both tables are as large as the list of templates, whatever the input
     hits = rolling_pairs(docs).join(F.broadcast(grams_df), "gram").join(F.broadcast(kinds), "template")
+    # few of a corpus's pairs are hits; written, so that both branches read them and the texts are cut once
+    hits = stored(hits.select("key", "template", "place", "at", "exact", "length"), "hits")
     lines = hits.where("exact").select("key", "template", (F.col("place") - F.col("at")).alias("first"), "at", "length").distinct()
     exact = lines.groupBy("key", "template", "first", "length").agg(F.count("*").alias("votes")).where("votes = length - 1").select("key", "template", "first", F.col("first").alias("last"))
-    long = diagonals(hits.where("not exact")).join(F.broadcast(kinds), "template").where(F.col("votes") >= SHARE * (F.col("length") - 1)).select("key", "template", "first", "last")
+    enough = F.least(SHARE * (F.col("length") - 1), F.greatest(F.lit(float(VOTES[0])), VOTES[1] * (F.col("length") - 1)))
+    long = diagonals(hits.where("not exact")).join(F.broadcast(kinds), "template").where(F.col("votes") >= enough).select("key", "template", "first", "last")
     spans = exact.union(long).groupBy("key").agg(F.collect_list(F.struct("template", "first", "last")).alias("spans"))
     spans = stored(spans, "spans")
     # every text with a span has one of the anchor words, so that only few texts move

@@ -146,6 +146,23 @@ def test_license_phrases(docs, empty):
     assert license_scan.license_scan(empty).count() == 0
 
 
+def test_changed_notices_are_found_and_other_texts_are_not(spark):
+    rng = np.random.default_rng(4)
+    filler = lambda n: " ".join("".join(rng.choice(list("aeiostr"), 5)) for _ in range(n))
+    rows, want = [], {}
+    for label, texts in license_scan.TEMPLATES.items():
+        for t in texts:
+            words = license_scan.words_of(t)
+            changed = " ".join(w if i % 4 != 3 else f"zz{i}" for i, w in enumerate(words)) if len(words) >= 12 else " ".join(words)
+            want[len(rows)] = label
+            rows.append((len(rows), f"{filler(30)} {changed} {filler(30)}"))
+    clean = ["the use of this software is under the old license of the state", "permission is granted to any person", "in source and binary forms of the work", filler(500)]
+    rows += [(1000 + i, t) for i, t in enumerate(clean)]
+    got = {r["doc_id"]: (set(r["labels"].split(",")), r["score"]) for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(label in got[i][0] and 0.6 <= got[i][1] <= 1 for i, label in want.items())
+    assert all(got[1000 + i] == ({""}, 0.0) for i in range(len(clean)))
+
+
 def brute_losses(rows, targets):
     """The two mean losses of every row, from counts of words and pairs as text."""
     A, B = lm_score.BACK_OFF, lm_score.FLOOR
