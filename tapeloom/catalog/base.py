@@ -32,6 +32,10 @@ class Tables:
     def fundamentals(self) -> DataFrame:
         return fundamentals(self["part"])
 
+    @cached_property
+    def bars_and_basics(self) -> DataFrame:
+        return daily_bars(self["lineitem"], self["part"], basics=True)
+
     @cached_property
     def basics(self) -> DataFrame:
         return daily_basics(self["lineitem"], self["part"])

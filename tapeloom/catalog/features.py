@@ -137,8 +137,7 @@ def zsql(x):
 def _(t):
     from tapeloom.plans.registry import FACTOR_FAMILIES, FACTOR_WEIGHTS
 
-    basics = t.basics.withColumnsRenamed({"ts_code": "symbol", "trade_date": "date"})
-    df = registry().calculate(t.bars.join(basics, KEY))
+    df = registry().calculate(t.bars_and_basics)
     return ft.factor_score(df, FACTOR_FAMILIES, FACTOR_WEIGHTS).select(*KEY, *r4("score"))
 
 

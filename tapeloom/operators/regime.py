@@ -79,9 +79,9 @@ def sector_analysis(df: DataFrame, market: str, rows: int = 60, panel: Panel = B
             "_last": F.first("close").over(panel.from_end),
         }
     ).where(c("_back") <= rows).select(key, "_back", "_days", "_last", "close")
-    # rows of equal distance from the end meet; the one that both series still have counts
+    # rows of equal distance from the end meet; the one that both series still have counts. The market has ``rows`` rows at most
     index = recent.where(c(key) == market).select("_back", *[c(x).alias(f"_m{x}") for x in ("_days", "_last", "close")])
-    both = recent.join(index, "_back").where(c("_back") == F.least("_days", "_m_days"))
+    both = recent.join(F.broadcast(index), "_back").where(c("_back") == F.least("_days", "_m_days"))
     relative = div("_last", "close") - div("_m_last", "_mclose")
     both = both.select(key, relative.alias("relative_performance"))
     return market_regime(df, rows, panel).join(both, key, "left").fillna(0.0, ["relative_performance"])

@@ -24,12 +24,20 @@ def trade_seq() -> Column:
     return F.shiftleft(order * 8 + F.col("l_linenumber"), 20) + tag
 
 
-def daily_bars(trades: DataFrame, parts: DataFrame) -> DataFrame:
+def _basics(price: Column) -> list[Column]:
+    """Daily valuation figures from the extremes of the day's lines."""
+    return [
+        (F.max(price) / (1 + F.min("l_quantity"))).alias("pe"), (F.min(price) / (1 + F.max("l_quantity"))).alias("pb"),
+        F.max("l_discount").alias("roe"), F.max("l_tax").alias("roa"),
+    ]
+
+
+def daily_bars(trades: DataFrame, parts: DataFrame, basics: bool = False) -> DataFrame:
     """One bar per brand and ship day: a trade is a line, its price the unit price.
 
     Open and close are the prices of the first and last trade by ``trade_seq``.
     The aggregate combines on the map side, so a brand with a third of all trades still shuffles
-    one row per day and task.
+    one row per day and task. With ``basics`` the figures of ``daily_basics`` come from the same pass.
     """
     t = trades.select(
         "l_partkey",
@@ -37,6 +45,7 @@ def daily_bars(trades: DataFrame, parts: DataFrame) -> DataFrame:
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         "l_quantity",
         "l_extendedprice",
+        *(["l_discount", "l_tax"] if basics else []),
         trade_seq().alias("seq"),
     )
     p = parts.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("symbol"))
@@ -50,6 +59,7 @@ def daily_bars(trades: DataFrame, parts: DataFrame) -> DataFrame:
             F.min("price").alias("low"),
             F.sum("l_quantity").alias("volume"),
             F.sum("l_extendedprice").alias("amount"),
+            *(_basics(F.col("price")) if basics else []),
         )
     )
 
@@ -87,10 +97,5 @@ def daily_basics(trades: DataFrame, parts: DataFrame) -> DataFrame:
     return (
         trades.join(p, "l_partkey")
         .groupBy("ts_code", F.to_date("l_shipdate").alias("trade_date"))
-        .agg(
-            (F.max(price) / (1 + F.min("l_quantity"))).alias("pe"),
-            (F.min(price) / (1 + F.max("l_quantity"))).alias("pb"),
-            F.max("l_discount").alias("roe"),
-            F.max("l_tax").alias("roa"),
-        )
+        .agg(*_basics(price))
     )
