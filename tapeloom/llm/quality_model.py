@@ -2,7 +2,8 @@
 
 A text's features are its words and its character n-grams within words, hashed into a table of ``buckets`` learned vectors;
 a text is the mean of the vectors of its features, and a softmax over two classes gives the score. Learning reads a
-bounded sample of the labelled rows: ``per_class`` rows of each label at most, those with the smallest hash of their id. It
+bounded sample of the labelled rows: ``per_class`` ids of each label at most, those with the smallest hash, and one text of each: of an
+id with several the one that hashes lowest. It
 is done in numpy by one task, on hashed features alone, by rows in a fixed random order with a falling rate. As the output
 is linear in the vectors, scoring needs one number per bucket, so that each task reads a text once and adds up.
 
@@ -25,29 +26,36 @@ BITS, WIDTH, NGRAMS = 16, 8, (3, 4)
 #: Labelled rows of each class to learn from, passes over them (more where they come to fewer steps than these), and the rate they begin with.
 PER_CLASS, PASSES, STEPS, RATE = 3000, 6, 18_000, 2.0
 THRESHOLD = 0.3
+_POINTS = np.uint64(0x9E3779B97F4A7C15)
 
 
-def features(texts: list[bytes | None], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, index of the text) of all words and of the n-grams of bytes that have no space between other bytes."""
-    data, begins = joined(texts, lower=False)
+def features(texts: list[str | None], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, index of the text) of all words and of the n-grams of characters that have no space between other characters."""
+    texts = [t or "" for t in texts]
+    data, begins = joined([t.encode() for t in texts], lower=False)
     sep = separators(SPACE)
-    space = sep[data]
     words, owner = word_hashes(data, begins, sep)
     cut = np.uint64(64 - bits)
     buckets, owners = [(words >> cut).astype(np.int32)], [owner]
-    flat = np.where(space, np.uint8(32), data).astype(np.uint64)
+    points = np.frombuffer(" ".join([*texts, ""]).encode("utf-32-le"), "<u4")
+    sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+    begins = np.cumsum(sizes) - sizes
+    space = np.zeros(len(points), bool)
+    low = points < 33
+    space[low] = sep[points[low]]
+    flat = np.where(space, np.uint32(32), points).astype(np.uint64)
     for n in NGRAMS:
         if len(flat) < n:
             continue
         h = np.zeros(len(flat) - n + 1, np.uint64)
         for j in range(n):
-            h |= flat[j:len(flat) - n + 1 + j] << np.uint64(8 * j)
+            h = h * _POINTS + flat[j:len(flat) - n + 1 + j]
         inner = np.zeros(len(h), bool)
         for j in range(1, n - 1):
             inner |= space[j:j + len(h)]
         inner |= space[:len(h)] & space[n - 1:]
         at = np.flatnonzero(~inner)
-        buckets.append((mix(h[at] ^ (np.uint64(n) << np.uint64(56))) >> cut).astype(np.int32))
+        buckets.append((mix(h[at] + np.uint64(n)) >> cut).astype(np.int32))
         owners.append(np.searchsorted(begins, at, side="right") - 1)
     return np.concatenate(buckets), np.concatenate(owners)
 
@@ -95,9 +103,10 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = [named.where(F.col("quality") == y).orderBy(*order).limit(per_class) for y in (0, 1)]
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
+    sample = sample.groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
 
     def kernel(batch):
-        bucket, owner = features(batch.column(1).cast(pa.binary()).to_pylist())
+        bucket, owner = features(batch.column(1).to_pylist())
         order = np.lexsort((bucket, owner))
         bucket, owner = bucket[order], owner[order]
         new = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1])])) if len(bucket) else np.zeros(0, np.int64)
@@ -114,8 +123,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
             buckets, counts = batch.column(2), batch.column(3)
             for doc_id, y, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), range(batch.num_rows), strict=True):
                 examples.append((doc_id, np.array(buckets[i].values), np.array(counts[i].values, np.float32), y))
-        # repeated ids in the order of their features, so that the rows' order doesn't count
-        examples.sort(key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
+        examples.sort(key=lambda r: r[0])  # so that the rows' order doesn't count
         odds, bias = train([r[1:] for r in examples])
         yield pa.RecordBatch.from_arrays([pa.array([odds.tolist()], pa.list_(pa.float32())), pa.array([bias])], ["odds", "bias"])
 
@@ -130,7 +138,7 @@ def score_texts(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
 
     def kernel(batch):
         odds, bias = shared.value
-        bucket, owner = features(batch.column(1).cast(pa.binary()).to_pylist())
+        bucket, owner = features(batch.column(1).to_pylist())
         n = np.maximum(np.bincount(owner, minlength=batch.num_rows), 1)
         z = np.bincount(owner, odds[bucket], batch.num_rows) / n + bias
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-z)))], ["row", "score"])

@@ -515,3 +515,49 @@ def test_a_verdict_belongs_to_its_source(spark):
     assert (5, "a", "a") in kept and (5, "b", "b") not in kept
     verdicts = {(r["doc_id"], r["kept"]) for r in quality_rules.rule_verdicts(df).where("doc_id = 5").collect()}
     assert verdicts == {(5, True), (5, False)}
+
+
+def test_features_are_words_and_character_ngrams():
+    from tapeloom.llm.words import joined, mix, separators, word_hashes, SPACE
+
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list("aé中😀 \t\n\x85"), rng.integers(0, 25))) for _ in range(200)] + [None, "", "a", "  ", "é" * 3]
+    buckets, owner = quality_model.features(texts)
+    got = [sorted(buckets[owner == i].tolist()) for i in range(len(texts))]
+    mask = (1 << 64) - 1
+
+    def bucket(h):
+        return int(mix(np.array([h & mask], np.uint64))[0]) >> (64 - quality_model.BITS)
+
+    for i, t in enumerate(texts):
+        t, want = t or "", []
+        for w in WORDS.findall(t):
+            h, _ = word_hashes(*joined([w.encode()], lower=False), separators(SPACE))
+            want.append(int(h[0]) >> (64 - quality_model.BITS))
+        around = " ".join(texts[j] or "" for j in range(len(texts))) + " "
+        at = sum(len(x or "") + 1 for x in texts[:i])
+        for n in quality_model.NGRAMS:
+            for j in range(at, at + len(t) + 1):
+                g = around[j:j + n]
+                if len(g) == n and not any(WORDS.fullmatch(c) is None for c in g[1:-1]) and not (WORDS.fullmatch(g[0]) is None and WORDS.fullmatch(g[-1]) is None):
+                    h = 0
+                    for c in g:
+                        h = (h * int(quality_model._POINTS) + (32 if WORDS.fullmatch(c) is None else ord(c))) & mask
+                    want.append(bucket(h + n))
+        assert got[i] == sorted(want)
+
+
+def test_a_repeated_id_is_learned_from_once(spark):
+    docs = [(1, f"bad words {i}", "x") for i in range(400)] + [(2, "good words", "x"), (3, "more good words", "x")]
+    labels = spark.createDataFrame([(1, 0, 0), (2, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    df = spark.createDataFrame(docs, "doc_id long, text string, quality string")
+    keep = {r["doc_id"]: r["score"] for r in quality_model.score_quality(df, labels).collect()}
+    one = quality_model.learn(df.where("doc_id > 1").union(df.where("doc_id = 1").orderBy(F_hash()).limit(1)), labels)
+    all_rows = quality_model.learn(df, labels)
+    assert (one[0] == all_rows[0]).all() and one[1] == all_rows[1] and len(keep) == 3
+
+
+def F_hash():
+    from pyspark.sql import functions as F
+
+    return F.xxhash64("text")
