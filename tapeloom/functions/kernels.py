@@ -141,29 +141,30 @@ def ewm(df: DataFrame, specs: Mapping[str, tuple[str, float]], panel: Panel = BA
     contribute. Leading nulls are skipped; a column with gaps goes to ``ewm_gaps``.
     """
     cols = list(df.columns)
-    for out, (x, alpha) in specs.items():
-        if alpha >= 1.0:
-            df = df.withColumn(out, F.col(x))
-            continue
-        rate = -math.log1p(-alpha)
-        size = max(int(_REACH / rate), 1)
-        age = F.count(F.col(x)).over(panel.so_far) - 1
-        df = df.withColumn("_age", F.when(F.col(x).isNotNull(), age)).withColumns(
-            {"_blk": F.floor(F.col("_age") / size), "_pos": F.col("_age") % size}
-        )
-        grow, decay = F.exp(F.col("_pos") * rate), F.exp(-F.col("_pos") * rate)
-        weight = F.when(F.col("_age") == 0, 1.0).otherwise(alpha)
-        block = Window.partitionBy(*panel.keys, "_blk").orderBy(panel.order)
-        block = block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        df = df.withColumn("_local", F.sum(weight * F.col(x) * grow).over(block) * decay)
-        end = F.when(F.col("_pos") == size - 1, F.col("_local"))
-        carry = F.last(end, ignorenulls=True).over(panel.before)
-        df = df.withColumn("_carry", carry).withColumn(
-            out, F.col("_local") + F.coalesce(F.col("_carry") * decay * math.exp(-rate), F.lit(0.0))
-        )
-        cols.append(out)
-        df = df.select(*cols)
-    return df
+    means = {str(i): (out, x, alpha) for i, (out, (x, alpha)) in enumerate(specs.items()) if alpha < 1.0}
+    df = df.withColumns({out: F.col(x) for out, (x, alpha) in specs.items() if alpha >= 1.0})
+    rate = {i: -math.log1p(-alpha) for i, (_, _, alpha) in means.items()}
+    size = {i: max(int(_REACH / r), 1) for i, r in rate.items()}
+    # all means take each step together, so that they share its sort
+    df = df.withColumns({f"_age{i}": F.when(F.col(x).isNotNull(), F.count(F.col(x)).over(panel.so_far) - 1) for i, (_, x, _) in means.items()})
+    df = df.withColumns({f"_blk{i}": F.floor(F.col(f"_age{i}") / size[i]) for i in means} | {f"_pos{i}": F.col(f"_age{i}") % size[i] for i in means})
+    local = {}
+    for i, (_, x, alpha) in means.items():
+        weight = F.when(F.col(f"_age{i}") == 0, 1.0).otherwise(alpha)
+        grow, decay = F.exp(F.col(f"_pos{i}") * rate[i]), F.exp(-F.col(f"_pos{i}") * rate[i])
+        local[f"_local{i}"] = F.sum(weight * F.col(x) * grow).over(_block(panel, f"_blk{i}")) * decay
+    df = df.withColumns(local)
+    df = df.withColumns({f"_carry{i}": F.last(F.when(F.col(f"_pos{i}") == size[i] - 1, F.col(f"_local{i}")), ignorenulls=True).over(panel.before) for i in means})
+    out_of = {}
+    for i, (out, _, _) in means.items():
+        decay = F.exp(-F.col(f"_pos{i}") * rate[i])
+        out_of[out] = F.col(f"_local{i}") + F.coalesce(F.col(f"_carry{i}") * decay * math.exp(-rate[i]), F.lit(0.0))
+    return df.withColumns(out_of).select(*cols, *[out for out in specs if out not in cols])
+
+
+def _block(panel: Panel, blk: str) -> WindowSpec:
+    """The rows of a block of a series so far."""
+    return Window.partitionBy(*panel.keys, blk).orderBy(panel.order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def ewm_gaps(df: DataFrame, specs: Mapping[str, tuple[str, float]], panel: Panel = BARS) -> DataFrame:
@@ -174,39 +175,44 @@ def ewm_gaps(df: DataFrame, specs: Mapping[str, tuple[str, float]], panel: Panel
     The factors differ by row, so blocks are cut by their running log instead of a row count.
     """
     cols = list(df.columns)
-    for out, (x, alpha) in specs.items():
-        q = 1.0 - alpha
-        here = F.col(x).isNotNull()
-        df = df.withColumn("_rn", F.row_number().over(panel.w))
-        df = df.withColumn("_seen", F.last(F.when(here, F.col("_rn")), ignorenulls=True).over(panel.before))
-        old = F.pow(F.lit(q), (F.col("_rn") - F.col("_seen")).cast("double"))
-        first = F.col("_seen").isNull()
-        df = df.withColumns(
-            {
-                "_fade": F.when(here & first, 0.0).when(here, F.least(-F.log(old / (old + alpha)), F.lit(700.0))),
-                "_gain": F.when(here & first, 1.0).when(here, alpha / (old + alpha)),
-            }
-        )
-        df = df.withColumn("_path", F.sum("_fade").over(panel.so_far))
-        df = df.withColumn("_blk", F.when(here, F.floor(F.col("_path") / _REACH)))
-        inside = F.col("_path") - F.col("_blk") * _REACH
-        block = Window.partitionBy(*panel.keys, "_blk").orderBy(panel.order)
-        block = block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        df = df.withColumn("_local", F.sum(F.col("_gain") * F.col(x) * F.exp(inside)).over(block) * F.exp(-inside))
-        # the end of the nearest earlier block: last value, with its path, before this block began
-        nxt = F.last("_blk", ignorenulls=True).over(panel.after)
-        df = df.withColumn("_end", here & (nxt > F.col("_blk")))
-        df = df.withColumns(
-            {
-                "_carry": F.last(F.when(F.col("_end"), F.col("_local")), ignorenulls=True).over(panel.before),
-                "_cpath": F.last(F.when(F.col("_end"), F.col("_path")), ignorenulls=True).over(panel.before),
-            }
-        )
-        y = F.col("_local") + F.coalesce(F.col("_carry") * F.exp(F.col("_cpath") - F.col("_path")), F.lit(0.0))
-        df = df.withColumn("_y", F.when(here, y)).withColumn(out, ffill("_y", panel))
-        cols.append(out)
-        df = df.select(*cols)
-    return df
+    means = {str(i): (out, x, alpha) for i, (out, (x, alpha)) in enumerate(specs.items())}
+    here = {i: F.col(x).isNotNull() for i, (_, x, _) in means.items()}
+    each = lambda make: {k: v for i in means for k, v in make(i).items()}
+    last = lambda c, w: F.last(c, ignorenulls=True).over(w)
+    # all means take each step together, so that they share its sort
+    df = df.withColumn("_rn", F.row_number().over(panel.w))
+    df = df.withColumns(each(lambda i: {f"_seen{i}": last(F.when(here[i], F.col("_rn")), panel.before)}))
+
+    def fades(i):
+        alpha = means[i][2]
+        old = F.pow(F.lit(1.0 - alpha), (F.col("_rn") - F.col(f"_seen{i}")).cast("double"))
+        first = F.col(f"_seen{i}").isNull()
+        return {f"_fade{i}": F.when(here[i] & first, 0.0).when(here[i], F.least(-F.log(old / (old + alpha)), F.lit(700.0))),
+                f"_gain{i}": F.when(here[i] & first, 1.0).when(here[i], alpha / (old + alpha))}
+
+    df = df.withColumns(each(fades))
+    df = df.withColumns(each(lambda i: {f"_path{i}": F.sum(f"_fade{i}").over(panel.so_far)}))
+    df = df.withColumns(each(lambda i: {f"_blk{i}": F.when(here[i], F.floor(F.col(f"_path{i}") / _REACH))}))
+
+    def local(i):
+        inside = F.col(f"_path{i}") - F.col(f"_blk{i}") * _REACH
+        return {f"_local{i}": F.sum(F.col(f"_gain{i}") * F.col(means[i][1]) * F.exp(inside)).over(_block(panel, f"_blk{i}")) * F.exp(-inside)}
+
+    df = df.withColumns(each(local))
+    # what stood before: at the first row of a block that is the end of the block before
+    df = df.withColumns(each(lambda i: {
+        f"_pblk{i}": last(F.col(f"_blk{i}"), panel.before), f"_prev{i}": last(F.when(here[i], F.col(f"_local{i}")), panel.before),
+        f"_ppath{i}": last(F.when(here[i], F.col(f"_path{i}")), panel.before)}))
+
+    def carries(i):
+        begins = here[i] & F.coalesce(F.col(f"_pblk{i}") < F.col(f"_blk{i}"), F.lit(True))
+        return {f"_carry{i}": F.when(begins, F.coalesce(F.col(f"_prev{i}"), F.lit(0.0))), f"_cpath{i}": F.when(begins, F.coalesce(F.col(f"_ppath{i}"), F.col(f"_path{i}")))}
+
+    df = df.withColumns(each(carries))
+    df = df.withColumns(each(lambda i: {f"_carry{i}": last(F.col(f"_carry{i}"), panel.so_far), f"_cpath{i}": last(F.col(f"_cpath{i}"), panel.so_far)}))
+    df = df.withColumns(each(lambda i: {f"_y{i}": F.when(here[i], F.col(f"_local{i}") + F.col(f"_carry{i}") * F.exp(F.col(f"_cpath{i}") - F.col(f"_path{i}")))}))
+    df = df.withColumns({out: ffill(f"_y{i}", panel) for i, (out, _, _) in means.items()})
+    return df.select(*cols, *[out for out in specs if out not in cols])
 
 
 def span(n: float) -> float:

@@ -45,28 +45,21 @@ def normalize_text(value: Column | str) -> Column:
     return F.when(s.isNull() | _is_null_word(s), "").otherwise(s)
 
 
-# fixed values: date layouts, each with the text pattern that tells it apart
-DATE_LAYOUTS = {
-    r"^\d{4}-\d{1,2}-\d{1,2}$": "yyyy-M-d",
-    r"^\d{8}$": "yyyyMMdd",
-    r"^\d{4}/\d{1,2}/\d{1,2}$": "yyyy/M/d",
-    r"^\d{4}\.\d{1,2}\.\d{1,2}$": "yyyy.M.d",
-    r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}$": "yyyy-M-d H:m:s",
-}
+# fixed values: date layouts, as text patterns; the last one has a time behind it
+DIGITS = r"^(?!0000)\d{8}$"
+PARTED = r"^(?!0000)\d{4}([-/.])\d{1,2}\1\d{1,2}$"
+WITH_TIME = r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}$"
 
 
 def parse_date(value: Column | str) -> Column:
-    """A date from one of the known layouts, else null.
+    """A date from one of the known layouts (2024-1-2, 20240102, 2024/1/2, 2024.1.2, 2024-1-2 9:30:00), else null.
 
-    The pattern picks the layout first: trying layouts until one fits would raise and catch an
-    error inside the parser for every miss.
+    Dates alone are brought to one layout, which a cast reads; only a date with a time goes through a parser.
     """
     s = F.trim(col(value).cast("string"))
-    case = None
-    for pattern, layout in DATE_LAYOUTS.items():
-        day = F.to_date(F.try_to_timestamp(s, F.lit(layout)))
-        case = F.when(s.rlike(pattern), day) if case is None else case.when(s.rlike(pattern), day)
-    return case
+    dashed = F.when(s.rlike(PARTED), F.translate(s, "/.", "--")).when(s.rlike(DIGITS), F.concat_ws("-", F.left(s, F.lit(4)), F.substring(s, 5, 2), F.substring(s, 7, 2)))
+    timed = F.when(s.rlike(WITH_TIME), F.to_date(F.try_to_timestamp(s, F.lit("yyyy-M-d H:m:s"))))
+    return F.coalesce(dashed.try_cast("date"), timed)
 
 
 def compact_date(value: Column | str, strict: bool = True) -> Column:

@@ -5,7 +5,7 @@
     manifests           one small file per compaction: (snapshot, upto); the one with the largest ``upto`` counts
 
 A compaction writes its snapshot first and the manifest last. A job that dies in between leaves a folder that nobody reads;
-the next compaction writes its own. Readers merge only the keys that later batches touched.
+the next compaction writes its own. Readers merge only the keys that later batches touched. ``vacuum`` deletes what no longer counts.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.functions.kernels import keep_last
+from tapeloom.session import delete_folder, folder_names
 
 #: Batches after which a writer compacts.
 COMPACT_EVERY = 20
@@ -102,3 +103,18 @@ class Versions:
         written = self.write_snapshot(before)
         if written:
             self.commit(*written)
+
+    def vacuum(self) -> None:
+        """Delete batches that the snapshot that counts has in it, and all other snapshots.
+
+        For a time when nobody reads an older state; the writer may go on meanwhile, as it only adds later batches.
+        """
+        _, snapshot, upto = self._state()
+        for name in folder_names(self.spark, f"{self.root}/deltas"):
+            number = name.removeprefix("batch=")
+            # the last batch stays: its folder tells the columns, and the stream may send it again
+            if number.isdigit() and int(number) < upto:
+                delete_folder(self.spark, f"{self.root}/deltas/{name}")
+        for name in folder_names(self.spark, f"{self.root}/snapshots"):
+            if snapshot is not None and name != snapshot:
+                delete_folder(self.spark, f"{self.root}/snapshots/{name}")

@@ -151,6 +151,25 @@ def test_a_repeated_batch_overwrites_its_own_rows(spark, table):
     assert rows_of(table) == [(0, "w6"), (1, "w7"), (2, "w8")] and table._state()[2] >= 5
 
 
+def test_vacuum_keeps_what_counts(spark, table):
+    from tapeloom.session import folder_names
+
+    table.vacuum()  # nothing there
+    for n in range(4):
+        table.add(batch(spark, (n % 2, f"v{n}", 1)), n)
+        if n in (1, 2):
+            table.compact()
+    table.write_snapshot()  # never committed
+    want = rows_of(table)
+    assert len(folder_names(spark, f"{table.root}/snapshots")) == 3
+    table.vacuum()
+    assert folder_names(spark, f"{table.root}/deltas") == ["batch=2", "batch=3"] and len(folder_names(spark, f"{table.root}/snapshots")) == 1
+    assert rows_of(table) == want == [(0, "v2"), (1, "v3")]
+    table.add(batch(spark, (5, "w", 1)), 4)
+    table.compact()
+    assert rows_of(table) == [*want, (5, "w")]
+
+
 def test_reads_rank_only_what_later_batches_touched(spark, table):
     table.add(spark.range(1000).selectExpr("id AS k", "'x' AS v", "1L AS seq"), 0)
     table.compact()

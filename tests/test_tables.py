@@ -226,3 +226,12 @@ def test_catalog_covers_the_inventory():
     have = {re.match(r"(st|[a-z])(\d+)", n).group(0).upper() for n in all_queries()}
     assert rows - {r.replace("Q", "") for r in have} == set()
     assert set(all_sql()) == set(all_queries())
+
+
+def test_dates_of_all_layouts(spark):
+    good = {"2024-1-2": (2024, 1, 2), "2024-01-02": (2024, 1, 2), "20240229": (2024, 2, 29), "2024/3/04": (2024, 3, 4), "2024.12.31": (2024, 12, 31), " 2024-01-02 ": (2024, 1, 2),
+            "2024-1-2 9:30:00": (2024, 1, 2), "0001-01-01": (1, 1, 1)}
+    bad = ["2023-02-29", "20230229", "2024/13/1", "2024-01/02", "2024-01-02 25:00:00", "2024-01-02x", "24-1-2", "", "n.a.", None, "0000-01-01", "2024-00-10", "2024.1.32", "202401021"]
+    df = spark.createDataFrame([(t,) for t in [*good, *bad]], "t string")
+    got = {r["t"]: r["d"] for r in df.select("t", sc.parse_date("t").alias("d")).collect()}
+    assert {t: (d.year, d.month, d.day) for t, d in got.items() if d} == good and all(got[t] is None for t in bad)
