@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -85,27 +87,49 @@ def parse_bool(value: Column | str) -> Column:
     return F.when(s.isNull() | s.isin(*FALSE_WORDS), False).otherwise(True)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def fixed_text(value: Column | str, digits: int) -> Column:
-    """A number with fixed decimals, rounded by its exact binary value as printf does.
+    """A number with up to 15 fixed decimals, rounded by its exact binary value as printf does, ties to even.
 
     ``format_string`` rounds the shortest decimal of a double instead, so 460.95 (a little less in
-    binary) would become 461.0. The fraction of a double is a whole number of 2**-52 parts,
-    which decimals can scale and round exactly.
+    binary) would become 461.0. The fraction of a double is a number of 2**-52 parts, whole from 1 on; below 1, what is
+    left of a part has 2**-52 parts of its own. Decimals can scale and round both exactly.
     """
-    x = F.abs(col(value).cast("double"))
-    whole = F.floor(x)
-    parts = (x - whole) * float(2**52)
-    scaled = F.floor(parts).cast("decimal(20,0)") * F.lit(10**digits).cast("decimal(17,0)")
-    unit, half = F.lit(2**52).cast("decimal(20,0)"), F.lit(2**51).cast("decimal(20,0)")
-    rest = scaled % unit
-    down = (scaled - rest) / unit
-    more = (rest > half) | ((rest == half) & ((parts != F.floor(parts)) | (down.cast("long") % 2 == 1)))
-    steps = down.cast("long") + more.cast("long")
-    carry = (steps >= 10**digits).cast("long")
-    head = F.concat(F.when(col(value).cast("double") < 0, "-").otherwise(""), (whole + carry).cast("string"))
-    if digits == 0:
-        return F.concat(F.when(col(value).cast("double") < 0, "-").otherwise(""), (whole + steps).cast("string"))
-    return F.concat(head, F.lit("."), F.lpad((steps - carry * 10**digits).cast("string"), digits, "0"))
+    unit = F.lit(2**52).cast("decimal(20,0)")
+
+    def scaled(n, body):
+        """``body`` of 10**digits times a count of parts: whole units, and the rest in parts."""
+        product = n.cast("decimal(20,0)") * F.lit(10**digits).cast("decimal(17,0)")
+        return _let(product, lambda p: _let(p % unit, lambda rest: body(((p - rest) / unit).cast("long"), rest.cast("long"))))
+
+    def rounded(whole, high, rest, beyond):
+        down = high + F.shiftright(rest, 52)
+        rest = rest % 2**52
+        last = down if digits else whole + down
+        up = (rest > 2**51) | ((rest == 2**51) & ((beyond > 0) | (last % 2 == 1)))
+        return _let(down + up.cast("long"), lambda steps: text(whole, steps))
+
+    def text(whole, steps):
+        if digits == 0:
+            return (whole + steps).cast("string")
+        carry = (steps >= 10**digits).cast("long")
+        return F.concat((whole + carry).cast("string"), F.lit("."), F.lpad((steps - carry * 10**digits).cast("string"), digits, "0"))
+
+    def exact(x):
+        whole = F.floor(x)
+        return _let((x - whole) * float(2**52), lambda parts: scaled(F.floor(parts), lambda high, rest: scaled(
+            F.floor((parts - F.floor(parts)) * float(2**52)), lambda more, beyond: rounded(whole, high, rest + more, beyond))))
+
+    def signed(v):
+        x = F.abs(v)
+        sign = F.when(v.cast("string").startswith("-"), "-").otherwise("")
+        return F.when(F.isnan(v), "nan").otherwise(F.concat(sign, F.when(x == float("inf"), "inf").otherwise(exact(x))))
+
+    return _let(col(value).cast("double"), signed)
 
 
 def format_number(value: Column | str, digits: int = 2, percentage: bool = False) -> Column:

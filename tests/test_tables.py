@@ -114,6 +114,18 @@ def test_codes_texts_and_numbers(spark):
         (f"{v:.1f}", f"{v:.2f}", f"{v:.0f}") for v in (460.95, 0.125, -2.675, 2.5)]
 
 
+def test_fixed_text_rounds_as_printf(spark):
+    """Fractions below 1 have more than 52 bits behind the point; ties go to even, at 0 decimals too."""
+    rng = np.random.default_rng(8)
+    xs = [s * c / 70000 * 100 for c in (3.5, 17.5, 248.5, 577.5, 556.5, 535.5) for s in (1, -1)]
+    xs += [0.005, 0.015, 0.05, 0.995, 0.125, 0.375, 0.5, 1.5, 2.5, 3.5, 9.995, 0.9999, 5e-324, 2.0**-51, -0.0, -0.001, 0.0, 1e15 + 0.5, float("nan"), float("inf"), float("-inf")]
+    xs += (rng.integers(0, 4000, 300) / 2000).tolist() + (10 ** rng.uniform(-16, 3, 300)).tolist()
+    df = spark.createDataFrame(list(enumerate(xs)), "i int, x double").repartition(4)
+    places = (0, 1, 2, 4, 8, 15)
+    got = df.select("i", *[sc.fixed_text("x", d).alias(f"d{d}") for d in places]).orderBy("i").collect()
+    assert [tuple(r)[1:] for r in got] == [tuple(f"{x:.{d}f}" for d in places) for x in xs]
+
+
 def test_event_window_reader_checks_columns_and_keeps_zeros(spark, frame):
     path = work_dir(spark, "t-win")
     df = frame("1", close=[1.0, 2.0]).selectExpr("symbol", "date AS event_date", "date AS trade_date", "0 AS relative_day", "close AS open", "close AS high", "close AS low", "close", "close AS volume")
