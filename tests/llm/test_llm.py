@@ -118,6 +118,30 @@ def test_kept_rows(spark, empty):
     assert ngram_join.keep_representatives(empty).count() == 0
 
 
+def test_whole_sets_are_neither_kept_nor_doubled(spark, docs, monkeypatch):
+    """Large cells are split without a table of whole sets; rows that come twice with one id and text give their node once."""
+    from pyspark.sql import functions as F
+
+    twice = docs.union(docs.where("doc_id % 3 = 0")).union(docs.where("doc_id % 3 = 0")).repartition(5)
+    sets = ngram_join.stored(ngram_join.document_sets(twice, 5, 80), "sets")
+    first = sets.where("n_shingles > 0").groupBy("sig").agg(F.min("rid").alias("rid"))
+    once = ngram_join.stored(sets.join(first.select("rid"), "rid"), "once")
+    nodes = ngram_join.stored(once.select(F.col("rid").alias("node")), "nodes")
+    full = ngram_join._full_sets(nodes, once, twice, ngram_join._repeated(twice), 5).select("node", F.size("hashes").alias("n")).collect()
+    assert sorted(map(tuple, full)) == sorted(map(tuple, once.select("rid", "n_shingles").collect()))
+    written, real = [], ngram_join.stored
+
+    def watched(df, label, *done):
+        written.append((label, df.columns))
+        return real(df, label, *done)
+
+    monkeypatch.setattr(ngram_join, "stored", watched)
+    roots = lambda **k: sorted(map(tuple, components(ngram_join.near_duplicate_links(twice, once, **k)).collect()))
+    assert roots(cell_shingles=300, window_shingles=100, frequent_from=3) == roots()
+    assert "split" in {label for label, _ in written}
+    assert [label for label, columns in written if "hashes" in columns] == []
+
+
 def test_splits_of_large_cells(docs):
     from pyspark.sql import functions as F
 
