@@ -100,10 +100,13 @@ def _repeated(docs: DataFrame) -> DataFrame:
     return stored(rows.groupBy("doc_id", "tie").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "tie"), "repeated")
 
 
-def _full_sets(nodes: DataFrame, sets: DataFrame, docs: DataFrame, repeated: DataFrame, k: int) -> DataFrame:
+def _full_sets(nodes: DataFrame, sets: DataFrame, docs: DataFrame, repeated: DataFrame, k: int,
+               cut: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None) -> DataFrame:
     """(node, hashes), each node once, of a written table of nodes: the whole sets, made anew from the texts.
 
-    They are as large as the texts and each step needs others, so that they are neither kept nor shuffled here.
+    They are as large as the texts and each step needs others, so that they are neither kept nor shuffled here. ``cut``, from
+    hashes and lengths of sets to those that go on, runs where the sets are made: a step of its own would be a second Python
+    worker beside each task's first, and executors keep their workers.
     """
     own = sets.select(F.col("rid").alias("node"), "doc_id", "sig", "tie").join(small_side(nodes), "node")
     twice = small_side(repeated.select(F.col("doc_id").alias("twice_id"), F.col("tie").alias("twice_tie"), F.lit(True).alias("twice")))
@@ -117,7 +120,8 @@ def _full_sets(nodes: DataFrame, sets: DataFrame, docs: DataFrame, repeated: Dat
         own = np.flatnonzero(_signature(hashes, offsets) == batch.column(2).to_numpy())  # a repeated doc_id may have another text too
         n = np.diff(offsets)[own]
         at = np.repeat(offsets[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), _lists(hashes[at], n)], ["node", "hashes"])
+        kept, n = cut(hashes[at], n) if cut else (hashes[at], n)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), _lists(kept, n)], ["node", "hashes"])
 
     def made(part):
         text = docs.select("doc_id", "text").alias("d").join(small_side(part).alias("w"), same).select("w.node", "d.text", "w.sig")
@@ -129,27 +133,17 @@ def _full_sets(nodes: DataFrame, sets: DataFrame, docs: DataFrame, repeated: Dat
     return full.union(made(again).dropDuplicates(["node"])) if again.take(1) else full
 
 
-def _first_shingles(full: DataFrame, hot: np.ndarray, percent: int) -> DataFrame:
-    """(node, window): the windows of whole sets in the order that puts the shingles of ``hot`` last.
+def first_shingles(hashes: np.ndarray, n: np.ndarray, hot: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of whole sets of n hashes each, and their lengths, in the order that puts the shingles ``hot`` (sorted) last.
 
     Any order of the shingles serves, as long as it is one for all documents.
     """
-    shared = full.sparkSession.sparkContext.broadcast(np.sort(hot))
-
-    def run(batches):
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                nodes, chosen = [], []
-                for node, hashes in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    h = hashes.values.to_numpy()
-                    late = np.isin(h, shared.value, assume_unique=True)
-                    first = np.concatenate([h[~late], h[late]])[:int(_window(np.array([len(h)]), percent)[0])]
-                    nodes.append(node)
-                    chosen.append(first)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), _lists(np.concatenate(chosen), np.array([len(c) for c in chosen]))], ["node", "window"])
-
-    return full.select("node", "hashes").mapInArrow(run, "node long, window array<long>")
+    signed = hashes.view(np.int64)
+    late = np.searchsorted(hot, signed, side="right") > np.searchsorted(hot, signed)
+    order = np.argsort(2 * np.repeat(np.arange(len(n)), n) + late, kind="stable")
+    w = _window(n, percent)
+    at = np.repeat(np.cumsum(n) - n - (np.cumsum(w) - w), w) + np.arange(w.sum())
+    return hashes[order[at]], w
 
 
 def possible_cells(nodes: np.ndarray, n: np.ndarray, windows: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -311,8 +305,8 @@ def near_duplicate_links(docs: DataFrame, sets: DataFrame, k: int = 5, percent:
     members = stored(members.select("cell", "node", "n", alone), "members")
     repeated = _repeated(docs)
 
-    def full_sets(nodes):
-        return _full_sets(nodes, sets, docs, repeated, k)
+    def full_sets(nodes, cut=None):
+        return _full_sets(nodes, sets, docs, repeated, k, cut)
 
     links, hot, level = [], np.zeros(0, np.int64), -1
     while True:
@@ -343,7 +337,9 @@ def near_duplicate_links(docs: DataFrame, sets: DataFrame, k: int = 5, percent:
             # what many far documents share with a pivot; a bounded number, as others may keep their place in the order
             often = split.select(F.explode("common").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") > frequent_from)
             hot = np.union1d(hot, often.orderBy(F.desc("n"), "shingle").limit(HOT_MOST).toPandas()["shingle"].to_numpy()).astype(np.int64)
-            late = stored(_first_shingles(full_sets(again), hot, percent), "windows")
+            shared = docs.sparkSession.sparkContext.broadcast(hot)
+            late = full_sets(again, lambda hashes, n, shared=shared: first_shingles(hashes, n, shared.value, percent))
+            late = stored(late.withColumnRenamed("hashes", "window"), "windows")
             fresh = members_of(late.select("node", F.explode("window").alias("shingle")))
             fresh = fresh.select(F.xxhash64("cell", F.lit(2 * level + 1)).alias("cell"), "node", "n", alone)
             members = stored(near.union(fresh), "members", split, reached, late)

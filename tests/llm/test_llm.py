@@ -153,6 +153,51 @@ def test_splits_of_large_cells(docs):
     assert roots() == roots(cell_shingles=200, window_shingles=50, frequent_from=2)
 
 
+def python_steps_of_a_task(plan):
+    """The most Python steps, each with a worker of its own, that one task of a printed plan runs at a time."""
+    most, above = 0, []
+    for line in plan.splitlines():
+        at = re.search(r"[A-Za-z*]|$", line).start()
+        while above and above[-1][0] >= at:
+            above.pop()
+        name = re.sub(r"^\*?\(\d+\) ", "", line[at:])
+        here = 0 if re.match(r"(Broadcast)?Exchange", name) else (above[-1][1] if above else 0) + bool(re.match(r"MapIn|FlatMapGroupsIn|ArrowEvalPython|BatchEvalPython", name))
+        above.append((at, here))
+        most = max(most, here)
+    return most
+
+
+def test_a_task_of_the_join_has_one_python_worker(docs, monkeypatch):
+    from pyspark.sql import functions as F
+
+    sets = ngram_join.stored(ngram_join.document_sets(docs, 5, 80), "sets")
+    once = ngram_join.stored(sets.join(sets.where("n_shingles > 0").groupBy("sig").agg(F.min("rid").alias("rid")).select("rid"), "rid"), "once")
+    steps, real = {}, ngram_join.stored
+
+    def watched(df, label, *done):
+        steps[label] = max(steps.get(label, 0), python_steps_of_a_task(df._jdf.queryExecution().executedPlan().toString()))
+        return real(df, label, *done)
+
+    monkeypatch.setattr(ngram_join, "stored", watched)
+    ngram_join.near_duplicate_links(docs, once, cell_shingles=200, window_shingles=50, frequent_from=2)
+    assert {label: n for label, n in steps.items() if n > 1} == {}
+    assert steps["windows"] == steps["links"] == 1
+
+
+def test_windows_put_frequent_shingles_last():
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 1 << 64, 60, np.uint64)
+    hot = np.sort(pool[:20].view(np.int64))
+    sets = [np.sort(rng.choice(pool, n, replace=False)) for n in (1, 3, 0, 40, 5, 60)]
+    got, lens = ngram_join.first_shingles(np.concatenate(sets), np.array([len(s) for s in sets]), hot, 80)
+    want = [sorted(map(int, s), key=lambda h: (np.uint64(h) in pool[:20], h))[:len(s) - -(-len(s) * 80 // 100) + 1 if len(s) else 0] for s in sets]
+    assert lens.tolist() == [len(w) for w in want]
+    assert got.tolist() == sum(want, [])
+    for part in (np.zeros(0, np.int64), hot[:1]):  # no frequent shingle, or one
+        assert len(ngram_join.first_shingles(np.concatenate(sets), np.array([len(s) for s in sets]), part, 80)[0]) == lens.sum()
+    assert ngram_join.first_shingles(np.zeros(0, np.uint64), np.zeros(0, np.int64), hot, 80)[0].tolist() == []
+
+
 def test_license_phrases(docs, empty):
     got = {(r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in license_scan.license_scan(docs).collect()}
     want = set()
