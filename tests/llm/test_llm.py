@@ -184,6 +184,83 @@ def test_a_task_of_the_join_has_one_python_worker(docs, monkeypatch):
     assert steps["windows"] == steps["links"] == 1
 
 
+def moves_of_made_sets(plan):
+    """The most exchanges of a printed plan that rows pass after a Python step made them."""
+    most, above = 0, []
+    for line in plan.splitlines():
+        at = re.search(r"[A-Za-z*]|$", line).start()
+        while above and above[-1][0] >= at:
+            above.pop()
+        name = re.sub(r"^\*?\(\d+\) ", "", line[at:])
+        moves = (above[-1][1] if above else 0) + name.startswith("Exchange")
+        above.append((at, moves))
+        most = max(most, moves if name.startswith("MapInArrow") else 0)
+    return most
+
+
+def test_large_cells_are_split_without_moving_whole_sets(spark, docs, monkeypatch):
+    """Beyond what is broadcast, texts are shuffled once for a step; sets only go to the cells that one task joins."""
+    from pyspark.sql import functions as F
+
+    sets = ngram_join.stored(ngram_join.document_sets(docs, 5, 80), "sets")
+    once = ngram_join.stored(sets.join(sets.where("n_shingles > 0").groupBy("sig").agg(F.min("rid").alias("rid")).select("rid"), "rid"), "once")
+    roots = lambda **k: sorted(map(tuple, components(ngram_join.near_duplicate_links(docs, once, **k)).collect()))
+    want = roots()
+    steps, real = {}, ngram_join.stored
+
+    def watched(df, label, *done):
+        steps[label] = max(steps.get(label, 0), moves_of_made_sets(df._jdf.queryExecution().executedPlan().toString()))
+        return real(df, label, *done)
+
+    monkeypatch.setattr(ngram_join, "stored", watched)
+    monkeypatch.setattr(ngram_join, "small_side", lambda df, limit=0: df)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert roots(cell_shingles=200, window_shingles=50, frequent_from=2) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert steps["split"] == 0 and steps["links"] == 1
+
+
+@pytest.mark.parametrize("rounds", [0, 4])
+def test_pivots_go_to_tasks_in_parts(docs, monkeypatch, rounds):
+    """Cells whose pivots find no room wait for the next round, and after the last round each part of the pivots has its turn."""
+    from pyspark.sql import functions as F
+
+    sets = ngram_join.stored(ngram_join.document_sets(docs, 5, 80), "sets")
+    once = ngram_join.stored(sets.join(sets.where("n_shingles > 0").groupBy("sig").agg(F.min("rid").alias("rid")).select("rid"), "rid"), "once")
+    roots = lambda **k: sorted(map(tuple, components(ngram_join.near_duplicate_links(docs, once, **k)).collect()))
+    want = roots()
+    waited, real = [], ngram_join._split
+
+    def watched(*args):
+        parts, left = real(*args)
+        waited.append((len(parts), left.count()))
+        return parts, left
+
+    monkeypatch.setattr(ngram_join, "_split", watched)
+    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+    assert roots(cell_shingles=600, window_shingles=50, frequent_from=2, centre_shingles=130) == want
+    assert max(n for n, _ in waited) > 1 if rounds == 0 else max(n for _, n in waited) > 0
+
+
+def test_what_sets_share_with_pivots():
+    rng = np.random.default_rng(6)
+    pool = rng.integers(0, 1 << 64, 50, np.uint64)
+    names, sets = np.array([9, 4, 70]), [np.sort(rng.choice(pool, n, replace=False)) for n in (30, 1, 12)]
+    cells, pivots = np.array([5, -3, 8, 6]), np.array([4, 70, 9, 70])
+    held = ngram_join.Pivots(cells, pivots, names, np.concatenate(sets), np.array([0, 30, 31, 43]))
+    at, mine = np.array([8, 7, 6, -3, 5, 99]), [np.sort(rng.choice(pool, n, replace=False)) for n in (1, 5, 50, 20, 9, 3)]
+    known, pivot, size, shared = held.common(at, mine)
+    assert known.tolist() == [True, False, True, True, True, False]
+    assert pivot.tolist() == [9, 70, 70, 4] and size.tolist() == [30, 12, 12, 1]
+    theirs = dict(zip(names.tolist(), sets))
+    assert [s.tolist() for s in shared] == [sorted({*mine[i].tolist()} & {*theirs[p].tolist()}) for i, p in zip((0, 2, 3, 4), pivot.tolist())]
+    none = ngram_join.Pivots(*(np.zeros(0, np.int64),) * 3, np.zeros(0, np.uint64), np.zeros(1, np.int64))
+    assert none.common(at, mine)[0].tolist() == [False] * 6
+
+
 def test_windows_put_frequent_shingles_last():
     rng = np.random.default_rng(5)
     pool = rng.integers(0, 1 << 64, 60, np.uint64)
