@@ -509,11 +509,11 @@ def keep_representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> Data
     judged = texts.join(small_side(heads), "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("tie") == F.col("head.tie")))
     # rows that go, and the few that stay once although they come more often
     marked = judged.where("not stays or n > 1").select(F.col("doc_id").alias("marked_id"), F.col("tie").alias("marked_tie"), "stays")
-    marked = stored(marked, "marked")
+    marked = small_side(stored(marked, "marked"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("tie"))
     same = F.col("id").eqNullSafe(F.col("marked_id")) & (F.col("tie") == F.col("marked_tie"))
     kept = rows.join(marked, same, "left_anti").select("row.*")
-    again = marked.where("stays")
+    again = small_side(marked.where("stays"))
     if not again.take(1):
         return kept
     once = rows.join(again, same, "left_semi").groupBy("id", "tie").agg(F.min_by("row", F.xxhash64("row")).alias("row"))

@@ -118,6 +118,18 @@ def test_kept_rows(spark, empty):
     assert ngram_join.keep_representatives(empty).count() == 0
 
 
+def test_documents_that_go_are_found_where_they_are(spark, docs):
+    """The few rows to drop are sent to the documents: a join by shuffles would write all texts once more."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = ngram_join.keep_representatives(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "LeftAnti" in plan and "LeftSemi" in plan
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
 def test_whole_sets_are_neither_kept_nor_doubled(spark, docs, monkeypatch):
     """Large cells are split without a table of whole sets; rows that come twice with one id and text give their node once."""
     from pyspark.sql import functions as F
